@@ -8,7 +8,7 @@ only the lists of the pairs next to a changed position are updated. Ids equal
 those of the ``tokenizers`` library for the same file.
 
 Scale: rows are independent, so the operator is one Arrow-batched pass without
-a shuffle; memory is a batch's distinct pre-tokens plus a bounded cache.
+a shuffle; memory is the distinct pre-tokens of a few thousand rows.
 
 Defined results: null is encoded as an empty text (no ids); very long texts are
 encoded whole; repeated rows give equal ids; decoding null gives an empty text.
@@ -21,18 +21,15 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import name
 
 #: The pre-token pattern of byte-level vocabularies (fixed value; white space as the Unicode property).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: Pre-tokens whose ids a worker keeps between batches.
-CACHE_ENTRIES = 200_000
-
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in a vocabulary file."""
@@ -41,6 +38,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
+class _Numbering(dict):
+    """Numbers its keys from 0 in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class PairIndexBPE:
     """A vocabulary file of the byte-level BPE kind, with encoder and decoder."""
 
@@ -66,7 +71,6 @@ class PairIndexBPE:
         self.bytes_of |= {i: t.encode() for t, i in special.items()}
         self.pieces = regex.compile(PATTERN).findall
         self.marks = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
-        self.cache: dict[str, bytes] = {}
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
@@ -74,15 +78,16 @@ class PairIndexBPE:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank_of[at], -1)
 
-    def merge(self, tokens: list[str]) -> list[bytes]:
-        """Ids, as little-endian uint32, of each pre-token."""
-        raw = [t.encode() for t in tokens]
+    def merge(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pre-tokens end to end, and where each one's end."""
+        raw = [b"?" if t in self.special else t.encode() for t in tokens]
+        marked = [(i, self.special[t]) for i, t in enumerate(tokens) if t in self.special]
         lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         ends = np.cumsum(lengths)
         symbols = self.first[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         n = len(symbols)
-        after = np.arange(1, n + 1, dtype=np.int64)
-        before = np.arange(-1, n - 1, dtype=np.int64)
+        after = np.arange(1, n + 1, dtype=np.int32)
+        before = np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[ends - lengths] = -1
         where: dict[int, list[np.ndarray]] = {}
@@ -130,39 +135,34 @@ class PairIndexBPE:
             touched = np.concatenate((left[left >= 0], at[has]))
             if len(touched):
                 index(np.unique(touched))
+        for i, mark in marked:
+            symbols[ends[i] - 1] = mark
         alive = symbols >= 0
-        ids = symbols[alive].astype("<u4")
-        stops = np.cumsum(alive)[ends - 1].tolist()
-        blob, out, begin = ids.tobytes(), [], 0
-        for stop in stops:
-            out.append(blob[4 * begin : 4 * stop])
-            begin = stop
-        return out
+        return symbols[alive].astype("<u4"), np.cumsum(alive)[ends - 1]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, as little-endian uint32."""
-        split: list[list] = []
+        number = _Numbering()
+        rows = []
         for text in texts:
-            parts: list = []
-            if text and self.marks is not None and self.marks.search(text):
-                for i, piece in enumerate(self.marks.split(text)):
-                    parts += [self.special[piece]] if i % 2 else self.pieces(piece)
-            elif text:
-                parts = self.pieces(text)
-            split.append(parts)
-        known = self.cache
-        fresh = list({p for parts in split for p in parts if p not in known and not isinstance(p, int)})
-        if fresh:
-            coded = self.merge(fresh)
-            room = max(0, CACHE_ENTRIES - len(known))
-            self.cache.update(zip(fresh[:room], coded[:room], strict=True))
-            known = self.cache if room >= len(fresh) else {**self.cache, **dict(zip(fresh[room:], coded[room:], strict=True))}
-        out = []
-        for parts in split:
-            if any(isinstance(p, int) for p in parts):
-                out.append(b"".join(p.to_bytes(4, "little") if isinstance(p, int) else known[p] for p in parts))
+            if not text:
+                pieces = []
+            elif self.marks is not None and self.marks.search(text):
+                pieces = [p for i, part in enumerate(self.marks.split(text)) for p in ([part] if i % 2 else self.pieces(part))]
             else:
-                out.append(b"".join(map(known.__getitem__, parts)))
+                pieces = self.pieces(text)
+            rows.append(np.array(list(map(number.__getitem__, pieces)), dtype=np.int32))
+        if not number:
+            return [b""] * len(texts)
+        flat, ends = self.merge(list(number))
+        begins = np.concatenate(([0], ends[:-1]))
+        lengths = ends - begins
+        out = []
+        for row in rows:
+            sizes = lengths[row]
+            stops = np.cumsum(sizes)
+            at = np.repeat(begins[row] - (stops - sizes), sizes) + np.arange(stops[-1] if len(row) else 0)
+            out.append(flat[at].tobytes())
         return out
 
     def decode(self, ids: bytes | None) -> str:
@@ -180,42 +180,43 @@ def load(path: str) -> PairIndexBPE:
     return _loaded[path]
 
 
-#: Texts encoded at a time, so that one batch's pre-tokens stay small in memory.
-ROWS_AT_ONCE = 4000
-
-
-def bpe_encode(text: Column, path: str) -> Column:
-    """Ids of a text column, as binary of little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            rows = s.tolist()
-            yield pd.Series([x for i in range(0, len(rows), ROWS_AT_ONCE) for x in load(path).encode(rows[i : i + ROWS_AT_ONCE])], dtype=object)
+#: Texts encoded and handed on at a time, so that a worker's memory doesn't follow the batch.
+ROWS_AT_ONCE = 3000
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "binary")(text)
 
+def encode_documents(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with the ids of each whole text as binary of little-endian unsigned 32-bit integers.
 
-def bpe_decode(ids: Column, path: str) -> Column:
-    """The text of ids as bpe_encode gives them."""
+    decoded: name of a further column with the text decoded from those ids.
+    Columns of the same names are replaced.
+    """
+    new = [ids] + [decoded] * (decoded is not None)
+    kept = [c for c in docs.columns if c not in new or c == text]
+    rows = docs.select(*[name(c) for c in kept])
+    fields = [f for f in rows.schema.fields if f.name not in new] + [T.StructField(ids, T.BinaryType())] + [T.StructField(decoded, T.StringType())] * (decoded is not None)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([load(path).decode(x) for x in s.tolist()], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(lo, ROWS_AT_ONCE)
+                coded = load(path).encode(part.column(text).to_pylist())
+                columns = {f: part.column(f) for f in part.schema.names if f not in new} | {ids: pa.array(coded, pa.binary())}
+                if decoded is not None:
+                    columns[decoded] = pa.array([load(path).decode(x) for x in coded], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "string")(ids)
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
-def id_list(ids: Column) -> Column:
-    """The binary ids as an array of integers, natively."""
-    at = F.sequence(F.lit(0), F.octet_length(ids) / 4 - 1)
-    byte = lambda i, k: F.conv(F.hex(F.substr(ids, (i * 4 + k + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.when(F.octet_length(ids) == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(at.cast("array<int>"), lambda i: byte(i, 0) + byte(i, 1) * 256 + byte(i, 2) * 65536 + byte(i, 3) * 16777216)
-    )
+def decode_ids(rows: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """rows with the text of ids as encode_documents gives them."""
+    kept = rows.select(*[name(c) for c in rows.columns if c != text])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(lo, ROWS_AT_ONCE)
+                texts = pa.array([load(path).decode(x) for x in part.column(ids).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, text])
 
-def encode_documents(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the ids of each whole text; a column called like ids is replaced."""
-    return docs.withColumn(ids, bpe_encode(name(text), path))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())]))

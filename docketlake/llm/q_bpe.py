@@ -6,14 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_decode, encode_documents
+from .bpe import encode_documents
 from .common import documents
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
-    coded = encode_documents(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    both = coded.withColumn("decoded", bpe_decode(F.col("ids"), path))
+    both = encode_documents(docs.select("doc_id", "text"), path, decoded="decoded").drop("text")
     return both.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
