@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .q_bpe import op9_bpe_encode_decode
 from .q_passages import op3_repeated_passages
+from .q_minhash import op6_minhash_near_dedup
 from .q_mixing import OP2_SQL, op2_mix_curriculum
 from .q_suffixes import op7_repeated_bytes
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_curriculum": op2_mix_curriculum,
         "op3_repeated_passages": op3_repeated_passages,
+        "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_repeated_bytes": op7_repeated_bytes,
         "op9_bpe_encode_decode": op9_bpe_encode_decode,
     }
