@@ -10,6 +10,7 @@ from .q_bpe import op9_bpe_encode_decode
 from .q_passages import op3_repeated_passages
 from .q_minhash import op6_minhash_near_dedup
 from .q_mixing import OP2_SQL, op2_mix_curriculum
+from .q_quality import op8_robust_quality_rules
 from .q_suffixes import op7_repeated_bytes
 
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_repeated_passages": op3_repeated_passages,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_repeated_bytes": op7_repeated_bytes,
+        "op8_robust_quality_rules": op8_robust_quality_rules,
         "op9_bpe_encode_decode": op9_bpe_encode_decode,
     }
 
