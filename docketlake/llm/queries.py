@@ -11,6 +11,7 @@ from .q_passages import op3_repeated_passages
 from .q_minhash import op6_minhash_near_dedup
 from .q_mixing import OP2_SQL, op2_mix_curriculum
 from .q_quality import op8_robust_quality_rules
+from .q_secrets import op10_secret_scan
 from .q_suffixes import op7_repeated_bytes
 
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_repeated_bytes": op7_repeated_bytes,
         "op8_robust_quality_rules": op8_robust_quality_rules,
         "op9_bpe_encode_decode": op9_bpe_encode_decode,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
