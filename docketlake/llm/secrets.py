@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import name, packed
 from .quality import let
 
+#: What stands before an assigned value (fixed value).
+ASSIGNED = r"""\b(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)["']?[ \t]{0,3}[:=]{1,2}[ \t]{0,3}["']?"""
 #: Key formats by kind (fixed values: published formats of access keys).
 FORMATS = {
     "access_key_id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
@@ -34,7 +36,7 @@ FORMATS = {
     "chat_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,99}",
     "web_token": r"\beyJ[A-Za-z0-9_-]{10,999}\.[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,999}",
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,10000}(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
-    "assignment": r"\b(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)[\"']?[ \t]{0,3}[:=]{1,2}[ \t]{0,3}[\"']?[A-Za-z0-9+/_.~!@-]{8,200}={0,2}",
+    "assignment": ASSIGNED + r"[A-Za-z0-9+/_.~!@-]{8,200}={0,2}",
     "long_string": r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{32,200}+(?![A-Za-z0-9+/_-])",
 }
 PATTERN = "|".join(FORMATS.values())
@@ -59,7 +61,7 @@ def kind_of(match: Column) -> Column:
 
 def value_of(match: Column) -> Column:
     """The secret part of a match: what is assigned, else all of it."""
-    assigned = F.regexp_extract(match, "^" + FORMATS["assignment"].split("[\"']?[A-Za-z0-9")[0] + "[\"']?(.+)$", 1)
+    assigned = F.regexp_extract(match, "^" + ASSIGNED + "(.+)$", 1)
     return F.when(assigned != "", assigned).otherwise(match)
 
 
@@ -92,7 +94,7 @@ def features(kind: Column, value: Column, before: Column, after: Column) -> Colu
     )
 
 
-def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 16000) -> DataFrame:
     """Fixed generated findings: match, before, after, label; half of them secrets."""
     h = lambda k: F.sha2(F.concat(F.lit(f"{k}-"), F.col("id").cast("string")), 256)
     mixed = lambda k: F.regexp_replace(F.base64(F.unhex(h(k))), "[=]", "")
@@ -143,7 +145,7 @@ def _tree(lines: list[str], f: Column) -> Column:
     return F.when(F.get(f, F.lit(int(i))) <= float(bound), yes).otherwise(_tree(lines, f))
 
 
-def train(findings: DataFrame, trees: int = 20, depth: int = 6) -> Callable[[Column], Column]:
+def train(findings: DataFrame, trees: int = 20, depth: int = 8) -> Callable[[Column], Column]:
     """A random forest fitted to findings (match, before, after, label), as a function of a features array: the share of trees for a secret."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
