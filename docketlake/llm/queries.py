@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .q_bpe import op9_bpe_encode_decode
 from .q_passages import op3_repeated_passages
+from .q_compression import op4_compression_quality
+from .q_hamming import OP1_SQL, op1_hamming_top_k
 from .q_minhash import op6_minhash_near_dedup
 from .q_mixing import OP2_SQL, op2_mix_curriculum
 from .q_quality import op8_robust_quality_rules
@@ -17,8 +19,10 @@ from .q_suffixes import op7_repeated_bytes
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hamming_top_k": op1_hamming_top_k,
         "op2_mix_curriculum": op2_mix_curriculum,
         "op3_repeated_passages": op3_repeated_passages,
+        "op4_compression_quality": op4_compression_quality,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_repeated_bytes": op7_repeated_bytes,
         "op8_robust_quality_rules": op8_robust_quality_rules,
@@ -29,5 +33,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_hamming_top_k": OP1_SQL,
         "op2_mix_curriculum": OP2_SQL,
     }
