@@ -14,6 +14,7 @@ from .q_minhash import op6_minhash_near_dedup
 from .q_mixing import OP2_SQL, op2_mix_curriculum
 from .q_quality import op8_robust_quality_rules
 from .q_secrets import op10_secret_scan
+from .q_tokenfiles import op5_token_counts
 from .q_suffixes import op7_repeated_bytes
 
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_curriculum": op2_mix_curriculum,
         "op3_repeated_passages": op3_repeated_passages,
         "op4_compression_quality": op4_compression_quality,
+        "op5_token_counts": op5_token_counts,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_repeated_bytes": op7_repeated_bytes,
         "op8_robust_quality_rules": op8_robust_quality_rules,
