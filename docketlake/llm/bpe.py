@@ -193,7 +193,9 @@ def encode_documents(docs: DataFrame, path: str, *, text: str = "text", ids: str
     new = [ids] + [decoded] * (decoded is not None)
     kept = [c for c in docs.columns if c not in new or c == text]
     rows = docs.select(*[name(c) for c in kept])
-    fields = [f for f in rows.schema.fields if f.name not in new] + [T.StructField(ids, T.BinaryType())] + [T.StructField(decoded, T.StringType())] * (decoded is not None)
+    fields = [f for f in rows.schema.fields if f.name not in new] + [T.StructField(ids, T.BinaryType())]
+    if decoded is not None:
+        fields.append(T.StructField(decoded, T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
