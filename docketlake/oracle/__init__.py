@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: list = []
+from . import ingest, lookups, passages, text, vectors  # noqa: E402
+
+FAMILIES = [text, vectors, passages, lookups, ingest]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
