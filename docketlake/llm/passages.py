@@ -17,6 +17,7 @@ other, so all their windows are covered.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -48,26 +49,35 @@ def confirmed_passages(docs: DataFrame, unit: Unit, shards: int) -> DataFrame:
     return out
 
 
-def _covered(sequence: tuple, automaton) -> np.ndarray:
-    """Which words of a text lie in an occurrence of a passage."""
-    edge = np.zeros(len(sequence) + 1, dtype=np.int32)
-    for end, n in automaton.iter(sequence):
-        edge[end - n + 1] += 1
-        edge[end + 1] -= 1
+def _covered(sequence: tuple, automaton) -> np.ndarray | None:
+    """Which words of a text lie in an occurrence of a passage; None if there is no occurrence."""
+    found = list(automaton.iter(sequence))
+    if not found:
+        return None
+    ends, sizes = np.array(found, dtype=np.int64).T
+    edge = np.bincount(ends - sizes + 1, minlength=len(sequence) + 1) - np.bincount(ends + 1, minlength=len(sequence) + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
+class _Numbers(dict):
+    """Numbers words from 0 in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def locate(unit: Unit, keep_text: bool):
     """The function of a shard: its documents and its passages to spans and what is kept."""
 
     def run(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
 
-        numbers: dict[bytes, int] = {}
+        numbers = _Numbers()
         texts, sequences, split = {}, [], []
         for doc, raw in zip(docs["doc"], docs["raw"], strict=True):
             parts = raw.split()
-            sequences.append(tuple([numbers.setdefault(w, len(numbers)) for w in parts]))
+            sequences.append(tuple(map(numbers.__getitem__, parts)))
             split.append(parts)
             texts.setdefault(doc, []).append(len(sequences) - 1)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -80,10 +90,14 @@ def locate(unit: Unit, keep_text: bool):
             automaton.make_automaton()
         out = []
         for doc_id, parts, sequence in zip(docs["doc_id"], split, sequences, strict=True):
-            gone = _covered(sequence, automaton) if found and sequence else np.zeros(len(parts), dtype=bool)
-            kept = b" ".join([w for w, g in zip(parts, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(parts)
-            steps = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-            out.append((doc_id, len(parts), int(gone.sum()), steps.reshape(-1, 2).tolist(), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            gone = _covered(sequence, automaton) if found and sequence else None
+            if gone is None:
+                kept, spans, n_gone = b" ".join(parts), [], 0
+            else:
+                kept = b" ".join(compress(parts, (~gone).tolist()))
+                spans = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2).tolist()
+                n_gone = int(gone.sum())
+            out.append((doc_id, len(parts), n_gone, spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "spans", "kept_sha256", "kept"])
 
     def grouped(key, docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
