@@ -13,49 +13,65 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling; every text ends in a symbol of its own, so all suffixes differ."""
+#: Symbols packed in the first sort key: seven of nine bits.
+PACKED = 7
+
+
+def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes ordered by their first depth symbols at least (those beyond the end are the smallest), and each suffix' place.
+
+    Doubling; only suffixes whose place isn't settled yet are sorted again.
+    """
     n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
-    rank = np.empty(n, dtype=np.int64)
-    ordered = symbols[order]
-    rank[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
-    h = 1
-    while h < n:
-        key = rank * (n + 1)
-        key[: n - h] += rank[h:] + 1
-        order = np.argsort(key)
-        ordered = key[order]
-        fresh = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(min(n, PACKED)):
+        key[: n - k] |= symbols[k:] << (9 * (PACKED - 1 - k))
+    order = np.argsort(key)
+    ordered = key[order]
+    heads = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    rank = np.empty(n + 1, dtype=np.int64)
+    rank[n] = -1
+    rank[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
+    h = PACKED
+    while h < depth:
+        alone = heads & np.concatenate((heads[1:], [True]))
+        places = np.flatnonzero(~alone)
+        if not len(places):
             break
+        open_ = order[places]
+        key = rank[open_] * (n + 1) + rank[np.minimum(open_ + h, n)] + 1
+        sort = np.argsort(key)
+        open_, key = open_[sort], key[sort]
+        order[places] = open_
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        heads[places] = new
+        rank[open_] = places[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
         h *= 2
-    return order
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    return order, place
 
 
-def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts end to end as symbols, each closed by a separator of its own (the last the smallest), and their begins."""
-    m = len(texts)
-    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=m)
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts end to end as symbols, each closed by a separator (the smallest symbol); their begins and the separators' places."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    symbols = np.empty(int(sizes.sum()) + m, dtype=np.int64)
+    symbols = np.frombuffer(b"\0".join([*texts, b""]), dtype=np.uint8).astype(np.int64) + 1
     closes = begins + sizes
-    mask = np.ones(len(symbols), dtype=bool)
-    mask[closes] = False
-    symbols[mask] = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64) + m
-    symbols[closes] = np.arange(m - 1, -1, -1)
-    return symbols, begins
+    symbols[closes] = 0
+    return symbols, begins, closes
 
 
 def repeated_starts(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, offset) of every string of the given length that also starts at another place."""
-    symbols, begins = joined(texts)
+    """(text, offset) of every string of the given length, inside one text, that also starts at another place."""
+    nothing = np.zeros(0, dtype=np.int64)
+    if not texts:
+        return nothing, nothing
+    symbols, begins, closes = joined(texts)
     n = len(symbols)
-    order = suffix_order(symbols)
-    transform = symbols[order - 1]
-    step = np.empty(n, dtype=np.int64)
-    step[np.argsort(transform, kind="stable")] = np.arange(n)
+    order, place = suffix_order(symbols, length)
+    transform = symbols[order - 1].astype(np.uint16)
+    step = place[order - 1]
     split = np.zeros(n + 1, dtype=bool)
     split[0] = split[n] = True
     lo, hi = np.array([0]), np.array([n])
@@ -65,10 +81,12 @@ def repeated_starts(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nda
         sizes = hi - lo
         stops = np.cumsum(sizes)
         at = np.repeat(lo - (stops - sizes), sizes) + np.arange(stops[-1])
-        to, of, by = step[at], np.repeat(np.arange(len(lo)), sizes), transform[at]
-        sort = np.argsort(to)
-        to, of, by = to[sort], of[sort], by[sort]
-        new = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1] + 1) | (of[1:] != of[:-1]) | (by[1:] != by[:-1]))))
+        to = np.sort(step[at])
+        # extensions of one interval by one symbol lie side by side; a new one begins where the interval or the symbol changes
+        by = transform[at]
+        sort = np.argsort(by, kind="stable")
+        of, by = np.repeat(np.arange(len(lo)), sizes)[sort], by[sort]
+        new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (by[1:] != by[:-1]))))
         lo, hi = to[new], np.concatenate((to[new[1:] - 1], to[-1:])) + 1
         fresh = ~split[hi]
         lo, hi = lo[fresh], hi[fresh]
@@ -76,4 +94,5 @@ def repeated_starts(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     near = np.flatnonzero(~split)
     starts = np.unique(np.concatenate((order[near], order[near - 1])))
     text = np.searchsorted(begins, starts, side="right") - 1
-    return text, starts - begins[text]
+    inside = starts + length <= closes[text]
+    return text[inside], (starts - begins[text])[inside]

@@ -16,6 +16,7 @@ whole; matches never cross documents; repeated rows repeat each other.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Unit, distinct_blocks, recurring, row_key, runs_of, signed, window_counts, with_places
+from .anchors import Unit, byte_grams, distinct_blocks, recurring, row_key, runs_of, signed, window_counts, with_places
 from .bwt import repeated_starts
 from .common import cut, drop_cut, name
 
@@ -51,14 +52,54 @@ def _slices(length: int):
     return run
 
 
-def _search(length: int):
+def _trimmed(anchors: np.ndarray, contents: list[bytes], unit: Unit, steps: int = 8) -> tuple[list[int], list[bytes]]:
+    """Where in each block strings can begin that another block may hold, and that part of it (empty: none).
+
+    A string around the anchor can only occur in another block if what it has
+    left of the anchor, and what it has right of it, also does. Both are tested
+    at growing distances, and the block is cut where no other one agrees.
+    """
+    room = unit.length - unit.gram
+    levels = [room * (k + 1) // steps for k in range(steps)]
+    ends = np.cumsum([len(c) for c in contents])
+    begins = ends - [len(c) for c in contents]
+    grams = byte_grams(np.frombuffer(b"".join(contents), dtype=np.uint8), unit.gram).view(np.int64)
+    owner = np.repeat(np.arange(len(contents)), ends - begins)[: len(grams)]
+    hit = np.flatnonzero((grams == anchors[owner]) & (np.arange(len(grams)) - begins[owner] <= room))
+    at = np.zeros(len(contents), dtype=np.int64)
+    at[owner[hit[::-1]]] = hit[::-1] - begins[owner[hit[::-1]]]
+    seen: Counter = Counter()
+    keys = []
+    for anchor, content, p in zip(anchors.tolist(), contents, at.tolist(), strict=True):
+        q = p + unit.gram
+        left = [(anchor, content[p - d : p]) for d in levels if p >= d]
+        right = [(anchor, d, content[q : q + d]) for d in levels if q + d <= len(content)]
+        keys.append((left, right))
+        seen.update(left)
+        seen.update(right)
+    cuts, parts = [], []
+    for content, p, sides in zip(contents, at.tolist(), keys, strict=True):
+        q, reach = p + unit.gram, []
+        for side in sides:
+            shared = next((i for i, k in enumerate(side) if seen[k] < 2), len(side))
+            reach.append(levels[shared] - 1 if shared < len(levels) else room)
+        begin, end = max(0, p - reach[0]), min(len(content), q + reach[1])
+        cuts.append(begin)
+        parts.append(content[begin:end] if end - begin >= unit.length else b"")
+    return cuts, parts
+
+
+def _search(unit: Unit):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.drop_duplicates(["anchor", "block"]).reset_index(drop=True)
-        text, offset = repeated_starts(shard["content"].tolist(), length)
+        cuts, parts = _trimmed(shard["anchor"].to_numpy(), shard["content"].tolist(), unit)
+        held = np.flatnonzero([len(p) > 0 for p in parts])
+        text, offset = repeated_starts([parts[i] for i in held.tolist()], unit.length)
+        text = held[text]
         lone = shard["copies"].to_numpy()[text] == 1
         text, offset = text[lone], offset[lone]
         out = shard.iloc[text][["doc", "anchor", "block"]].reset_index(drop=True)
-        out["at"] = (shard["start"].to_numpy()[text] + offset).astype(np.int32)
+        out["at"] = (shard["start"].to_numpy()[text] + np.array(cuts, dtype=np.int64)[text] + offset).astype(np.int32)
         return out
 
     return run
@@ -77,7 +118,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, *, shard_bytes: int = SHARD_BYTE
     contents = cut(with_places(docs, usual.select(*columns), "doc long, anchor long, block long, copies long, start int, content binary", _slices(unit.length)), free=True)
     total = contents.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
     shards = 1 + total // shard_bytes
-    searched = contents.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(_search(unit.length), "doc long, anchor long, block long, at int")
+    searched = contents.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(_search(unit), "doc long, anchor long, block long, at int")
     parts = runs_of(searched)
     if not crowded.isEmpty():
         parts = parts.unionByName(window_counts(docs, mixed.join(crowded, "anchor").select(*columns), unit))
