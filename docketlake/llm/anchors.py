@@ -240,7 +240,16 @@ def window_counts(docs: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    rows = cut(with_places(docs, mixed.select("doc", "anchor", "block", "copies", "start", "n"), "doc long, anchor long, block long, copies long, at int, window long", run).distinct(), free=True)
+    rows = with_places(docs, mixed.select("doc", "anchor", "block", "copies", "start", "n"), WINDOW_ROWS, run)
+    return shared_windows(rows)
+
+
+WINDOW_ROWS = "doc long, anchor long, block long, copies long, at int, window long"
+
+
+def shared_windows(rows: DataFrame) -> DataFrame:
+    """Runs of the windows of blocks that occur once which another block of their anchor also has."""
+    rows = cut(rows.distinct(), free=True)
     shared = rows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor", "window")
     lone = rows.filter("copies = 1").join(shared, ["anchor", "window"], "left_semi")
     return runs_of(lone)

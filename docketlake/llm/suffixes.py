@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Unit, byte_grams, distinct_blocks, recurring, row_key, runs_of, signed, window_counts, with_places
+from .anchors import WINDOW_ROWS, Unit, byte_grams, distinct_blocks, recurring, row_key, runs_of, shared_windows, signed, with_places
 from .bwt import repeated_starts
 from .common import cut, drop_cut, name
 
@@ -52,6 +52,25 @@ def _slices(length: int):
     return run
 
 
+def _windows(length: int):
+    """The windows of block contents, by hash."""
+    schema = pa.schema([("doc", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64()), ("copies", pa.int64()), ("at", pa.int32()), ("window", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                out: list[list] = [[] for _ in schema]
+                for *keys, start, content in zip(*(batch.column(c).slice(lo, 500).to_pylist() for c in ("doc", "anchor", "block", "copies", "start", "content")), strict=True):
+                    n = len(content) - length + 1
+                    for column, key in zip(out, keys, strict=False):
+                        column.extend([key] * n)
+                    out[4].extend(range(start, start + n))
+                    out[5].extend(signed(xxhash.xxh3_64_intdigest(content[i : i + length])) for i in range(n))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return run
+
+
 def _trimmed(anchors: np.ndarray, contents: list[bytes], unit: Unit, steps: int = 8) -> tuple[list[int], list[bytes]]:
     """Where in each block strings can begin that another block may hold, and that part of it (empty: none).
 
@@ -113,15 +132,15 @@ def repeated_spans(docs: DataFrame, unit: Unit, *, shard_bytes: int = SHARD_BYTE
     mixed = blocks.filter("mixed")
     crowded = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > most_blocks).select("anchor")
     crowded = cut(crowded)
-    usual = mixed.join(crowded, "anchor", "left_anti")
     columns = ["doc", "anchor", "block", "copies", "start", "n"]
-    contents = cut(with_places(docs, usual.select(*columns), "doc long, anchor long, block long, copies long, start int, content binary", _slices(unit.length)), free=True)
+    contents = cut(with_places(docs, mixed.select(*columns), "doc long, anchor long, block long, copies long, start int, content binary", _slices(unit.length)), free=True)
+    usual = contents.join(crowded, "anchor", "left_anti")
     total = contents.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
     shards = 1 + total // shard_bytes
-    searched = contents.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(_search(unit), "doc long, anchor long, block long, at int")
+    searched = usual.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(_search(unit), "doc long, anchor long, block long, at int")
     parts = runs_of(searched)
     if not crowded.isEmpty():
-        parts = parts.unionByName(window_counts(docs, mixed.join(crowded, "anchor").select(*columns), unit))
+        parts = parts.unionByName(shared_windows(contents.join(crowded, "anchor", "left_semi").mapInArrow(_windows(unit.length), WINDOW_ROWS)))
     whole = found.join(blocks.filter("copies > 1").select("anchor", "block"), ["anchor", "block"])
     out = cut(whole.select("doc", "start", "n").unionByName(parts.select("doc", "start", "n")).distinct(), free=True)
     for x in (found, blocks, contents, crowded):
