@@ -18,14 +18,12 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import name
+from .common import name, with_column
 
 #: The pre-token pattern of byte-level vocabularies (fixed value; white space as the Unicode property).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -184,41 +182,23 @@ def load(path: str) -> PairIndexBPE:
 ROWS_AT_ONCE = 3000
 
 
-def encode_documents(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs with the ids of each whole text as binary of little-endian unsigned 32-bit integers.
 
     decoded: name of a further column with the text decoded from those ids.
-    Columns of the same names are replaced.
+    Columns of the same names are replaced; keep: only these others are returned.
     """
-    new = [ids] + [decoded] * (decoded is not None)
-    kept = [c for c in docs.columns if c not in new or c == text]
-    rows = docs.select(*[name(c) for c in kept])
-    fields = [f for f in rows.schema.fields if f.name not in new] + [T.StructField(ids, T.BinaryType())]
+    fields = [T.StructField(ids, T.BinaryType())]
     if decoded is not None:
         fields.append(T.StructField(decoded, T.StringType()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(lo, ROWS_AT_ONCE)
-                coded = load(path).encode(part.column(text).to_pylist())
-                columns = {f: part.column(f) for f in part.schema.names if f not in new} | {ids: pa.array(coded, pa.binary())}
-                if decoded is not None:
-                    columns[decoded] = pa.array([load(path).decode(x) for x in coded], pa.string())
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    def make(texts: list) -> list:
+        coded = load(path).encode(texts)
+        return [coded, [load(path).decode(x) for x in coded]] if decoded is not None else [coded]
 
-    return rows.mapInArrow(run, T.StructType(fields))
+    return with_column(docs, name(text), make, fields, ROWS_AT_ONCE, keep)
 
 
 def decode_ids(rows: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """rows with the text of ids as encode_documents gives them."""
-    kept = rows.select(*[name(c) for c in rows.columns if c != text])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(lo, ROWS_AT_ONCE)
-                texts = pa.array([load(path).decode(x) for x in part.column(ids).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, text])
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())]))
+    return with_column(rows, name(ids), lambda coded: [[load(path).decode(x) for x in coded]], [T.StructField(text, T.StringType())], ROWS_AT_ONCE)

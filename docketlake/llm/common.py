@@ -5,9 +5,15 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: ASCII white space, the separators of words (fixed value).
 SPACES = " \t\n\x0b\x0c\r"
@@ -62,11 +68,50 @@ def packed(docs: DataFrame, alias: str = "row") -> Column:
     return F.struct(*[name(c) for c in docs.columns]).alias(alias)
 
 
+def with_column(df: DataFrame, value: Column, make: Callable[[list], list], fields: list[T.StructField], rows_at_once: int, keep: list[str] | None = None) -> DataFrame:
+    """df with new columns (those in fields, replacing any of the same name).
+
+    make turns the values of some rows into lists of values, one for each
+    field; it is given a bounded number of rows at a time. The other columns
+    pass as one struct, whatever their names are; keep: only these do.
+    """
+    kept = df.columns if keep is None else keep
+    rows = df.select(packed(df.select(*[name(c) for c in kept])), value.alias("value"))
+    types = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(lo, rows_at_once)
+                made = make(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(m, t) for m, t in zip(made, types, strict=True)]], names=["row", *[f"c{i}" for i in range(len(types))]])
+
+    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], *[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)]]))
+    names = [f.name for f in fields]
+    return out.select(*[F.col("row")[c].alias(c) for c in kept if c not in names], *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def words(text: Column) -> Column:
     """The words of a text: maximal runs of characters that are not ASCII space; null has none."""
     inner = F.btrim(text, F.lit(SPACES))
     return F.when(text.isNull() | (inner == ""), F.array().cast("array<string>")).otherwise(F.split(inner, SPACE_CLASS))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once a session, for clusters where it isn't installed."""
+    app, root = spark.sparkContext.applicationId, Path(__file__).parents[1]
+    if app not in _shipped and root.is_dir():
+        _shipped.add(app)
+        target = Path(tempfile.mkdtemp(prefix="docketlake-")) / "docketlake.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(target))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

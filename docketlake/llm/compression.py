@@ -19,15 +19,14 @@ id is never labelled and not held out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import name
+from .common import name, with_column
 
 LEVEL, DICTIONARY_BYTES = 3, 262_144
 
@@ -114,18 +113,7 @@ def hash_of(doc_id: int) -> int:
     return xxhash.xxh3_64_intdigest(str(doc_id).encode())
 
 
-def score(docs: DataFrame, model: CompressionModel, *, text: str = "text", out: str = "score") -> DataFrame:
-    """docs without the text and with the score (a column of that name is replaced)."""
-    rows = docs.select(*[name(c) for c in docs.columns if c not in (text, out)], F.coalesce(name(text).cast("binary"), F.lit(b"")).alias(text))
-    kept = [f for f in rows.schema.fields if f.name != text]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                scores = model.scores(part.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(scores, pa.float64())], names=[*[f.name for f in kept], out])
-
-    from pyspark.sql import types as T
-
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
+def score(docs: DataFrame, model: CompressionModel, *, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """docs with the score (a column of that name is replaced); keep: only these others are returned."""
+    raw = F.coalesce(name(text).cast("binary"), F.lit(b""))
+    return with_column(docs, raw, lambda texts: [model.scores(texts)], [T.StructField(out, T.DoubleType())], 2000, keep)

@@ -12,7 +12,7 @@ from .common import documents
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
-    both = encode_documents(docs.select("doc_id", "text"), path, decoded="decoded").drop("text")
+    both = encode_documents(docs, path, decoded="decoded", keep=["doc_id"])
     return both.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )

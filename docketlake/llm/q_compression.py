@@ -16,4 +16,4 @@ def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = fit(docs, labels.filter(rest != 0))
     held_out = F.coalesce(rest == 0, F.lit(False))
-    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return score(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
