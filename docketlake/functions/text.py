@@ -107,7 +107,11 @@ def ordered_join(order: Column, value: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"]), sep)
 
 
-@F.pandas_udf("string")
-def fold_any(text: pd.Series) -> pd.Series:
+def fold_any(text: Column) -> Column:
     """fold() for scripts beyond the table, by full decomposition."""
-    return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c)))
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c)))
+
+    return run(text)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +36,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 def from_float32(blob: Column) -> Column:
     """Little-endian float32 bytes as an array."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def decode(s: pd.Series) -> pd.Series:
