@@ -76,7 +76,8 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 10, segments: int = 4
         earlier = F.lit(False)
         for i in range(segments):
             earlier |= (near[i] < radius) | ((near[i] == radius) & (F.lit(i) < F.col("part")))
-        found = probes.join(index, ["part", "value"]).filter(~earlier).withColumn("distance", hamming(F.col("code"), F.col("query"))).filter("distance <= bound").select("query", "code", "distance", "held")
+        # probes are many more than their table's size tells: the index is the side to hash
+        found = probes.join(index.hint("shuffle_hash"), ["part", "value"]).filter(~earlier).withColumn("distance", hamming(F.col("code"), F.col("query"))).filter("distance <= bound").select("query", "code", "distance", "held")
         if best is not None:
             found = found.unionByName(best)
         # a code is kept unless k nearer ids are known: ties at the kth distance stay until ids decide
