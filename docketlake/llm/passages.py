@@ -17,7 +17,7 @@ other, so all their windows are covered.
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ from .common import cut, drop_cut, name
 __all__ = ["confirmed_passages", "remove_repeats", "runs_of"]
 
 #: Bytes of text in a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 def confirmed_passages(docs: DataFrame, unit: Unit, shards: int) -> DataFrame:
@@ -49,21 +49,32 @@ def confirmed_passages(docs: DataFrame, unit: Unit, shards: int) -> DataFrame:
     return out
 
 
-def _covered(sequence: tuple, automaton) -> np.ndarray | None:
-    """Which words of a text lie in an occurrence of a passage; None if there is no occurrence."""
-    found = list(automaton.iter(sequence))
-    if not found:
+def _covered(ids: list[int], automaton, least: int) -> np.ndarray | None:
+    """Which words of a text lie in an occurrence of a passage; None if there is no occurrence.
+
+    ids: numbers of the words that passages hold, 0 for others. Only stretches
+    of least such words or more can hold a passage and are streamed.
+    """
+    gaps = np.flatnonzero(np.array(ids, dtype=np.int64) == 0)
+    begins, stops = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(ids)]))
+    long = np.flatnonzero(stops - begins >= least)
+    hits = []
+    for begin, stop in zip(begins[long].tolist(), stops[long].tolist(), strict=True):
+        found = list(automaton.iter(tuple(ids[begin:stop])))
+        if found:
+            hits.append(np.array(found, dtype=np.int64) + (begin, 0))
+    if not hits:
         return None
-    ends, sizes = np.array(found, dtype=np.int64).T
-    edge = np.bincount(ends - sizes + 1, minlength=len(sequence) + 1) - np.bincount(ends + 1, minlength=len(sequence) + 1)
+    ends, sizes = np.concatenate(hits).T
+    edge = np.bincount(ends - sizes + 1, minlength=len(ids) + 1) - np.bincount(ends + 1, minlength=len(ids) + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
 class _Numbers(dict):
-    """Numbers words from 0 in the order in which they are first asked for."""
+    """Numbers words from 1 in the order in which they are first asked for."""
 
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
+        n = self[word] = len(self) + 1
         return n
 
 
@@ -74,23 +85,22 @@ def locate(unit: Unit, keep_text: bool):
         import ahocorasick
 
         numbers = _Numbers()
-        texts, sequences, split = {}, [], []
-        for doc, raw in zip(docs["doc"], docs["raw"], strict=True):
-            parts = raw.split()
-            sequences.append(tuple(map(numbers.__getitem__, parts)))
-            split.append(parts)
-            texts.setdefault(doc, []).append(len(sequences) - 1)
+        split = [raw.split() for raw in docs["raw"]]
+        rows: dict[int, list[int]] = {}
+        for i, doc in enumerate(docs["doc"]):
+            rows.setdefault(doc, []).append(i)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for doc, start, n, block, whole in zip(places["doc"], places["start"], places["n"], places["block"], places["whole"], strict=True):
-            for i in texts.get(doc, ()):
-                if start + n <= len(sequences[i]) and (not whole or signed(xxhash.xxh3_64_intdigest(b" ".join(split[i][start : start + n]))) == block):
-                    automaton.add_word(sequences[i][start : start + n], int(n))
+            for i in rows.get(doc, ()):
+                passage = split[i][start : start + n]
+                if len(passage) == n and (not whole or signed(xxhash.xxh3_64_intdigest(b" ".join(passage))) == block):
+                    automaton.add_word(tuple(map(numbers.__getitem__, passage)), int(n))
         found = len(automaton) > 0
         if found:
             automaton.make_automaton()
         out = []
-        for doc_id, parts, sequence in zip(docs["doc_id"], split, sequences, strict=True):
-            gone = _covered(sequence, automaton) if found and sequence else None
+        for doc_id, parts in zip(docs["doc_id"], split, strict=True):
+            gone = _covered(list(map(numbers.get, parts, repeat(0))), automaton, unit.length) if found and parts else None
             if gone is None:
                 kept, spans, n_gone = b" ".join(parts), [], 0
             else:
