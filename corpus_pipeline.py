@@ -41,8 +41,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
     gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     left = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
-    again = found.filter("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id"))
-    again = cut(again)
+    again = cut(found.filter("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id")))
+    if again.isEmpty():
+        return left
     once = left.join(again, left["doc_id"] == F.col("again_id"), "left_anti")
     several = left.join(again, left["doc_id"] == F.col("again_id"), "left_semi")
     return once.unionByName(several.dropDuplicates(["doc_id"]))

@@ -67,10 +67,11 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 10, segments: int = 4
     codes = entries.select("code", F.size("ids").alias("held"))
     index = codes.select("code", "held", F.posexplode(F.array(*[segment(F.col("code"), i, width) for i in range(segments)])).alias("part", "value"))
     waiting = cut(asked.select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(BITS)))
-    best = None
+    best, tasks = None, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for radius in range(width + 1):
         patterns = F.array(*[F.lit(p) for p in flips(width, radius)])
-        probes = waiting.select("query", "bound", F.posexplode(F.array(*[segment(F.col("query"), i, width) for i in range(segments)])).alias("part", "own"))
+        # a query is a small row but thousands of probes: spread queries by number, not by bytes
+        probes = waiting.repartition(tasks, "query").select("query", "bound", F.posexplode(F.array(*[segment(F.col("query"), i, width) for i in range(segments)])).alias("part", "own"))
         probes = probes.select("query", "bound", "part", F.explode(F.transform(patterns, lambda p: p.bitwiseXOR(F.col("own")))).alias("value"))
         near = [F.bit_count(segment(F.col("code").bitwiseXOR(F.col("query")), i, width)) for i in range(segments)]
         earlier = F.lit(False)

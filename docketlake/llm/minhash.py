@@ -222,6 +222,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, doc_i
     first = cut(connected_components(links))
     more = _left_over(members, first, texts, width, percent)
     components = first if more.isEmpty() else cut(connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)))
+    for x in (members, degrees, facts, texts, links, classes):
+        drop_cut(x)
     out = features.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

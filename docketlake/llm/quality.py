@@ -38,6 +38,8 @@ CLOSEST_FACTOR, WITHIN_FACTOR = 1.412, 1.055
 #: Standard deviations added to each variable's own, so that constant variables are allowed.
 FLOORS = (0.3, 0.1, 0.25, 0.5, 0.1)
 UNIT = 1000
+#: Where a variable is cut off (far outside of any ellipsoid), so that sums of products stay in range.
+FURTHEST = 100.0
 VARIABLES = len(FLOORS)
 CLOSEST = 0.75
 
@@ -84,7 +86,7 @@ def _vector(c: Column) -> list[Column]:
     """The transformed counts, in thousandths: length, shrunk mean word length, symbols, repeated lines, repeated words."""
     n = F.greatest(c["n_words"], F.lit(1))
     raw = [F.log(n), (c["word_chars"] + 100) / (n + 20), F.log1p(10 * c["n_symbols"] / n), F.log1p(c["n_dup_lines"].cast("double")), c["n_repeat_words"] / n]
-    return [F.round(x * UNIT).cast("long").alias(f"v{i}") for i, x in enumerate(raw)]
+    return [F.round(F.least(x, F.lit(FURTHEST)) * UNIT).cast("long").alias(f"v{i}") for i, x in enumerate(raw)]
 
 
 def _groups(vectors: DataFrame, least_rows: int) -> DataFrame:
