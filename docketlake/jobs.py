@@ -170,3 +170,11 @@ def embed(store: Store, embedder: Embedder, model: str, stage: str | None = None
             store.replace("chunks", done.unionByName(embedded(pending, embedder)).repartition("kind"))
         store.set_meta(**{f"embedded_{kind}_at": _now(), "embedding_model": model})
     store.set_meta(embedded_at=_now())
+
+
+def ensure_index_format(store: Store) -> bool:
+    """Rebuild the text index if it was written by another format; whether it was."""
+    if not store.is_indexed() or store.meta().get("index_format") == INDEX_FORMAT:
+        return False
+    rebuild_text_index(store)
+    return True
