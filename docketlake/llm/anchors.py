@@ -189,7 +189,7 @@ def recurring(docs: DataFrame, unit: Unit) -> DataFrame:
     """
     found = cut(keyed(docs).mapInArrow(_scan(unit), BLOCK_ROWS))
     several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), (F.min("block") != F.max("block")).alias("mixed")).filter("k > 1").select("anchor", "mixed")
-    several = cut(several)  # as a table of its own, so that the join below can split an anchor with many rows
+    several = cut(several, free=True)  # as a table of its own, so that the join below can split an anchor with many rows
     out = cut(found.join(several, "anchor"), free=True)
     drop_cut(found)
     return out

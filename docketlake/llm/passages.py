@@ -37,7 +37,7 @@ SHARD_BYTES = 2 << 20
 def confirmed_passages(docs: DataFrame, unit: Unit, shards: int) -> DataFrame:
     """Passages to look for: shard, doc, start, n (words) of one place in each shard, and its hash if it is a block."""
     found = recurring(docs, unit)
-    blocks = cut(distinct_blocks(found))
+    blocks = cut(distinct_blocks(found), free=True)
     parts = window_counts(docs, blocks.filter("mixed"), unit)
     whole = found.join(blocks.filter("copies > 1").select("anchor", "block"), ["anchor", "block"])
     whole = whole.withColumn("shard", F.pmod("doc", F.lit(shards)).cast("int")).groupBy("shard", "anchor", "block").agg(F.min(F.struct("doc", "start", "n")).alias("at"))

@@ -15,6 +15,7 @@ from .q_mixing import OP2_SQL, op2_mix_curriculum
 from .q_quality import op8_robust_quality_rules
 from .q_secrets import op10_secret_scan
 from .q_tokenfiles import op5_token_counts
+from .sql import OP3_SQL, OP6_SQL, OP7_SQL
 from .q_suffixes import op7_repeated_bytes
 
 
@@ -37,4 +38,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_hamming_top_k": OP1_SQL,
         "op2_mix_curriculum": OP2_SQL,
+        "op3_repeated_passages": OP3_SQL,
+        "op6_minhash_near_dedup": OP6_SQL,
+        "op7_repeated_bytes": OP7_SQL,
     }

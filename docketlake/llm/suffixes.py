@@ -128,7 +128,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, *, shard_bytes: int = SHARD_BYTE
     """Runs of repeated windows: doc, start, n (windows)."""
     most_blocks = most_blocks or max(2, shard_bytes // unit.length)
     found = recurring(docs, unit)
-    blocks = cut(distinct_blocks(found))
+    blocks = cut(distinct_blocks(found), free=True)
     mixed = blocks.filter("mixed")
     crowded = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > most_blocks).select("anchor")
     crowded = cut(crowded)
