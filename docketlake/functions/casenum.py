@@ -12,6 +12,11 @@ WHOLE = "(?iu)^" + PARTS + "$"
 INLINE = r"(?iu)\b" + PARTS + r"\b"
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def pad4(number: Column) -> Column:
     """At least four digits; longer numbers stay whole."""
     return F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))
@@ -23,7 +28,7 @@ def format_case(code: Column, number: Column, year: Column) -> Column:
 
 def parse_case(text: Column) -> Column:
     """The canonical case number of a text that is one, else null."""
-    t = F.trim(text)
+    t = strip(text)
     part = lambda i: F.regexp_extract(t, WHOLE, i)
     return F.when(t.rlike(WHOLE), format_case(F.upper(part(1)), part(2), F.try_to_number(part(3), F.lit("9999")).cast("int")))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .casenum import strip
+
 #: Names of issuers in the data and their form in results (fixed values).
 ISSUERS = {
     "epc": "EPC", "vobk": "RPBA", "rpba": "RPBA", "prba": "RPBA", "rbpa": "RPBA", "rpeba": "RPEBA",
@@ -19,7 +21,7 @@ SEPARATORS = (("_Art_", "Art."), ("_Rule_", "R."), ("_R_", "R."))
 
 def issuer(text: Column) -> Column:
     """An issuer's name without its era, by its usual abbreviation where it has one."""
-    plain = F.regexp_replace(F.ltrim(F.trim(text), F.lit("_")), "(?i)^blank", "")
+    plain = F.regexp_replace(F.ltrim(strip(text), F.lit("_")), "(?i)^blank", "")
     plain = F.btrim(F.regexp_replace(plain, YEAR, ""), F.lit(" _"))
     known = F.create_map(*[F.lit(x) for pair in ISSUERS.items() for x in pair])
     return F.coalesce(F.try_element_at(known, F.lower(plain)), plain)
@@ -28,12 +30,12 @@ def issuer(text: Column) -> Column:
 def _composed(kind: Column, number: Column, parts: Column, by: Column) -> Column:
     digits = F.ltrim(number, F.lit("0"))
     digits = F.when(digits.rlike("^[0-9]"), digits).otherwise(F.concat(F.lit("0"), digits))
-    return F.trim(F.concat(kind, F.lit(" "), digits, parts, F.lit(" "), by))
+    return strip(F.concat(kind, F.lit(" "), digits, parts, F.lit(" "), by))
 
 
 def normalise_raw(raw: Column) -> Column:
     """A code in canonical form; text that isn't one stays, trimmed; blank or null is empty."""
-    t = F.trim(raw)
+    t = strip(raw)
     out = t
     for mark, kind in reversed(SEPARATORS):
         around = "(?is)^(.+)" + mark + "(.*)$"  # greedy: the last separator, never at the start
@@ -45,7 +47,7 @@ def normalise_raw(raw: Column) -> Column:
 
 def normalise_typed(text: Column) -> Column:
     """A typed provision in canonical form, of the EPC if it names no issuer; other text stays, trimmed."""
-    t = F.trim(text)
+    t = strip(text)
     part = lambda i: F.regexp_extract(t, TYPED, i)
     kind = F.when(F.lower(part(1)).startswith("a"), F.lit("Art.")).otherwise(F.lit("R."))
     by = F.when(part(4) == "", F.lit("EPC")).otherwise(issuer(part(4)))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .casenum import strip
+
 #: Section titles of an assembled document, by text column (fixed values).
 SECTION_TITLES = {"headnote": "HEADNOTE", "catchwords": "CATCHWORDS", "facts": "FACTS AND SUBMISSIONS", "reasons": "REASONS", "orders": "ORDER"}
 PARTS = {"fact": "facts", "facts": "facts", "reason": "reasons", "reasons": "reasons", "order": "order", "orders": "order", "headnote": "headnote", "headnotes": "headnote", "catchword": "catchwords", "catchwords": "catchwords", "summary": "summary", "full": "full"}
@@ -66,7 +68,7 @@ def passage_score(text: Column, query: str) -> Column:
 
 def present(text: Column) -> Column:
     """The text itself, null where it is blank."""
-    return F.when(F.trim(text) != "", text)
+    return F.when(text.rlike(r"\S"), text)
 
 
 def essence(headword: Column, keywords: Column, catchwords: Column, headnote: Column) -> Column:
@@ -75,17 +77,17 @@ def essence(headword: Column, keywords: Column, catchwords: Column, headnote: Co
 
 def assembled(columns: dict[str, Column]) -> Column:
     """The sections that aren't blank, each under its title."""
-    return F.concat_ws("\n\n", *[F.when(F.trim(columns[c]) != "", F.concat(F.lit(title + "\n\n"), columns[c])) for c, title in SECTION_TITLES.items() if c in columns])
+    return F.concat_ws("\n\n", *[F.when(columns[c].rlike(r"\S"), F.concat(F.lit(title + "\n\n"), columns[c])) for c, title in SECTION_TITLES.items() if c in columns])
 
 
 def iso_date(digits: Column) -> Column:
     """yyyy-MM-dd of eight digits that are a date, else null."""
-    t = F.trim(digits)
+    t = strip(digits)
     return F.when(t.rlike("^[0-9]{8}$"), F.date_format(F.try_to_date(t, "yyyyMMdd"), "yyyy-MM-dd"))
 
 
 def ipc_code(section: Column, cls: Column, subclass: Column, main: Column, sub: Column) -> Column:
-    part = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    part = lambda c: F.coalesce(strip(c), F.lit(""))
     return F.when(part(section) == "", F.lit("")).otherwise(F.concat(part(section), part(cls), part(subclass), part(main), F.lit("/"), part(sub)))
 
 
@@ -94,7 +96,7 @@ def journal_reference(number: Column, year: Column) -> Column:
 
 
 def clean_title(title: Column) -> Column:
-    return F.regexp_replace(F.trim(title), r"\s+", " ")
+    return F.regexp_replace(strip(title), r"\s+", " ")
 
 
 def first_values(joined: Column, sep: str, n: int = 3) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingest, lookups, passages, text, vectors  # noqa: E402
+from . import ingest, lookups, passages, structure, text, vectors  # noqa: E402
 
-FAMILIES = [text, vectors, passages, lookups, ingest]
+FAMILIES = [text, vectors, passages, lookups, ingest, structure]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,7 +144,7 @@ def tables(docs: DataFrame) -> dict[str, DataFrame]:
     bodies = texts.select("id", "decision_id", "lang", "is_original", *BODIES)
     owned = rows.filter("is_first").join(ids.withColumnRenamed("id", "decision_id"), "ecli")
     raw = owned.select("decision_id", F.explode("legal_refs").alias("raw"))
-    provisions = raw.select("decision_id", legalref.normalise_raw(F.col("raw")).alias("provision"), F.trim("raw").alias("raw")).filter("provision <> ''")
+    provisions = raw.select("decision_id", legalref.normalise_raw(F.col("raw")).alias("provision"), casenum.strip(F.col("raw")).alias("raw")).filter("provision <> ''")
     cite = owned.select("decision_id", F.explode("cited").alias("c")).filter("c.code is not null and c.num is not null and c.year rlike '^ *[+-]?[0-9]{1,9} *$'")
     citations = cite.select(F.col("decision_id").alias("citing_id"), casenum.format_case(F.col("c.code"), F.col("c.num"), F.trim("c.year").cast("int")).alias("cited_case_number"))
     originals = texts.filter(original).select("decision_id", "lang", essence(F.col("headword"), F.col("keywords"), F.col("catchwords"), F.col("headnote")).alias("essence"), "reasons")

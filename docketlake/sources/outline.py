@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.casenum import strip
 from ..functions.chunker import chunks
 from ..functions.text import clean_title
 
@@ -102,7 +103,7 @@ def sections(pages: DataFrame, outline: DataFrame) -> DataFrame:
     stop = F.when(cut_here, F.col("next_offset")).otherwise(F.length("text"))
     piece = F.substr(F.col("text"), (start + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
     bodies = joined.groupBy("source", "place", "title", "breadcrumb", "page", "page_to").agg(F.array_sort(F.collect_list(F.struct("p", piece.alias("t")))).alias("parts"))
-    body = F.trim(F.array_join(F.filter(F.transform("parts", lambda x: F.trim(x["t"])), lambda x: x != ""), "\n"))
+    body = F.array_join(F.filter(F.transform("parts", lambda x: strip(x["t"])), lambda x: x != ""), "\n")
     made = bodies.withColumn("body", body).filter(F.length("body") >= LEAST_BODY)
     own = F.when(F.col("source") == "clb", clb_id(F.col("breadcrumb"))).otherwise(gl_id(F.col("breadcrumb")))
     made = made.withColumn("plain_id", F.coalesce(own, clean_title(F.col("title"))))
