@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlake.llm.bpe import encode_documents
-from docketlake.llm.common import cut, documents, name
+from docketlake.llm.common import cut, documents, name, prepare
 from docketlake.llm.minhash import near_duplicates
 from docketlake.llm.mixing import mix_curriculum, training_order
 from docketlake.llm.quality import quality_rules
@@ -38,6 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows of one id are one document; rows without id or without words
     stay.
     """
+    prepare(spark)
     found = near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
     gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     left = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
@@ -63,6 +64,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row of the stream with its ids: the columns of documents, ids (little-endian unsigned 32-bit) and n_tokens."""
+    prepare(spark)
     coded = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(*[name(c) for c in docs.columns], "ids", F.floor(F.octet_length("ids") / 4).alias("n_tokens"))
 

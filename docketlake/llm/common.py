@@ -112,6 +112,17 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(str(target))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows of an Arrow batch that holds whole texts; the setting's own default makes batches of tens of MB on both sides.
+BATCH_ROWS, BATCH_SETTING, BATCH_DEFAULT = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ready a session for whole texts in Python workers: the package is there, and batches are small unless set otherwise."""
     ship(spark)
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
