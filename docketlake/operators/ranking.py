@@ -85,3 +85,19 @@ def fallback(rows: DataFrame, key: str, language: str, lang: str = "lang", origi
     """One text row per key: of the language asked for, else the original, else any; the first by order."""
     preference = F.when(F.col(lang) == language, 0).when(F.col(original) == 1, 1).otherwise(2)
     return best_per_key(rows, key, preference, F.col(order))
+
+
+def numbered(rows: DataFrame, order: str, id: str) -> DataFrame:
+    """rows with ids from 1 on in the order of a column that tells them apart.
+
+    Ranges of the order are sorted in parallel; a row's id is its place in its
+    range after the ranges before, whose sizes are one row each.
+    """
+    place = F.monotonically_increasing_id()
+    sorted_ = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_place", place).persist()
+    part, bits = F.shiftright("_place", 33), (1 << 33) - 1
+    sizes = sorted_.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    out = sorted_.join(F.broadcast(starts), part == F.col("_part"))  # a row for each range
+    return out.withColumn(id, (F.col("_before") + F.col("_place").bitwiseAND(F.lit(bits)) + 1).cast("long")).drop("_place", "_part", "_before")

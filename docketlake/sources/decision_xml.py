@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import casenum, legalref
 from ..functions.chunker import chunks
 from ..functions.text import essence, iso_date
+from ..operators.ranking import numbered
 
 ROW_TAG = "ep-appeal-decision"
 #: Section elements by the column of their body (fixed values).
@@ -131,15 +132,15 @@ def tables(docs: DataFrame) -> dict[str, DataFrame]:
     )
     year = F.coalesce(F.when(F.trim("year").rlike("^[+-]?[0-9]{1,9}$"), F.trim("year").cast("int")), F.lit(0))
     first = rows.filter("is_first").join(merged, "ecli")
-    # ids follow the order of documents; a window over keys only, without their texts
-    ids = rows.filter("is_first").select("ecli", "ord").withColumn("id", F.row_number().over(Window.orderBy("ord")).cast("long")).drop("ord")
+    # ids follow the order of documents; only keys are sorted for that, not their texts
+    ids = numbered(rows.filter("is_first").select("ecli", "ord"), "ord", "id").drop("ord")
     decisions = first.join(ids, "ecli").select(
         "id", casenum.format_case(F.col("code"), F.col("appeal_num"), year).alias("case_number"), "code", "appeal_num", year.alias("year"), "ecli", "board", iso_date(F.col("date")).alias("decision_date"),
         F.col("procedure_lang").alias("language"), "distribution", "title", "application_number", "ipc", F.coalesce("new_headword", "headword").alias("headword"), F.coalesce("new_keywords", "keywords").alias("keywords"),
         "oj_reference", F.greatest(F.col("any_headnote").cast("int"), F.coalesce("new_headnote", F.lit(0))).alias("has_headnote"), "available_languages",
     )
     kept = rows.filter("first_text").join(ids.withColumnRenamed("id", "decision_id"), "ecli")
-    text_ids = kept.select("ecli", "lang", "ord").withColumn("id", F.row_number().over(Window.orderBy("ord")).cast("long")).drop("ord")
+    text_ids = numbered(kept.select("ecli", "lang", "ord"), "ord", "id").drop("ord")
     texts = kept.join(text_ids, ["ecli", "lang"])
     bodies = texts.select("id", "decision_id", "lang", "is_original", *BODIES)
     owned = rows.filter("is_first").join(ids.withColumnRenamed("id", "decision_id"), "ecli")
