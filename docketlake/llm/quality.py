@@ -2,18 +2,20 @@
 
 The counts of each text that passes the base rules become a transformed vector.
 For each language and source a minimum-covariance-determinant estimate of
-centre and spread is made: from medians and quartiles, concentration steps keep
-the closest three quarters and take their mean and covariance, then one
-reweighted step uses all within the 97.5 % ellipsoid. Texts whose squared
-Mahalanobis distance is above the chi-square quantile are rejected.
+centre and spread is made: from several fixed starts, concentration steps keep
+the closest half and take their mean and covariance until the determinant stops
+falling; of all starts the smallest determinant is kept, and one reweighted step
+uses all within the 97.5 % ellipsoid. Texts whose squared Mahalanobis distance
+is above the chi-square quantile are rejected. Half is the most that an estimate
+can withstand: a group with more junk than sound texts is described by its junk.
 
 Groups of fewer than ``least_rows`` texts share an estimate for their language,
 and if that is still too few one for all such texts; if even that is too few,
 nothing is rejected.
 
-Scale: a step is one aggregate of counts, sums and products per group and
+Scale: a step is one aggregate of counts, sums and products per group, start and
 distance bin, summed before the shuffle, so a group of any size is a few hundred
-rows. Vectors are whole thousandths, so sums don't depend on their order. All
+rows for each start. Vectors are whole thousandths, so sums don't depend on their order. All
 expressions are native; the text is read in one pass for the vectors and, only
 if columns beyond the vectors are kept, in a second one for the verdict.
 
@@ -25,6 +27,7 @@ they occur and get equal verdicts.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,15 +36,18 @@ from .common import SPACES, cut, drop_cut, name, packed, words
 
 #: Chi-square quantiles for five variables: 97.5 % and 99.999 % (fixed values).
 WITHIN, BEYOND = 12.833, 30.856
-#: Factors that make the covariance of the closest 75 % and 97.5 % consistent (fixed values).
-CLOSEST_FACTOR, WITHIN_FACTOR = 1.412, 1.055
+#: Factors that make the covariance of the closest 50 %, 75 % and 97.5 % consistent (fixed values).
+HALF_FACTOR, CLOSEST_FACTOR, WITHIN_FACTOR = 1.912, 1.412, 1.055
 #: Standard deviations added to each variable's own, so that constant variables are allowed.
 FLOORS = (0.3, 0.1, 0.25, 0.5, 0.1)
 UNIT = 1000
 #: Where a variable is cut off (far outside of any ellipsoid), so that sums of products stay in range.
 FURTHEST = 100.0
 VARIABLES = len(FLOORS)
-CLOSEST = 0.75
+#: Shares that a step keeps: of the estimate, and of the steps that give one of its starts.
+HALF, CLOSEST = 0.5, 0.75
+#: A determinant that falls by less (in its logarithm) has stopped falling.
+FALLS = 1e-6
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -108,32 +114,61 @@ def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source")
 
 
-def _start(vectors: DataFrame) -> DataFrame:
-    """Model from medians and quartiles, read off a histogram in hundredths."""
+def _quantiles(vectors: DataFrame, at: Sequence[float]) -> DataFrame:
+    """Rows (group, i, q): the quantiles of each variable, read off a histogram in hundredths."""
     long = vectors.select("group", F.posexplode(F.array(*[F.floor(F.col(f"v{i}") / 10) for i in range(VARIABLES)])).alias("i", "bin"))
     bins = long.groupBy("group", "i", "bin").agg(F.count(F.lit(1)).alias("k"))
     order = Window.partitionBy("group", "i").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = bins.withColumn("upto", F.sum("k").over(order)).withColumn("all", F.sum("k").over(Window.partitionBy("group", "i")))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) / 100
-    quartiles = bins.groupBy("group", "i").agg(at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("sd"))
+    return bins.groupBy("group", "i").agg(F.array(*[F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) / 100 for q in at]).alias("q"))
+
+
+def _apart(scales: DataFrame) -> DataFrame:
+    """Model of rows (group, i, mid, sd) as if the variables were independent."""
     floor = F.element_at(F.array(*[F.lit(x) for x in FLOORS]), F.col("i") + 1)
-    return quartiles.groupBy("group").agg(
+    return scales.groupBy("group").agg(
         *[F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"m{i}") for i in range(VARIABLES)],
         *[(F.max(F.when(F.col("i") == i, 1 / (F.col("sd") * F.col("sd") + floor * floor))) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in _cells()],
     )
 
 
+def _start(vectors: DataFrame) -> DataFrame:
+    """Model from medians and quartiles."""
+    q = F.col("q")
+    return _apart(_quantiles(vectors, (0.25, 0.5, 0.75)).select("group", "i", q[1].alias("mid"), ((q[2] - q[0]) / 1.349).alias("sd")))
+
+
+def _shortest(vectors: DataFrame, steps: int = 64) -> DataFrame:
+    """Model from the shortest interval of each variable that holds half of the rows."""
+    halves = F.transform(F.sequence(F.lit(0), F.lit(steps // 2)), lambda j: F.struct((F.get("q", j + steps // 2) - F.get("q", j)).alias("width"), F.get("q", j).alias("lo")))
+    best = _quantiles(vectors, [j / steps for j in range(steps + 1)]).select("group", "i", F.array_min(halves).alias("h"))
+    return _apart(best.select("group", "i", (F.col("h.lo") + F.col("h.width") / 2).alias("mid"), (F.col("h.width") / 1.349).alias("sd")))
+
+
+def _shaped(vectors: DataFrame, model: DataFrame, bounded: Callable[[list[Column]], list[Column]]) -> DataFrame:
+    """Model with the centre and scales of another one, and the covariance of the scaled variables once bounded."""
+    scaled = [(F.col(f"v{i}") / UNIT - F.col(f"m{i}")) * F.sqrt(f"p{i}{i}") for i in range(VARIABLES)]
+    rows = vectors.join(model, "group").select("group", *[F.round(w * UNIT).cast("long").alias(f"w{i}") for i, w in enumerate(bounded(scaled))])
+    products = [F.expr(f"sum(w{i} * w{j}) as q{i}{j}") for i, j in _cells()]
+    totals = rows.groupBy("group").agg(*products).join(model, "group")
+    trace = " + ".join(["1D", *[f"q{i}{i}" for i in range(VARIABLES)]])
+    share = lambda i, j: f"{VARIABLES} * q{min(i, j)}{max(i, j)} / ({trace}) / sqrt(p{i}{i} * p{j}{j}) + {FLOORS[i] ** 2 if i == j else 0.0}D"
+    return _modelled(totals, ["group"], [f"m{i}" for i in range(VARIABLES)], _matrix(share))
+
+
+def _signs(scaled: list[Column]) -> list[Column]:
+    norm = F.sqrt(sum((z * z for z in scaled), F.lit(1e-6)))
+    return [z / norm for z in scaled]
+
+
 def _cells() -> list[tuple[int, int]]:
     return [(i, j) for i in range(VARIABLES) for j in range(i, VARIABLES)]
 
 
 def distance() -> Column:
     """Squared Mahalanobis distance of v0.. to the model's centre m0.. by its inverse covariance p00.."""
-    x = [F.col(f"v{i}") / UNIT - F.col(f"m{i}") for i in range(VARIABLES)]
-    total = F.lit(0.0)
-    for i, j in _cells():
-        total += F.col(f"p{i}{j}") * x[i] * x[j] * (1 if i == j else 2)
-    return total
+    x = [f"(v{i} / {UNIT} - m{i})" for i in range(VARIABLES)]
+    return F.expr(" + ".join(["0D", *[f"p{i}{j} * {x[i]} * {x[j]} * {1 if i == j else 2}" for i, j in _cells()]]))
 
 
 def _inverse(rows: Column) -> Column:
@@ -150,31 +185,55 @@ def _inverse(rows: Column) -> Column:
     return F.transform(F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), wide, step), lambda r: F.slice(r, n + 1, n))
 
 
-def _refit(vectors: DataFrame, model: DataFrame, within: float | None, factor: float) -> DataFrame:
-    """Centre and inverse covariance of the rows within a distance, or of the closest CLOSEST of each group."""
+def _log_determinant(rows: Column) -> Column:
+    """Logarithm of the determinant of a positive definite matrix (array of rows), from its pivots."""
+
+    def step(s: Column, k: Column) -> Column:
+        m = s["m"]
+        pivot = F.get(F.get(m, k), k)
+        clear = lambda r, i: F.when(i <= k, r).otherwise(F.zip_with(r, F.get(m, k), lambda a, b: a - F.get(r, k) / pivot * b))
+        return F.struct(F.transform(m, clear).alias("m"), (s["d"] + F.log(pivot)).alias("d"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(VARIABLES - 1)), F.struct(rows.alias("m"), F.lit(0.0).alias("d")), step)["d"]
+
+
+def _matrix(cell: Callable[[int, int], str]) -> Column:
+    return F.expr("array(" + ", ".join("array(" + ", ".join(cell(i, j) for j in range(VARIABLES)) + ")" for i in range(VARIABLES)) + ")")
+
+
+def _modelled(rows: DataFrame, keys: list[str], mean: list[str], matrix: Column, more: Sequence[Column] = ()) -> DataFrame:
+    return rows.select(*keys, *[F.expr(f"{m} as m{i}") for i, m in enumerate(mean)], _inverse(matrix).alias("p"), *more).selectExpr(
+        *keys, *[f"m{i}" for i in range(VARIABLES)], *[f"p[{i}][{j}] as p{i}{j}" for i, j in _cells()], *(["det"] if more else [])
+    )
+
+
+def _refit(vectors: DataFrame, model: DataFrame, within: float | None, factor: float, share: float = CLOSEST, keys: Sequence[str] = ("group",)) -> DataFrame:
+    """Centre and inverse covariance of the rows within a distance, or of the closest share of each group.
+
+    keys: what tells models apart; with more than the group, det is the logarithm of the covariance's determinant.
+    """
+    keys = list(keys)
     d = F.least(F.greatest(distance(), F.lit(1e-6)), F.lit(1e12))
     close = F.lit(0) if within is not None else F.floor(F.log2(d) * 16).cast("int")
     rows = vectors.join(model, "group").withColumn("d", d).withColumn("bin", close)
     if within is not None:
         rows = rows.filter(F.col("d") <= within)
-    sums = [F.sum(f"v{i}").alias(f"s{i}") for i in range(VARIABLES)]
-    products = [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"q{i}{j}") for i, j in _cells()]
-    bins = rows.groupBy("group", "bin").agg(F.count(F.lit(1)).alias("k"), *sums, *products)
+    sums = [F.expr(f"sum(v{i}) as s{i}") for i in range(VARIABLES)]
+    products = [F.expr(f"sum(v{i} * v{j}) as q{i}{j}") for i, j in _cells()]
+    bins = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("k"), *sums, *products)
     if within is None:
-        order = Window.partitionBy("group").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        bins = bins.withColumn("before", F.coalesce(F.sum("k").over(order), F.lit(0))).withColumn("all", F.sum("k").over(Window.partitionBy("group")))
-        bins = bins.filter(F.col("before") < CLOSEST * F.col("all"))
-    totals = bins.groupBy("group").agg(F.sum("k").alias("k"), *[F.sum(c).alias(c) for c in [*[f"s{i}" for i in range(VARIABLES)], *[f"q{i}{j}" for i, j in _cells()]]])
-    mean = [F.col(f"s{i}") / F.col("k") / UNIT for i in range(VARIABLES)]
-    cell = lambda i, j: (F.col(f"q{min(i, j)}{max(i, j)}") / F.col("k") / UNIT**2 - mean[i] * mean[j]) * factor + (FLOORS[i] ** 2 if i == j else 0.0)
-    matrix = F.array(*[F.array(*[cell(i, j) for j in range(VARIABLES)]) for i in range(VARIABLES)])
-    return totals.select("group", *[m.alias(f"m{i}") for i, m in enumerate(mean)], _inverse(matrix).alias("p")).select(
-        "group", *[f"m{i}" for i in range(VARIABLES)], *[F.col("p")[i][j].alias(f"p{i}{j}") for i, j in _cells()]
-    )
+        order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("before", F.coalesce(F.sum("k").over(order), F.lit(0))).withColumn("all", F.sum("k").over(Window.partitionBy(*keys)))
+        bins = bins.filter(F.col("before") < share * F.col("all"))
+    totals = bins.groupBy(*keys).agg(F.sum("k").alias("k"), *[F.expr(f"sum({c}) as {c}") for c in [*[f"s{i}" for i in range(VARIABLES)], *[f"q{i}{j}" for i, j in _cells()]]])
+    mean = [f"(s{i} / k / {UNIT})" for i in range(VARIABLES)]
+    cell = lambda i, j: f"(q{min(i, j)}{max(i, j)} / k / {UNIT**2} - {mean[i]} * {mean[j]}) * {factor}D + {FLOORS[i] ** 2 if i == j else 0.0}D"
+    matrix = _matrix(cell)
+    return _modelled(totals, keys, mean, matrix, [_log_determinant(matrix).alias("det")] if len(keys) > 1 else [])
 
 
 def fit(vectors: DataFrame, steps: int = 4) -> DataFrame:
-    """The estimate of each group, from rows (group, v0..)."""
+    """One of the starts: a fixed number of steps with the closest CLOSEST, from rows (group, v0..)."""
     vectors = vectors.filter("group is not null")
     model = cut(_start(vectors))
     for within, factor in [(None, CLOSEST_FACTOR)] * steps + [(WITHIN, WITHIN_FACTOR)]:
@@ -183,6 +242,35 @@ def fit(vectors: DataFrame, steps: int = 4) -> DataFrame:
     return model
 
 
+def robust_fit(vectors: DataFrame) -> DataFrame:
+    """The estimate of each group, from rows (group, v0..)."""
+    vectors = vectors.filter("group is not null")
+    middle, short, wide = cut(_start(vectors)), cut(_shortest(vectors)), fit(vectors)
+    starts = [middle, short, _shaped(vectors, middle, lambda z: [F.tanh(x) for x in z]), _shaped(vectors, short, _signs), wide]
+    starts = [m.select("group", F.lit(i).alias("start"), *[c for c in m.columns if c != "group"], F.lit(float("inf")).alias("det")) for i, m in enumerate(starts)]
+    models = cut(reduce(DataFrame.unionByName, starts))
+    done = [middle, short, wide, models]
+    for old in done[:3]:
+        drop_cut(old)
+    made = []
+    while not models.isEmpty():  # a determinant has a least value, that of FLOORS, so its falls end
+        now = _refit(vectors, models.drop("det"), None, HALF_FACTOR, HALF, ("group", "start"))
+        now = cut(now.join(models.select("group", "start", F.col("det").alias("last")), ["group", "start"]))
+        made.append(now)
+        models = now.filter(F.col("det") < F.col("last") - FALLS).drop("last")
+    if not made:
+        return models.drop("start", "det")
+    columns = [c for c in models.columns if c not in ("group", "start", "det")]
+    every = reduce(DataFrame.unionByName, [m.drop("last") for m in made])
+    best = every.groupBy("group").agg(F.min(F.struct("det", "start", *columns)).alias("best")).select("group", *[F.col("best")[c].alias(c) for c in columns])
+    best = cut(best)
+    for old in [done[3], *made]:
+        drop_cut(old)
+    model = cut(_refit(vectors, best, WITHIN, WITHIN_FACTOR))
+    drop_cut(best)
+    return model
+
+
 def quality_rules(
     docs: DataFrame, *, least_rows: int = 50, least_words: int = 10, most_repeated: int = 20, text: str = "text", lang: str = "lang", source: str = "source", keep: Sequence[str] | None = None
 ) -> DataFrame:
@@ -202,7 +290,7 @@ def quality_rules(
         vectors = cut(scored.select("lang", "source", "base_failed", *[f"v{i}" for i in range(VARIABLES)]))
     sound = vectors.filter(~F.col("base_failed")).select("lang", "source", *[f"v{i}" for i in range(VARIABLES)])
     groups = _groups(sound, least_rows)
-    model = fit(cut(_grouped(sound, groups)))
+    model = robust_fit(cut(_grouped(sound, groups)))
     out = _grouped(scored, groups).join(model, "group", "left").withColumn("distance", distance())
     good = ~F.col("base_failed") & F.coalesce(F.col("distance") <= BEYOND, F.lit(True))
     return out.select("row", "counts", "base_failed", "distance", good.alias("kept"))

@@ -133,6 +133,30 @@ def test_quality_model_by_numpy(spark):
     assert np.allclose(got, distance(), rtol=1e-6, atol=1e-6)
 
 
+def test_quality_with_four_tenths_of_junk(spark):
+    """Junk of 40 % in a group is rejected, and next to nothing else."""
+    import numpy as np
+
+    from docketlake.llm import quality as q
+
+    r = np.random.default_rng(8)
+    spread = np.array([0.6, 0.3, 0.3, 0.4, 0.1])
+    rows = []
+    for g, shift in enumerate([(6, 0, 0, 0, 0), (0, 2.5, 0, 0, 0), (0, 0, 4, 0, 0), (0, 0, 0, 6, 0), (4, 3, 0, 0, 0), (0, 0, 0, 4, 3)]):
+        x = r.normal([5, 5, 0.2, 0.1, 0.05], spread, (1000, 5)) + np.outer(np.arange(1000) < 400, shift)
+        rows += [(f"g{g}", int(i < 400), *map(int, v)) for i, v in enumerate(np.round(x * 1000).astype(int))]
+    df = spark.createDataFrame(rows, "group string, junk int, v0 long, v1 long, v2 long, v3 long, v4 long")
+    out = df.join(q.robust_fit(df.drop("junk")), "group").groupBy("group").agg(
+        F.avg(F.when(F.col("junk") == 1, (q.distance() > q.BEYOND).cast("int"))).alias("found"), F.avg(F.when(F.col("junk") == 0, (q.distance() > q.BEYOND).cast("int"))).alias("lost")
+    )
+    for x in out.collect():
+        assert x.lost <= 0.002 and x.found >= 0.99, x
+    docs = [(i, prose(100 + i % 50, i), "en", "s") for i in range(180)]
+    docs += [(1000 + i, " ".join(w + "###$$$" for w in prose(100 + i % 50, i).split()), "en", "s") for i in range(120)]
+    kept = quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), keep=["doc_id"]).filter("kept").select("row.doc_id").collect()
+    assert {x.doc_id for x in kept} == set(range(180))
+
+
 def test_compression_scores(spark):
     good = [(i, prose(80, i), 1) for i in range(150)]
     bad = [(1000 + i, " ".join(f"{w}!!" for w in prose(80, i).upper().split()), 0) for i in range(150)]
