@@ -9,9 +9,9 @@ uses all within the 97.5 % ellipsoid. Texts whose squared Mahalanobis distance
 is above the chi-square quantile are rejected. Half is the most that an estimate
 can withstand: a group with more junk than sound texts is described by its junk.
 
-Groups of fewer than ``least_rows`` texts share an estimate for their language,
-and if that is still too few one for all such texts; if even that is too few,
-nothing is rejected.
+A group of fewer than ``least_rows`` sound texts is held against the estimate of
+all sound texts of its language, and if these are too few of all sound texts; if
+even these are too few, nothing is rejected.
 
 Scale: a step is one aggregate of counts, sums and products per group, start and
 distance bin, summed before the shuffle, so a group of any size is a few hundred
@@ -96,20 +96,25 @@ def _vector(c: Column) -> list[Column]:
 
 
 def _groups(vectors: DataFrame, least_rows: int) -> DataFrame:
-    """lang, source and the name of the group whose estimate holds for them (null: none)."""
+    """lang, source, and group: the group whose estimate holds for them (null: none), of their source, else their language, else all."""
     counts = cut(vectors.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")))
-    small = F.when(F.col("n") < least_rows, F.col("n")).otherwise(0)
-    table = counts.withColumn("n_lang", F.sum(small).over(Window.partitionBy("lang")))
-    left = F.when((F.col("n") < least_rows) & (F.col("n_lang") < least_rows), F.col("n"))
-    table = table.withColumn("n_rest", F.sum(left).over(Window.partitionBy(F.lit(0))))  # a row for each language and source
+    table = counts.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang")))  # a row for each language and source
+    table = table.withColumn("n_all", F.sum("n").over(Window.partitionBy(F.lit(0))))
     group = (
         F.when(F.col("n") >= least_rows, F.concat(F.lit("s"), F.to_json(F.struct("lang", "source"))))
         .when(F.col("n_lang") >= least_rows, F.concat(F.lit("l"), F.to_json(F.struct("lang"))))
-        .when(F.col("n_rest") >= least_rows, F.lit("all"))
+        .when(F.col("n_all") >= least_rows, F.lit("all"))
     )
     return cut(table.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), group.alias("group")))
 
 
+def _members(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (group, v0..) for every estimate: a row counts for its source, and for its language and for all where some small group needs these."""
+    wanted = groups.select(F.col("group").alias("wanted")).distinct()
+    pairs = groups.select("g_lang", "g_source", F.explode(F.array(F.col("group"), F.concat(F.lit("l"), F.to_json(F.struct(F.col("g_lang").alias("lang")))), F.lit("all"))).alias("group")).distinct()
+    return _grouped(rows, cut(pairs.join(wanted, F.col("group") == F.col("wanted"), "left_semi"))).drop("lang", "source")
+
+
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source")
 
@@ -290,7 +295,7 @@ def quality_rules(
         vectors = cut(scored.select("lang", "source", "base_failed", *[f"v{i}" for i in range(VARIABLES)]))
     sound = vectors.filter(~F.col("base_failed")).select("lang", "source", *[f"v{i}" for i in range(VARIABLES)])
     groups = _groups(sound, least_rows)
-    model = robust_fit(cut(_grouped(sound, groups)))
+    model = robust_fit(cut(_members(sound, groups)))
     out = _grouped(scored, groups).join(model, "group", "left").withColumn("distance", distance())
     good = ~F.col("base_failed") & F.coalesce(F.col("distance") <= BEYOND, F.lit(True))
     return out.select("row", "counts", "base_failed", "distance", good.alias("kept"))

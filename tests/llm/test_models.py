@@ -157,6 +157,17 @@ def test_quality_with_four_tenths_of_junk(spark):
     assert {x.doc_id for x in kept} == set(range(180))
 
 
+def test_quality_of_small_groups(spark):
+    """A source of few rows is held against its language, one of a rare language against all rows."""
+    rows = [(i, prose(100 + i % 50, i), "en", "big") for i in range(100)]
+    for k, (lang, source) in enumerate([("en", "rare"), ("fi", None)]):
+        rows += [(1000 * (k + 1) + i, prose(110 + i, i), lang, source) for i in range(5)]
+        rows += [(1000 * (k + 1) + 500 + i, " ".join(w + "###$$$" for w in prose(110 + i, i).split()), lang, source) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {x.doc_id for x in quality_rules(docs, keep=["doc_id"]).filter("kept").select("row.doc_id").collect()}
+    assert kept == {r[0] for r in rows if r[0] % 1000 < 500}
+
+
 def test_compression_scores(spark):
     good = [(i, prose(80, i), 1) for i in range(150)]
     bad = [(1000 + i, " ".join(f"{w}!!" for w in prose(80, i).upper().split()), 0) for i in range(150)]
