@@ -12,7 +12,8 @@ Labelled findings are a parameter; without them a fixed, generated set is used
 paths, numbers, plain and invented words).
 
 Defined results: null or empty text has no findings and stays as it is; texts
-are scanned whole; repeated rows have equal findings; findings never overlap.
+are scanned whole; an assigned value is all up to a quote or white space, of any
+length; repeated rows have equal findings; findings never overlap.
 """
 
 from __future__ import annotations
@@ -26,18 +27,24 @@ from pyspark.sql import functions as F
 from .common import name, packed
 from .quality import let
 
+#: The signs after a name that is assigned to, and the whole unbroken value, up to a quote or white space (fixed values).
+SIGNS = r"""["']?[ \t]{0,3}[:=]{1,2}[ \t]{0,3}["']?"""
+VALUE = r"""[^\s\p{Z}\x85"'`]{8,}+"""
 #: What stands before an assigned value (fixed value).
-ASSIGNED = r"""\b(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)["']?[ \t]{0,3}[:=]{1,2}[ \t]{0,3}["']?"""
-#: Key formats by kind (fixed values: published formats of access keys).
+NAMES = r"\b(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)"
+ASSIGNED = NAMES + SIGNS
+#: The part of a value that is judged beside the whole of it, so that what follows a secret does not hide it.
+CORE = "^[A-Za-z0-9+/_.~!@-]{8,}+={0,2}"
+#: Key formats by kind (fixed values: published formats of access keys); no length has an upper bound.
 FORMATS = {
     "access_key_id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "code_host_token": r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b",
-    "payment_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,99}\b",
-    "chat_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,99}",
-    "web_token": r"\beyJ[A-Za-z0-9_-]{10,999}\.[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,999}",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,10000}(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
-    "assignment": ASSIGNED + r"[A-Za-z0-9+/_.~!@-]{8,200}={0,2}",
-    "long_string": r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{32,200}+(?![A-Za-z0-9+/_-])",
+    "code_host_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}+\b",
+    "payment_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}+\b",
+    "chat_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}+",
+    "web_token": r"\beyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+",
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
+    "assignment": ASSIGNED + VALUE,
+    "long_string": r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{32,}+",
 }
 PATTERN = "|".join(FORMATS.values())
 #: Words that placeholders and names are made of (fixed values).
@@ -61,10 +68,16 @@ def kind_of(match: Column) -> Column:
 
 def value_of(match: Column) -> Column:
     """The secret part of a match: what is assigned, else all of it."""
-    assigned = F.regexp_extract(match, "^" + ASSIGNED + "(.+)$", 1)
+    assigned = F.regexp_extract(match, "(?s)^" + ASSIGNED + "(.+)$", 1)
     return F.when(assigned != "", assigned).otherwise(match)
 
 
+def judgeable(kind: Column, value: Column) -> Column:
+    """What is scored of a value, as an array: all of it, and what an assigned one begins with."""
+    core = F.regexp_extract(value, CORE, 0)
+    return F.when((kind == "assignment") & (core != "") & (core != value), F.array(value, core)).otherwise(F.array(value))
+
+
 def features(kind: Column, value: Column, before: Column, after: Column) -> Column:
     """The forest's variables, as an array."""
     n = F.greatest(F.length(value), F.lit(1))
@@ -190,7 +203,7 @@ def scan_secrets(
             return let(
                 F.struct(kind.alias("kind"), value.alias("value")),
                 lambda k: let(
-                    let(features(k["kind"], k["value"], c["before"], c["after"]), score),
+                    F.array_max(F.transform(judgeable(k["kind"], k["value"]), lambda v: let(features(k["kind"], v, c["before"], c["after"]), score))),
                     lambda s: F.struct(k["kind"].alias("kind"), c["match"].alias("match"), k["value"].alias("value"), c["gap"].alias("gap"), s.alias("score"), (s >= threshold).alias("secret")),
                 ),
             )
