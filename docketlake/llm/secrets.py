@@ -30,8 +30,8 @@ from .quality import let
 #: The signs after a name that is assigned to, and the whole unbroken value, up to a quote or white space (fixed values).
 SIGNS = r"""["']?[ \t]{0,3}[:=]{1,2}[ \t]{0,3}["']?"""
 VALUE = r"""[^\s\p{Z}\x85"'`]{8,}+"""
-#: What stands before an assigned value (fixed value).
-NAMES = r"\b(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)"
+#: What stands before an assigned value (fixed value); the name may have any prefix that ends in a sign or before a capital letter.
+NAMES = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)"
 ASSIGNED = NAMES + SIGNS
 #: The part of a value that is judged beside the whole of it, so that what follows a secret does not hide it.
 CORE = "^[A-Za-z0-9+/_.~!@-]{8,}+={0,2}"
@@ -44,7 +44,7 @@ FORMATS = {
     "web_token": r"\beyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+",
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
     "assignment": ASSIGNED + VALUE,
-    "long_string": r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{32,}+",
+    "long_string": r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{32,}+(?!(?<=" + NAMES + ")" + SIGNS + VALUE + ")",
 }
 PATTERN = "|".join(FORMATS.values())
 #: Words that placeholders and names are made of (fixed values).
@@ -53,7 +53,7 @@ DICTIONARY = (
     "index insert item key line link local login main message method model module my name none null number object page param pass password path placeholder private public random request reset sample "
     "secret server service session string table temp test text the this time title token type update upper url user valid value version view web word your"
 ).split()
-POSITIVE = r"\b(?:pass\w*|pwd|secrets?|tokens?|api|access|auth\w*|credentials?|login|private|keys?)\b"
+POSITIVE = r"(?<![a-z0-9])(?:pass\w*|pwd|secrets?|tokens?|api|access|auth\w*|credentials?|login|private|keys?)\b"
 NEGATIVE = r"\b(?:commit|sha\d*|hash|checksum|md5|digest|revision|uuid|integrity|example|sample|placeholder|build|etag|id)\b"
 N_FEATURES = 12
 
@@ -144,7 +144,8 @@ def labelled_findings(spark: SparkSession, n: int = 16000) -> DataFrame:
     before = F.when(hashes & (F.col("label") == 0), pick("b0", "see commit ", "sha256: ", "checksum ", "revision ", "uuid ", "built from hash ", "etag ")).otherwise(
         pick("b", "", "the ", "and then ", "in the file ", "de la ", "set ", "use ", "\"", "{", "with ")
     )
-    return rows.select("match", before.alias("before"), pick("c", "", " and", "\" the", ",", ";", "\n", " of").alias("after"), "label")
+    prefix = F.when(F.col("match").rlike("^" + ASSIGNED), pick("prefix", "", "", "DB_", "client_", "GITHUB_", "MY_APP_", "x-")).otherwise("")
+    return rows.select("match", F.concat(before, prefix).alias("before"), pick("c", "", " and", "\" the", ",", ";", "\n", " of").alias("after"), "label")
 
 
 def _tree(lines: list[str], f: Column) -> Column:

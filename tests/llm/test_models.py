@@ -216,3 +216,17 @@ def test_secrets_are_whole(spark):
         assert [(f.start, f.value, f.secret) for f in rows[i].findings] == [(len(before), value, True)], (i, rows[i].findings)
         assert rows[i].clean == before + "[secret removed]" + after
     assert [f.value for f in rows[7].findings] == ["ab3" * 100]
+
+
+def test_secrets_of_prefixed_names(spark):
+    long_name = "PRODUCTION_DATABASE_ADMINISTRATOR_PASSWORD="
+    texts = {
+        1: ("DB_PASSWORD=", "Tr0ub4dor3xyz", " end"), 2: ("client_secret: ", "9f8a7b6c5d4e3f2a1b0c", "\n"), 3: ("GITHUB_TOKEN = '", "abcdef0123456789abcd", "'"), 4: (long_name, "b7db7aa4a5fcc78305", " end"),
+        5: ("export dbPassword=", "b7db7aa4a5fcc78305", "\n"), 6: ("x-auth-token: ", "3f786850e387550fdab836ed7e6dc881de23001b", "\n"),
+    }
+    clean = {11: "DB_PASSWORD=changeme", 12: "compass: northwards", 13: "client_secret: your_password_here"}
+    rows = {x.row.doc_id: x for x in scan_secrets(plain(spark, [*((i, "".join(t)) for i, t in texts.items()), *clean.items()])).collect()}
+    for i, (before, value, after) in texts.items():
+        assert [(f.kind, f.start, f.value, f.secret) for f in rows[i].findings] == [("assignment", len(before), value, True)], (i, rows[i].findings)
+        assert rows[i].clean == before + "[secret removed]" + after
+    assert all(rows[i].clean == t for i, t in clean.items())
