@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters of the case kinds (fixed values).
+#: Letters of the case kinds, and the forms of a number (fixed values).
 CODES = "GTJDWR"
 PARTS = r"([" + CODES + r"])\s*(\d{1,4})\s*/\s*(\d{2,4})"
 WHOLE = "(?iu)^" + PARTS + "$"
 INLINE = r"(?iu)\b" + PARTS + r"\b"
+#: Unicode's white space (fixed values).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def pad4(number: Column) -> Column:

@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import legalref
-from .operators.postings import postings, row_stats
+from .operators.postings import digest, postings, row_stats
+from .shared import cut, drop_cut
 from .sources import decision_xml, outline
 from .store import Store, repaired
 
@@ -18,7 +19,9 @@ STAGES = ("essence", "book", "reasons")
 #: Columns of the two full-text indexes (fixed values).
 DECISION_INDEX = ("case_number", "headword", "keywords", "catchwords", "headnote", "title", "facts", "reasons", "orders")
 SECTION_INDEX = ("section_id", "title", "breadcrumb", "body")
-INDEX_FORMAT = "1"
+INDEX_FORMAT = "2"
+#: Columns by which look-ups read the tables; their files are sorted by them.
+CLUSTERED = {"decisions": ["id"], "decision_texts": ["id"], "decision_provisions": ["provision"], "decision_citations": ["cited_case_number"]}
 
 
 def _now() -> str:
@@ -31,24 +34,53 @@ def index_rows(store: Store) -> DataFrame:
     return store.read("decision_texts").join(d, "decision_id")
 
 
+def update_index(store: Store, name: str, rows: DataFrame, columns: tuple[str, ...]) -> None:
+    """Keep a text index (name_postings, name_row_stats) in step with its rows.
+
+    Rows are told apart by id and a digest of their columns. If rows were only
+    added, the new ones' postings are appended; if some changed or went, theirs
+    are dropped without indexing the others again.
+    """
+    stats, index = f"{name}_row_stats", f"{name}_postings"
+    if not store.exists(stats) or not store.exists(index):
+        store.replace(index, postings(rows, "id", columns), ["term", "row_id"])
+        store.replace(stats, row_stats(rows, "id", columns))
+        return
+    held = store.read(stats)
+    now = rows.select(F.col("id").alias("row_id"), digest(columns).alias("digest"))
+    fresh = cut(now.join(held, ["row_id", "digest"], "left_anti").select("row_id"))
+    gone = cut(held.join(now, ["row_id", "digest"], "left_anti").select("row_id"))
+    changed = rows.join(fresh.select(F.col("row_id").alias("id")), "id", "left_semi")
+    if gone.isEmpty():
+        store.append(index, postings(changed, "id", columns), ["term", "row_id"])
+        store.append(stats, row_stats(changed, "id", columns))
+    else:
+        store.replace(index, store.read(index).join(gone, "row_id", "left_anti").unionByName(postings(changed, "id", columns)), ["term", "row_id"])
+        store.replace(stats, held.join(gone, "row_id", "left_anti").unionByName(row_stats(changed, "id", columns)))
+    drop_cut(fresh, gone)
+
+
 def rebuild_text_index(store: Store) -> None:
+    """Index all text rows anew."""
     rows = index_rows(store)
-    store.replace("decision_postings", postings(rows, "id", DECISION_INDEX), ["term"])
+    store.replace("decision_postings", postings(rows, "id", DECISION_INDEX), ["term", "row_id"])
     store.replace("decision_row_stats", row_stats(rows, "id", DECISION_INDEX))
     store.set_meta(index_format=INDEX_FORMAT)
 
 
-def rebuild_section_index(store: Store) -> None:
-    rows = store.read("book_sections")
-    store.replace("section_postings", postings(rows, "id", SECTION_INDEX), ["term"])
-    store.replace("section_row_stats", row_stats(rows, "id", SECTION_INDEX))
-
-
 def index(spark: SparkSession, xml: str, store_path: str, incremental: bool = False) -> Store:
-    """Ingest decision XML; incremental keeps what is there and adds new keys and languages."""
+    """Ingest decision XML; incremental keeps what is there and adds new keys and languages.
+
+    The files are parsed once; what was there before keeps its ids, since
+    documents are ordered by run first.
+    """
     store = Store(spark, store_path)
-    docs = decision_xml.scan(spark, xml)
-    if incremental and store.exists("scanned"):
+    seen = Observation()
+    more = incremental and store.exists("scanned")
+    run = store.read("scanned").agg(F.coalesce(F.max("ord.run"), F.lit(0))).first()[0] + 1 if more else 0
+    docs = decision_xml.scan(spark, xml).observe(seen, *decision_xml.facts())
+    docs = docs.withColumn("ord", F.struct(F.lit(run).alias("run"), "ord.*"))
+    if more:
         store.append_new("scanned", docs, ["ecli", "lang"])
     else:
         store.replace("scanned", docs)
@@ -61,10 +93,14 @@ def index(spark: SparkSession, xml: str, store_path: str, incremental: bool = Fa
                 rows = rows.unionByName(held.filter("kind = 'book'"))
             store.replace("chunks", rows.repartition("kind"))
         else:
-            store.replace(name, rows)
-    rebuild_text_index(store)
-    counts = {"decision_count": store.read("decisions").count(), "chunk_count": store.read("chunks").count(), "documents_parsed": docs.count()}
-    store.set_meta(indexed_at=_now(), data_version=decision_xml.data_version(docs, xml), decisions_xml=xml, **counts)
+            store.replace(name, rows, CLUSTERED[name])
+    if store.meta().get("index_format") == INDEX_FORMAT:
+        update_index(store, "decision", index_rows(store), DECISION_INDEX)
+    else:
+        rebuild_text_index(store)
+    counts = {"decision_count": store.read("decisions").count(), "chunk_count": store.read("chunks").count(), "documents_parsed": seen.get["documents_parsed"]}
+    version = seen.get["volume"] or xml.rpartition("/")[2].rpartition(".")[0]
+    store.set_meta(indexed_at=_now(), data_version=version, decisions_xml=xml, index_format=INDEX_FORMAT, **counts)
     return store
 
 
@@ -77,8 +113,8 @@ def index_sections(store: Store, pages: DataFrame, nodes: DataFrame, skip_presen
             made = made.join(held.select("source").distinct(), "source", "left_anti")
         top = held.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         made = made.withColumn("id", F.col("id") + top)
-        sources = [r.source for r in made.select("source").distinct().collect()]
-        store.replace("book_sections", held.filter(~F.col("source").isin(sources)).unionByName(made))
+        old = held.join(made.select("source").distinct(), "source", "left_anti").select(*held.columns)
+        store.replace("book_sections", old.unionByName(made))
     else:
         store.replace("book_sections", made)
     rows = outline.section_chunks(store.read("book_sections"))
@@ -86,7 +122,7 @@ def index_sections(store: Store, pages: DataFrame, nodes: DataFrame, skip_presen
         store.replace_slice("chunks", F.col("kind") == "book", rows)
     else:
         store.replace("chunks", rows)
-    rebuild_section_index(store)
+    update_index(store, "section", store.read("book_sections"), SECTION_INDEX)
     store.set_meta(book_section_count=store.read("book_sections").count())
 
 

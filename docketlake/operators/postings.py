@@ -1,14 +1,15 @@
 """Inverted index: positional postings and row statistics.
 
-postings(row_id, col, term, tf, positions) and row_stats(row_id, n_tokens).
-Written sorted by term, a term or a prefix is read by row-group statistics.
+postings(row_id, col, term, tf, positions) and row_stats(row_id, n_tokens, digest).
+Written by ranges of term and row, so that a frequent term is in many files; a
+term or a prefix is read by row-group statistics.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -25,14 +26,23 @@ def postings(rows: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
     return exploded(rows, row_id, columns).groupBy("row_id", "col", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), at.alias("positions"))
 
 
+def digest(columns: Sequence[str]) -> Column:
+    """Tells apart the contents of a row's columns."""
+    return F.xxhash64(*[F.coalesce(F.col(c), F.lit("\0")) for c in columns])
+
+
 def row_stats(rows: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
-    """Tokens of each row over all columns: no shuffle, tokens are counted in place."""
+    """Tokens of each row over all columns, and its digest: no shuffle, tokens are counted in place."""
     total = sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0))
-    return rows.select(F.col(row_id).alias("row_id"), total.cast("long").alias("n_tokens"))
+    return rows.select(F.col(row_id).alias("row_id"), total.cast("long").alias("n_tokens"), digest(columns).alias("digest"))
 
 
-def write_index(rows: DataFrame, row_id: str, columns: Sequence[str], path: str, partitions: int = 64) -> None:
-    """Rebuild an index from its rows: postings by ranges of terms, and row statistics."""
+def write_index(rows: DataFrame, row_id: str, columns: Sequence[str], path: str) -> None:
+    """Write the index of rows: postings by ranges of terms, and row statistics."""
     index = postings(rows, row_id, columns)
-    index.repartitionByRange(partitions, "term").sortWithinPartitions("term", "row_id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.repartitionByRange("term", "row_id").sortWithinPartitions("term", "row_id").write.mode("overwrite").parquet(f"{path}/postings")
     row_stats(rows, row_id, columns).write.mode("overwrite").parquet(f"{path}/row_stats")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/row_stats")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2, literal
+from ..shared import cut
 
 #: The fusion's constant and the candidate pool's bounds (fixed values).
 RRF_CONSTANT, LEAST_POOL, MOST_POOL = 60, 100, 1000
@@ -90,14 +91,13 @@ def fallback(rows: DataFrame, key: str, language: str, lang: str = "lang", origi
 def numbered(rows: DataFrame, order: str, id: str) -> DataFrame:
     """rows with ids from 1 on in the order of a column that tells them apart.
 
-    Ranges of the order are sorted in parallel; a row's id is its place in its
-    range after the ranges before, whose sizes are one row each.
+    Ranges of the order are sorted in parallel and written once; a row's id is
+    its place in its range after the ranges before, whose sizes are one row each.
     """
-    place = F.monotonically_increasing_id()
-    sorted_ = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_place", place).persist()
+    sorted_ = cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_place", F.monotonically_increasing_id()))
     part, bits = F.shiftright("_place", 33), (1 << 33) - 1
     sizes = sorted_.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", before.alias("_before"))
-    out = sorted_.join(F.broadcast(starts), part == F.col("_part"))  # a row for each range
+    out = sorted_.join(F.broadcast(starts), part == F.col("_part"))  # a row for each range, of which there are as many as shuffle partitions
     return out.withColumn(id, (F.col("_before") + F.col("_place").bitwiseAND(F.lit(bits)) + 1).cast("long")).drop("_place", "_part", "_before")

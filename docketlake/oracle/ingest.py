@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import legalref
 from ..sources.outline import clean_page, heading_offset, join_hyphens, suffixed
+from ..shared import shared_folder
 from ..store import Store, new_keys, repaired, replaced_slice, upserted
 from ..streaming.incremental import first_rows, ingest_new
 from .tables import table
@@ -62,39 +63,47 @@ SELECT begin, until, count(*) AS n_pages, string_agg(substr(url, 8, 5), '|' ORDE
 
 
 def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id < 3000").withColumn("key", F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")))
+    e = table(spark, sf_dir, "events").withColumn("key", F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")))
     return e.select("event_id", suffixed(e, "user_id", "key", "event_id").alias("id"))
 
 
 SUFFIXES = """
-WITH k AS (SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS key FROM events WHERE event_id < 3000),
+WITH k AS (SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS key FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(key) ORDER BY event_id) AS n FROM k)
 SELECT event_id, CASE WHEN n = 1 THEN key ELSE key || ' (' || n || ')' END AS id FROM n
 """
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the words of a document's own middle begin in it, in upper case and wider spaced; and a title that isn't there."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 5 = 0").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
-    docs = docs.withColumn("title", F.substr("t", F.lit(21), F.lit(30))).filter("length(trim(title)) > 12 and title rlike '^[ -~]*$' and t rlike '^[ -~]*$'")
-    wide = F.upper(F.replace("title", F.lit(" "), F.lit("  ")))
-    return docs.select("doc_id", heading_offset(F.col("t"), wide).cast("long").alias("offset"), heading_offset(F.col("t"), F.lit("no such. (title)")).cast("long").alias("none"))
+    """Where a document's first line begins in its text, in upper case (which has no single sign for ß) and wider spaced; its last line; and a title that isn't there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    first, last = F.substring_index("text", "\n", 1), F.substring_index("text", "\n", -1)
+    wide = F.upper(F.replace(first, F.lit(" "), F.lit("  ")))
+    at = lambda title: heading_offset(F.col("text"), title).cast("long")
+    return docs.select("doc_id", at(wide).alias("first"), at(last).alias("last"), at(F.lit("no such. (title)")).alias("none"))
 
 
-HEADINGS = r"""
-WITH d AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents WHERE doc_id % 5 = 0), s AS (SELECT *, substr(t, 21, 30) AS title FROM d)
-SELECT doc_id, (instr(lower(t), lower(array_to_string(list_filter(string_split(trim(title), ' '), lambda x: x <> '')[1:8], ' '))) - 1)::BIGINT AS "offset", -1::BIGINT AS none
-FROM s WHERE length(trim(title)) > 12 AND regexp_full_match(title, '[ -~]*') AND regexp_full_match(t, '[ -~]*')
-"""
+_TITLE = r"array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace({0}, '\s+', ' ', 'g')), ' '), lambda x: x <> '')[1:8], ' ')"
+_AT = r"CASE WHEN {0} = '' THEN -1 WHEN instr(lower(t), lower({0})) = 0 THEN -1 ELSE instr(lower(t), lower({0})) - 1 END::BIGINT"
+HEADINGS = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), "
+    f"s AS (SELECT *, {_TITLE.format('string_split(t, chr(10))[1]')} AS a, {_TITLE.format('string_split(t, chr(10))[-1]')} AS z FROM d) "
+    f"SELECT doc_id, CASE WHEN contains(a, 'ß') THEN -1 ELSE {_AT.format('a')} END::BIGINT AS first, {_AT.format('z')} AS last, -1::BIGINT AS none FROM s"
+)
 
 
 def hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 4 = 1")
-    broken = F.concat(F.lit("exam-\n  ple of\n12\nxiv\nab\nGuidelines for Examination in the EPO 3\n"), F.col("source"), F.lit(" body line  "))
-    return docs.select("doc_id", clean_page(broken).alias("cleaned"), join_hyphens(F.lit("a-\nb")).alias("joined"))
+    """Every document as a page: its lines broken at hyphens, between page numbers and running headers."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    page = F.concat(F.lit("exam-\n  ple of\n12\nxiv\nab\nGuidelines for Examination in the EPO 3\n"), F.replace(text, F.lit("-"), F.lit(" ")), F.lit("\n7"))
+    return docs.select("doc_id", clean_page(page).alias("cleaned"), join_hyphens(F.concat(F.lit("a-\nb "), F.col("source"))).alias("joined"))
 
 
-HYPHENS = "SELECT doc_id, 'example of' || chr(10) || source || ' body line' AS cleaned, 'ab' AS joined FROM documents WHERE doc_id % 4 = 1"
+HYPHENS = r"""
+WITH l AS (SELECT doc_id, source, list_filter(list_transform(string_split(replace(coalesce(text, ''), '-', ' '), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: length(x) > 2 AND NOT regexp_full_match(x, '[0-9]+|[ivxlc]+|[IVXLC]+')) AS l FROM documents)
+SELECT doc_id, array_to_string(['example of'] || l, chr(10)) AS cleaned, 'ab ' || source AS joined FROM l
+"""
 
 
 def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +138,7 @@ META = "SELECT event_type AS key, CASE WHEN event_type = 'error' THEN 'seen' ELS
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events arrive in files; the first of each user, over all of them, ends in the table."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docketlake-")
-    work = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(object())}"
+    work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     e.repartitionByRange(4, "event_id").write.mode("overwrite").parquet(f"{work}/in")
     store = Store(spark, f"{work}/store")

@@ -54,26 +54,26 @@ CHUNK_BOUNDS = r"SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g'
 
 
 def case_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers written loosely from order keys, and their canonical form; every fifth isn't one."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 9999")
+    """Numbers written loosely from order keys, and their canonical form; every fifth isn't one, nor are those of five digits."""
+    o = table(spark, sf_dir, "orders")
     year = F.date_format("o_orderdate", "yyyy")
     raw = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("X "), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("t  "), F.col("o_orderkey").cast("string"), F.lit(" / "), year))
     return o.select("o_orderkey", casenum.parse_case(raw).alias("parsed"), casenum.format_case(F.lit("G"), F.col("o_orderkey").cast("string"), year.cast("int")).alias("formatted"))
 
 
 CASE_NUMBERS = """
-SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'T ' || lpad(o_orderkey::VARCHAR, 4, '0') || '/' || strftime(o_orderdate, '%y') END AS parsed,
-       'G ' || lpad(o_orderkey::VARCHAR, 4, '0') || '/' || strftime(o_orderdate, '%y') AS formatted FROM orders WHERE o_orderkey < 9999
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND len(k) <= 4 THEN 'T ' || lpad(k, greatest(4, len(k))::INT, '0') || '/' || strftime(o_orderdate, '%y') END AS parsed,
+       'G ' || lpad(k, greatest(4, len(k))::INT, '0') || '/' || strftime(o_orderdate, '%y') AS formatted FROM (SELECT *, o_orderkey::VARCHAR AS k FROM orders)
 """
 
 
 def inline_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 2000")
+    o = table(spark, sf_dir, "orders")
     text = F.concat(F.lit("see t "), F.col("o_orderkey").cast("string"), F.lit("/16, G 1/2019 and XT 5/12"))
     return o.select("o_orderkey", F.array_join(casenum.inline_cases(text), "|").alias("found"))
 
 
-INLINE_CASES = "SELECT o_orderkey, 'T ' || lpad(o_orderkey::VARCHAR, 4, '0') || '/16|G 0001/19' AS found FROM orders WHERE o_orderkey < 2000"
+INLINE_CASES = "SELECT o_orderkey, CASE WHEN o_orderkey < 10000 THEN 'T ' || lpad(o_orderkey::VARCHAR, 4, '0') || '/16|' ELSE '' END || 'G 0001/19' AS found FROM orders"
 
 
 def legal_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ TYPED = "SELECT s_suppkey, 'Art. ' || s_suppkey || ' RPBA' AS article, 'R. ' ||
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates, terms, essences and first values of text fields."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 3000")
+    o = table(spark, sf_dir, "orders")
     digits = F.when(F.col("o_orderkey") % 4 == 0, F.lit("20191340")).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
     blank = F.when(F.col("o_orderkey") % 2 == 0, F.lit("  ")).otherwise(F.col("o_orderpriority"))
     return o.select(
@@ -122,7 +122,7 @@ FIELDS = r"""
 SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day,
   array_to_string(list_filter(['the', 'b2'] || regexp_extract_all(lower(o_orderpriority), '[\p{L}\p{Nd}]+'), lambda x: length(x) > 1), '|') AS terms,
   concat_ws(chr(10) || chr(10), o_orderstatus, CASE WHEN o_orderkey % 2 <> 0 THEN o_orderpriority END, 'end') AS essence, 'a|' || o_orderstatus || '|c' AS firsts
-FROM orders WHERE o_orderkey < 3000
+FROM orders
 """
 
 QUERIES = {

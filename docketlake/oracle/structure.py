@@ -2,38 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ranking import best_per_key
 from ..sources import decision_xml, outline
-from .tables import table
-
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docketlake-")
-    return f"{base.rstrip('/')}/structure-{uuid.uuid4().hex}"
+from .tables import made, table
 
 
-def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """300 orders as decision documents of 200 keys in three languages, scanned from one XML file."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 300").withColumn("k", F.col("o_orderkey"))
+def _write_xml(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Orders as decision documents in three languages, two of a key, in files whose names follow their order."""
+    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
     s = lambda c: F.col(c).cast("string")
     lang = F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit("fr")), (F.col("k") % 3 + 1).cast("int"))
+    key = F.floor(F.col("k") / 400) * 200 + F.col("k") % 200
     xml = F.concat(
-        F.lit('<ep-appeal-decision lang="'), lang, F.lit('" procedure-lang="en"><ep-appeal-bib-data volume="v1"><ep-case-num code="T"><ep-appeal-num>'), s("k"), F.lit("</ep-appeal-num><ep-year>"), F.date_format("o_orderdate", "yyyy"),
-        F.lit("</ep-year></ep-case-num><ep-ecli>E"), (F.col("k") % 200).cast("string"), F.lit("</ep-ecli><ep-date-of-decision><date>"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("</date></ep-date-of-decision></ep-appeal-bib-data><ep-headword>H"), s("k"),
+        F.lit('<!-- <ep-appeal-decision> --><ep-appeal-decision lang="'), lang, F.lit('" procedure-lang="en"><ep-appeal-bib-data volume="v1"><ep-case-num code="T"><ep-appeal-num>'), s("k"), F.lit("</ep-appeal-num><ep-year>"), F.date_format("o_orderdate", "yyyy"),
+        F.lit("</ep-year></ep-case-num><ep-ecli>E"), key.cast("string"), F.lit("</ep-ecli><ep-date-of-decision><date>"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("</date></ep-date-of-decision></ep-appeal-bib-data><ep-headword>H"), s("k"),
         F.lit("</ep-headword><ep-legal-refs><ep-legal-citation><ep-legal-ref-presentation>EPC2000_Art_"), F.lpad((F.col("k") % 150).cast("string"), 3, "0"),
         F.lit("(1)</ep-legal-ref-presentation></ep-legal-citation></ep-legal-refs><ep-keywords><keyword>"), F.col("o_orderstatus"), F.lit("</keyword><keyword> </keyword><keyword>"), F.col("o_orderpriority"),
         F.lit('</keyword></ep-keywords><ep-cited-decisions><ep-cited-decision code="G"><ep-appeal-num>'), (F.col("k") % 7).cast("string"), F.lit("</ep-appeal-num><ep-year>2001</ep-year></ep-cited-decision></ep-cited-decisions>"),
-        F.when(F.col("k") % 4 == 0, F.lit("<ep-headnote><p>note</p></ep-headnote>")).otherwise(F.lit("")), F.lit("<ep-reasons-for-decision><heading>no</heading><p>reason <b>dropped</b>"), s("k"), F.lit("</p><p> </p><p>end</p></ep-reasons-for-decision></ep-appeal-decision>"),
+        F.when(F.col("k") % 4 == 0, F.lit("<ep-headnote><p>note</p></ep-headnote>")).otherwise(F.lit("")), F.lit("<ep-reasons-for-decision><heading>no</heading><p>reason <b>dropped</b>"), s("k"), F.lit("</p><p> </p>\n<p>end</p></ep-reasons-for-decision></ep-appeal-decision>"),
     )
-    folder = _folder(spark)
-    o.select("k", xml.alias("value")).orderBy("k").coalesce(1).select("value").write.text(folder)
-    return decision_xml.scan(spark, f"{folder}/part-*")
+    o.select("k", xml.alias("value")).repartitionByRange("k").sortWithinPartitions("k").select("value").write.text(path)
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as decision documents, scanned from XML files."""
+    path = made(spark, sf_dir, ["orders"], "orders-xml", lambda path: _write_xml(spark, sf_dir, path))
+    return decision_xml.scan(spark, f"{path}/part-*")
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +38,11 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _D = """
-WITH d AS (SELECT o_orderkey AS k, 'E' || (o_orderkey % 200) AS ecli, ['en', 'de', 'fr'][(o_orderkey % 3 + 1)::INT] AS lang, o_orderdate, o_orderstatus || chr(10) || o_orderpriority AS kw FROM orders WHERE o_orderkey < 300),
+WITH d AS (SELECT o_orderkey AS k, 'E' || (o_orderkey // 400 * 200 + o_orderkey % 200) AS ecli, ['en', 'de', 'fr'][(o_orderkey % 3 + 1)::INT] AS lang, o_orderdate, o_orderstatus || chr(10) || o_orderpriority AS kw FROM orders),
 f AS (SELECT *, row_number() OVER (PARTITION BY ecli ORDER BY k) AS n, lead(k) OVER (PARTITION BY ecli ORDER BY k) AS k2, lead(lang) OVER (PARTITION BY ecli ORDER BY k) AS lang2, lead(kw) OVER (PARTITION BY ecli ORDER BY k) AS kw2 FROM d)
 """
 DECISIONS = _D + """
-SELECT row_number() OVER (ORDER BY k)::BIGINT AS id, ecli, 'T ' || lpad(k::VARCHAR, 4, '0') || '/' || strftime(o_orderdate, '%y') AS case_number, strftime(o_orderdate, '%Y-%m-%d') AS decision_date, 'en' AS language,
+SELECT row_number() OVER (ORDER BY k)::BIGINT AS id, ecli, 'T ' || lpad(k::VARCHAR, greatest(4, len(k::VARCHAR))::INT, '0') || '/' || strftime(o_orderdate, '%y') AS case_number, strftime(o_orderdate, '%Y-%m-%d') AS decision_date, 'en' AS language,
   'H' || CASE WHEN lang2 = 'en' THEN k2 ELSE k END AS headword, CASE WHEN lang2 = 'en' THEN kw2 ELSE kw END AS keywords, CASE WHEN k % 4 = 0 OR (k2 % 4 = 0 AND lang2 = 'en') THEN 1 ELSE 0 END AS has_headnote,
   lang || CASE WHEN lang2 <> lang THEN ',' || lang2 ELSE '' END AS available_languages
 FROM f WHERE n = 1
@@ -75,25 +71,58 @@ SELECT ecli, 'provision' AS kind, 'Art. ' || (k % 150) || '(1) EPC' AS value FRO
 """
 
 
+#: Digits of Roman numerals by place (fixed values).
+ROMAN = (("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"), ("", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"), ("", "C", "CC", "CCC"))
+
+
+def _roman(n: Column) -> Column:
+    digit = lambda signs, place: F.element_at(F.array(*[F.lit(x) for x in signs]), (F.floor(n / 10**place) % len(signs) + 1).cast("int"))
+    return F.concat(*[digit(ROMAN[place], place) for place in (2, 1, 0)])
+
+
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as a book: a part, chapters of ten pages, a section a page whose heading stands after a running header."""
-    p = table(spark, sf_dir, "pages").filter("page_id < 60").withColumn("n", (F.col("page_id") + 1).cast("int"))
-    heading = F.concat(F.lit("1."), F.col("n").cast("string"), F.lit(" Topic of "), F.regexp_extract("url", "//([a-z]+)", 1))
-    text = F.concat(F.lit("tail of the one before\nGuidelines for Examination in the EPO\n"), F.upper(heading), F.lit("\nA body of more than forty characters on page "), F.col("n").cast("string"), F.lit("\n"), F.col("n").cast("string"))
-    pages = p.select(F.lit("gl").alias("source"), F.col("n").alias("page"), text.alias("text"))
-    chapter = (F.floor(F.col("page_id") / 10) + 100).cast("long")
-    leaves = p.select(F.lit("gl").alias("source"), (F.col("page_id") + 1000).alias("node_id"), chapter.alias("parent_id"), (F.col("page_id") + 1000).alias("ord"), heading.alias("title"), F.col("n").alias("page"))
-    roman = F.element_at(F.array(*[F.lit(x) for x in ("I", "II", "III", "IV", "V", "VI")]), (F.floor(F.col("page_id") / 10) + 1).cast("int"))
-    chapters = p.filter("page_id % 10 = 0").select(F.lit("gl").alias("source"), chapter.alias("node_id"), F.lit(1).cast("long").alias("parent_id"), chapter.alias("ord"), F.concat(F.lit("Chapter "), roman, F.lit("  Of things")).alias("title"), F.col("n").alias("page"))
-    top = p.filter("page_id = 0").select(F.lit("gl").alias("source"), F.lit(1).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.lit(0).cast("long").alias("ord"), F.lit("Part A Formalities").alias("title"), F.col("n").alias("page"))
-    made = outline.sections(pages, leaves.unionAll(chapters).unionAll(top))
-    return best_per_key(made, "section_id", F.col("id")).select("section_id", "breadcrumb", "page_from", "page_to", "body")
-
-
-SECTIONS = r"""
-WITH p AS (SELECT page_id, (page_id + 1)::INT AS n, regexp_extract(url, '//([a-z]+)', 1) AS w, ['I', 'II', 'III', 'IV', 'V', 'VI'][page_id // 10 + 1] AS r, max(page_id) OVER () AS top FROM pages WHERE page_id < 60)
-SELECT 'A-' || r || ', 1.' || n AS section_id, 'Part A Formalities > Chapter ' || r || ' Of things > 1.' || n || ' Topic of ' || w AS breadcrumb, n AS page_from, CASE WHEN page_id = top THEN n ELSE n + 1 END::INT AS page_to,
-  upper('1.' || n || ' Topic of ' || w) || chr(10) || 'A body of more than forty characters on page ' || n || CASE WHEN page_id = top THEN '' ELSE chr(10) || 'tail of the one before' END AS body FROM p
+    """All pages as two books whose leaves stand in every way that cuts differ by.
+
+    By page: one heading after a running header; two in order; two in reverse,
+    of which the first has no text; none that is in the text.
+    """
+    p = table(spark, sf_dir, "pages").withColumn("n", (F.col("page_id") + 1).cast("int")).withColumn("word", F.regexp_extract("url", "//([a-z]+)", 1))
+    s, line = F.col("n").cast("string"), lambda *x: F.concat(*[F.lit(c) if isinstance(c, str) else c for c in x])
+    one, other = line("1.", s, " Topic of ", F.col("word")), line("2.", s, " Other of ", F.col("word"))
+    body, second = line("A body of more than forty characters on page ", s), line("Another body that is also longer than forty signs, page ", s)
+    kind = F.col("n") % 5
+    inside = (
+        F.when(kind == 1, F.concat_ws("\n", one, body, other, second)).when(kind == 2, F.concat_ws("\n", other, second, one, body)).when(kind == 3, body).otherwise(F.concat_ws("\n", F.upper(one), body))
+    )
+    text = F.concat_ws("\n", F.lit("tail of the one before"), F.lit("Guidelines for Examination in the EPO"), inside, s)
+    books = p.select("*", F.explode(F.array(F.lit("clb"), F.lit("gl"))).alias("source"))
+    pages = books.select("source", F.col("n").alias("page"), text.alias("text"))
+    chapter = F.when(F.col("source") == "clb", F.lit(2)).otherwise(F.floor(F.col("page_id") / 10) + 100).cast("long")
+    node = lambda rows, id, up, title: rows.select("source", id.cast("long").alias("node_id"), up.cast("long").alias("parent_id"), id.cast("long").alias("ord"), title.alias("title"), F.col("n").alias("page"))
+    leaf = F.col("page_id") * 2 + 1_000_000_000
+    leaves = node(books, leaf, chapter, one).unionAll(node(books.filter(kind.isin(1, 2)), leaf + 1, chapter, other))
+    above = node(books.filter("source = 'gl' and page_id % 10 = 0"), chapter, F.lit(1), line("Chapter ", _roman(F.floor(F.col("page_id") / 10) % 300 + 1), "  Of things"))
+    above = above.unionAll(node(books.filter("source = 'clb' and page_id = 0"), F.lit(2), F.lit(1), F.lit("A. Inventions")))
+    top = node(books.filter("page_id = 0"), F.lit(1), F.lit(None), F.when(F.col("source") == "clb", "II. PATENTABILITY").otherwise("Part A Formalities"))
+    return outline.sections(pages, leaves.unionAll(above).unionAll(top)).select("id", "source", "section_id", "breadcrumb", "page_from", "page_to", "body")
+
+
+def _roman_sql(n: str) -> str:
+    return " || ".join(f"[{', '.join(repr(x) for x in ROMAN[place])}][({n}) // {10**place} % {len(ROMAN[place])} + 1]" for place in (2, 1, 0))
+
+
+SECTIONS = rf"""
+WITH p AS (SELECT page_id, (page_id + 1)::INT AS n, (page_id + 1) % 5 AS kind, regexp_extract(url, '//([a-z]+)', 1) AS w, {_roman_sql("page_id // 10 % 300 + 1")} AS r FROM pages),
+h AS (SELECT *, '1.' || n || ' Topic of ' || w AS one, '2.' || n || ' Other of ' || w AS other, 'A body of more than forty characters on page ' || n AS body, 'Another body that is also longer than forty signs, page ' || n AS second FROM p),
+t AS (SELECT *, concat_ws(chr(10), 'tail of the one before', CASE kind WHEN 1 THEN concat_ws(chr(10), one, body, other, second) WHEN 2 THEN concat_ws(chr(10), other, second, one, body) WHEN 3 THEN body ELSE concat_ws(chr(10), upper(one), body) END) AS text FROM h),
+l AS (SELECT *, 0 AS k, one AS title, CASE WHEN kind = 3 THEN -1 ELSE instr(lower(text), lower(one)) - 1 END AS off FROM t UNION ALL SELECT *, 1, other, instr(lower(text), lower(other)) - 1 FROM t WHERE kind IN (1, 2)),
+x AS (SELECT *, lead(n) OVER (ORDER BY n, k) AS next_n, lead(off) OVER (ORDER BY n, k) AS next_off, row_number() OVER (ORDER BY n, k) AS place FROM l),
+s AS (SELECT x.*, y.text AS next_text, CASE WHEN next_n IS NULL OR next_n = x.n THEN x.n WHEN next_off > 0 THEN next_n ELSE next_n - 1 END::INT AS page_to FROM x LEFT JOIN t y ON y.n = next_n AND next_n > x.n),
+b AS (SELECT *, greatest(off, 0) AS lo, CASE WHEN next_n = n AND next_off >= 0 THEN next_off ELSE length(text) END AS hi FROM s),
+c AS (SELECT *, concat_ws(chr(10), nullif(trim(CASE WHEN hi > lo THEN substr(text, lo + 1, hi - lo) ELSE '' END, ' ' || chr(10)), ''), CASE WHEN page_to > n THEN nullif(trim(substr(next_text, 1, next_off), ' ' || chr(10)), '') END) AS body_ FROM b),
+k AS (SELECT c.*, unnest(['clb', 'gl']) AS source FROM c WHERE length(body_) >= 40)
+SELECT row_number() OVER (ORDER BY source, place) AS id, source, CASE source WHEN 'clb' THEN 'II.A.' ELSE 'A-' || r || ', ' END || split_part(title, ' ', 1) AS section_id,
+  CASE source WHEN 'clb' THEN 'II. PATENTABILITY > A. Inventions > ' ELSE 'Part A Formalities > Chapter ' || r || ' Of things > ' END || title AS breadcrumb, n AS page_from, page_to, body_ AS body FROM k
 """
 
 QUERIES = {"ingest_decisions": decisions, "ingest_texts": texts, "ingest_references": references, "ingest_sections": sections}

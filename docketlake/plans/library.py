@@ -23,6 +23,7 @@ from ..operators.match import DECISION_WEIGHTS, Or, Phrase, bm25, capped_count,
 from ..operators.ranking import best_per_key, budget_page, clamp, fallback, fuse, fused_order, knn, pool_size, ranked, top
 from ..operators.snippet import snippet
 from ..functions.text import tokens_of
+from ..shared import cut, drop_cut
 from ..store import Store
 
 #: Limits of pages (fixed values).
@@ -64,7 +65,7 @@ class Library:
             scored = bm25(self.store.read("decision_postings"), self.store.read("decision_row_stats"), tree, DECISION_WEIGHTS)
             texts = self.store.read("decision_texts").select("id", "decision_id", "lang")
             matched = passing(scored.join(texts, F.col("row_id") == F.col("id")).drop("id").join(known, "decision_id")).select("decision_id", "lang", "row_id", "score")
-        matched = matched.persist()
+        matched = cut(matched)
         total = capped_count(matched, "decision_id").first()
         lexical = top(best_per_key(matched, "decision_id", F.col("score"), F.col("row_id")), pool, F.col("score"), F.col("decision_id"))
         first = ranked(lexical, "decision_id", F.col("score"), F.col("decision_id"))
@@ -72,15 +73,19 @@ class Library:
         empty = first.limit(0)
         if vectors is not None:
             near = passing(vectors.join(known, "decision_id").join(decisions.select(F.col("id").alias("decision_id"), F.col("language").alias("lang")), "decision_id"))
-            near = top(best_per_key(near.select("decision_id", "lang", "distance", "chunk_id", "text"), "decision_id", F.col("distance"), F.col("chunk_id")), pool, F.col("distance"), F.col("decision_id")).persist()
+            near = top(best_per_key(near.select("decision_id", "lang", "distance", "chunk_id", "text"), "decision_id", F.col("distance"), F.col("chunk_id")), pool, F.col("distance"), F.col("decision_id"))
+            near = cut(near)  # at most a pool of rows
             fused, used = fuse(first, ranked(near, "decision_id", F.col("distance"), F.col("decision_id")), "decision_id"), "hybrid"
             count = max(count, fused.count())
         else:
             near, fused = None, fuse(first, empty, "decision_id")
-        page = fused.orderBy(*fused_order()).offset(offset).limit(limit)
-        place = page.withColumnRenamed("score", "fused").join(lexical.select("decision_id", "row_id", F.col("lang").alias("text_lang")), "decision_id", "left")
-        place = place.join(rows.select(F.col("id").alias("row_id"), *[c for c in DECISION_INDEX if c in ("catchwords", "headnote", "facts", "reasons", "orders")]), "row_id", "left")
-        place = place.join(decisions.select(F.col("id").alias("decision_id"), "case_number", "ecli", F.col("decision_date").alias("date"), "board", "language", "headword", "keywords", "title"), "decision_id")
+        page = fused.orderBy(*fused_order()).offset(offset).limit(limit).withColumnRenamed("score", "fused")
+        page = cut(page.join(lexical.select("decision_id", "row_id", F.col("lang").alias("text_lang")), "decision_id", "left"))
+        ids = page.select("decision_id", "row_id").collect()  # one page, so that only its rows are read from the tables clustered by id
+        own = rows.filter(F.col("id").isin([r.row_id for r in ids]) & F.col("decision_id").isin([r.decision_id for r in ids]))
+        place = page.join(own.select(F.col("id").alias("row_id"), *[c for c in DECISION_INDEX if c in ("catchwords", "headnote", "facts", "reasons", "orders")]), "row_id", "left")
+        heads = decisions.filter(F.col("id").isin([r.decision_id for r in ids]))
+        place = place.join(heads.select(F.col("id").alias("decision_id"), "case_number", "ecli", F.col("decision_date").alias("date"), "board", "language", "headword", "keywords", "title"), "decision_id")
         shown = snippet([c for c in DECISION_INDEX], tree) if tree is not None else F.lit("")
         if near is not None:
             place = place.join(near.select("decision_id", F.substring("text", 1, EXCERPT).alias("excerpt")), "decision_id", "left")
@@ -91,7 +96,7 @@ class Library:
             F.when(F.col("row_id").isNotNull(), shown).otherwise(F.col("excerpt")).alias("snippet"),
         ).orderBy(F.desc("fused"), F.col("first_rank").asc_nulls_last(), F.col("second_rank").asc_nulls_last()).drop("fused", "first_rank", "second_rank")
         out = {"mode": used, "total": count, "total_is_capped": total.total_is_capped, "offset": offset, "limit": limit, "results": _rows(results)}
-        matched.unpersist()
+        drop_cut(matched, page, *([near] if near is not None else []))
         return out
 
     def _has_vectors(self, kinds: tuple[str, ...]) -> bool:
@@ -255,6 +260,3 @@ class Library:
 
 def to_json(answer: dict) -> str:
     return json.dumps(answer, ensure_ascii=False)
-
-
-

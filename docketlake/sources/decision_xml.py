@@ -7,18 +7,25 @@ mixed content can't be expressed by a schema.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import casenum, legalref
 from ..functions.chunker import chunks
 from ..functions.text import essence, iso_date
 from ..operators.ranking import numbered
+from ..shared import file_system
 
 ROW_TAG = "ep-appeal-decision"
+CLOSING = f"</{ROW_TAG}>"
+#: What a comment and a CDATA section begin with where they aren't closed.
+OPENED = ("<!--", "<![CDATA[")
+#: Comments and CDATA sections, whole or open, and a document's opening tag.
+OPENING = re.compile(rf"<!--(?:.*?-->)?|<!\[CDATA\[(?:.*?\]\]>)?|<{ROW_TAG}(?=[\s>])", re.DOTALL)
 #: Section elements by the column of their body (fixed values).
 BODIES = {"headnote": "ep-headnote", "catchwords": "ep-catchword", "facts": "ep-summary-of-facts", "reasons": "ep-reasons-for-decision", "orders": "ep-appeal-order"}
 
@@ -84,23 +91,38 @@ def read_document(xml: str, keep_inline: bool = False) -> dict:
     }
 
 
-def scan(spark: SparkSession, path: str, keep_inline: bool = False) -> DataFrame:
-    """One row a document: ord (file, then place in it) and its fields.
+def _element(piece: str) -> str | None:
+    """The element of a piece of a file that ends before its close tag; None after the last one."""
+    start = None
+    for m in OPENING.finditer(piece):
+        if m[0] in OPENED:
+            raise ValueError("a document's close tag stands inside a comment or a CDATA section")
+        if start is None and not m[0].startswith("<!"):
+            start = m.start()
+    return None if start is None else piece[start:] + CLOSING
 
-    The files are cut at the row tag; the place is the position of the document
-    in its file, so the order doesn't depend on tasks.
+
+def scan(spark: SparkSession, path: str, keep_inline: bool = False, encoding: str = "UTF-8") -> DataFrame:
+    """One row a document: ord (file, place in it) and its fields.
+
+    Files are read by Spark's line reader with the close tag as the line's end,
+    so a file of any size is dealt to as many tasks as it has splits, and a
+    document is the largest value. ord follows the order of the documents in
+    their files. Opening tags inside comments and CDATA sections aren't
+    documents; a close tag inside one is an error.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("content"))
-    open_, close = f"<{ROW_TAG}[\\s>]", f"</{ROW_TAG}>"
-    found = F.regexp_extract_all("content", F.lit(f"(?s){open_}.*?{close}"), F.lit(0))
-    docs = files.select("path", F.posexplode(found).alias("place", "xml"))
+    pieces = spark.read.option("lineSep", CLOSING).option("encoding", encoding).text(path)
+    docs = pieces.filter(F.contains("value", F.lit("<" + ROW_TAG))).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value"
+    )
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([{"path": p, "place": n, **read_document(x, keep_inline)} for p, n, x in zip(b["path"], b["place"], b["xml"], strict=True)], columns=["path", "place", *[c.split()[0] for c in _columns()]])
+            found = ((p, k, n, _element(x)) for p, k, n, x in zip(b["path"], b["block"], b["place"], b["value"], strict=True))
+            yield pd.DataFrame([{"path": p, "block": k, "place": n, **read_document(x, keep_inline)} for p, k, n, x in found if x is not None], columns=["path", "block", "place", *[c.split()[0] for c in _columns()]])
 
-    rows = docs.mapInPandas(parse, "path string, place int, " + DOCUMENT)
-    return rows.withColumn("ord", F.struct("path", "place"))
+    rows = docs.mapInPandas(parse, "path string, block long, place long, " + DOCUMENT)
+    return rows.select(F.struct("path", "block", "place").alias("ord"), *[c.split()[0] for c in _columns()])
 
 
 def _columns() -> list[str]:
@@ -155,14 +177,18 @@ def tables(docs: DataFrame) -> dict[str, DataFrame]:
     return {"decisions": decisions, "decision_texts": bodies, "decision_provisions": provisions, "decision_citations": citations, "chunks": chunk_rows}
 
 
-def newest_source(spark: SparkSession, folder: str, pattern: str = "EPDecisions_*.xml") -> str | None:
-    """The latest matching file of a folder by time, then by name."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime")
-    row = files.orderBy(F.desc("modificationTime"), F.desc("path")).first()
-    return None if row is None else row.path
+def newest_source(spark: SparkSession, folder: str, pattern: str = "EPDecisions_*.xml", parents: bool = True) -> str | None:
+    """The latest matching file of a folder by time, then by name; without one there, of the nearest parent that has one."""
+    p, fs = file_system(spark, folder)
+    p = fs.makeQualified(p)
+    while p is not None:
+        found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(p, pattern))
+        if found:
+            return str(max(found, key=lambda f: (f.getModificationTime(), f.getPath().getName().lower())).getPath())
+        p = p.getParent() if parents else None
+    return None
 
 
-def data_version(docs: DataFrame, path: str) -> str:
-    """The volume of the first document, else the file's stem."""
-    row = docs.filter("volume is not null").agg(F.min_by("volume", "ord").alias("v")).first()
-    return row.v or path.rpartition("/")[2].rpartition(".")[0]
+def facts() -> list[Column]:
+    """Aggregates of scanned documents that a job stores: their number, and the volume of the first."""
+    return [F.count(F.lit(1)).alias("documents_parsed"), F.min_by("volume", F.when(F.col("volume").isNotNull(), F.col("ord"))).alias("volume")]

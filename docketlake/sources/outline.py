@@ -14,18 +14,26 @@ from pyspark.sql import functions as F
 from ..functions.casenum import strip
 from ..functions.chunker import chunks
 from ..functions.text import clean_title
+from ..operators.ranking import numbered
+from ..shared import cut
 
 #: A running header and the bounds of lines and bodies (fixed values).
 HEADER, HEADER_LENGTH, SHORT_LINE, LEAST_BODY, TITLE_WORDS = "guidelines for examination in the epo", 120, 2, 40, 8
+#: A word broken at a line's end, and lines that are page numbers (fixed values).
+BROKEN, PAGE_NUMBER = r"(?U)(\w+)-\s*\n\s*(\w+)", "^[0-9]+$|^[ivxlc]+$|^[IVXLC]+$"
+#: Numbers of titles, and the parts and chapters that breadcrumbs name (fixed values).
+NUMBER = r"^(\d+(?:\.\d+)*)\.?\s"
+ROMAN_PART, LETTER_PART = r"^([IVXLC]+)\.\s", r"^([A-Z])\.\s"
+LETTERED, CHAPTER, GENERAL = r"^Part\s+([A-H])\b", r"^Chapter\s+([IVXLC]+)\b", "general part"
 
 
 def join_hyphens(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)(\w+)-\s*\n\s*(\w+)", "$1$2")
+    return F.regexp_replace(text, BROKEN, "$1$2")
 
 
 def clean_page(text: Column) -> Column:
     """Lines joined again: hyphens at line ends closed, page numbers, headers and stray characters dropped."""
-    noise = lambda x: (F.length(x) <= SHORT_LINE) | x.rlike("^[0-9]+$|^[ivxlc]+$|^[IVXLC]+$") | (F.contains(F.lower(x), F.lit(HEADER)) & (F.length(x) < HEADER_LENGTH))
+    noise = lambda x: (F.length(x) <= SHORT_LINE) | x.rlike(PAGE_NUMBER) | (F.contains(F.lower(x), F.lit(HEADER)) & (F.length(x) < HEADER_LENGTH))
     lines = F.transform(F.split(join_hyphens(text), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.array_join(F.filter(lines, lambda x: ~noise(x)), "\n")
 
@@ -55,13 +63,13 @@ def leaves(outline: DataFrame, levels: int = 16) -> DataFrame:
 
 
 def _number(title: Column) -> Column:
-    return F.regexp_extract(title, r"^(\d+(?:\.\d+)*)\.?\s", 1)
+    return F.regexp_extract(title, NUMBER, 1)
 
 
 def clb_id(crumb: Column) -> Column:
     """``II.A.3.1`` of a breadcrumb that opens with a roman part; null with fewer than two parts."""
-    roman = F.regexp_extract(F.get(crumb, F.lit(0)), r"^([IVXLC]+)\.\s", 1)
-    letter = F.coalesce(F.regexp_extract(F.get(crumb, F.lit(1)), r"^([A-Z])\.\s", 1), F.lit(""))
+    roman = F.regexp_extract(F.get(crumb, F.lit(0)), ROMAN_PART, 1)
+    letter = F.coalesce(F.regexp_extract(F.get(crumb, F.lit(1)), LETTER_PART, 1), F.lit(""))
     number = F.when(F.size(crumb) > 2, _number(F.element_at(crumb, -1))).otherwise("")
     parts = F.filter(F.array(roman, letter, number), lambda x: x != "")
     return F.when((roman != "") & (F.size(parts) > 1), F.array_join(parts, "."))
@@ -69,8 +77,9 @@ def clb_id(crumb: Column) -> Column:
 
 def gl_id(crumb: Column) -> Column:
     """``A-II, 1.1`` or ``Gen, 1.1``: the last part and chapter of the breadcrumb and the leaf's number."""
-    parts = F.filter(F.transform(crumb, lambda x: F.when(x.rlike(r"^Part\s+[A-H]\b"), F.regexp_extract(x, r"^Part\s+([A-H])\b", 1)).when(F.lower(x).startswith("general part"), F.lit("Gen"))), lambda x: x.isNotNull())
-    chapters = F.filter(F.transform(crumb, lambda x: F.when(x.rlike(r"^Chapter\s+[IVXLC]+\b"), F.regexp_extract(x, r"^Chapter\s+([IVXLC]+)\b", 1))), lambda x: x.isNotNull())
+    named = lambda pattern: lambda x: F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 1))
+    parts = F.array_compact(F.transform(crumb, lambda x: named(LETTERED)(x).when(F.lower(x).startswith(GENERAL), F.lit("Gen"))))
+    chapters = F.array_compact(F.transform(crumb, named(CHAPTER)))
     part, chapter, number = F.try_element_at(parts, F.lit(-1)), F.try_element_at(chapters, F.lit(-1)), _number(F.element_at(crumb, -1))
     return F.when(part.isNotNull() & (number != ""), F.concat_ws(", ", F.concat_ws("-", part, chapter), number))
 
@@ -84,8 +93,9 @@ def suffixed(rows: DataFrame, source: str, key: str, order: str) -> Column:
 def sections(pages: DataFrame, outline: DataFrame) -> DataFrame:
     """book_sections: each leaf's text, from its heading to the next leaf's, over pages.
 
-    Where a heading isn't found on its page the cut is the page's edge. Bodies
-    under 40 characters are dropped before repeated ids are numbered.
+    Where a heading isn't found on its page the cut is the page's edge; a leaf
+    whose successor's heading stands above its own on the same page has no text.
+    Bodies under 40 characters are dropped before repeated ids are numbered.
     """
     text = pages.select("source", "page", clean_page(F.col("text")).alias("text"))
     at = leaves(outline).join(text, ["source", "page"], "left").withColumn("offset", F.coalesce(heading_offset(F.col("text"), F.col("title")), F.lit(-1))).drop("text")
@@ -99,16 +109,20 @@ def sections(pages: DataFrame, outline: DataFrame) -> DataFrame:
     spread = at.withColumn("p", F.explode(F.sequence("page", "page_to")))
     joined = spread.join(text.select(F.col("source").alias("ts"), F.col("page").alias("p2"), "text"), (F.col("source") == F.col("ts")) & (F.col("p") == F.col("p2")))
     start = F.when(F.col("p") == F.col("page"), F.col("begin")).otherwise(0)
-    cut_here = (F.col("p") == F.col("next_page")) & (F.col("next_offset") >= 0) & ((F.col("p") != F.col("page")) | (F.col("next_offset") > F.col("begin")))
+    cut_here = (F.col("p") == F.col("next_page")) & (F.col("next_offset") >= 0)
     stop = F.when(cut_here, F.col("next_offset")).otherwise(F.length("text"))
     piece = F.substr(F.col("text"), (start + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
     bodies = joined.groupBy("source", "place", "title", "breadcrumb", "page", "page_to").agg(F.array_sort(F.collect_list(F.struct("p", piece.alias("t")))).alias("parts"))
     body = F.array_join(F.filter(F.transform("parts", lambda x: strip(x["t"])), lambda x: x != ""), "\n")
     made = bodies.withColumn("body", body).filter(F.length("body") >= LEAST_BODY)
-    own = F.when(F.col("source") == "clb", clb_id(F.col("breadcrumb"))).otherwise(gl_id(F.col("breadcrumb")))
-    made = made.withColumn("plain_id", F.coalesce(own, clean_title(F.col("title"))))
-    made = made.withColumn("section_id", suffixed(made, "source", "plain_id", "place")).withColumn("id", F.row_number().over(Window.orderBy("source", "place")).cast("long"))
-    return made.select("id", "source", "section_id", clean_title(F.col("title")).alias("title"), F.array_join("breadcrumb", " > ").alias("breadcrumb"), F.col("page").alias("page_from"), "page_to", F.lit(1).alias("part"), "body")
+    made = cut(made.withColumn("k", F.struct("source", "place")))
+    own = F.coalesce(F.when(F.col("source") == "clb", clb_id(F.col("breadcrumb"))).otherwise(gl_id(F.col("breadcrumb"))), clean_title(F.col("title")))
+    # ids are numbered on keys alone; bodies are joined to them once
+    keys = made.select("k", "source", "place", own.alias("plain_id"))
+    keys = numbered(keys.withColumn("section_id", suffixed(keys, "source", "plain_id", "place")).select("k", "section_id"), "k", "id")
+    return made.join(keys, "k").select(
+        "id", "source", "section_id", clean_title(F.col("title")).alias("title"), F.array_join("breadcrumb", " > ").alias("breadcrumb"), F.col("page").alias("page_from"), "page_to", F.lit(1).alias("part"), "body"
+    )
 
 
 def section_chunks(rows: DataFrame) -> DataFrame:

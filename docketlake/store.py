@@ -1,68 +1,125 @@
 """Tables on Parquet: layout, metadata, appends by anti-join, slices overwritten.
 
-A store is a folder with one table a subfolder. Changes are written to a new
-version of the table and made current by its ``_current`` record, so readers
-never see half of a change and an interrupted one leaves the old version.
+A store is a folder with one table a subfolder. A table is the list of parts
+named by its record with the highest number; a change writes a new part and
+then a new record, so readers never see half of a change, and an interrupted
+one leaves the table as it was. Records are created, never overwritten, so of
+two writers at once the second fails. The parts of the record before stay for
+readers that have already planned on them; what only older records name is
+deleted.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .functions.once import let
+from .shared import file_system
+
+#: Parts of a table beyond which an append puts them together.
+MOST_PARTS = 64
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _current(self, table: str) -> str | None:
-        path = f"{self.path}/{table}/_current"
-        p, fs = self._fs(path)
+    def _records(self, table: str) -> list[int]:
+        """Numbers of a table's records, the latest first."""
+        p, fs = file_system(self.spark, f"{self.path}/{table}")
         if not fs.exists(p):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(p)]
+        return sorted((int(n.removeprefix("_current-")) for n in names if n.startswith("_current-")), reverse=True)
+
+    def _record(self, table: str, number: int) -> dict | None:
+        """What a record says; None while it is being written."""
+        p, fs = file_system(self.spark, f"{self.path}/{table}/_current-{number}")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
             return None
-        return self.spark.read.text(path).first()[0]
+        finally:
+            stream.close()
+
+    def _current(self, table: str) -> tuple[int, dict] | None:
+        whole = ((n, self._record(table, n)) for n in self._records(table))
+        return next(((n, r) for n, r in whole if r is not None), None)
 
     def exists(self, table: str) -> bool:
         return self._current(table) is not None
 
     def read(self, table: str) -> DataFrame:
-        version = self._current(table)
-        if version is None:
+        found = self._current(table)
+        if found is None:
             raise LookupError(f"no table {table} in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{table}/{version}")
+        record = found[1]
+        return self.spark.read.schema(StructType.fromJson(record["schema"])).parquet(*[f"{self.path}/{table}/{p}" for p in record["parts"]])
 
-    def replace(self, table: str, rows: DataFrame, sort: list[str] | None = None) -> None:
-        """Write rows as the table's new version; sort: columns whose row-group bounds look-ups use."""
-        version = f"v-{uuid.uuid4().hex}"
+    def _write(self, table: str, rows: DataFrame, sort: list[str] | None) -> str:
+        part = f"v-{uuid.uuid4().hex}"
         out = rows if sort is None else rows.repartitionByRange(*[F.col(c) for c in sort]).sortWithinPartitions(*sort)
-        out.write.option("compression", "zstd").parquet(f"{self.path}/{table}/{version}")
-        old = self._current(table)
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{table}/_current")
-        if old is not None:
-            p, fs = self._fs(f"{self.path}/{table}/{old}")
-            fs.delete(p, True)
-
-    def append_new(self, table: str, rows: DataFrame, keys: list[str]) -> None:
-        """Add the rows whose keys the table doesn't hold yet."""
-        if not self.exists(table):
-            self.replace(table, rows)
-            return
-        held = self.read(table)
-        self.replace(table, held.unionByName(rows.join(held.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True))
+        out.write.option("compression", "zstd").parquet(f"{self.path}/{table}/{part}")
+        return part
+
+    def _commit(self, table: str, last: int, parts: list[str], schema: StructType) -> None:
+        p, fs = file_system(self.spark, f"{self.path}/{table}/_current-{last + 1}")
+        stream = fs.create(p, False)  # fails if another writer was first
+        stream.write(bytearray(json.dumps({"parts": parts, "schema": schema.jsonValue()}).encode()))
+        stream.close()
+        before = self._record(table, last) if last else None
+        kept = {*parts, *(before["parts"] if before else ())}
+        for n in self._records(table):
+            if n < last:
+                for old in (self._record(table, n) or {"parts": []})["parts"]:
+                    if old not in kept:
+                        self._delete(f"{table}/{old}")
+                self._delete(f"{table}/_current-{n}")
+
+    def _delete(self, path: str) -> None:
+        p, fs = file_system(self.spark, f"{self.path}/{path}")
+        fs.delete(p, True)
+
+    def replace(self, table: str, rows: DataFrame, sort: list[str] | None = None) -> None:
+        """Write rows as the table's only part; sort: columns whose row-group bounds look-ups use."""
+        part = self._write(table, rows, sort)
+        self._commit(table, max(self._records(table), default=0), [part], rows.schema)
+
+    def append(self, table: str, rows: DataFrame, sort: list[str] | None = None) -> bool:
+        """Add rows as a part of their own; whether there were any. Columns that one side lacks are null there."""
+        found = self._current(table)
+        if found is None:
+            self.replace(table, rows, sort)
+            return True
+        number, record = found
+        held = self.spark.createDataFrame([], StructType.fromJson(record["schema"]))
+        rows = held.unionByName(rows, allowMissingColumns=True)
+        part = self._write(table, rows, sort)
+        if self.spark.read.schema(rows.schema).parquet(f"{self.path}/{table}/{part}").isEmpty():
+            self._delete(f"{table}/{part}")
+            return False
+        self._commit(table, number, [*record["parts"], part], rows.schema)
+        if len(record["parts"]) >= MOST_PARTS:
+            self.replace(table, self.read(table), sort)
+        return True
+
+    def append_new(self, table: str, rows: DataFrame, keys: list[str]) -> bool:
+        """Add the rows whose keys the table doesn't hold yet; what is there is read for its keys only."""
+        return self.append(table, new_keys(rows, self.read(table), keys) if self.exists(table) else rows)
 
     def replace_slice(self, table: str, slice_: Column, rows: DataFrame) -> None:
         """Exchange the rows for which slice_ holds."""
         self.replace(table, replaced_slice(self.read(table), slice_, rows))
 
     def set_meta(self, **values: str) -> None:
-        new = self.spark.createDataFrame([(k, str(v)) for k, v in values.items()], "key string, value string")
-        self.replace("meta", upserted(self.read("meta"), new, "key") if self.exists("meta") else new)
+        new = self.spark.createDataFrame([(k, str(v)) for k, v in values.items()], "key string, value string").coalesce(1)
+        self.replace("meta", upserted(self.read("meta"), new, "key").coalesce(1) if self.exists("meta") else new)
 
     def meta(self) -> dict[str, str]:
         return {r.key: r.value for r in self.read("meta").collect()} if self.exists("meta") else {}
@@ -92,5 +149,6 @@ def new_keys(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
 
 def repaired(bag: DataFrame, norm: Column, column: str = "provision", raw: str = "raw") -> DataFrame:
     """Normalise again the rows that were stored raw."""
-    again = (F.col(column) == F.col(raw)) & (norm != F.col(raw)) & (norm != "")
-    return bag.withColumn(column, F.when(again, norm).otherwise(F.col(column)))
+    stored_raw = F.col(column) == F.col(raw)
+    again = let(norm, lambda n: F.when((n != F.col(raw)) & (n != ""), n).otherwise(F.col(column)))
+    return bag.withColumn(column, F.when(stored_raw, again).otherwise(F.col(column)))
