@@ -42,6 +42,30 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "seq", "piece")
 
 
+_STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_SEP = "CASE WHEN contains(t, chr(10) || chr(10)) THEN chr(10) || chr(10) ELSE chr(10) END"
+#: One paragraph, or one piece of a long one, a step: what is held back, and what a step gives (emit).
+CHUNKED = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_STRIPPED.format("coalesce(text, '')")} AS t FROM documents),
+p AS (SELECT doc_id, {_SEP} AS sep, list_filter(list_transform(string_split(t, {_SEP}), lambda x: {_STRIPPED.format("x")}), lambda x: x <> '') AS ps FROM d WHERE length(t) > 1600),
+s AS (
+  SELECT doc_id, 0 AS step, 1 AS i, NULL::VARCHAR AS rest, NULL::VARCHAR AS held, 0::BIGINT AS size, NULL::VARCHAR AS emit, false AS done FROM p
+  UNION ALL
+  SELECT doc_id, step + 1, CASE WHEN rest IS NULL AND q IS NOT NULL THEN i + 1 ELSE i END,
+    CASE WHEN rest IS NOT NULL THEN nullif(substr(rest, stop + 1), '') WHEN length(q) > 1600 THEN q END,
+    CASE WHEN rest IS NOT NULL THEN held WHEN q IS NULL OR length(q) > 1600 THEN NULL WHEN over THEN concat_ws(sep, nullif(tail, ''), q) ELSE concat_ws(sep, held, q) END,
+    CASE WHEN rest IS NOT NULL THEN size WHEN q IS NULL OR length(q) > 1600 THEN 0 WHEN over THEN length(tail) + length(q) + 2 ELSE size + length(q) + 2 END,
+    CASE WHEN rest IS NOT NULL THEN nullif({_STRIPPED.format("substr(rest, 1, stop)")}, '') WHEN q IS NULL OR length(q) > 1600 OR over THEN held END,
+    rest IS NULL AND q IS NULL
+  FROM (SELECT *, length(q) <= 1600 AND held IS NOT NULL AND size + length(q) + 2 > 1600 AS over,
+          CASE WHEN length(rest) > 1600 AND blank > 0 AND 1600 - blank > 800 THEN 1600 - blank ELSE least(1600, length(rest)) END AS stop,
+          CASE WHEN length(held) <= 200 THEN '' WHEN instr(right(held, 200), ' ') > 1 THEN substr(right(held, 200), instr(right(held, 200), ' ') + 1) ELSE right(held, 200) END AS tail
+        FROM (SELECT s.*, sep, ps[i] AS q, instr(reverse(substr(rest, 1, 1600)), ' ') AS blank FROM s JOIN p USING (doc_id) WHERE NOT done))),
+c AS (SELECT doc_id, step, emit FROM s WHERE emit IS NOT NULL UNION ALL SELECT doc_id, 0, t FROM d WHERE length(t) BETWEEN 1 AND 1600)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1)::INT AS seq, emit AS piece FROM c
+"""
+
+
 def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that fit in one chunk are that chunk; longer ones have several, none over the bound."""
     docs = table(spark, sf_dir, "documents").withColumn("t", F.regexp_replace("text", r"^\s+|\s+$", ""))
@@ -130,6 +154,6 @@ QUERIES = {
     "inline_casenum": inline_cases, "legalref_normalize": legal_refs, "legalref_typed_variants": typed, "text_fields": fields,
 }
 SQL = {
-    "passage_budget_page": BUDGET, "passage_lexical_score": LEXICAL, "chunker_bounds": CHUNK_BOUNDS, "casenum_format_parse": CASE_NUMBERS,
+    "passage_budget_page": BUDGET, "passage_lexical_score": LEXICAL, "chunker": CHUNKED, "chunker_bounds": CHUNK_BOUNDS, "casenum_format_parse": CASE_NUMBERS,
     "inline_casenum": INLINE_CASES, "legalref_normalize": LEGAL_REFS, "legalref_typed_variants": TYPED, "text_fields": FIELDS,
 }

@@ -33,10 +33,23 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(repr([r[c] for c in order]) for r in df.collect()) == sorted(repr([r[columns.index(c)] for c in order]) for r in want)
 
 
-def test_flagship(spark):
-    assert entry.entry(spark).columns == ["doc_id", "source", "score"]
+def test_all_of_the_reference_side_has_sql():
+    from docketlake import oracle
+
+    assert oracle.queries().keys() == oracle.oracle_sql().keys()
+
 
+def test_made_once_and_again_for_other_files(spark, tmp_path):
+    from docketlake.oracle import tables
 
-def test_rows_only_queries(spark):
-    for name in ("chunker", "snippet"):
-        assert entry.queries()[name](spark, FOLDER).count() >= 0
+    calls = []
+    spark.range(3).write.parquet(str(tmp_path / "documents.parquet"))
+    for _ in range(2):
+        tables.made(spark, str(tmp_path), ["documents"], "test", calls.append)
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    tables.made(spark, str(tmp_path), ["documents"], "test", calls.append)
+    assert len(calls) == 2 == len(set(calls))
+
+
+def test_flagship(spark):
+    assert entry.entry(spark).columns == ["doc_id", "source", "score"]
