@@ -5,12 +5,14 @@ Its anchor is its smallest gram of ``gram`` symbols under a hash, leftmost on a
 tie; equal windows have equal anchors at equal offsets, so only windows with
 the same anchor need to be compared. Consecutive windows with one anchor form a
 block, the unit that is stored: one row of a few numbers for every
-(length - gram) / 2 symbols, instead of one for every symbol.
+(length - gram) / 2 symbols, instead of one for every symbol. A block also
+says where in it the anchor stands (pos).
 
 Blocks with the same content are counted before anything is moved to one place,
 so a passage copied a million times is one row for each map task. What is left
 are anchors that occur in different blocks; how those are resolved is up to the
-caller (``window_counts`` here is exact for groups of any size).
+caller (``window_counts`` here is exact for groups of any size). Rows are joined
+to counted keys by ``by_key``, so the rows of a frequent key never meet.
 """
 
 from __future__ import annotations
@@ -99,8 +101,8 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def blocks_of(symbols: np.ndarray, sizes: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and number of windows of every block of documents laid end to end."""
+def blocks_of(symbols: np.ndarray, sizes: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first window, number of windows and the anchor's place in every block of documents laid end to end."""
     h, length, n = unit.grams(symbols), unit.length, len(symbols)
     ends = np.cumsum(sizes)
     span_end = np.repeat(ends, sizes)
@@ -116,12 +118,12 @@ def blocks_of(symbols: np.ndarray, sizes: np.ndarray, unit: Unit) -> tuple[np.nd
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
     windows = np.flatnonzero(np.arange(n - length + 1) + length <= span_end[: n - length + 1])
     if not len(windows):
-        return np.zeros(0, np.int64), windows, windows
+        return np.zeros(0, np.int64), windows, windows, windows
     anchor = (least[windows] & low).astype(np.int64)
     new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)))
     first = np.flatnonzero(new)
     counts = np.diff(np.concatenate((first, [len(windows)])))
-    return h[anchor[first]].view(np.int64), windows[first], counts
+    return h[anchor[first]].view(np.int64), windows[first], counts, anchor[first] - windows[first]
 
 
 def _pieces(sizes: list[int], length: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -143,20 +145,22 @@ def _pieces(sizes: list[int], length: int) -> Iterator[list[tuple[int, int, int]
         yield held
 
 
-BLOCK_ROWS = "doc long, anchor long, block long, start int, n int"
+#: Windows that are handed on at once.
+AT_ONCE = 20_000
+BLOCK_ROWS = "doc long, anchor long, block long, start int, n int, pos int"
 
 
 def _scan(unit: Unit):
-    schema = pa.schema([("doc", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+    schema = pa.schema([("doc", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo in range(0, batch.num_rows, 512):
-                texts = [unit.split(x) for x in batch.column(1).slice(lo, 512).to_pylist()]
+            for lo in range(0, batch.num_rows, 256):
+                texts = [unit.split(x) for x in batch.column(1).slice(lo, 256).to_pylist()]
                 for part in _pieces([len(t[0]) for t in texts], unit.length):
                     sizes = np.array([e - b for _, b, e in part])
-                    anchors, firsts, counts = blocks_of(np.concatenate([texts[i][0][b:e] for i, b, e in part]), sizes, unit)
+                    anchors, firsts, counts, pos = blocks_of(np.concatenate([texts[i][0][b:e] for i, b, e in part]), sizes, unit)
                     offsets = np.cumsum(sizes) - sizes
                     which = np.searchsorted(offsets, firsts, side="right") - 1
                     docs = np.array([i for i, _, _ in part])[which]
@@ -166,7 +170,8 @@ def _scan(unit: Unit):
                         dtype=np.uint64,
                         count=len(docs),
                     ).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo + docs]), pa.array(anchors), pa.array(content), pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32))], schema=schema)
+                    ints = [pa.array(x.astype(np.int32)) for x in (starts, counts, pos)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo + docs]), pa.array(anchors), pa.array(content), *ints], schema=schema)
 
     return run
 
@@ -182,28 +187,52 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(row_key(F.col(doc_id), t).alias("doc"), F.coalesce(t.cast("binary"), F.lit(b"")).alias("raw"))
 
 
+#: Keys that by_key treats as frequent are fewer than this (24 bytes each).
+MOST_FREQUENT = 20_000
+
+
+def by_key(rows: DataFrame, counted: DataFrame, on: list[str], count: str, columns: list[str] = []) -> DataFrame:  # noqa: B006
+    """rows of the keys in counted, a table of distinct keys and how many rows each has, with columns of it.
+
+    Keys of more than a 20,000th of all rows (and of 1,000 at least) are fewer
+    than 20,000: these are broadcast, and their rows stay where they are. The
+    others are joined by a shuffle.
+    """
+    total, largest = counted.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    most = max(1000, total // MOST_FREQUENT)
+    if largest <= most:
+        return rows.join(counted.select(*on, *columns), on)
+    frequent = F.broadcast(counted.filter(F.col(count) > most).select(*on, *columns))
+    others = rows.join(frequent.select(*on), on, "left_anti")
+    return rows.join(frequent, on).unionByName(others.join(counted.filter(F.col(count) <= most).select(*on, *columns), on))
+
+
 def recurring(docs: DataFrame, unit: Unit) -> DataFrame:
-    """Blocks whose anchor occurs more than once: doc, anchor, block, start, n, mixed.
+    """Blocks whose anchor occurs more than once: doc, anchor, block, start, n, pos, mixed.
 
     mixed: the anchor occurs in blocks of different content.
     """
     found = cut(keyed(docs).mapInArrow(_scan(unit), BLOCK_ROWS))
-    several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), (F.min("block") != F.max("block")).alias("mixed")).filter("k > 1").select("anchor", "mixed")
-    several = cut(several, free=True)  # as a table of its own, so that the join below can split an anchor with many rows
-    out = cut(found.join(several, "anchor"), free=True)
-    drop_cut(found)
+    several = cut(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), (F.min("block") != F.max("block")).alias("mixed")).filter("k > 1"))
+    out = cut(by_key(found, several, ["anchor"], "k", ["mixed"]))
+    drop_cut(found, several)
     return out
 
 
 def distinct_blocks(found: DataFrame) -> DataFrame:
-    """One row for each content: anchor, block, mixed, copies and one place (doc, start, n)."""
+    """One row for each content: anchor, block, pos, n, mixed, copies and one place (doc, start)."""
     return (
         found.groupBy("anchor", "block")
-        .agg(F.count(F.lit(1)).alias("copies"), F.max("mixed").alias("mixed"), F.min(F.struct("doc", "start", "n")).alias("at"))
-        .select("anchor", "block", "copies", "mixed", "at.doc", "at.start", "at.n")
+        .agg(F.count(F.lit(1)).alias("copies"), F.max("mixed").alias("mixed"), F.min(F.struct("doc", "start", "n", "pos")).alias("at"))
+        .select("anchor", "block", "copies", "mixed", "at.doc", "at.start", "at.n", "at.pos")
     )
 
 
+def recurring_blocks(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The places of blocks that occur as a whole more than once."""
+    return by_key(found, blocks.filter("copies > 1"), ["anchor", "block"], "copies")
+
+
 def with_places(docs: DataFrame, places: DataFrame, out: str, run) -> DataFrame:
     """Apply run (Arrow batches of doc, raw, places) to the documents that have places.
 
@@ -224,10 +253,11 @@ def window_counts(docs: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
     length = unit.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[] for _ in schema]
+        full = lambda: pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                cols: list[list] = [[], [], [], [], [], []]
-                for doc, raw, places in zip(*(batch.column(c).slice(lo, 256).to_pylist() for c in ("doc", "raw", "places")), strict=True):
+            for lo in range(0, batch.num_rows, 64):
+                for doc, raw, places in zip(*(batch.column(c).slice(lo, 64).to_pylist() for c in ("doc", "raw", "places")), strict=True):
                     symbols, text, begins = unit.split(raw)
                     for p in places:
                         s, n = p["start"], p["n"]
@@ -237,22 +267,19 @@ def window_counts(docs: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
                             x.extend([v] * n)
                         cols[4].extend(range(s, s + n))
                         cols[5].extend(signed(xxhash.xxh3_64_intdigest(cut_out(text, begins, i, length))) for i in range(s, s + n))
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-    rows = with_places(docs, mixed.select("doc", "anchor", "block", "copies", "start", "n"), WINDOW_ROWS, run)
-    return shared_windows(rows)
-
-
-WINDOW_ROWS = "doc long, anchor long, block long, copies long, at int, window long"
-
-
-def shared_windows(rows: DataFrame) -> DataFrame:
-    """Runs of the windows of blocks that occur once which another block of their anchor also has."""
-    rows = cut(rows.distinct(), free=True)
-    shared = rows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor", "window")
-    lone = rows.filter("copies = 1").join(shared, ["anchor", "window"], "left_semi")
-    return runs_of(lone)
+                        if len(cols[0]) >= AT_ONCE:
+                            yield full()
+                            cols = [[] for _ in schema]
+        if cols[0]:
+            yield full()
+
+    rows = cut(with_places(docs, mixed.select("doc", "anchor", "block", "copies", "start", "n"), "doc long, anchor long, block long, copies long, at int, window long", run))
+    # the windows of one block all differ, as each has the anchor at another offset
+    counts = rows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("k"), (F.min("block") != F.max("block")).alias("shared"))
+    shared = cut(counts.filter("shared").select("anchor", "window", "k"))
+    out = cut(runs_of(by_key(rows.filter("copies = 1"), shared, ["anchor", "window"], "k")))
+    drop_cut(rows, shared)
+    return out
 
 
 def runs_of(windows: DataFrame) -> DataFrame:

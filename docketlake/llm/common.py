@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,48 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..shared import cut, drop_cut, file_system, ship
+
+__all__ = ["SPACES", "cut", "dealt", "documents", "drop_cut", "name", "packed", "prepare", "with_column", "words"]
+
 #: ASCII white space, the separators of words (fixed value).
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 
-_own_folder: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="docketlake-"))
-    return base.rstrip("/")
-
-
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    Lineage ends at files that every executor reads, so a lost executor costs
-    one task. The written table's size is known to the optimizer, which then
-    broadcasts it only below its threshold. free: drop the shuffle files of
-    finished steps now.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/docketlake-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if free:
-        gc.collect()
-        spark._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out._docketlake_path = path
-    return out
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table made by cut(), once nothing reads them."""
-    path = getattr(df, "_docketlake_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
 
 def name(c: str) -> Column:
     """Column c by its exact name, dots included."""
@@ -97,32 +58,31 @@ def words(text: Column) -> Column:
     return F.when(text.isNull() | (inner == ""), F.array().cast("array<string>")).otherwise(F.split(inner, SPACE_CLASS))
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the workers, once a session, for clusters where it isn't installed."""
-    app, root = spark.sparkContext.applicationId, Path(__file__).parents[1]
-    if app not in _shipped and root.is_dir():
-        _shipped.add(app)
-        target = Path(tempfile.mkdtemp(prefix="docketlake-")) / "docketlake.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(target))
-
-
 #: Rows of an Arrow batch that holds whole texts; the setting's own default makes batches of tens of MB on both sides.
 BATCH_ROWS, BATCH_SETTING, BATCH_DEFAULT = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ready a session for whole texts in Python workers: the package is there, and batches are small unless set otherwise."""
+    """What queries and stages, never operators, do to a session: send the package, and make batches of whole texts small where the caller left their size as it was."""
     ship(spark)
     if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
         spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
+#: Bytes a core of tables that are dealt to all cores.
+SMALL_TABLE = 32 << 20
+
+
+def dealt(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. One of fewer files than cores that is also small is dealt to all cores, since a file of one row group is one task; larger ones are read as they are."""
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) < cores:
+        p, fs = file_system(spark, path)
+        if fs.getContentSummary(p).getLength() < SMALL_TABLE * cores:
+            return rows.repartition(cores)
+    return rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return dealt(spark, f"{sf_dir}/documents.parquet")

@@ -9,6 +9,10 @@
 3. Stream every document of the shard through the automaton to locate every
    occurrence of every passage; the words covered are repeated.
 
+A document's shard follows from its row's key. Rows that are alike in id and
+text are dealt over as many shards as their bytes need, each with their
+passages, so a row that is repeated without bound doesn't fill one shard.
+
 Defined results: null text has no words; a text shorter than the window is kept
 whole; a text's words are joined by single spaces; repeated rows repeat each
 other, so all their windows are covered.
@@ -20,32 +24,48 @@ import hashlib
 from itertools import compress, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .anchors import Unit, cut_out, distinct_blocks, recurring, row_key, runs_of, signed, window_counts
+from .anchors import MOST_FREQUENT, Unit, distinct_blocks, recurring, recurring_blocks, row_key, signed, window_counts
 from .common import cut, drop_cut, name
 
-__all__ = ["confirmed_passages", "remove_repeats", "runs_of"]
-
 #: Bytes of text in a shard.
 SHARD_BYTES = 2 << 20
 
 
-def confirmed_passages(docs: DataFrame, unit: Unit, shards: int) -> DataFrame:
+def spread_rows(docs: DataFrame, shard_bytes: int) -> tuple[int, DataFrame]:
+    """The number of shards, and (doc, shares): the keys of rows that are repeated so often that they are dealt over shares of shards.
+
+    These are fewer than MOST_FREQUENT and so a small table.
+    """
+    size = F.octet_length("text").cast("long")
+    keys = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("doc"), F.coalesce(size, F.lit(0)).alias("size"))
+    keys = cut(keys.groupBy("doc").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("bytes")))
+    n, total = keys.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    most, bytes_ = max(1, n // MOST_FREQUENT), max(shard_bytes, total // MOST_FREQUENT)
+    return 1 + total // shard_bytes, keys.filter((F.col("k") > most) & (F.col("bytes") > bytes_)).select("doc", (F.floor(F.col("bytes") / shard_bytes) + 1).cast("int").alias("shares"))
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod(F.xxhash64("doc", "share"), F.lit(shards)).cast("int").alias("shard")
+
+
+def confirmed_passages(docs: DataFrame, unit: Unit, shards: int, spread: DataFrame) -> DataFrame:
     """Passages to look for: shard, doc, start, n (words) of one place in each shard, and its hash if it is a block."""
     found = recurring(docs, unit)
-    blocks = cut(distinct_blocks(found), free=True)
+    blocks = cut(distinct_blocks(found))
     parts = window_counts(docs, blocks.filter("mixed"), unit)
-    whole = found.join(blocks.filter("copies > 1").select("anchor", "block"), ["anchor", "block"])
-    whole = whole.withColumn("shard", F.pmod("doc", F.lit(shards)).cast("int")).groupBy("shard", "anchor", "block").agg(F.min(F.struct("doc", "start", "n")).alias("at"))
+    every = F.sequence(F.lit(0), F.coalesce(F.col("shares"), F.lit(1)) - 1)
+    whole = recurring_blocks(found, blocks).join(F.broadcast(spread), "doc", "left").withColumn("share", F.explode(every))
+    whole = whole.groupBy(_shard(shards), "anchor", "block").agg(F.min(F.struct("doc", "start", "n")).alias("at"))
     whole = whole.select("shard", "at.doc", "at.start", (F.col("at.n") + (unit.length - 1)).alias("n"), "block", F.lit(True).alias("whole"))
-    some = parts.select(F.pmod("doc", F.lit(shards)).cast("int").alias("shard"), "doc", "start", (F.col("n") + (unit.length - 1)).alias("n"), F.lit(0).cast("long").alias("block"), F.lit(False).alias("whole"))
-    out = cut(whole.unionByName(some), free=True)
-    drop_cut(found)
-    drop_cut(blocks)
+    some = parts.withColumn("share", F.lit(0)).select(_shard(shards), "doc", "start", (F.col("n") + (unit.length - 1)).alias("n"), F.lit(0).cast("long").alias("block"), F.lit(False).alias("whole"))
+    out = cut(whole.unionByName(some))
+    drop_cut(found, blocks)
     return out
 
 
@@ -78,19 +98,20 @@ class _Numbers(dict):
         return n
 
 
-def locate(unit: Unit, keep_text: bool):
+def locate(unit: Unit, keep_text: bool, id_type: pa.DataType):
     """The function of a shard: its documents and its passages to spans and what is kept."""
+    types = [("doc_id", id_type), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept_sha256", pa.string()), ("kept", pa.string())]
 
-    def run(docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+    def run(docs: pa.Table, places: pa.Table) -> pa.Table:
         import ahocorasick
 
         numbers = _Numbers()
-        split = [raw.split() for raw in docs["raw"]]
+        split = [raw.as_py().split() for raw in docs["raw"]]
         rows: dict[int, list[int]] = {}
-        for i, doc in enumerate(docs["doc"]):
+        for i, doc in enumerate(docs["doc"].to_pylist()):
             rows.setdefault(doc, []).append(i)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for doc, start, n, block, whole in zip(places["doc"], places["start"], places["n"], places["block"], places["whole"], strict=True):
+        for doc, start, n, block, whole in zip(*(places[c].to_pylist() for c in ("doc", "start", "n", "block", "whole")), strict=True):
             for i in rows.get(doc, ()):
                 passage = split[i][start : start + n]
                 if len(passage) == n and (not whole or signed(xxhash.xxh3_64_intdigest(b" ".join(passage))) == block):
@@ -98,8 +119,8 @@ def locate(unit: Unit, keep_text: bool):
         found = len(automaton) > 0
         if found:
             automaton.make_automaton()
-        out = []
-        for doc_id, parts in zip(docs["doc_id"], split, strict=True):
+        out: list[list] = [[] for _ in types]
+        for i, parts in enumerate(split):
             gone = _covered(list(map(numbers.get, parts, repeat(0))), automaton, unit.length) if found and parts else None
             if gone is None:
                 kept, spans, n_gone = b" ".join(parts), [], 0
@@ -107,28 +128,23 @@ def locate(unit: Unit, keep_text: bool):
                 kept = b" ".join(compress(parts, (~gone).tolist()))
                 spans = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2).tolist()
                 n_gone = int(gone.sum())
-            out.append((doc_id, len(parts), n_gone, spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "spans", "kept_sha256", "kept"])
-
-    def grouped(key, docs: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
-        return run(docs, places)
+            for column, x in zip(out[1:], (len(parts), n_gone, spans, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None), strict=True):
+                column.append(x)
+            split[i] = []
+        return pa.table([docs["doc_id"], *[pa.array(x, t) for x, (_, t) in zip(out[1:], types[1:], strict=True)]], schema=pa.schema(types))
 
-    return grouped
+    return run
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 35, gram: int = 8, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, spans (first word, word after), kept_sha256 and kept (null unless keep_text), a row for each row of docs."""
     docs = docs.select(name(doc_id).alias("doc_id"), name(text).alias("text"))
     unit = Unit("words", length, gram)
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = 1 + total // shard_bytes
-    places = confirmed_passages(docs, unit, shards)
-    key = row_key(F.col("doc_id"), F.col("text"))
-    # ids pass through pandas as text, since pandas has no nulls in integers
-    rows = docs.select(key.alias("doc"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
-    rows = rows.withColumn("shard", F.pmod("doc", F.lit(shards)).cast("int"))
-    id_type = dict(docs.dtypes)["doc_id"]
-    out = rows.groupBy("shard").cogroup(places.groupBy("shard")).applyInPandas(
-        locate(unit, keep_text), "doc_id string, n_words long, n_removed long, spans array<array<int>>, kept_sha256 string, kept binary"
+    shards, spread = spread_rows(docs, shard_bytes)
+    places = confirmed_passages(docs, unit, shards, spread)
+    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("doc"), "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")).join(F.broadcast(spread), "doc", "left")
+    rows = rows.withColumn("share", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("shares")), F.lit(0)).cast("int")).select(_shard(shards), "doc", "doc_id", "raw")
+    kind = dict(docs.dtypes)["doc_id"]
+    return rows.groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(
+        locate(unit, keep_text, to_arrow_type(docs.schema["doc_id"].dataType)), f"doc_id {kind}, n_words long, n_removed long, spans array<array<int>>, kept_sha256 string, kept string"
     )
-    return out.withColumn("doc_id", F.col("doc_id").cast(id_type)).withColumn("kept", F.col("kept").cast("string"))

@@ -5,9 +5,13 @@ Blocks of equal content are counted first and enter once. The distinct blocks
 of anchors with more than one content go, by anchor, to shards of bounded size;
 a shard's Burrows-Wheeler transform is searched by threshold-bounded interval
 expansion (see ``bwt``) for the strings that start at two places or more.
-Anchors with more distinct blocks than ``most_blocks`` don't fit in a shard;
-their windows are counted by hash instead, exactly and summed before the
-shuffle, so no group is ever held in one task.
+
+Anchors with more distinct blocks than fit in a shard are split by context: a
+string has its anchor at one of length - gram + 1 offsets, these are divided
+into ranges, and blocks can only share a string of a range if they agree in what
+all its offsets have left and right of the anchor. Groups that are still too
+large are divided again; a range of one offset has the whole string as context,
+so a group of it is one string that occurs as often as the group has blocks.
 
 Defined results: null text is empty; texts shorter than the minimum are kept
 whole; matches never cross documents; repeated rows repeat each other.
@@ -18,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import WINDOW_ROWS, Unit, byte_grams, distinct_blocks, recurring, row_key, runs_of, shared_windows, signed, with_places
+from .anchors import Unit, by_key, distinct_blocks, recurring, recurring_blocks, row_key, runs_of, signed, with_places
 from .bwt import repeated_starts
 from .common import cut, drop_cut, name
 
@@ -35,44 +40,25 @@ SHARD_BYTES = 2 << 20
 
 
 def _slices(length: int):
-    schema = pa.schema([("doc", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64()), ("copies", pa.int64()), ("start", pa.int32()), ("content", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64()), ("copies", pa.int64()), ("start", pa.int32()), ("pos", pa.int32()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
+            for lo in range(0, batch.num_rows, 256):
                 out = []
-                for doc, raw, places in zip(*(batch.column(c).slice(lo, 1000).to_pylist() for c in ("doc", "raw", "places")), strict=True):
+                for doc, raw, places in zip(*(batch.column(c).slice(lo, 256).to_pylist() for c in ("doc", "raw", "places")), strict=True):
                     for p in places:
                         content = raw[p["start"] : p["start"] + p["n"] + length - 1]
                         if signed(xxhash.xxh3_64_intdigest(content)) == p["block"]:
-                            out.append((doc, p["anchor"], p["block"], p["copies"], p["start"], content))
+                            out.append((doc, p["anchor"], p["block"], p["copies"], p["start"], p["pos"], content))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _windows(length: int):
-    """The windows of block contents, by hash."""
-    schema = pa.schema([("doc", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64()), ("copies", pa.int64()), ("at", pa.int32()), ("window", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                out: list[list] = [[] for _ in schema]
-                for *keys, start, content in zip(*(batch.column(c).slice(lo, 500).to_pylist() for c in ("doc", "anchor", "block", "copies", "start", "content")), strict=True):
-                    n = len(content) - length + 1
-                    for column, key in zip(out, keys, strict=False):
-                        column.extend([key] * n)
-                    out[4].extend(range(start, start + n))
-                    out[5].extend(signed(xxhash.xxh3_64_intdigest(content[i : i + length])) for i in range(n))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-
-    return run
-
-
-def _trimmed(anchors: np.ndarray, contents: list[bytes], unit: Unit, steps: int = 8) -> tuple[list[int], list[bytes]]:
-    """Where in each block strings can begin that another block may hold, and that part of it (empty: none).
+def _trimmed(keys: list, at: list[int], contents: list[bytes], unit: Unit, steps: int = 8) -> tuple[list[int], list[bytes]]:
+    """Where in each block strings can begin that another block of its key may hold, and that part of it (empty: none).
 
     A string around the anchor can only occur in another block if what it has
     left of the anchor, and what it has right of it, also does. Both are tested
@@ -80,24 +66,17 @@ def _trimmed(anchors: np.ndarray, contents: list[bytes], unit: Unit, steps: int
     """
     room = unit.length - unit.gram
     levels = [room * (k + 1) // steps for k in range(steps)]
-    ends = np.cumsum([len(c) for c in contents])
-    begins = ends - [len(c) for c in contents]
-    grams = byte_grams(np.frombuffer(b"".join(contents), dtype=np.uint8), unit.gram).view(np.int64)
-    owner = np.repeat(np.arange(len(contents)), ends - begins)[: len(grams)]
-    hit = np.flatnonzero((grams == anchors[owner]) & (np.arange(len(grams)) - begins[owner] <= room))
-    at = np.zeros(len(contents), dtype=np.int64)
-    at[owner[hit[::-1]]] = hit[::-1] - begins[owner[hit[::-1]]]
     seen: Counter = Counter()
-    keys = []
-    for anchor, content, p in zip(anchors.tolist(), contents, at.tolist(), strict=True):
+    sides_of = []
+    for key, content, p in zip(keys, contents, at, strict=True):
         q = p + unit.gram
-        left = [(anchor, content[p - d : p]) for d in levels if p >= d]
-        right = [(anchor, d, content[q : q + d]) for d in levels if q + d <= len(content)]
-        keys.append((left, right))
+        left = [(key, content[p - d : p]) for d in levels if p >= d]
+        right = [(key, d, content[q : q + d]) for d in levels if q + d <= len(content)]
+        sides_of.append((left, right))
         seen.update(left)
         seen.update(right)
     cuts, parts = [], []
-    for content, p, sides in zip(contents, at.tolist(), keys, strict=True):
+    for content, p, sides in zip(contents, at, sides_of, strict=True):
         q, reach = p + unit.gram, []
         for side in sides:
             shared = next((i for i, k in enumerate(side) if seen[k] < 2), len(side))
@@ -110,8 +89,8 @@ def _trimmed(anchors: np.ndarray, contents: list[bytes], unit: Unit, steps: int
 
 def _search(unit: Unit):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.drop_duplicates(["anchor", "block"]).reset_index(drop=True)
-        cuts, parts = _trimmed(shard["anchor"].to_numpy(), shard["content"].tolist(), unit)
+        shard = shard.drop_duplicates(["anchor", "key", "block"]).reset_index(drop=True)
+        cuts, parts = _trimmed(list(zip(shard["anchor"], shard["key"], strict=True)), shard["pos"].tolist(), shard["content"].tolist(), unit)
         held = np.flatnonzero([len(p) > 0 for p in parts])
         text, offset = repeated_starts([parts[i] for i in held.tolist()], unit.length)
         text = held[text]
@@ -124,35 +103,65 @@ def _search(unit: Unit):
     return run
 
 
+#: Ranges that a range of offsets is divided into.
+FAN = 8
+
+
+def _divided(groups: DataFrame, unit: Unit) -> DataFrame:
+    """Each block once for every part of its range of offsets in which it has a string, cut to these, keyed by their common context."""
+    room = unit.length - unit.gram
+    step = F.ceil((F.col("hi") - F.col("lo")) / FAN).cast("int")
+    ranges = F.filter(F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda j: F.struct((F.col("lo") + j * step).alias("lo"), F.least(F.col("hi"), F.col("lo") + (j + 1) * step).alias("hi"))), lambda r: r["lo"] < r["hi"])
+    rows = groups.select("doc", "anchor", "block", "copies", "start", "pos", "content", F.explode(ranges).alias("r")).select("*", "r.lo", "r.hi").drop("r")
+    right = F.octet_length("content") - F.col("pos") - unit.gram
+    rows = rows.filter((F.col("pos") >= F.col("lo")) & (right >= room - F.col("hi") + 1))
+    context = F.substr(F.col("content"), F.col("pos") - F.col("lo") + 1, F.col("lo") + (unit.gram + room + 1) - F.col("hi"))
+    begin = F.greatest(F.col("pos") - F.col("hi") + 1, F.lit(0))
+    end = F.least(F.col("pos") + unit.length - F.col("lo"), F.octet_length("content"))
+    return rows.select("anchor", F.xxhash64("lo", "hi", context).alias("key"), "lo", "hi", "doc", "block", "copies", (F.col("start") + begin).alias("start"), (F.col("pos") - begin).alias("pos"), F.substr("content", begin + 1, end - begin).alias("content"))
+
+
+def _found_in(contents: DataFrame, unit: Unit, shard_bytes: int, most_blocks: int) -> DataFrame:
+    """Starts (doc, anchor, block, at) of repeated strings in blocks that occur once."""
+    groups = contents.select("anchor", F.lit(0).cast("long").alias("key"), F.lit(0).alias("lo"), F.lit(unit.length - unit.gram + 1).alias("hi"), "doc", "block", "copies", "start", "pos", "content")
+    on, out = ["anchor", "key"], []
+    while True:
+        sizes = groups.groupBy(*on).agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("content")).alias("bytes")).filter("k > 1")
+        sizes = cut(sizes)
+        fit = sizes.filter(F.col("k") <= most_blocks)
+        total = fit.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+        shard = F.pmod(F.xxhash64(*on), F.lit(1 + total // shard_bytes)).alias("shard")
+        out.append(cut(by_key(groups, fit, on, "k").groupBy(shard).applyInPandas(_search(unit), "doc long, anchor long, block long, at int")))
+        crowded = sizes.filter(F.col("k") > most_blocks)
+        if crowded.isEmpty():
+            break
+        large = cut(by_key(groups, crowded, on, "k"))
+        if len(out) > 1:
+            drop_cut(groups)
+        one = F.col("hi") - F.col("lo") == 1
+        out.append(cut(large.filter(one & (F.col("copies") == 1)).select("doc", "anchor", "block", (F.col("start") + F.col("pos") - F.col("lo")).alias("at"))))
+        groups = cut(_divided(large.filter(~one), unit))
+        drop_cut(large, sizes)
+    return reduce(DataFrame.unionByName, out)
+
+
 def repeated_spans(docs: DataFrame, unit: Unit, *, shard_bytes: int = SHARD_BYTES, most_blocks: int | None = None) -> DataFrame:
     """Runs of repeated windows: doc, start, n (windows)."""
-    most_blocks = most_blocks or max(2, shard_bytes // unit.length)
     found = recurring(docs, unit)
-    blocks = cut(distinct_blocks(found), free=True)
-    mixed = blocks.filter("mixed")
-    crowded = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > most_blocks).select("anchor")
-    crowded = cut(crowded)
-    columns = ["doc", "anchor", "block", "copies", "start", "n"]
-    contents = cut(with_places(docs, mixed.select(*columns), "doc long, anchor long, block long, copies long, start int, content binary", _slices(unit.length)), free=True)
-    usual = contents.join(crowded, "anchor", "left_anti")
-    total = contents.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
-    shards = 1 + total // shard_bytes
-    searched = usual.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(_search(unit), "doc long, anchor long, block long, at int")
-    parts = runs_of(searched)
-    if not crowded.isEmpty():
-        parts = parts.unionByName(shared_windows(contents.join(crowded, "anchor", "left_semi").mapInArrow(_windows(unit.length), WINDOW_ROWS)))
-    whole = found.join(blocks.filter("copies > 1").select("anchor", "block"), ["anchor", "block"])
-    out = cut(whole.select("doc", "start", "n").unionByName(parts.select("doc", "start", "n")).distinct(), free=True)
-    for x in (found, blocks, contents, crowded):
-        drop_cut(x)
+    blocks = cut(distinct_blocks(found))
+    mixed = blocks.filter("mixed").select("doc", "anchor", "block", "copies", "start", "n", "pos")
+    contents = cut(with_places(docs, mixed, "doc long, anchor long, block long, copies long, start int, pos int, content binary", _slices(unit.length)))
+    parts = runs_of(_found_in(contents, unit, shard_bytes, most_blocks or max(2, shard_bytes // unit.length)))
+    out = cut(recurring_blocks(found, blocks).select("doc", "start", "n").unionByName(parts.select("doc", "start", "n")).distinct())
+    drop_cut(found, blocks, contents)
     return out
 
 
 def _remove(length: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
                 raws, places = part.column("raw").to_pylist(), part.column("places").to_pylist()
                 removed, spans, digests, kept = [], [], [], []
                 for raw, found in zip(raws, places, strict=True):

@@ -8,7 +8,7 @@ import pytest
 
 from docketlake.llm.anchors import PIECE, Unit, blocks_of
 from docketlake.llm.bwt import repeated_starts
-from docketlake.llm.passages import remove_repeats
+from docketlake.llm.passages import remove_repeats, spread_rows
 from docketlake.llm.suffixes import remove_repeated_bytes
 
 from .frames import frame, pairs, plain, prose
@@ -62,6 +62,35 @@ def test_bytes_of_mixed_rows(spark, most_blocks):
     assert got(df, "n_bytes") == expected(rows, 80, "bytes")
 
 
+def test_crowded_anchors_are_split_by_context(spark):
+    """One passage in many surroundings: every border of it is a crowded anchor."""
+    r, passage = random.Random(11), prose(60, 77, 50)
+    rows = [(i, prose(r.randrange(0, 12), 500 + i, 9) + " " + passage[r.choice([0, 0, 40]) : r.choice([None, -30])] + " " + prose(r.randrange(0, 12), 900 + i, 9)) for i in range(60)]
+    for most in (1, 3, 20):
+        df = remove_repeated_bytes(plain(spark, rows), length=80, gram=8, shard_bytes=3000, most_blocks=most)
+        assert got(df, "n_bytes") == expected(rows, 80, "bytes")
+
+
+def test_frequent_keys_are_broadcast(spark, monkeypatch):
+    from docketlake.llm import anchors
+
+    rows = spark.createDataFrame([(i % 3 if i % 2 else 7, i) for i in range(5000)], "k int, v int")
+    counted = rows.groupBy("k").count().filter("k > 0").withColumn("more", F.col("k") * 2)
+    joined = anchors.by_key(rows, counted, ["k"], "count", ["more"])
+    assert sorted(map(tuple, joined.collect())) == sorted((k, v, 2 * k) for k, v in map(tuple, rows.collect()) if k > 0)
+
+
+@pytest.mark.parametrize("kind", ["words", "bytes"])
+def test_one_row_repeated_fills_no_shard(spark, kind):
+    rows = [(None, prose(60, 3))] * 40 + [(5, prose(200, 9))] * 30 + [(6, prose(60, 3) + " x")] + [(7, prose(60, 8))]
+    if kind == "words":
+        shards, spread = spread_rows(plain(spark, rows), 900)
+        assert shards > 40 and sorted(r.shares for r in spread.collect()) == sorted(1 + n * len(t) // 900 for n, t in ((40, rows[0][1]), (30, rows[40][1])))
+        assert got(remove_repeats(plain(spark, rows), length=12, gram=3, shard_bytes=900), "n_words") == expected(rows, 12, kind)
+    else:
+        assert got(remove_repeated_bytes(plain(spark, rows), length=80, gram=8, shard_bytes=900), "n_bytes") == expected(rows, 80, kind)
+
+
 def test_kept_texts(spark):
     base = prose(50, 5)
     rows = {r.doc_id: r for r in remove_repeats(plain(spark, [(1, "x " + base), (2, base + " y"), (3, None)])).collect()}
@@ -88,7 +117,7 @@ def test_blocks_cover_every_window_once():
     import numpy as np
 
     data = np.frombuffer(prose(300, 9, 5).encode(), dtype=np.uint8)
-    _, first, n = blocks_of(data, np.array([len(data) - 100, 100]), Unit("bytes", 40, 8))
+    _, first, n, pos = blocks_of(data, np.array([len(data) - 100, 100]), Unit("bytes", 40, 8))
     starts = sorted(w for f, k in zip(first.tolist(), n.tolist()) for w in range(f, f + k))
     assert starts == [*range(len(data) - 139), *range(len(data) - 100, len(data) - 39)]
 
