@@ -21,12 +21,8 @@ def _books(spark: SparkSession, a: argparse.Namespace):
     """(pages, outline) of the books named, from tables or from PDF files by an extractor; none: no tables."""
     if a.pages and a.outline:
         return [(spark.read.parquet(a.pages), spark.read.parquet(a.outline))]
-    module, _, function = (a.extractor or "").partition(":")
+    module, _, function = a.extractor.partition(":")
     files = [(path, source) for path, source in ((a.clb, "clb"), (a.gl, "gl")) if path]
-    if not files:
-        return []
-    if not function:
-        raise SystemExit("PDF files need --extractor MODULE:FUNCTION")
     extract = getattr(importlib.import_module(module), function)
     return [read_pdf(spark, path, source, extract) for path, source in files]
 
@@ -42,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--outline", help="Parquet table of outline nodes (source, node_id, parent_id, ord, title, page)")
     p.add_argument("--clb", help="PDF file of the case law book")
     p.add_argument("--gl", help="PDF file of the guidelines")
-    p.add_argument("--extractor", help="MODULE:FUNCTION that turns a PDF file's bytes into page texts and outline nodes")
+    p.add_argument("--extractor", default="docketlake.sources.pdf:extract", help="MODULE:FUNCTION that turns a PDF file's bytes into page texts and outline nodes")
     p.add_argument("--stage", choices=jobs.STAGES)
     p.add_argument("--model")
     p.add_argument("--tokenizer")

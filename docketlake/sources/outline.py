@@ -1,6 +1,6 @@
 """Sections of outlined page text: pages(source, page, text) and outline(source, node_id, parent_id, ord, title, page).
 
-A PDF adapter only has to deliver these two tables.
+A PDF adapter only has to deliver these two tables; ``pdf.extract`` is one.
 """
 
 from __future__ import annotations
