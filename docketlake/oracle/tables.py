@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.postings import read_index, write_index
-from ..shared import file_system, shared_folder, ship
+from ..shared import dealt, file_system, shared_folder, ship
 
 _made: dict[tuple, str] = {}
 
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, for work on whole texts."""
+    ship(spark)
+    return dealt(spark, f"{sf_dir}/documents.parquet")
+
+
 def _state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
     """Names, sizes and times of a table's files."""
     p, fs = file_system(spark, f"{sf_dir}/{name}.parquet")
