@@ -9,8 +9,10 @@ Texts with equal shingle sets are one class, linked at once and represented by
 the smallest id, so a group of copies of any size is one row after a partial
 aggregation. In a band's bucket the members are first compared with the one that shares most
 buckets with others. Whatever then lies in one component needs no further
-comparison. What is left in buckets that hold several components is compared
-across components on full sets, in blocks of bounded size, so no component is
+comparison. Buckets that still hold several components are compared across
+these, in square blocks of a bounded number of members and shingles: signatures
+first, each pair in the first band that it shares, then the full sets of the
+pairs left. So only members that share a bucket are compared, no component is
 split and no bucket is capped.
 
 With 160 minima in 32 bands of 5, a pair of similarity 0.8 is missed with a
@@ -38,8 +40,8 @@ from .common import cut, drop_cut, name
 from .components import connected_components
 
 BANDS, ROWS = 32, 5
-#: Bytes of text in one side of a block of comparisons.
-BLOCK_BYTES = 4 << 20
+#: Members, and shingles of members, in one side of a block of comparisons; rows and shingles that a task takes at once.
+BLOCK_MEMBERS, BLOCK_SHINGLES, TASK_ROWS, TASK_SHINGLES = 500, 400_000, 4000, 400_000
 
 
 def shingle_set(raw: bytes, width: int) -> np.ndarray:
@@ -86,14 +88,23 @@ def _features(width: int):
     return run
 
 
+def _floor(threshold: float) -> float:
+    """A share of agreeing minima that a similarity of the threshold falls short of by chance only (6 sigma)."""
+    return threshold - 6 * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
+
+
+def _signatures(values) -> np.ndarray:
+    return np.frombuffer(b"".join(values), dtype="<u4").reshape(len(values), -1)
+
+
 def _near(threshold: float):
-    """Keeps pairs whose signatures agree in a share that a similarity of the threshold falls short of by chance only (6 sigma)."""
-    floor = threshold - 6 * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
+    """Keeps pairs whose signatures agree in a share that a link has."""
+    floor = _floor(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(batch.num_rows, -1) for c in ("x", "y"))
+                x, y = (_signatures(batch.column(c).to_pylist()) for c in ("x", "y"))
                 near = (x == y).mean(axis=1) >= floor
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], names=["a", "b"])
 
@@ -127,9 +138,8 @@ def _pairs_to_links(pairs: DataFrame, facts: DataFrame, texts: DataFrame, width:
     x, y = (facts.select(F.col("rep").alias(c), F.col("signature").alias(s)) for c, s in (("a", "x"), ("b", "y")))
     near = cut(sized.join(x, "a").join(y, "b").mapInArrow(_near(percent / 100), "a long, b long").distinct())
     full = near.join(texts.select(F.col("doc_id").alias("a"), F.col("raw").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("raw").alias("y")), "b")
-    links = cut(full.mapInArrow(_alike(width, percent), "a long, b long").distinct(), free=True)
-    drop_cut(sized)
-    drop_cut(near)
+    links = cut(full.mapInArrow(_alike(width, percent), "a long, b long").distinct())
+    drop_cut(sized, near)
     return links
 
 
@@ -140,61 +150,86 @@ def _compared(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
 
-def _links_between(width: int, percent: int):
-    """Links of a block's queries (asks) to its members in larger components, on full sets."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        members = block[~block["asks"]]
-        sets = [shingle_set(raw, width) for raw in members["raw"]]
-        sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        rank = list(zip(members["held"], members["component"], strict=True))
-        reps, found = members["rep"].to_numpy(), []
-        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        begins = np.cumsum(sizes) - sizes
-        for row in block[block["asks"]].itertuples():
-            larger = np.array([r > (row.held, row.component) for r in rank], dtype=bool)
-            if not larger.any():
-                continue
-            own = shingle_set(row.raw, width)
-            fits = larger & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
-            if not fits.any():
+def _candidates(percent: int):
+    """The members of blocks that may have links, with whom: queries (asks) against members of larger components, each pair in the first band that it shares."""
+    floor = _floor(percent / 100)
+
+    def run(shard: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (bucket, x, y), block in shard.groupby(["bucket", "x", "y"]):
+            asks, members = block[block["asks"]], block[~block["asks"]]
+            if not len(asks) or not len(members):
                 continue
-            place = np.minimum(np.searchsorted(own, every), len(own) - 1)
-            both = np.add.reduceat((own[place] == every).astype(np.int64), begins)
-            for i in np.flatnonzero(fits & (100 * both >= percent * (sizes + len(own) - both))):
-                found.append((min(row.rep, int(reps[i])), max(row.rep, int(reps[i]))))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            own, others = _signatures(asks["signature"].tolist()), _signatures(members["signature"].tolist())
+            sizes, reps, band = members["n_shingles"].to_numpy(), members["rep"].to_numpy(), int(block["band"].iloc[0])
+            held, component = members["held"].to_numpy(), members["component"].to_numpy()
+            partners: dict[int, set[int]] = {}
+            for sign, rep, n, h, c in zip(own, asks["rep"].tolist(), asks["n_shingles"], asks["held"], asks["component"], strict=True):
+                at = np.flatnonzero(((held > h) | ((held == h) & (component > c))) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                equal = others[at] == sign
+                shared = equal.reshape(len(at), BANDS, ROWS).all(axis=2)
+                found = reps[at[(equal.mean(axis=1) >= floor) & (shared.argmax(axis=1) == band)]].tolist()
+                if found:
+                    partners.setdefault(rep, set()).update(found)
+                    for other in found:
+                        partners.setdefault(other, set())
+            out.extend((bucket, x, y, rep, sorted(found)) for rep, found in partners.items())
+        return pd.DataFrame(out, columns=["bucket", "x", "y", "rep", "partners"])
+
+    return run
+
+
+def _confirmed(width: int, percent: int):
+    """The pairs of some blocks that are links on full sets."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        texts: dict[int, set[bytes]] = {}  # more than one where an id has several texts
+        for rep, raw in zip(rows["rep"].tolist(), rows["raw"], strict=True):
+            texts.setdefault(rep, set()).add(raw)
+        sets = {rep: [shingle_set(raw, width) for raw in raws] for rep, raws in texts.items()}
+
+        def alike(p: np.ndarray, q: np.ndarray) -> bool:
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            return 100 * both >= percent * (len(p) + len(q) - both)
+
+        pairs = {(min(rep, other), max(rep, other)) for rep, partners in zip(rows["rep"].tolist(), rows["partners"], strict=True) for other in partners}
+        return pd.DataFrame([(a, b) for a, b in sorted(pairs) if any(alike(p, q) for p in sets[a] for q in sets[b])], columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _left_over(members: DataFrame, components: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _left_over(members: DataFrame, components: DataFrame, facts: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between members of crowded buckets that the first comparison left in different components.
 
-    Buckets that still hold several components and share members are a family.
-    Its members outside its largest component are compared, on full sets, with
-    all members in larger components, in square blocks of bounded bytes.
+    In each bucket the members outside its largest component are compared with
+    those of larger components, so every pair of components is compared once.
     """
-    crowded = members.filter("k > 2").select("bucket", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = crowded.select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    spread = placed.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("spread"), F.min("rep").alias("first")).filter("spread").select("bucket", "first")
-    rest = cut(placed.join(spread, "bucket").select("rep", "component", "first").distinct())
-    families = cut(connected_components(rest.select(F.col("rep").alias("a"), F.col("first").alias("b"))))
-    one = rest.select("rep", "component").distinct().join(families.withColumnsRenamed({"node": "rep", "component": "family"}), "rep", "left")
-    rows = one.select("rep", "component", F.coalesce("family", "rep").alias("family")).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    rows = cut(rows.withColumn("bytes", F.octet_length("raw").cast("long")))
-    sizes = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("held"), F.sum("bytes").alias("bytes"))
-    tops = sizes.groupBy("family").agg(F.max(F.struct("held", "component")).alias("top"), F.sum("bytes").alias("all_bytes"), F.max_by("bytes", F.struct("held", "component")).alias("top_bytes"))
-    blocks = lambda b: (F.floor(b / BLOCK_BYTES) + 1).cast("int")
-    tops = tops.select("family", F.col("top.component").alias("top"), blocks(F.col("all_bytes")).alias("n_members"), blocks(F.col("all_bytes") - F.col("top_bytes")).alias("n_asks"))
-    facts = cut(sizes.select("family", "component", "held").join(tops, "family"))
-    rows = rows.join(facts, ["family", "component"])
+    placed = members.filter("k > 2").select("bucket", "band", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = cut(placed.select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component")))
+    spread = placed.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("spread")).filter("spread").select("bucket")
+    rest = cut(placed.join(spread, "bucket").join(facts, "rep"))
+    sizes = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"), F.sum("n_shingles").alias("shingles"))
+    order = F.struct("held", "component")
+    tops = sizes.groupBy("bucket").agg(F.max(order).alias("top"), F.sum("held").alias("n"), F.sum("shingles").alias("s"), F.max_by("shingles", order).alias("top_s"))
+    blocks = lambda n, s: F.greatest(F.floor(n / BLOCK_MEMBERS) + 1, F.floor(s / BLOCK_SHINGLES) + 1).cast("int")
+    tops = tops.select("bucket", F.col("top.component").alias("top"), blocks(F.col("n"), F.col("s")).alias("n_members"), blocks(F.col("n") - F.col("top.held"), F.col("s") - F.col("top_s")).alias("n_asks"))
+    rows = rest.join(cut(sizes.select("bucket", "component", "held").join(tops, "bucket")), ["bucket", "component"])
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    shown = ["family", "rep", "component", "held", "raw"]
+    shown = ["bucket", "band", "rep", "component", "held", "n_shingles", "signature"]
     asks = rows.filter("component <> top").select(*shown, F.lit(True).alias("asks"), own("n_asks").alias("x"), every("n_members").alias("y"))
     held = rows.select(*shown, F.lit(False).alias("asks"), own("n_members").alias("y"), every("n_asks").alias("x"))
-    return cut(asks.unionByName(held).groupBy("family", "x", "y").applyInPandas(_links_between(width, percent), "a long, b long"), free=True)
+    # small blocks share tasks, of which there are as many as rows need
+    counted = rows.agg(F.sum(F.col("n_asks") + F.col("n_members"))).first()[0] or 0
+    task = F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(1 + counted // TASK_ROWS))
+    found = cut(asks.unionByName(held).groupBy(task.alias("task")).applyInPandas(_candidates(percent), "bucket long, x int, y int, rep long, partners array<long>"))
+    found = found.join(facts.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep")
+    shingles = found.agg(F.sum("n_shingles")).first()[0] or 0
+    task = F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(1 + shingles // TASK_SHINGLES)).alias("task")
+    rows = found.select(task, "rep", "partners").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    links = cut(rows.groupBy("task").applyInPandas(_confirmed(width, percent), "a long, b long"))
+    drop_cut(placed, rest)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,26 +239,25 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, doc_i
     features = cut(docs.mapInArrow(_features(width), "doc_id long, n_shingles long, set_key binary, signature binary"))
     usable = features.filter("set_key is not null and doc_id is not null")
     of_set = cut(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    classes = cut(usable.join(of_set.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "signature").distinct(), free=True)
+    classes = cut(usable.join(of_set.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "signature").distinct())
     several = usable.groupBy("doc_id").agg((F.min("set_key") != F.max("set_key")).alias("several")).filter("several").select("doc_id")
     repeats = usable.join(several, "doc_id", "left_semi").join(of_set, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     size = 4 * ROWS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr(F.col("signature"), i * size + 1, F.lit(size))))
-    rows = classes.select("rep", F.explode(band).alias("bucket"))
+    rows = classes.select("rep", F.posexplode(band).alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    members = cut(rows.join(shared, "bucket"), free=True)
+    members = cut(rows.join(shared, "bucket"))
     degrees = cut(members.groupBy("rep").agg(F.sum("k").alias("degree")))
     members, old = cut(members.join(degrees, "rep")), members
     drop_cut(old)
     facts = cut(classes.join(degrees.select("rep"), "rep", "left_semi"))
-    texts = cut(docs.join(degrees.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").distinct(), free=True)
+    texts = cut(docs.join(degrees.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").distinct())
     links = cut(repeats.unionAll(_pairs_to_links(_compared(members), facts, texts, width, percent)))
     first = cut(connected_components(links))
-    more = _left_over(members, first, texts, width, percent)
+    more = _left_over(members, first, facts, texts, width, percent)
     components = first if more.isEmpty() else cut(connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)))
-    for x in (members, degrees, facts, texts, links, classes):
-        drop_cut(x)
+    drop_cut(members, degrees, facts, texts, links, classes)
     out = features.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

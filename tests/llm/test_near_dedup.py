@@ -44,7 +44,8 @@ def test_awkward_rows(spark, width):
 
 def test_families_left_in_several_components(spark, monkeypatch):
     """Chains of edits: neighbours are linked, ends aren't, and some members are linked with none."""
-    monkeypatch.setattr(minhash, "BLOCK_BYTES", 2000)
+    for bound, value in {"BLOCK_MEMBERS": 3, "BLOCK_SHINGLES": 900, "TASK_ROWS": 20, "TASK_SHINGLES": 2000}.items():
+        monkeypatch.setattr(minhash, bound, value)
     r, rows = random.Random(6), []
     for family in range(3):
         words = prose(150, 50 + family).split()
@@ -54,6 +55,7 @@ def test_families_left_in_several_components(spark, monkeypatch):
             for _ in range(r.choice([2, 5, 9])):
                 source[r.randrange(150)] = f"n{r.randrange(10**6)}"
             words = source
+    rows += [(i, rows[(i * 7 + 31) % 75][1]) for i in range(0, 75, 9)]  # ids with a second text, of another family
     assert got(near_duplicates(plain(spark, rows), width=2)) == expected(rows, 2, 80)
 
 
