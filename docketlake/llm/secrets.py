@@ -9,7 +9,7 @@ inside the row that holds the text: one pass, no shuffle, native expressions.
 
 Labelled findings are a parameter; without them a fixed, generated set is used
 (real key shapes and contexts against placeholders, commit hashes, checksums,
-paths, numbers, plain and invented words).
+paths, numbers, plain and invented words, references to settings).
 
 Defined results: null or empty text has no findings and stays as it is; texts
 are scanned whole; an assigned value is all up to a quote or white space, of any
@@ -24,8 +24,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.once import let
 from .common import name, packed
-from .quality import let
 
 #: The signs after a name that is assigned to, and the whole unbroken value, up to a quote or white space (fixed values).
 SIGNS = r"""["']?[ \t]{0,3}[:=]{1,2}[ \t]{0,3}["']?"""
@@ -107,8 +107,8 @@ def features(kind: Column, value: Column, before: Column, after: Column) -> Colu
     )
 
 
-def labelled_findings(spark: SparkSession, n: int = 16000) -> DataFrame:
-    """Fixed generated findings: match, before, after, label; half of them secrets."""
+def labelled_findings(spark: SparkSession, n: int = 16000, first: int = 0) -> DataFrame:
+    """Fixed generated findings: match, before, after, label; half of them secrets. first: their first number, for others than the default's."""
     h = lambda k: F.sha2(F.concat(F.lit(f"{k}-"), F.col("id").cast("string")), 256)
     mixed = lambda k: F.regexp_replace(F.base64(F.unhex(h(k))), "[=]", "")
     pick = lambda k, *options: F.element_at(F.array(*[F.lit(o) if isinstance(o, str) else o for o in options]), (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(options))) + 1).cast("int"))
@@ -128,6 +128,7 @@ def labelled_findings(spark: SparkSession, n: int = 16000) -> DataFrame:
     )
     plain = pick(
         "no",
+        assign(pick("r", "${DB_PASSWORD}", "$API_TOKEN_VALUE", "process.env.API_TOKEN", "os.environ.get(", "config.get_secret_value", "<your-token-here>", "********", "getPassword()", "settings.PASSWORD_FIELD", "request.headers.token", "{{vault_password}}", "%(password)s", "self._token_value")),
         assign(pick("p", "changeme", "your_password_here", "example_token", "placeholder", "password123", "xxxxxxxxxxxx", "my_secret_key", "INSERT_TOKEN", "test_password", "default_value", "some.config.value")),
         assign(word("w")),
         assign(F.concat(word("u"), pick("join", "_", "-", "."), word("v"))),
@@ -140,7 +141,7 @@ def labelled_findings(spark: SparkSession, n: int = 16000) -> DataFrame:
         F.regexp_replace(F.concat(h("d1"), h("d2")), "[^0-9]", ""),
     )
     hashes = F.col("match").rlike("^[0-9a-f-]{36,}$")
-    rows = spark.range(0, n, 1, 4).withColumn("label", (F.col("id") % 2).cast("double")).withColumn("match", F.when(F.col("label") == 1, secret).otherwise(plain))
+    rows = spark.range(first, first + n, 1, 4).withColumn("label", (F.col("id") % 2).cast("double")).withColumn("match", F.when(F.col("label") == 1, secret).otherwise(plain))
     before = F.when(hashes & (F.col("label") == 0), pick("b0", "see commit ", "sha256: ", "checksum ", "revision ", "uuid ", "built from hash ", "etag ")).otherwise(
         pick("b", "", "the ", "and then ", "in the file ", "de la ", "set ", "use ", "\"", "{", "with ")
     )
@@ -159,14 +160,18 @@ def _tree(lines: list[str], f: Column) -> Column:
     return F.when(F.get(f, F.lit(int(i))) <= float(bound), yes).otherwise(_tree(lines, f))
 
 
-def train(findings: DataFrame, trees: int = 20, depth: int = 8) -> Callable[[Column], Column]:
-    """A random forest fitted to findings (match, before, after, label), as a function of a features array: the share of trees for a secret."""
+def forest(findings: DataFrame, trees: int = 20, depth: int = 8):
+    """A random forest model fitted to findings (match, before, after, label)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     rows = findings.withColumn("kind", kind_of(F.col("match"))).withColumn("value", value_of(F.col("match")))
     rows = rows.select("label", array_to_vector(features(F.col("kind"), F.col("value"), F.col("before"), F.col("after"))).alias("features"))
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(rows)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(rows)
+
+
+def as_expression(model) -> Callable[[Column], Column]:
+    """The model as a function of a features array: the share of trees for a secret."""
     printed = [t.toDebugString.split("\n")[1:] for t in model.trees]
 
     def score(f: Column) -> Column:
@@ -178,6 +183,17 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 8) -> Callable[[Col
     return score
 
 
+def judged(match: Column, before: Column, after: Column, score: Callable[[Column], Column]) -> Column:
+    """kind, value and score of a match and what stands around it."""
+    return let(
+        F.struct(kind_of(match).alias("kind"), value_of(match).alias("value")),
+        lambda k: let(
+            F.array_max(F.transform(judgeable(k["kind"], k["value"]), lambda v: let(features(k["kind"], v, before, after), score))),
+            lambda s: F.struct(k["kind"].alias("kind"), k["value"].alias("value"), s.alias("score")),
+        ),
+    )
+
+
 def scan_secrets(
     docs: DataFrame, *, findings: DataFrame | None = None, threshold: float = 0.5, marker: str = "[secret removed]", text: str = "text", keep: Sequence[str] | None = None
 ) -> DataFrame:
@@ -187,7 +203,7 @@ def scan_secrets(
     clean: the text with the value of each secret replaced by marker.
     """
     spark = docs.sparkSession
-    score = train(findings if findings is not None else labelled_findings(spark))
+    score = as_expression(forest(findings if findings is not None else labelled_findings(spark)))
     kept = docs.select(*[name(c) for c in keep]) if keep is not None else docs
     t = name(text)
     pattern = F.lit(PATTERN)
@@ -199,14 +215,10 @@ def scan_secrets(
                 lambda m, i: F.struct(m.alias("match"), F.right(F.get(pieces, i), F.lit(40)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(20)).alias("after"), F.length(F.get(pieces, i)).alias("gap")),
             )
 
-        def judged(c: Column) -> Column:
-            kind, value = kind_of(c["match"]), value_of(c["match"])
+        def scored(c: Column) -> Column:
             return let(
-                F.struct(kind.alias("kind"), value.alias("value")),
-                lambda k: let(
-                    F.array_max(F.transform(judgeable(k["kind"], k["value"]), lambda v: let(features(k["kind"], v, c["before"], c["after"]), score))),
-                    lambda s: F.struct(k["kind"].alias("kind"), c["match"].alias("match"), k["value"].alias("value"), c["gap"].alias("gap"), s.alias("score"), (s >= threshold).alias("secret")),
-                ),
+                judged(c["match"], c["before"], c["after"], score),
+                lambda k: F.struct(k["kind"].alias("kind"), c["match"].alias("match"), k["value"].alias("value"), c["gap"].alias("gap"), k["score"].alias("score"), (k["score"] >= threshold).alias("secret")),
             )
 
         def built(found: Column, pieces: Column) -> Column:
@@ -216,7 +228,7 @@ def scan_secrets(
             clean = F.array_join(F.zip_with(pieces, F.concat(marked, F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")
             return F.struct(placed.alias("findings"), clean.alias("clean"))
 
-        return let(F.split(t, PATTERN), lambda pieces: let(F.transform(each(pieces), judged), lambda found: built(found, pieces)))
+        return let(F.split(t, PATTERN), lambda pieces: let(F.transform(each(pieces), scored), lambda found: built(found, pieces)))
 
     kinds = "array<struct<kind:string,start:bigint,value:string,score:double,secret:boolean>>"
     scanned = let(F.coalesce(F.regexp_extract_all(t, pattern, F.lit(0)), F.array().cast("array<string>")), lambda m: F.when(F.size(m) > 0, described(m)))
