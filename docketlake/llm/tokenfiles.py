@@ -19,12 +19,14 @@ empty document; bytes that don't fill a last token are an error.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.request import url2pathname
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import file_system
 from .common import cut
 
 BLOCK_BYTES = 1 << 18
@@ -32,12 +34,51 @@ BLOCK_BYTES = 1 << 18
 STRETCH = 4096
 
 
+#: File systems that Python workers open themselves, by scheme, and the name that Arrow has for them.
+OPENED = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
+#: Blocks that one task reads at a time.
+RANGE = 256
+
+
+def _opened(file: str):
+    """A file, open for reading from any place."""
+    scheme, _, rest = file.partition(":")
+    if scheme == "file":
+        return open(url2pathname("/" + rest.lstrip("/")), "rb")
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(f"{OPENED[scheme]}:{rest}")
+    return store.open_input_file(path)
+
+
 def blocks_of_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, block, payload) of the flat files under a path, by Spark's reader."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", F.col("length"))
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes))).alias("block")
-    rows = files.filter("length > 0").select("file", "content", at)
-    return rows.select("file", "block", F.substr("content", (F.col("block") * block_bytes + 1).cast("int"), F.lit(block_bytes)).alias("payload"))
+    """(file, block, payload) of the flat files at or in a path.
+
+    Spark lists the files; ranges of blocks are read by the workers, so a file
+    of any size is dealt to many tasks. Files in stores that only Spark opens
+    are read by its reader of whole files, which ends at 2 GiB a file.
+    """
+    p, store = file_system(spark, path)
+    found = [f for f in store.globStatus(p) or () if f.isFile()] or [f for d in store.globStatus(p) or () for f in store.listStatus(d.getPath()) if f.isFile()]
+    files = [(f.getPath().toString(), f.getLen()) for f in found if f.getLen() and not f.getPath().getName().startswith((".", "_"))]
+    if not all(f.partition(":")[0] in OPENED for f, _ in files):
+        whole = spark.read.format("binaryFile").load(path).filter("length > 0")
+        rows = whole.select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes))).alias("block"))
+        return rows.select("file", "block", F.substr("content", (F.col("block") * block_bytes + 1).cast("int"), F.lit(block_bytes)).alias("payload"))
+    n_ranges = sum(1 + (size - 1) // (block_bytes * RANGE) for _, size in files)
+    starts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block_bytes), F.lit(RANGE).cast("long"))
+    ranges = spark.createDataFrame(files, "file string, size long").select("file", "size", F.explode(starts).alias("first")).repartition(max(1, min(n_ranges, 10_000)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, size, begin in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                with _opened(file) as f:
+                    f.seek(begin * block_bytes)
+                    for block in range(begin, min(begin + RANGE, 1 + (size - 1) // block_bytes)):
+                        payload = f.read(min(block_bytes, size - block * block_bytes))
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([payload], pa.binary())], names=["file", "block", "payload"])
+
+    return ranges.mapInArrow(run, "file string, block long, payload binary")
 
 
 def pack(tokens: DataFrame, file: str, ids: str, doc_id: str, *, width: int, end: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:

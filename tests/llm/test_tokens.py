@@ -1,5 +1,6 @@
 """op9 against the tokenizers library, op5 against plain counting."""
 
+import os
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from tokenizers import Tokenizer
 
 from docketlake.llm.bpe import PairIndexBPE, decode_ids, encode_documents
 from docketlake.llm.q_bpe import digests
+from docketlake.llm.q_tokenfiles import encoder, op5_token_counts
 from docketlake.llm.tokenfiles import blocks_of_files, pack, token_counts
 
 from .frames import frame, pairs, plain
@@ -84,3 +86,27 @@ def test_pack_and_scan(spark):
     manifest = files.select("file", F.col("block").alias("closing_block"), F.posexplode("doc_ids").alias("place", "doc_id"))
     found = {x.doc_id: x.n_tokens for x in counts.join(manifest, ["file", "closing_block", "place"]).collect()}
     assert found == {i: len(b or b"") // 4 for i, b in docs}
+
+
+def test_a_file_of_more_than_two_gib(spark, tmp_path):
+    """A sparse file of one id, with ends near its begin, across a block's edge and far behind."""
+    size, ends = (1 << 31) + (1 << 22), [5, (1 << 17) - 1, 1 << 17, (1 << 30) + 12345]
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(size)
+        for at in ends:
+            f.seek(2 * at)
+            f.write(b"\x07\x00")
+    rows = token_counts(blocks_of_files(spark, str(tmp_path)), width=2, end=7).orderBy("ordinal").collect()
+    want = [b - a - 1 for a, b in zip([-1, *ends], [*ends, size // 2])]
+    assert [(r.n_tokens, r.closed) for r in rows] == [(n, i < len(ends)) for i, n in enumerate(want)]
+
+
+def test_the_query_by_plain_counting(spark, tmp_path):
+    frame(spark).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    plainly = lambda t: len(encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary(t)) if t else 0
+    key = lambda x: (x[0] is None, x)
+    assert sorted(map(tuple, op5_token_counts(spark, str(tmp_path)).collect()), key=key) == sorted(((i, plainly(t)) for i, t in pairs()), key=key)
+    folder = "/root/testdata/sf0.001"
+    if os.path.isdir(folder):
+        docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+        assert sorted(map(tuple, op5_token_counts(spark, folder).collect())) == sorted((d.doc_id, plainly(d.text)) for d in docs)
