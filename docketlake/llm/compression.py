@@ -13,8 +13,10 @@ curve. Scoring is one pass over whole texts, without a shuffle.
 
 Defined results: null and empty text have a difference of 0 and get the curve's
 score there; without labels of both classes every score is the share of the
-label that is known, or 0.5; ids with contradicting labels are not used; a null
-id is never labelled and not held out.
+label that is known, or 0.5; ids with contradicting labels are not used; of an
+id with several texts the smallest is the sample; a null id is never labelled
+and not held out. Samples that the trainer finds too few or too small for a
+dictionary are one as they stand, end to end.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ class CompressionModel:
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary of the samples; the samples themselves where they are too few to train one."""
+    """A dictionary trained from the samples; where the trainer refuses them, the samples themselves, which zstandard also takes as one."""
     import zstandard as zs
 
     try:
@@ -93,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, fit_bytes:
     order = F.xxhash64("id")
     chosen = marked.filter("label = 1").orderBy(order, "id").limit(fit_rows).unionAll(marked.filter("label = 0").orderBy(order, "id").limit(fit_rows))
     rows = docs.select(name(doc_id).alias("id"), name(text).cast("binary").alias("raw")).filter(F.octet_length("raw").between(1, fit_bytes))
-    sample = rows.join(F.broadcast(chosen), "id").select("id", "label", "raw").dropDuplicates(["id"]).collect()  # 2 * fit_rows rows at most
+    sample = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("raw").alias("raw")).collect()  # 2 * fit_rows rows at most, by which the broadcast is bounded too
     by_label = {k: [bytes(r.raw) for r in sorted(sample, key=lambda r: (hash_of(r.id), r.id)) if r.label == k] for k in (0, 1)}
     halves = {k: (v[::2], v[1::2] or v) for k, v in by_label.items()}
     model = CompressionModel(dictionary(halves[1][0]), dictionary(halves[0][0]), 0.0, 0.0)
