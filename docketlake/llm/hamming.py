@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, name
@@ -58,18 +58,44 @@ def smallest_ids(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+#: Codes with one segment value of which a hash table is made.
+MOST_ALIKE = 1_000_000
+
+
+def _met(probes: DataFrame, index: DataFrame, crowded: DataFrame | None) -> DataFrame:
+    """Probes with the codes of their segment values.
+
+    Probes are many more than their table's size tells, so the index is the side
+    to hash; values of very many codes (crowded) are merged instead, which
+    spills, and which Spark divides.
+    """
+    on = ["part", "value"]
+    if crowded is None:
+        return probes.join(index.hint("shuffle_hash"), on)
+    usual = probes.join(index.join(crowded, on, "left_anti").hint("shuffle_hash"), on)
+    return usual.unionByName(probes.join(index.join(crowded, on, "left_semi").hint("merge"), on))
+
+
 def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 10, segments: int = 4, vector: str = "embedding", row_id: str = "vec_id") -> DataFrame:
     """query_id, rank, id, distance of the k nearest rows of each query."""
     width = BITS // segments
     coded = lambda df: df.select(name(row_id).alias("id"), binary_code(name(vector)).alias("code")).filter("id is not null and code is not null")
     entries = cut(smallest_ids(coded(rows), k))
-    asked = cut(coded(queries).distinct())
+    asked, counted = cut(coded(queries).distinct()), Observation()
+    every = cut(asked.select(F.col("code").alias("query")).distinct().observe(counted, F.count(F.lit(1)).alias("n")))
     codes = entries.select("code", F.size("ids").alias("held"))
     index = codes.select("code", "held", F.posexplode(F.array(*[segment(F.col("code"), i, width) for i in range(segments)])).alias("part", "value"))
-    waiting = cut(asked.select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(BITS)))
+    crowded = cut(index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_ALIKE).select("part", "value"))
+    crowded = None if crowded.isEmpty() else crowded
     best, tasks = None, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_query = Window.partitionBy("query")
     for radius in range(width + 1):
-        patterns = F.array(*[F.lit(p) for p in flips(width, radius)])
+        if best is None:
+            waiting = every.withColumn("bound", F.lit(BITS))
+        else:
+            reached = best.filter("first").select("query", "n", "kth", "covered")
+            waiting = every.join(reached, "query", "left").filter(~F.coalesce("covered", F.lit(False))).select("query", F.when(F.col("n") >= k, F.col("kth")).otherwise(BITS).alias("bound"))
+        patterns = F.split(F.lit(",".join(map(str, flips(width, radius)))), ",").cast("array<int>")  # one literal, folded once
         # a query is a small row but thousands of probes: spread queries by number, not by bytes
         probes = waiting.repartition(tasks, "query").select("query", "bound", F.posexplode(F.array(*[segment(F.col("query"), i, width) for i in range(segments)])).alias("part", "own"))
         probes = probes.select("query", "bound", "part", F.explode(F.transform(patterns, lambda p: p.bitwiseXOR(F.col("own")))).alias("value"))
@@ -77,20 +103,19 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 10, segments: int = 4
         earlier = F.lit(False)
         for i in range(segments):
             earlier |= (near[i] < radius) | ((near[i] == radius) & (F.lit(i) < F.col("part")))
-        # probes are many more than their table's size tells: the index is the side to hash
-        found = probes.join(index.hint("shuffle_hash"), ["part", "value"]).filter(~earlier).withColumn("distance", hamming(F.col("code"), F.col("query"))).filter("distance <= bound").select("query", "code", "distance", "held")
+        found = _met(probes, index, crowded).filter(~earlier).withColumn("distance", hamming(F.col("code"), F.col("query"))).filter("distance <= bound").select("query", "code", "distance", "held")
         if best is not None:
-            found = found.unionByName(best)
+            found = found.unionByName(best.select(*found.columns))
         # a code is kept unless k nearer ids are known: ties at the kth distance stay until ids decide
-        nearer = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
+        nearer = by_query.orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
         ranked = found.withColumn("nearer", F.coalesce(F.sum("held").over(nearer), F.lit(0))).filter(F.col("nearer") < k).drop("nearer")
-        best, old = cut(ranked), best
-        reached = best.groupBy("query").agg(F.sum("held").alias("n"), F.max("distance").alias("kth"))
-        more = waiting.join(reached, "query", "left").filter((F.coalesce("n", F.lit(0)) < k) | (F.col("kth") > segments * (radius + 1) - 1))
-        waiting = cut(more.select("query", F.when(F.col("n") >= k, F.col("kth")).otherwise(BITS).alias("bound")))
+        ranked = ranked.withColumns({"n": F.sum("held").over(by_query), "kth": F.max("distance").over(by_query), "first": F.row_number().over(by_query.orderBy("distance", "code")) == 1})
+        ranked = ranked.withColumn("covered", (F.col("n") >= k) & (F.col("kth") <= segments * (radius + 1) - 1))
+        seen, old = Observation(), best
+        best = cut(ranked.observe(seen, F.count(F.when(F.col("first") & F.col("covered"), 1)).alias("covered")))
         if old is not None:
             drop_cut(old)
-        if waiting.isEmpty():
+        if seen.get["covered"] == counted.get["n"]:
             break
     hits = best.join(entries, "code").select("query", "distance", F.explode("ids").alias("id"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
