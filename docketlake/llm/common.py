@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..shared import cut, drop_cut, file_system, ship
+from ..shared import cut, dealt, drop_cut, ship
 
 __all__ = ["SPACES", "cut", "dealt", "documents", "drop_cut", "name", "packed", "prepare", "with_column", "words"]
 
@@ -69,20 +69,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
-#: Bytes a core of tables that are dealt to all cores.
-SMALL_TABLE = 32 << 20
-
-
-def dealt(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table. One of fewer files than cores that is also small is dealt to all cores, since a file of one row group is one task; larger ones are read as they are."""
-    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
-    if len(rows.inputFiles()) < cores:
-        p, fs = file_system(spark, path)
-        if fs.getContentSummary(p).getLength() < SMALL_TABLE * cores:
-            return rows.repartition(cores)
-    return rows
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return dealt(spark, f"{sf_dir}/documents.parquet")

@@ -16,8 +16,8 @@ even these are too few, nothing is rejected.
 Scale: a step is one aggregate of counts, sums and products per group, start and
 distance bin, summed before the shuffle, so a group of any size is a few hundred
 rows for each start. Vectors are whole thousandths, so sums don't depend on their order. All
-expressions are native; the text is read in one pass for the vectors and, only
-if columns beyond the vectors are kept, in a second one for the verdict.
+expressions are native; each text is read and counted once, and its counts are
+written beside what is kept of its row.
 
 Defined results: null or empty text: no words, all counts 0, base_failed. Null
 language or source are values of their own. Repeated rows count as often as
@@ -27,18 +27,21 @@ they occur and get equal verdicts.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions.once import let
 from .common import SPACES, cut, drop_cut, name, packed, words
 
 #: Chi-square quantiles for five variables: 97.5 % and 99.999 % (fixed values).
 WITHIN, BEYOND = 12.833, 30.856
 #: Factors that make the covariance of the closest 50 %, 75 % and 97.5 % consistent (fixed values).
 HALF_FACTOR, CLOSEST_FACTOR, WITHIN_FACTOR = 1.912, 1.412, 1.055
-#: Standard deviations added to each variable's own, so that constant variables are allowed.
+#: Standard deviations added to each variable's own, so that constant variables are allowed and differences that
+#: don't matter aren't outliers: a third of a text's length (of its logarithm), a tenth of a character in a word's mean
+#: length, a quarter in the logarithm of ten times the share of symbols, half in that of repeated lines (0 or 1 of them
+#: are alike), a tenth of all words repeated.
 FLOORS = (0.3, 0.1, 0.25, 0.5, 0.1)
 UNIT = 1000
 #: Where a variable is cut off (far outside of any ellipsoid), so that sums of products stay in range.
@@ -47,12 +50,7 @@ VARIABLES = len(FLOORS)
 #: Shares that a step keeps: of the estimate, and of the steps that give one of its starts.
 HALF, CLOSEST = 0.5, 0.75
 #: A determinant that falls by less (in its logarithm) has stopped falling.
-FALLS = 1e-6
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+FALLS = 1e-4
 
 
 def repeated_words(w: Column, width: int = 5) -> Column:
@@ -97,9 +95,9 @@ def _vector(c: Column) -> list[Column]:
 
 def _groups(vectors: DataFrame, least_rows: int) -> DataFrame:
     """lang, source, and group: the group whose estimate holds for them (null: none), of their source, else their language, else all."""
-    counts = cut(vectors.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")))
-    table = counts.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang")))  # a row for each language and source
-    table = table.withColumn("n_all", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    counts = vectors.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    of_lang = counts.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("n_lang"))
+    table = counts.join(of_lang, F.col("lang").eqNullSafe(F.col("of"))).withColumn("n_all", counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar())
     group = (
         F.when(F.col("n") >= least_rows, F.concat(F.lit("s"), F.to_json(F.struct("lang", "source"))))
         .when(F.col("n_lang") >= least_rows, F.concat(F.lit("l"), F.to_json(F.struct("lang"))))
@@ -112,7 +110,7 @@ def _members(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows (group, v0..) for every estimate: a row counts for its source, and for its language and for all where some small group needs these."""
     wanted = groups.select(F.col("group").alias("wanted")).distinct()
     pairs = groups.select("g_lang", "g_source", F.explode(F.array(F.col("group"), F.concat(F.lit("l"), F.to_json(F.struct(F.col("g_lang").alias("lang")))), F.lit("all"))).alias("group")).distinct()
-    return _grouped(rows, cut(pairs.join(wanted, F.col("group") == F.col("wanted"), "left_semi"))).drop("lang", "source")
+    return _grouped(rows, pairs.join(wanted, F.col("group") == F.col("wanted"), "left_semi")).filter("group is not null").drop("lang", "source")
 
 
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -129,41 +127,33 @@ def _quantiles(vectors: DataFrame, at: Sequence[float]) -> DataFrame:
 
 
 def _apart(scales: DataFrame) -> DataFrame:
-    """Model of rows (group, i, mid, sd) as if the variables were independent."""
+    """Models (group, start) of rows (group, start, i, mid, sd) as if the variables were independent."""
     floor = F.element_at(F.array(*[F.lit(x) for x in FLOORS]), F.col("i") + 1)
-    return scales.groupBy("group").agg(
+    return scales.groupBy("group", "start").agg(
         *[F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"m{i}") for i in range(VARIABLES)],
         *[(F.max(F.when(F.col("i") == i, 1 / (F.col("sd") * F.col("sd") + floor * floor))) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in _cells()],
     )
 
 
-def _start(vectors: DataFrame) -> DataFrame:
-    """Model from medians and quartiles."""
+def _first(vectors: DataFrame, steps: int = 64) -> DataFrame:
+    """Starts 0, from medians and quartiles, and 1, from the shortest interval of each variable that holds half of the rows."""
     q = F.col("q")
-    return _apart(_quantiles(vectors, (0.25, 0.5, 0.75)).select("group", "i", q[1].alias("mid"), ((q[2] - q[0]) / 1.349).alias("sd")))
-
+    halves = F.transform(F.sequence(F.lit(0), F.lit(steps // 2)), lambda j: F.struct((F.get(q, j + steps // 2) - F.get(q, j)).alias("width"), F.get(q, j).alias("lo")))
+    found = _quantiles(vectors, [j / steps for j in range(steps + 1)]).select("group", "i", "q", F.array_min(halves).alias("h"))
+    quartiles = F.struct(F.lit(0).alias("start"), q[steps // 2].alias("mid"), ((q[3 * steps // 4] - q[steps // 4]) / 1.349).alias("sd"))
+    shortest = F.struct(F.lit(1).alias("start"), (F.col("h.lo") + F.col("h.width") / 2).alias("mid"), (F.col("h.width") / 1.349).alias("sd"))
+    return _apart(found.select("group", "i", F.explode(F.array(quartiles, shortest)).alias("s")).select("group", "i", "s.*"))
 
-def _shortest(vectors: DataFrame, steps: int = 64) -> DataFrame:
-    """Model from the shortest interval of each variable that holds half of the rows."""
-    halves = F.transform(F.sequence(F.lit(0), F.lit(steps // 2)), lambda j: F.struct((F.get("q", j + steps // 2) - F.get("q", j)).alias("width"), F.get("q", j).alias("lo")))
-    best = _quantiles(vectors, [j / steps for j in range(steps + 1)]).select("group", "i", F.array_min(halves).alias("h"))
-    return _apart(best.select("group", "i", (F.col("h.lo") + F.col("h.width") / 2).alias("mid"), (F.col("h.width") / 1.349).alias("sd")))
 
-
-def _shaped(vectors: DataFrame, model: DataFrame, bounded: Callable[[list[Column]], list[Column]]) -> DataFrame:
-    """Model with the centre and scales of another one, and the covariance of the scaled variables once bounded."""
+def _shaped(vectors: DataFrame, models: DataFrame) -> DataFrame:
+    """Starts 2 and 3: the centres and scales of 0 and 1, and the covariance of the scaled variables once bounded: by the hyperbolic tangent, or to their signs in space."""
     scaled = [(F.col(f"v{i}") / UNIT - F.col(f"m{i}")) * F.sqrt(f"p{i}{i}") for i in range(VARIABLES)]
-    rows = vectors.join(model, "group").select("group", *[F.round(w * UNIT).cast("long").alias(f"w{i}") for i, w in enumerate(bounded(scaled))])
-    products = [F.expr(f"sum(w{i} * w{j}) as q{i}{j}") for i, j in _cells()]
-    totals = rows.groupBy("group").agg(*products).join(model, "group")
+    norm = F.sqrt(sum((z * z for z in scaled), F.lit(1e-6)))
+    rows = vectors.join(models, "group").select("group", "start", *[F.round(F.when(F.col("start") == 0, F.tanh(z)).otherwise(z / norm) * UNIT).cast("long").alias(f"w{i}") for i, z in enumerate(scaled)])
+    totals = rows.groupBy("group", "start").agg(*[F.expr(f"sum(w{i} * w{j}) as q{i}{j}") for i, j in _cells()]).join(models, ["group", "start"])
     trace = " + ".join(["1D", *[f"q{i}{i}" for i in range(VARIABLES)]])
     share = lambda i, j: f"{VARIABLES} * q{min(i, j)}{max(i, j)} / ({trace}) / sqrt(p{i}{i} * p{j}{j}) + {FLOORS[i] ** 2 if i == j else 0.0}D"
-    return _modelled(totals, ["group"], [f"m{i}" for i in range(VARIABLES)], _matrix(share))
-
-
-def _signs(scaled: list[Column]) -> list[Column]:
-    norm = F.sqrt(sum((z * z for z in scaled), F.lit(1e-6)))
-    return [z / norm for z in scaled]
+    return _modelled(totals.withColumn("start", F.col("start") + 2), ["group", "start"], [f"m{i}" for i in range(VARIABLES)], _matrix(share))
 
 
 def _cells() -> list[tuple[int, int]]:
@@ -206,73 +196,79 @@ def _matrix(cell: Callable[[int, int], str]) -> Column:
     return F.expr("array(" + ", ".join("array(" + ", ".join(cell(i, j) for j in range(VARIABLES)) + ")" for i in range(VARIABLES)) + ")")
 
 
-def _modelled(rows: DataFrame, keys: list[str], mean: list[str], matrix: Column, more: Sequence[Column] = ()) -> DataFrame:
-    return rows.select(*keys, *[F.expr(f"{m} as m{i}") for i, m in enumerate(mean)], _inverse(matrix).alias("p"), *more).selectExpr(
-        *keys, *[f"m{i}" for i in range(VARIABLES)], *[f"p[{i}][{j}] as p{i}{j}" for i, j in _cells()], *(["det"] if more else [])
+def _modelled(rows: DataFrame, keys: list[str], mean: list[str], matrix: Column, more: dict[str, Column] = {}) -> DataFrame:  # noqa: B006
+    return rows.select(*keys, *[F.expr(f"{m} as m{i}") for i, m in enumerate(mean)], _inverse(matrix).alias("p"), *[c.alias(n) for n, c in more.items()]).selectExpr(
+        *keys, *[f"m{i}" for i in range(VARIABLES)], *[f"p[{i}][{j}] as p{i}{j}" for i, j in _cells()], *more
     )
 
 
-def _refit(vectors: DataFrame, model: DataFrame, within: float | None, factor: float, share: float = CLOSEST, keys: Sequence[str] = ("group",)) -> DataFrame:
-    """Centre and inverse covariance of the rows within a distance, or of the closest share of each group.
-
-    keys: what tells models apart; with more than the group, det is the logarithm of the covariance's determinant.
-    """
-    keys = list(keys)
-    d = F.least(F.greatest(distance(), F.lit(1e-6)), F.lit(1e12))
-    close = F.lit(0) if within is not None else F.floor(F.log2(d) * 16).cast("int")
-    rows = vectors.join(model, "group").withColumn("d", d).withColumn("bin", close)
-    if within is not None:
-        rows = rows.filter(F.col("d") <= within)
-    sums = [F.expr(f"sum(v{i}) as s{i}") for i in range(VARIABLES)]
-    products = [F.expr(f"sum(v{i} * v{j}) as q{i}{j}") for i, j in _cells()]
-    bins = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("k"), *sums, *products)
-    if within is None:
-        order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        bins = bins.withColumn("before", F.coalesce(F.sum("k").over(order), F.lit(0))).withColumn("all", F.sum("k").over(Window.partitionBy(*keys)))
-        bins = bins.filter(F.col("before") < share * F.col("all"))
-    totals = bins.groupBy(*keys).agg(F.sum("k").alias("k"), *[F.expr(f"sum({c}) as {c}") for c in [*[f"s{i}" for i in range(VARIABLES)], *[f"q{i}{j}" for i, j in _cells()]]])
+def _estimate(bins: DataFrame, keys: list[str], factor: str, more: dict[str, Column]) -> DataFrame:
+    """Models of summed rows: centre, inverse of the covariance times factor."""
     mean = [f"(s{i} / k / {UNIT})" for i in range(VARIABLES)]
-    cell = lambda i, j: f"(q{min(i, j)}{max(i, j)} / k / {UNIT**2} - {mean[i]} * {mean[j]}) * {factor}D + {FLOORS[i] ** 2 if i == j else 0.0}D"
+    cell = lambda i, j: f"(q{min(i, j)}{max(i, j)} / k / {UNIT**2} - {mean[i]} * {mean[j]}) * {factor} + {FLOORS[i] ** 2 if i == j else 0.0}D"
     matrix = _matrix(cell)
-    return _modelled(totals, keys, mean, matrix, [_log_determinant(matrix).alias("det")] if len(keys) > 1 else [])
+    return _modelled(bins, keys, mean, matrix, {n: f(matrix) if callable(f) else f for n, f in more.items()})
 
 
-def fit(vectors: DataFrame, steps: int = 4) -> DataFrame:
-    """One of the starts: a fixed number of steps with the closest CLOSEST, from rows (group, v0..)."""
-    vectors = vectors.filter("group is not null")
-    model = cut(_start(vectors))
-    for within, factor in [(None, CLOSEST_FACTOR)] * steps + [(WITHIN, WITHIN_FACTOR)]:
-        model, old = cut(_refit(vectors, model, within, factor)), model
-        drop_cut(old)
-    return model
+def _sums() -> list[Column]:
+    return [F.expr(f"sum(v{i}) as s{i}") for i in range(VARIABLES)] + [F.expr(f"sum(v{i} * v{j}) as q{i}{j}") for i, j in _cells()]
 
 
-def robust_fit(vectors: DataFrame) -> DataFrame:
-    """The estimate of each group, from rows (group, v0..)."""
-    vectors = vectors.filter("group is not null")
-    middle, short, wide = cut(_start(vectors)), cut(_shortest(vectors)), fit(vectors)
-    starts = [middle, short, _shaped(vectors, middle, lambda z: [F.tanh(x) for x in z]), _shaped(vectors, short, _signs), wide]
-    starts = [m.select("group", F.lit(i).alias("start"), *[c for c in m.columns if c != "group"], F.lit(float("inf")).alias("det")) for i, m in enumerate(starts)]
-    models = cut(reduce(DataFrame.unionByName, starts))
-    done = [middle, short, wide, models]
-    for old in done[:3]:
-        drop_cut(old)
-    made = []
-    while not models.isEmpty():  # a determinant has a least value, that of FLOORS, so its falls end
-        now = _refit(vectors, models.drop("det"), None, HALF_FACTOR, HALF, ("group", "start"))
-        now = cut(now.join(models.select("group", "start", F.col("det").alias("last")), ["group", "start"]))
-        made.append(now)
-        models = now.filter(F.col("det") < F.col("last") - FALLS).drop("last")
-    if not made:
-        return models.drop("start", "det")
-    columns = [c for c in models.columns if c not in ("group", "start", "det")]
-    every = reduce(DataFrame.unionByName, [m.drop("last") for m in made])
-    best = every.groupBy("group").agg(F.min(F.struct("det", "start", *columns)).alias("best")).select("group", *[F.col("best")[c].alias(c) for c in columns])
-    best = cut(best)
-    for old in [done[3], *made]:
-        drop_cut(old)
-    model = cut(_refit(vectors, best, WITHIN, WITHIN_FACTOR))
-    drop_cut(best)
+def _again() -> list[Column]:
+    return [F.expr(f"sum({c}) as {c}") for c in [*[f"s{i}" for i in range(VARIABLES)], *[f"q{i}{j}" for i, j in _cells()]]]
+
+
+def concentrated(vectors: DataFrame, models: DataFrame) -> DataFrame:
+    """A step of each model (group, start, share, factor, det): mean and covariance of the closest share of its group's rows; det: the logarithm of the covariance's determinant, last: the one before."""
+    keys = ["group", "start"]
+    d = F.least(F.greatest(distance(), F.lit(1e-6)), F.lit(1e12))
+    rows = vectors.join(models, "group").withColumn("bin", F.floor(F.log2(d) * 16).cast("int"))
+    facts = [F.first(c).alias(c) for c in ("share", "factor", "det")]
+    bins = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("k"), *_sums(), *facts)
+    order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("k").over(order), F.lit(0))).withColumn("all", F.sum("k").over(Window.partitionBy(*keys)))
+    totals = bins.filter(F.col("before") < F.col("share") * F.col("all")).groupBy(*keys).agg(F.sum("k").alias("k"), *_again(), *facts)
+    return _estimate(totals, keys, "factor", {"det": _log_determinant, "last": F.col("det")})
+
+
+def reweighted(vectors: DataFrame, model: DataFrame) -> DataFrame:
+    """The model of the rows within the 97.5 % ellipsoid of another model."""
+    rows = vectors.join(model, "group").filter(distance() <= WITHIN)
+    return _estimate(rows.groupBy("group").agg(F.count(F.lit(1)).alias("k"), *_sums()), ["group"], f"{WITHIN_FACTOR}D", {})
+
+
+def _with_share(models: DataFrame, wide: bool) -> DataFrame:
+    """What a step takes of each start: half, but for the last one while wide."""
+    far = (F.col("start") == 4) & F.lit(wide)
+    return models.withColumn("share", F.when(far, CLOSEST).otherwise(HALF)).withColumn("factor", F.when(far, CLOSEST_FACTOR).otherwise(HALF_FACTOR))
+
+
+def robust_fit(vectors: DataFrame, wide_steps: int = 2) -> DataFrame:
+    """The estimate of each group, from rows (group, v0..).
+
+    Start 4 is start 0 whose first wide_steps steps take the closest three
+    quarters. Starts whose determinant has stopped falling stay as they are.
+    """
+    first = cut(_first(vectors))
+    starts = first.unionByName(first.filter("start = 0").withColumn("start", F.lit(4))).unionByName(_shaped(vectors, first))
+    state = cut(starts.withColumn("det", F.lit(float("inf"))).withColumn("falls", F.lit(True)))
+    drop_cut(first)
+    step = 0
+    while True:
+        wide, seen = step < wide_steps, Observation()
+        now = concentrated(vectors, _with_share(state.filter("falls").drop("falls"), wide))
+        if wide:  # determinants of other shares aren't compared
+            now = now.withColumn("det", F.when(F.col("start") == 4, float("inf")).otherwise(F.col("det")))
+        now = now.withColumn("falls", (F.col("det") == float("inf")) | (F.col("det") < F.col("last") - FALLS)).drop("last")
+        new = cut(now.unionByName(state.filter("not falls")).observe(seen, F.count(F.when(F.col("falls"), 1)).alias("n")))
+        drop_cut(state)
+        state, step = new, step + 1
+        if not seen.get["n"]:  # a determinant has a least value, that of FLOORS, so its falls end
+            break
+    columns = [c for c in state.columns if c not in ("group", "start", "det", "falls")]
+    best = state.groupBy("group").agg(F.min(F.struct("det", "start", *columns)).alias("best")).select("group", *[F.col("best")[c].alias(c) for c in columns])
+    model = cut(reweighted(vectors, best))
+    drop_cut(state)
     return model
 
 
@@ -288,12 +284,8 @@ def quality_rules(
     scored = docs.select(packed(kept), name(lang).alias("lang"), name(source).alias("source"), text_counts(name(text)).alias("counts"))
     failed = (F.col("counts.n_words") < least_words) | (100 * F.col("counts.n_repeat_words") > most_repeated * F.col("counts.n_words"))
     scored = scored.withColumn("base_failed", failed).select("*", *_vector(F.col("counts")))
-    if keep is not None:
-        scored = cut(scored)
-        vectors = scored
-    else:
-        vectors = cut(scored.select("lang", "source", "base_failed", *[f"v{i}" for i in range(VARIABLES)]))
-    sound = vectors.filter(~F.col("base_failed")).select("lang", "source", *[f"v{i}" for i in range(VARIABLES)])
+    scored = cut(scored)
+    sound = scored.filter(~F.col("base_failed")).select("lang", "source", *[f"v{i}" for i in range(VARIABLES)])
     groups = _groups(sound, least_rows)
     model = robust_fit(cut(_members(sound, groups)))
     out = _grouped(scored, groups).join(model, "group", "left").withColumn("distance", distance())

@@ -1,6 +1,11 @@
 """Each stage against a plain version on its own input."""
 
+import hashlib
+from collections import Counter
+
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from docketlake.llm.common import cut
@@ -55,9 +60,41 @@ def test_mix_repeats_whole_rows(spark):
     assert out.columns == docs.columns and {key(r) for r in out.collect()} <= {key(r) for r in docs.collect()}
 
 
+def test_mix_by_plain_streams(spark):
+    """How often each document is taken, and in which order, from the schedules alone."""
+    rows = [(i, None if i % 50 == 0 else prose(1 + i * 7 % 60, i), "en", ["a", "b", "b", "b", None][i % 5]) for i in range(400)]
+    docs = spark.createDataFrame([(*r, 0, "r", 1, "k", 1, 1, 0.1, "p", "s", 1) for r in rows], frame(spark).schema)
+    size = {r[0]: len((r[1] or "").split()) for r in rows}
+    source = {r[0]: r[3] for r in rows}
+    order = lambda i: int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:15], 16)
+    total = {s: sum(size[i] for i in source if source[i] == s) for s in ("a", "b", None)}
+    share = sum(total.values()) / 8
+    target = {s: w * share for s, w in zip(("a", "b", None), (5, 2, 1))}
+    if target["a"] > 3 * total["a"]:
+        rest = sum(total.values()) - 3 * total["a"]
+        target = {"a": 3.0 * total["a"], "b": rest * 2 / 3, None: rest / 3}
+    assert all(target[s] <= 3 * total[s] for s in target)
+    time = {"a": lambda q: 2 * q / (1.2 + (1.44 - 0.8 * q) ** 0.5), "b": lambda q: q, None: lambda q: q**0.5}
+    want = []
+    for s in total:
+        begin, passes = 0, int(target[s] // total[s])
+        for i in sorted((i for i in source if source[i] == s), key=order):
+            middle = begin + size[i] / 2
+            copies = passes + (middle < target[s] - passes * total[s])
+            want += [(round(time[s](min(1.0, (j * total[s] + middle) / target[s])), 9), order(i), i) for j in range(copies)]
+            begin += size[i]
+    out = [r.doc_id for r in STAGES["mix_sources"](spark, docs, "").collect()]
+    assert Counter(out) == Counter(i for _, _, i in want)
+    place = {i: p for p, _, i in sorted(want, reverse=True)}  # the first of each
+    firsts = list(dict.fromkeys(out))
+    assert all(place[a] <= place[b] + 1e-8 for a, b in zip(firsts, firsts[1:]))
+
+
 def test_tokens_of_every_row(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out = STAGES["bpe_encode"](spark, frame(spark), "").collect()
-    assert len(out) == len(awkward()) and all(len(r.ids) == 4 * r.n_tokens for r in out)
+    ids = lambda t: b"".join(i.to_bytes(4, "little") for i in library.encode(t or "", add_special_tokens=False).ids)
+    assert len(out) == len(awkward()) and all(bytes(r.ids) == ids(r.text) and len(r.ids) == 4 * r.n_tokens for r in out)
 
 
 @pytest.mark.parametrize("name", list(STAGES))
