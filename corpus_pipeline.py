@@ -28,7 +28,11 @@ def _rows(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't outliers of their language and source."""
+    """Documents that pass the base rules and aren't outliers of their language and source.
+
+    Null and empty texts fail the base rules. Null languages and sources are
+    values of their own. Repeated rows stay or go together.
+    """
     return _rows(quality_rules(docs).filter("kept"), docs)
 
 
@@ -51,19 +55,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced and n_chars counted again."""
+    """All documents, with the secrets in their texts replaced and n_chars counted again.
+
+    Null and empty texts stay as they are; repeated rows change alike.
+    """
     scanned = scan_secrets(docs)
     changed = {"text": F.col("clean"), "n_chars": F.when(F.col("clean") != F.col("row.text"), F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))}
     return scanned.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training stream: documents as often as the mix takes them, range-sorted by training position."""
+    """The training stream: documents as often as the mix takes them, range-sorted by training position.
+
+    Null and empty texts have no words and are taken as often as their source
+    is repeated. A null source is a source of its own. Repeated rows are taken
+    row by row.
+    """
     return _rows(training_order(mix_curriculum(docs)), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row of the stream with its ids: the columns of documents, ids (little-endian unsigned 32-bit) and n_tokens."""
+    """Each row of the stream with its ids: the columns of documents, ids (little-endian unsigned 32-bit) and n_tokens.
+
+    Null and empty texts have no ids and 0 tokens; repeated rows have the same.
+    """
     prepare(spark)
     coded = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(*[name(c) for c in docs.columns], "ids", F.floor(F.octet_length("ids") / 4).alias("n_tokens"))
@@ -76,5 +91,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read by the next."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), free=True)
+        docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
