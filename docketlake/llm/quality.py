@@ -27,6 +27,7 @@ they occur and get equal verdicts.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -93,28 +94,51 @@ def _vector(c: Column) -> list[Column]:
     return [F.round(F.least(x, F.lit(FURTHEST)) * UNIT).cast("long").alias(f"v{i}") for i, x in enumerate(raw)]
 
 
-def _groups(vectors: DataFrame, least_rows: int) -> DataFrame:
-    """lang, source, and group: the group whose estimate holds for them (null: none), of their source, else their language, else all."""
-    counts = vectors.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    of_lang = counts.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("n_lang"))
-    table = counts.join(of_lang, F.col("lang").eqNullSafe(F.col("of"))).withColumn("n_all", counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar())
-    group = (
-        F.when(F.col("n") >= least_rows, F.concat(F.lit("s"), F.to_json(F.struct("lang", "source"))))
-        .when(F.col("n_lang") >= least_rows, F.concat(F.lit("l"), F.to_json(F.struct("lang"))))
-        .when(F.col("n_all") >= least_rows, F.lit("all"))
-    )
-    return cut(table.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), group.alias("group")))
+#: Keys of a table that is broadcast as a whole (a model has 200 bytes, a key five models); of a larger one only keys
+#: with more than this part of all rows are, of which there are fewer.
+MOST_KEYS, FREQUENT_PART = 10_000, 2_000
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """How rows meet a table of keys: all of it broadcast (frequent is None), or the keys in frequent only."""
+
+    key: str
+    frequent: DataFrame | None
+
+    def join(self, rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+        if self.frequent is None:
+            return rows.join(F.broadcast(table), self.key, how)
+        often = F.broadcast(self.frequent)
+        hot = rows.join(often, self.key, "left_semi").join(F.broadcast(table.join(often, self.key, "left_semi")), self.key, how)
+        return hot.unionByName(rows.join(often, self.key, "left_anti").join(table, self.key, how))
 
 
-def _members(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows (group, v0..) for every estimate: a row counts for its source, and for its language and for all where some small group needs these."""
-    wanted = groups.select(F.col("group").alias("wanted")).distinct()
-    pairs = groups.select("g_lang", "g_source", F.explode(F.array(F.col("group"), F.concat(F.lit("l"), F.to_json(F.struct(F.col("g_lang").alias("lang")))), F.lit("all"))).alias("group")).distinct()
-    return _grouped(rows, pairs.join(wanted, F.col("group") == F.col("wanted"), "left_semi")).filter("group is not null").drop("lang", "source")
+#: Groups that are few.
+ALL = Lookup("group", None)
+
+
+def lookup(counts: DataFrame, key: str, rows: str) -> Lookup:
+    """For a table of distinct keys and how many rows each has."""
+    keys, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum(rows), F.lit(0))).first()
+    return Lookup(key, None if keys <= MOST_KEYS else cut(counts.filter(F.col(rows) > total // FREQUENT_PART).select(key)))
+
+
+def _groups(scored: DataFrame, least_rows: int) -> DataFrame:
+    """A row for each pair of language and source: rows, sound rows n, the language, and the group whose estimate holds (null: none), of the pair, else the language, else all."""
+    counts = scored.groupBy("pair").agg(F.first("lang").alias("lang"), F.count(F.lit(1)).alias("rows"), F.count(F.when(~F.col("base_failed"), 1)).alias("n"))
+    of_lang = counts.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("n_lang"))
+    table = counts.join(of_lang, F.col("lang").eqNullSafe(F.col("of"))).withColumn("n_all", counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar())
+    language = F.concat(F.lit("l"), F.to_json(F.struct("lang")))
+    group = F.when(F.col("n") >= least_rows, F.concat(F.lit("s"), "pair")).when(F.col("n_lang") >= least_rows, language).when(F.col("n_all") >= least_rows, F.lit("all"))
+    return cut(table.select("pair", "rows", "n", language.alias("language"), group.alias("group")))
 
 
-def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source")
+def _estimated(groups: DataFrame) -> DataFrame:
+    """Rows (pair, group, n) for every estimate: a pair counts for its own, and for its language's and for all where some small pair needs these."""
+    wanted = groups.filter("group is not null").select(F.col("group").alias("wanted")).distinct()
+    every = groups.filter("n > 0").select("pair", "n", F.explode(F.array_distinct(F.array(F.col("group"), F.col("language"), F.lit("all")))).alias("group"))
+    return cut(every.join(wanted, F.col("group") == F.col("wanted"), "left_semi"))
 
 
 def _quantiles(vectors: DataFrame, at: Sequence[float]) -> DataFrame:
@@ -145,11 +169,11 @@ def _first(vectors: DataFrame, steps: int = 64) -> DataFrame:
     return _apart(found.select("group", "i", F.explode(F.array(quartiles, shortest)).alias("s")).select("group", "i", "s.*"))
 
 
-def _shaped(vectors: DataFrame, models: DataFrame) -> DataFrame:
+def _shaped(vectors: DataFrame, models: DataFrame, by: Lookup) -> DataFrame:
     """Starts 2 and 3: the centres and scales of 0 and 1, and the covariance of the scaled variables once bounded: by the hyperbolic tangent, or to their signs in space."""
     scaled = [(F.col(f"v{i}") / UNIT - F.col(f"m{i}")) * F.sqrt(f"p{i}{i}") for i in range(VARIABLES)]
     norm = F.sqrt(sum((z * z for z in scaled), F.lit(1e-6)))
-    rows = vectors.join(models, "group").select("group", "start", *[F.round(F.when(F.col("start") == 0, F.tanh(z)).otherwise(z / norm) * UNIT).cast("long").alias(f"w{i}") for i, z in enumerate(scaled)])
+    rows = by.join(vectors, models).select("group", "start", *[F.round(F.when(F.col("start") == 0, F.tanh(z)).otherwise(z / norm) * UNIT).cast("long").alias(f"w{i}") for i, z in enumerate(scaled)])
     totals = rows.groupBy("group", "start").agg(*[F.expr(f"sum(w{i} * w{j}) as q{i}{j}") for i, j in _cells()]).join(models, ["group", "start"])
     trace = " + ".join(["1D", *[f"q{i}{i}" for i in range(VARIABLES)]])
     share = lambda i, j: f"{VARIABLES} * q{min(i, j)}{max(i, j)} / ({trace}) / sqrt(p{i}{i} * p{j}{j}) + {FLOORS[i] ** 2 if i == j else 0.0}D"
@@ -218,11 +242,11 @@ def _again() -> list[Column]:
     return [F.expr(f"sum({c}) as {c}") for c in [*[f"s{i}" for i in range(VARIABLES)], *[f"q{i}{j}" for i, j in _cells()]]]
 
 
-def concentrated(vectors: DataFrame, models: DataFrame) -> DataFrame:
+def concentrated(vectors: DataFrame, models: DataFrame, by: Lookup = ALL) -> DataFrame:
     """A step of each model (group, start, share, factor, det): mean and covariance of the closest share of its group's rows; det: the logarithm of the covariance's determinant, last: the one before."""
     keys = ["group", "start"]
     d = F.least(F.greatest(distance(), F.lit(1e-6)), F.lit(1e12))
-    rows = vectors.join(models, "group").withColumn("bin", F.floor(F.log2(d) * 16).cast("int"))
+    rows = by.join(vectors, models).withColumn("bin", F.floor(F.log2(d) * 16).cast("int"))
     facts = [F.first(c).alias(c) for c in ("share", "factor", "det")]
     bins = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("k"), *_sums(), *facts)
     order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -231,9 +255,9 @@ def concentrated(vectors: DataFrame, models: DataFrame) -> DataFrame:
     return _estimate(totals, keys, "factor", {"det": _log_determinant, "last": F.col("det")})
 
 
-def reweighted(vectors: DataFrame, model: DataFrame) -> DataFrame:
+def reweighted(vectors: DataFrame, model: DataFrame, by: Lookup = ALL) -> DataFrame:
     """The model of the rows within the 97.5 % ellipsoid of another model."""
-    rows = vectors.join(model, "group").filter(distance() <= WITHIN)
+    rows = by.join(vectors, model).filter(distance() <= WITHIN)
     return _estimate(rows.groupBy("group").agg(F.count(F.lit(1)).alias("k"), *_sums()), ["group"], f"{WITHIN_FACTOR}D", {})
 
 
@@ -243,20 +267,20 @@ def _with_share(models: DataFrame, wide: bool) -> DataFrame:
     return models.withColumn("share", F.when(far, CLOSEST).otherwise(HALF)).withColumn("factor", F.when(far, CLOSEST_FACTOR).otherwise(HALF_FACTOR))
 
 
-def robust_fit(vectors: DataFrame, wide_steps: int = 2) -> DataFrame:
+def robust_fit(vectors: DataFrame, by: Lookup = ALL, wide_steps: int = 2) -> DataFrame:
     """The estimate of each group, from rows (group, v0..).
 
     Start 4 is start 0 whose first wide_steps steps take the closest three
     quarters. Starts whose determinant has stopped falling stay as they are.
     """
     first = cut(_first(vectors))
-    starts = first.unionByName(first.filter("start = 0").withColumn("start", F.lit(4))).unionByName(_shaped(vectors, first))
+    starts = first.unionByName(first.filter("start = 0").withColumn("start", F.lit(4))).unionByName(_shaped(vectors, first, by))
     state = cut(starts.withColumn("det", F.lit(float("inf"))).withColumn("falls", F.lit(True)))
     drop_cut(first)
     step = 0
     while True:
         wide, seen = step < wide_steps, Observation()
-        now = concentrated(vectors, _with_share(state.filter("falls").drop("falls"), wide))
+        now = concentrated(vectors, _with_share(state.filter("falls").drop("falls"), wide), by)
         if wide:  # determinants of other shares aren't compared
             now = now.withColumn("det", F.when(F.col("start") == 4, float("inf")).otherwise(F.col("det")))
         now = now.withColumn("falls", (F.col("det") == float("inf")) | (F.col("det") < F.col("last") - FALLS)).drop("last")
@@ -267,7 +291,7 @@ def robust_fit(vectors: DataFrame, wide_steps: int = 2) -> DataFrame:
             break
     columns = [c for c in state.columns if c not in ("group", "start", "det", "falls")]
     best = state.groupBy("group").agg(F.min(F.struct("det", "start", *columns)).alias("best")).select("group", *[F.col("best")[c].alias(c) for c in columns])
-    model = cut(reweighted(vectors, best))
+    model = cut(reweighted(vectors, best, by))
     drop_cut(state)
     return model
 
@@ -281,13 +305,17 @@ def quality_rules(
     percent of them repeated.
     """
     kept = docs.select(*[name(c) for c in keep]) if keep is not None else docs
-    scored = docs.select(packed(kept), name(lang).alias("lang"), name(source).alias("source"), text_counts(name(text)).alias("counts"))
+    scored = docs.select(packed(kept), name(lang).alias("lang"), F.to_json(F.struct(name(lang).alias("lang"), name(source).alias("source"))).alias("pair"), text_counts(name(text)).alias("counts"))
     failed = (F.col("counts.n_words") < least_words) | (100 * F.col("counts.n_repeat_words") > most_repeated * F.col("counts.n_words"))
-    scored = scored.withColumn("base_failed", failed).select("*", *_vector(F.col("counts")))
-    scored = cut(scored)
-    sound = scored.filter(~F.col("base_failed")).select("lang", "source", *[f"v{i}" for i in range(VARIABLES)])
-    groups = _groups(sound, least_rows)
-    model = robust_fit(cut(_members(sound, groups)))
-    out = _grouped(scored, groups).join(model, "group", "left").withColumn("distance", distance())
+    scored = cut(scored.withColumn("base_failed", failed).select("*", *_vector(F.col("counts"))))
+    groups = _groups(scored, least_rows)
+    by_pair = lookup(groups, "pair", "rows")
+    members = _estimated(groups)
+    by_group = lookup(members.groupBy("group").agg(F.sum("n").alias("n")), "group", "n")
+    sound = by_pair.join(scored.filter(~F.col("base_failed")).select("pair", *[f"v{i}" for i in range(VARIABLES)]), members.select("pair", "group")).drop("pair")
+    sound = cut(sound)
+    model = robust_fit(sound, by_group)
+    out = by_group.join(by_pair.join(scored, groups.select("pair", "group"), "left"), model, "left").withColumn("distance", distance())
+    drop_cut(sound, members)
     good = ~F.col("base_failed") & F.coalesce(F.col("distance") <= BEYOND, F.lit(True))
     return out.select("row", "counts", "base_failed", "distance", good.alias("kept"))

@@ -167,8 +167,11 @@ def test_quality_with_four_tenths_of_junk(spark):
     assert {x.doc_id for x in kept} == set(range(180))
 
 
-def test_quality_of_small_groups(spark):
+@pytest.mark.parametrize("most_keys", [10_000, 1])
+def test_quality_of_small_groups(spark, monkeypatch, most_keys):
     """A source of few rows is held against its language, one of a rare language against all rows."""
+    monkeypatch.setattr("docketlake.llm.quality.MOST_KEYS", most_keys)
+    monkeypatch.setattr("docketlake.llm.quality.FREQUENT_PART", 3)
     rows = [(i, prose(100 + i % 50, i), "en", "big") for i in range(100)]
     for k, (lang, source) in enumerate([("en", "rare"), ("fi", None)]):
         rows += [(1000 * (k + 1) + i, prose(110 + i, i), lang, source) for i in range(5)]
