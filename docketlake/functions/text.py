@@ -86,13 +86,13 @@ def iso_date(digits: Column) -> Column:
     return F.when(t.rlike("^[0-9]{8}$"), F.date_format(F.try_to_date(t, "yyyyMMdd"), "yyyy-MM-dd"))
 
 
-def ipc_code(section: Column, cls: Column, subclass: Column, main: Column, sub: Column) -> Column:
-    part = lambda c: F.coalesce(strip(c), F.lit(""))
-    return F.when(part(section) == "", F.lit("")).otherwise(F.concat(part(section), part(cls), part(subclass), part(main), F.lit("/"), part(sub)))
+def ipc_code(section: str | None, cls: str | None, subclass: str | None, main: str | None, sub: str | None) -> str:
+    """A class of the classification; empty without a section."""
+    return f"{section}{cls or ''}{subclass or ''}{main or ''}/{sub or ''}" if section else ""
 
 
-def journal_reference(number: Column, year: Column) -> Column:
-    return F.when(number.isNotNull(), F.concat(F.lit("OJ EPO "), F.coalesce(year, F.lit("")), F.lit(" "), number))
+def journal_reference(number: str | None, year: str | None) -> str | None:
+    return None if number is None else f"OJ EPO {year or ''} {number}"
 
 
 def clean_title(title: Column) -> Column:

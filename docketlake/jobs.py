@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
@@ -153,18 +154,29 @@ def hashing_embedder(dimensions: int = 64) -> Embedder:
     return embed
 
 
+class NoModel(RuntimeError):
+    """The model's files are absent or can't be loaded."""
+
+
 def onnx_embedder(model: str, tokenizer: str, most_tokens: int = 512) -> Embedder:
-    """A sentence encoder from files: padded batches, masked mean, unit length. Loaded once a worker."""
+    """A sentence encoder from files: padded batches, masked mean, unit length. Loaded once a worker; a failure is remembered, absent files aren't."""
     loaded: list = []
 
     def embed(texts: list[str]) -> list[list[float]]:
         import numpy as np
 
         if not loaded:
-            import onnxruntime
-            import sentencepiece
-
-            loaded.extend([onnxruntime.InferenceSession(model), sentencepiece.SentencePieceProcessor(model_file=tokenizer)])
+            if not (os.path.exists(model) and os.path.exists(tokenizer)):
+                raise NoModel(f"no model at {model}, {tokenizer}")
+            try:
+                import onnxruntime
+                import sentencepiece
+
+                loaded.extend([onnxruntime.InferenceSession(model), sentencepiece.SentencePieceProcessor(model_file=tokenizer)])
+            except Exception as e:
+                loaded[:] = [NoModel(f"{type(e).__name__}: {e}")]
+        if isinstance(loaded[0], NoModel):
+            raise loaded[0]
         session, pieces = loaded
         # ids of the model: those of the pieces plus one, unknown 3, begin 0, end 2, padding 1
         rows = [[0, *[i + 1 if i else 3 for i in ids[: most_tokens - 2]], 2] for ids in pieces.encode(texts)]

@@ -16,7 +16,7 @@ from ..functions import legalref
 from ..functions.chunker import chunks
 from ..functions.text import PARTS, SOURCES, assembled, first_values, passage_score
 from ..functions.vectors import dot, literal
-from ..jobs import DECISION_INDEX, SECTION_INDEX, index_rows
+from ..jobs import DECISION_INDEX, SECTION_INDEX, NoModel, index_rows
 from ..operators import lookups
 from ..operators.filters import metadata_filters
 from ..operators.match import DECISION_WEIGHTS, Or, Phrase, bm25, capped_count, compile_query
@@ -99,6 +99,13 @@ class Library:
         drop_cut(matched, page, *([near] if near is not None else []))
         return out
 
+    def _vector(self, query: str) -> list[float] | None:
+        """The query's vector; None without a model that loads."""
+        try:
+            return None if self.embed_query is None else self.embed_query("query: " + query)
+        except NoModel:
+            return None
+
     def _has_vectors(self, kinds: tuple[str, ...]) -> bool:
         return self.embed_query is not None and not self.store.read("chunks").filter(F.col("kind").isin(*kinds) & F.col("embedding").isNotNull()).isEmpty()
 
@@ -106,7 +113,10 @@ class Library:
         """The pool of nearest chunks; those of sections also count, and filters come after."""
         if mode == "lexical" or not self._has_vectors(("essence", "reasons")):
             return None
-        near = knn(self.store.read("chunks"), "id", "embedding", self.embed_query("query: " + query), pool)
+        vector = self._vector(query)
+        if vector is None:
+            return None
+        near = knn(self.store.read("chunks"), "id", "embedding", vector, pool)
         return near.filter("decision_id is not null").select("decision_id", "distance", F.col("id").alias("chunk_id"), "text")
 
     def search_legal_texts(self, query: str, *, source: str = "both", mode: str = "auto", limit: int = 10) -> dict:
@@ -125,8 +135,9 @@ class Library:
             lexical = top(scored.join(ids, "id", "left_semi"), pool_size(0, limit), F.col("score"), F.col("id"))
         first, used = ranked(lexical, "id", F.col("score"), F.col("id")), "lexical"
         second = first.limit(0)
-        if mode != "lexical" and self._has_vectors(("book",)):
-            near = knn(self.store.read("chunks"), "id", "embedding", self.embed_query("query: " + query), pool_size(0, limit)).filter("book_section_id is not null")
+        vector = self._vector(query) if mode != "lexical" and self._has_vectors(("book",)) else None
+        if vector is not None:
+            near = knn(self.store.read("chunks"), "id", "embedding", vector, pool_size(0, limit)).filter("book_section_id is not null")
             near = best_per_key(near.select(F.col("book_section_id").alias("section"), "distance", F.col("id").alias("chunk")), "section", F.col("distance"), F.col("chunk")).withColumnRenamed("section", "id").join(ids, "id", "left_semi")
             second, used = ranked(near, "id", F.col("distance"), F.col("id")), "hybrid"
         page = fuse(first, second, "id").orderBy(*fused_order()).limit(limit)
@@ -192,8 +203,9 @@ class Library:
         limit, rows = clamp(limit, 1, MOST_PASSAGES), self._part_chunks(decision.id, text, name)
         lexical = top(rows.withColumn("score", passage_score(F.col("text"), query).cast("double")).filter("score > 0"), limit, F.desc("score"), F.col("seq"))
         with_vectors = rows.filter("embedding is not null")
-        has = mode != "lexical" and self.embed_query is not None and not with_vectors.isEmpty()
-        near = top(with_vectors.withColumn("score", dot(F.col("embedding"), literal(self.embed_query("query: " + query)))), limit, F.desc("score"), F.col("seq")) if has else None
+        vector = self._vector(query) if mode != "lexical" and self.embed_query is not None and not with_vectors.isEmpty() else None
+        has = vector is not None
+        near = top(with_vectors.withColumn("score", dot(F.col("embedding"), literal(vector))), limit, F.desc("score"), F.col("seq")) if has else None
         if mode == "vector":
             used, found = ("vector", near) if has else ("vector_unavailable", lexical.limit(0))
         elif mode in ("hybrid", "auto") and has:

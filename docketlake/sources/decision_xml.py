@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import casenum, legalref
 from ..functions.chunker import chunks
-from ..functions.text import essence, iso_date
+from ..functions.text import essence, ipc_code, iso_date, journal_reference
 from ..operators.ranking import numbered
 from ..shared import file_system
 
@@ -68,9 +68,7 @@ def read_document(xml: str, keep_inline: bool = False) -> dict:
     application, journal = first("application-reference", inner), first("ep-official-journal", inner)
     codes = []
     for c in (e for e in inner if _local(e.tag) == "classification-ipcr"):
-        v = {k: of(k, list(c.iter())) or "" for k in ("section", "class", "subclass", "main-group", "subgroup")}
-        if v["section"]:
-            codes.append(f"{v['section']}{v['class']}{v['subclass']}{v['main-group']}/{v['subgroup']}")
+        codes.append(ipc_code(*[of(k, list(c.iter())) for k in ("section", "class", "subclass", "main-group", "subgroup")]))
     within = [] if journal is None else list(journal.iter())
     number = of("ep-official-journal-num", within)
     cited = []
@@ -83,9 +81,9 @@ def read_document(xml: str, keep_inline: bool = False) -> dict:
         "lang": root.get("lang") or procedure, "procedure_lang": procedure, "ecli": of("ep-ecli") or None, "volume": bib.get("volume") if bib is not None else None,
         "code": (case.get("code") if case is not None else None) or "T", "appeal_num": of("ep-appeal-num") or "0000", "year": of("ep-year"), "board": of("ep-board-of-appeal-code"),
         "date": of("date", list(decided.iter())) if decided is not None else of("date"), "distribution": of("ep-distribution-code"), "title": of("invention-title"),
-        "application_number": of("doc-number", list(application.iter())) if application is not None else None, "ipc": " ".join(codes), "headword": of("ep-headword", every),
+        "application_number": of("doc-number", list(application.iter())) if application is not None else None, "ipc": " ".join(filter(None, codes)), "headword": of("ep-headword", every),
         "keywords": "\n".join(k for k in (text(e) for e in every if _local(e.tag) == "keyword") if k),
-        "oj_reference": None if number is None else f"OJ EPO {of('ep-year', within) or ''} {number}",
+        "oj_reference": journal_reference(number, of("ep-year", within)),
         "any_headnote": any(_local(e.tag) == "ep-headnote" and text(e) for e in every), **{c: body(n) for c, n in BODIES.items()},
         "legal_refs": ["".join(e.itertext()) for e in every if _local(e.tag) == "ep-legal-ref-presentation"], "cited": cited,
     }

@@ -227,6 +227,15 @@ def test_library(store):
     assert lib.search_legal_texts("paragraph speaks", source="guidelines")["results"][0]["source"] == "gl"
 
 
+def test_library_without_a_model_that_loads(store):
+    def broken(query):
+        raise jobs.NoModel("gone")
+
+    lib = Library(store, broken)
+    assert lib.search_decisions("T 664/16")["mode"] == "lexical" and lib.search_legal_texts("paragraph speaks")["mode"] == "lexical"
+    assert lib.search_passages("A", "eins")["mode"] == "lexical" and lib.search_passages("A", "eins", mode="vector")["mode"] == "vector_unavailable"
+
+
 def test_reruns_add_nothing_and_repair_keeps(spark, store):
     before = {t: store.read(t).count() for t in ("decisions", "decision_texts", "chunks", "decision_provisions", "decision_citations")}
     jobs.index(spark, store.meta()["decisions_xml"], store.path, incremental=True)
