@@ -12,7 +12,7 @@ from ..sources.outline import clean_page, heading_offset, join_hyphens, suffixed
 from ..shared import shared_folder
 from ..store import Store, new_keys, repaired, replaced_slice, upserted
 from ..streaming.incremental import first_rows, ingest_new
-from .tables import table
+from .tables import spread, table
 
 
 def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ SELECT doc_id, array_to_string(['example of'] || l, chr(10)) AS cleaned, 'ab ' |
 
 def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows stored raw are normalised again; rows changed by hand and texts that aren't codes stay."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")  # noqa: E741
+    l = spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")  # noqa: E741
     raw = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("PCT2003_Rule_"), F.col("l_suppkey").cast("string"))).otherwise(F.lit("no code"))
     bag = l.withColumn("raw", raw).withColumn("provision", F.when(F.col("l_linenumber") == 4, F.lit("by hand")).otherwise(raw))
     return repaired(bag, legalref.normalise_raw(F.col("raw"))).select("l_orderkey", "l_linenumber", "provision")

@@ -9,7 +9,7 @@ from ..functions import casenum, legalref
 from ..functions.chunker import chunks
 from ..functions.text import essence, first_values, iso_date, passage_score, query_terms
 from ..operators.ranking import budget_page
-from .tables import table
+from .tables import spread, table
 
 
 def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ INLINE_CASES = "SELECT o_orderkey, CASE WHEN o_orderkey < 10000 THEN 'T ' || lpa
 
 def legal_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of several eras made from line items; the third kind isn't a code and stays."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")  # noqa: E741
+    l = spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")  # noqa: E741
     n, p = F.lpad(F.col("l_suppkey").cast("string"), 3, "0"), F.col("l_linenumber").cast("string")
     raw = (
         F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("EPC2000_Art_"), n, F.lit("("), p, F.lit(")_(2007)")))

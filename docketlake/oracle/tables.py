@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents, for work on whole texts."""
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that takes long on each row: dealt to all cores if it is small and of few files."""
     ship(spark)
-    return dealt(spark, f"{sf_dir}/documents.parquet")
+    return dealt(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _state(spark: SparkSession, sf_dir: str, name: str) -> tuple:

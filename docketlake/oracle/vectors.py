@@ -9,7 +9,7 @@ from ..functions.text import passage_score
 from ..functions.vectors import cosine
 from ..operators.match import Phrase, bm25
 from ..operators.ranking import best_per_key, fuse, fused_order, knn, ranked, top
-from .tables import table, text_index, texts
+from .tables import spread, table, text_index
 
 QUERY_ID = 7
 
@@ -58,7 +58,7 @@ def cosine_discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by text and, with the vector of the same id, by vector; fused, second page."""
     v = table(spark, sf_dir, "embeddings")
-    index, stats = text_index(spark, sf_dir, "documents", "documents-text", lambda: texts(spark, sf_dir), "doc_id", ["text"])
+    index, stats = text_index(spark, sf_dir, "documents", "documents-text", lambda: spread(spark, sf_dir, "documents"), "doc_id", ["text"])
     scored = bm25(index, stats, Phrase(("license",)))
     lexical = top(scored.select(F.col("row_id").alias("id"), F.round("score", 8).alias("score")), 100, F.col("score"), F.col("id"))
     near = knn(v, "vec_id", "embedding", _query(v), 100).select(F.col("vec_id").alias("id"), F.round("distance", 8).alias("distance"))
