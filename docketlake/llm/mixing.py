@@ -6,7 +6,7 @@ is the source's cumulative token demand. A document that begins after c tokens
 of its source's stream (documents in a fixed pseudo-random order, wrapped round
 for further passes) is trained when the demand reaches the document's middle,
 so its position is the inverse of the demand there. Sorting by position by
-ranges gives the training order.
+ranges gives the training order (``training_order``, the method's last step).
 
 Targets: the sources share the corpus' words by weight; none takes over ``cap``
 times its own size, what is beyond goes to the others by weight.
@@ -139,6 +139,12 @@ def mix_curriculum(
     return rows.select("row", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), positions.alias("positions"), "key", "tie")
 
 
-def training_order(mix: DataFrame) -> DataFrame:
-    """One row a taken copy, range-sorted by position; ties by the order of the stream."""
-    return mix.select("row", "key", "tie", F.explode("positions").alias("position")).orderBy("position", "key", "tie")
+def training_order(mix: DataFrame, *, untaken: bool = False) -> DataFrame:
+    """One row a taken copy (copy: its number, from 0), range-sorted by position; ties by the order of the stream.
+
+    untaken: documents that the mix doesn't take follow after all copies, with
+    null copy and position, spread over ranges by their keys.
+    """
+    explode = F.posexplode_outer if untaken else F.posexplode
+    copies = mix.select(*[c for c in mix.columns if c != "positions"], explode("positions").alias("copy", "position"))
+    return copies.orderBy(F.col("position").asc_nulls_last(), "key", "tie")

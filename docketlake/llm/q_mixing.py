@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from .mixing import mix_curriculum
+from .mixing import mix_curriculum, training_order
 
 
 def op2_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the first training position (null if not taken)."""
-    mix = mix_curriculum(documents(spark, sf_dir), keep=["doc_id"])
-    first = F.when(F.size("positions") > 0, F.col("positions")[0])
-    return mix.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", first.alias("first_position"))
+    """doc_id, size, source_size, target, taken and the first training position (null if not taken).
+
+    The rows are the training stream's, range-sorted, but for later copies of a
+    document; documents that aren't taken follow at the end.
+    """
+    stream = training_order(mix_curriculum(documents(spark, sf_dir), keep=["doc_id"]), untaken=True)
+    first = stream.filter("copy = 0 or copy is null")
+    return first.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.col("position").alias("first_position"))
 
 
 OP2_SQL = r"""

@@ -13,6 +13,7 @@ from docketlake.llm.compression import fit, score
 from docketlake.llm.hamming import top_k
 from docketlake.llm.q_compression import op4_compression_quality
 from docketlake.llm.mixing import DEFAULT_SCHEDULES, integral, mix_curriculum, training_order
+from docketlake.llm.q_mixing import op2_mix_curriculum
 from docketlake.llm.quality import quality_rules
 from docketlake.llm.secrets import scan_secrets
 
@@ -81,6 +82,19 @@ def test_positions_follow_the_schedule(spark):
     assert abs(sum(p < 0.5 for p in at) / len(at) - 0.55) < 0.01
 
 
+def test_mix_query_is_range_sorted(spark, tmp_path):
+    """Each document once, repeated rows too, in the order of its first copy; those not taken at the end."""
+    rows = [(i, prose(1 + i % 40, i), "en", [f"s{i % 5}", "big", "big", None][i % 4]) for i in range(400)]
+    docs = frame(spark, awkward() + [(*r, 0, "r", 1, "k", 1, 1, 0.1, "p", "s", 1) for r in rows])
+    docs.select("doc_id", "text", "lang", "source", "n_chars").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    df = op2_mix_curriculum(spark, str(tmp_path))
+    got = [tuple(x) for x in df.collect()]
+    first = [x[-1] for x in got]
+    assert first == sorted(first, key=lambda p: (p is None, p)) and None in first and "rangepartitioning(" in df._jdf.queryExecution().executedPlan().toString()
+    want = [(x.row.doc_id, x["size"], x.source_size, x.target, x.taken, x.positions[0] if x.positions else None) for x in mix_curriculum(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
