@@ -32,3 +32,12 @@ u AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 c AS (SELECT DISTINCT doc_id AS node, doc_id AS seen FROM s UNION SELECT c.node, u.b FROM c JOIN u ON c.seen = u.a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, m.component_id, doc_id = m.component_id AS kept FROM s JOIN (SELECT node, min(seen) AS component_id FROM c GROUP BY node) AS m ON s.doc_id = m.node
 """
+
+#: The table of the reversed CRC-32 polynomial, made by its rule.
+CRC_TABLE = "crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i)))"
+
+
+def crc32(text: str) -> str:
+    """SQL of the CRC-32 of a string's bytes; reads crc_table.t."""
+    values = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {values}), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)"
