@@ -22,7 +22,6 @@ whole; repeated rows count each time; an empty table has no phrases.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,7 +105,7 @@ def _languages(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
 
 
 _COUNTED = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("bin", pa.int64()), ("n", pa.int64())])
-_WINDOWS = pa.schema([("lang", pa.string()), ("window", pa.binary()), ("n", pa.int64())])
+_WINDOWS = pa.schema([("lang", pa.string()), ("window", pa.binary())])
 
 
 def _count(bits: int):
@@ -127,7 +126,7 @@ def _count(bits: int):
 
 
 def _project(bits: int, longest: int, frequent):
-    """Each place where a frequent pair begins, with the words that follow while their pairs are frequent, counted."""
+    """Each place where a frequent pair begins, with the words that follow while their pairs are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(frequent.value, np.uint8)
@@ -141,12 +140,13 @@ def _project(bits: int, longest: int, frequent):
             for _ in range(longest - 2):
                 reach[:-1] = follows[:-1] * (1 + reach[1:])
             spelled = list(words.numbers)
+            tokens = [spelled[j] for j in words.stream]
             begins = at[good]
-            counts = Counter(apart.join([spelled[j] for j in ids[i : i + m + 1].tolist()]) for i, m in zip(begins.tolist(), reach[begins].tolist(), strict=True))
-            keys = list(counts)
-            for lo in range(0, len(keys), 1 << 14):
-                part = keys[lo : lo + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(part), pa.string()), pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], schema=_WINDOWS)
+            ends = begins + 1 + reach[begins]
+            for lo in range(0, len(begins), 1 << 15):
+                part = slice(lo, lo + (1 << 15))
+                windows = [apart.join(tokens[i:j]) for i, j in zip(begins[part].tolist(), ends[part].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(windows), pa.string()), pa.array(windows, pa.binary())], schema=_WINDOWS)
 
     return run
 
@@ -225,7 +225,7 @@ def frequent_phrases(docs: DataFrame, *, least: int = 100, longest: int = 5, bit
     for r in bitmaps.collect():  # at most 2^(bits - ROW_BITS) rows of 4 KB
         table[r.row * width // 8 : (r.row + 1) * width // 8] = r.bits
     frequent = spark.sparkContext.broadcast(bytes(table))
-    windows = rows.mapInArrow(_project(bits, longest, frequent), "lang string, window binary, n long").groupBy("lang", F.col("window").cast("string").alias("window")).agg(F.sum("n").alias("n"))
+    windows = rows.mapInArrow(_project(bits, longest, frequent), "lang string, window binary").groupBy("lang", F.col("window").cast("string").alias("window")).agg(F.count(F.lit(1)).alias("n"))
     sorted_ = windows.repartitionByRange("lang", "window").sortWithinPartitions("lang", "window")
     parts = sorted_.mapInArrow(_grow(least), "lang string, words array<string>, a long")
     phrases = cut(parts.groupBy("lang", "words").agg(F.sum("a").alias("a")).filter(F.col("a") >= least))
