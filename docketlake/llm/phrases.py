@@ -43,6 +43,8 @@ APART = "\0"
 PIECE_BYTES = 1 << 21
 #: Bits of a bin's number within a row of the broadcast table.
 ROW_BITS = 15
+#: Shares in which a language's phrases are ranked before all are.
+SHARES = 64
 _END = b"\xff"
 _TABLE = bytes(0xFF if chr(i) in ENDS else 0x20 if chr(i) in GAPS else i for i in range(256)).lower()
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -268,6 +270,7 @@ def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, most: i
     scored = both.withColumn("score", score())
     best = scored.groupBy("lang", "words").agg(F.min_by(F.struct("a", "l", "r", "n", "score"), F.struct("score", "cut")).alias("v"))
     out = best.select("lang", unescape(F.array_join("words", " ")).alias("phrase"), "v.*")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    order, best = [F.desc("score"), F.desc("a"), F.col("phrase")], F.col("rank") <= most
+    some = out.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).filter(best)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(best)  # of at most SHARES * most rows a language
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
