@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from . import segments
 from .functions import legalref
-from .operators.postings import digest, postings, row_stats
+from .operators.postings import digest
 from .shared import cut, drop_cut
 from .sources import decision_xml, outline
 from .store import Store, repaired
@@ -20,115 +21,183 @@ STAGES = ("essence", "book", "reasons")
 #: Columns of the two full-text indexes (fixed values).
 DECISION_INDEX = ("case_number", "headword", "keywords", "catchwords", "headnote", "title", "facts", "reasons", "orders")
 SECTION_INDEX = ("section_id", "title", "breadcrumb", "body")
-INDEX_FORMAT = "2"
+INDEX_FORMAT = "3"
 #: Columns by which look-ups read the tables; their files are sorted by them.
-CLUSTERED = {"decisions": ["id"], "decision_texts": ["id"], "decision_provisions": ["provision"], "decision_citations": ["cited_case_number"]}
+CLUSTERED = {"decisions": ["id"], "decision_texts": ["id"], "decision_provisions": ["provision"], "decision_citations": ["cited_case_number"], "chunks": ["id"], "keys": ["ecli"]}
+#: Decisions of a slice of decisions and of their texts, and slices of the keys.
+BLOCK, KEY_SLICES = 1 << 16, 64
 
 
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="seconds")
 
 
-def index_rows(store: Store) -> DataFrame:
-    """Text rows with the fields of their decision."""
-    d = store.read("decisions").select(F.col("id").alias("decision_id"), "case_number", "headword", "keywords", "title")
-    return store.read("decision_texts").join(d, "decision_id")
+def block(id: Column) -> Column:
+    return F.floor(id / BLOCK)
 
 
-def update_index(store: Store, name: str, rows: DataFrame, columns: tuple[str, ...]) -> None:
-    """Keep a text index (name_postings, name_row_stats) in step with its rows.
+def book_slice(source: Column) -> Column:
+    return F.concat(F.lit("book-"), F.hex(source))
 
-    Rows are told apart by id and a digest of their columns. If rows were only
-    added, the new ones' postings are appended; if some changed or went, theirs
-    are dropped without indexing the others again.
-    """
-    stats, index = f"{name}_row_stats", f"{name}_postings"
-    if not store.exists(stats) or not store.exists(index):
-        store.replace(index, postings(rows, "id", columns), ["term", "row_id"])
-        store.replace(stats, row_stats(rows, "id", columns))
+
+def sliced(name: str, rows: DataFrame) -> tuple[DataFrame, str | None]:
+    """rows with the slice that each lies in, and the column that says so; None for tables without slices."""
+    by = {"decisions": lambda: block(F.col("id")), "decision_texts": lambda: block(F.col("decision_id")), "keys": lambda: F.pmod(F.xxhash64("ecli"), F.lit(KEY_SLICES)), "chunks": lambda: F.col("kind")}
+    return (rows.withColumn("slice", by[name]().cast("string")), "slice") if name in by else (rows, None)
+
+
+def index_rows(store: Store, blocks: list | None = None) -> DataFrame:
+    """Text rows with the fields of their decision, of all decisions or those of some blocks."""
+    d = store.read("decisions", blocks).select(F.col("id").alias("decision_id"), "case_number", "headword", "keywords", "title")
+    return store.read("decision_texts", blocks).join(d, "decision_id")
+
+
+def update_index(store: Store, name: str, rows: DataFrame, columns: tuple[str, ...]) -> None:
+    """Bring a text index in step with all its rows, told apart by id and a digest of their columns; only what differs is indexed."""
+    if not segments.exists(store, name):
+        segments.build(store, name, rows, columns)
         return
-    held = store.read(stats)
+    held = segments.live(store, name)[1].select("row_id", "digest")
     now = rows.select(F.col("id").alias("row_id"), digest(columns).alias("digest"))
     fresh = cut(now.join(held, ["row_id", "digest"], "left_anti").select("row_id"))
     gone = cut(held.join(now, ["row_id", "digest"], "left_anti").select("row_id"))
-    changed = rows.join(fresh.select(F.col("row_id").alias("id")), "id", "left_semi")
-    if gone.isEmpty():
-        store.append(index, postings(changed, "id", columns), ["term", "row_id"])
-        store.append(stats, row_stats(changed, "id", columns))
-    else:
-        store.replace(index, store.read(index).join(gone, "row_id", "left_anti").unionByName(postings(changed, "id", columns)), ["term", "row_id"])
-        store.replace(stats, held.join(gone, "row_id", "left_anti").unionByName(row_stats(changed, "id", columns)))
+    if not (fresh.isEmpty() and gone.isEmpty()):
+        segments.change(store, name, rows.join(fresh.select(F.col("row_id").alias("id")), "id", "left_semi"), columns, None if gone.isEmpty() else gone)
     drop_cut(fresh, gone)
 
 
 def rebuild_text_index(store: Store) -> None:
     """Index all text rows anew."""
-    rows = index_rows(store)
-    store.replace("decision_postings", postings(rows, "id", DECISION_INDEX), ["term", "row_id"])
-    store.replace("decision_row_stats", row_stats(rows, "id", DECISION_INDEX))
+    segments.build(store, "decision", index_rows(store), DECISION_INDEX)
     store.set_meta(index_format=INDEX_FORMAT)
 
 
 def index(spark: SparkSession, xml: str, store_path: str, incremental: bool = False) -> Store:
     """Ingest decision XML; incremental keeps what is there and adds new keys and languages.
 
-    The files are parsed once; what was there before keeps its ids, since
-    documents are ordered by run first.
+    The files are parsed once. An incremental run reads and writes, of what is
+    there, the slices that the new documents' keys and decisions lie in.
     """
     store = Store(spark, store_path)
     seen = Observation()
-    more = incremental and store.exists("scanned")
-    run = store.read("scanned").agg(F.coalesce(F.max("ord.run"), F.lit(0))).first()[0] + 1 if more else 0
-    docs = decision_xml.scan(spark, xml).observe(seen, *decision_xml.facts())
-    docs = docs.withColumn("ord", F.struct(F.lit(run).alias("run"), "ord.*"))
-    if more:
-        store.append_new("scanned", docs, ["ecli", "lang"])
+    docs = cut(decision_xml.scan(spark, xml).observe(seen, *decision_xml.facts()))
+    if incremental and store.exists("keys"):
+        merge_documents(store, docs)
     else:
-        store.replace("scanned", docs)
-    for name, rows in decision_xml.tables(store.read("scanned")).items():
-        if name == "chunks":
-            if store.exists("chunks"):
-                held = store.read("chunks")
-                vectors = held.filter("embedding is not null").select("id", F.col("text").alias("_text"), F.col("embedding").alias("_vector"))
-                rows = rows.join(vectors, (rows["id"] == vectors["id"]) & (rows["text"] == F.col("_text")), "left").drop(vectors["id"]).withColumn("embedding", F.col("_vector")).drop("_text", "_vector")
-                rows = rows.unionByName(held.filter("kind = 'book'"))
-            store.replace("chunks", rows.repartition("kind"))
-        else:
-            store.replace(name, rows, CLUSTERED[name])
-    if store.meta().get("index_format") == INDEX_FORMAT:
-        update_index(store, "decision", index_rows(store), DECISION_INDEX)
-    else:
-        rebuild_text_index(store)
+        load_documents(store, docs)
+    drop_cut(docs)
     counts = {"decision_count": store.read("decisions").count(), "chunk_count": store.read("chunks").count(), "documents_parsed": seen.get["documents_parsed"]}
     version = seen.get["volume"] or xml.rpartition("/")[2].rpartition(".")[0]
     store.set_meta(indexed_at=_now(), data_version=version, decisions_xml=xml, index_format=INDEX_FORMAT, **counts)
     return store
 
 
+def _last_ids(store: Store) -> dict[str, int]:
+    top = lambda table: store.read(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return {"last_decision_id": top("decisions"), "last_text_id": top("decision_texts")}
+
+
+def load_documents(store: Store, docs: DataFrame) -> None:
+    """Write all tables of scanned documents; sections and their chunks stay."""
+    for name, rows in decision_xml.tables(docs).items():
+        rows, by = sliced(name, rows.drop("embedding"))
+        if name == "chunks" and store.exists("chunks"):
+            store.replace_slices(name, rows, by, CLUSTERED[name], gone=("essence", "reasons"))
+        else:
+            store.replace(name, rows, CLUSTERED[name], by)
+    rebuild_text_index(store)
+    store.set_meta(merging="", **_last_ids(store))
+
+
+def merge_documents(store: Store, docs: DataFrame) -> None:
+    """Add scanned documents whose key and language the store doesn't hold.
+
+    Texts, references, chunks and new decisions are appended; decisions that
+    documents add to are written again with their block. The keys come last of
+    the tables: documents without one there haven't been added, and a run that
+    finds another one interrupted drops what it left, see recover().
+    """
+    if store.meta().get("merging"):
+        recover(store)
+    last = {k: int(store.meta()[k]) for k in ("last_decision_id", "last_text_id")}
+    keyed, by = sliced("keys", docs.filter("ecli is not null"))
+    touched = [r[0] for r in keyed.select(by).distinct().collect()]  # at most KEY_SLICES
+    keys = store.read("keys", touched)
+    new = cut(keyed.drop(by).join(keys.select("ecli", "lang"), ["ecli", "lang"], "left_anti"))
+    if new.isEmpty():
+        return
+    held = cut(keys.join(new.select("ecli").distinct(), "ecli", "left_semi").select("ecli", "decision_id").distinct())
+    made = decision_xml.tables(new, held, last["last_decision_id"], last["last_text_id"])
+    updates = cut(made.pop("updates"))
+    store.set_meta(merging="1")
+    for name in ("decision_texts", "decision_provisions", "decision_citations", "chunks", "decisions"):
+        rows, by = sliced(name, made[name].drop("embedding"))
+        store.append(name, rows, CLUSTERED[name], by)
+    blocks = [str(r[0]) for r in held.select(block(F.col("decision_id"))).distinct().collect()]  # at most as many as the store has
+    if blocks:
+        store.replace_slices("decisions", decision_xml.updated(store.read("decisions", blocks), updates), "slice", CLUSTERED["decisions"])
+    rows, by = sliced("keys", made["keys"])
+    store.append("keys", rows, CLUSTERED["keys"], by)
+    tops = {k: max(last[k], v) for k, v in _last_ids(store).items()}
+    here = sorted({*blocks, *(str(b) for b in range(last["last_decision_id"] // BLOCK, tops["last_decision_id"] // BLOCK + 1))})
+    texts = index_rows(store, here).join(F.broadcast(held.select("decision_id", F.lit(True).alias("_held"))), "decision_id", "left")
+    added = F.col("id") > last["last_text_id"]
+    segments.change(store, "decision", texts.filter(added | F.col("_held")).drop("_held"), DECISION_INDEX, texts.filter(~added & F.col("_held")).select(F.col("id").alias("row_id")) if blocks else None)
+    store.set_meta(merging="", **tops)
+    drop_cut(new, held, updates)
+
+
+def recover(store: Store) -> None:
+    """Drop what an interrupted merge has added of documents whose keys it didn't write, and bring the index in step."""
+    keys = store.read("keys").select("decision_id", "lang").distinct()
+    ids = keys.select("decision_id").distinct()
+    owner = {"decisions": "id", "decision_provisions": "decision_id", "decision_citations": "citing_id"}
+    for name in ("decision_texts", "chunks", *owner):
+        rows = store.read(name)
+        if name in owner:
+            kept = rows.join(ids.withColumnRenamed("decision_id", owner[name]), owner[name], "left_semi")
+        else:
+            kept = rows.join(keys, ["decision_id", "lang"], "left_semi")
+            if name == "chunks":
+                kept = kept.unionByName(rows.filter("kind = 'book'"))
+        store.replace(name, kept.select(*rows.columns), CLUSTERED[name], "slice" if "slice" in rows.columns else None)
+    update_index(store, "decision", index_rows(store), DECISION_INDEX)
+    store.set_meta(merging="", **_last_ids(store))
+
+
 def index_sections(store: Store, pages: DataFrame, nodes: DataFrame, skip_present: bool = False) -> None:
-    """Load sections, exchanging the slices of their sources; skip_present leaves sources that are there."""
-    made = outline.sections(pages, nodes)
+    """Load sections, exchanging the slices of their sources; skip_present leaves sources that are there.
+
+    Where chunks have vectors, their table must be there: without it the
+    vectors of what is exchanged couldn't be told from the others.
+    """
+    if any(k.startswith("embedded_") and v for k, v in store.meta().items()) and not store.exists("vectors"):
+        raise LookupError("the store had vectors, but its table of them is gone")
+    made = outline.sections(pages, nodes).withColumn("slice", book_slice(F.col("source")))
     if store.exists("book_sections"):
         held = store.read("book_sections")
         if skip_present:
             made = made.join(held.select("source").distinct(), "source", "left_anti")
         top = held.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        made = made.withColumn("id", F.col("id") + top)
-        old = held.join(made.select("source").distinct(), "source", "left_anti").select(*held.columns)
-        store.replace("book_sections", old.unionByName(made))
+        made = cut(made.withColumn("id", F.col("id") + top))
+        store.replace_slices("book_sections", made, "slice", ["id"])
     else:
-        store.replace("book_sections", made)
-    rows = outline.section_chunks(store.read("book_sections"))
+        made = cut(made)
+        store.replace("book_sections", made, ["id"], "slice")
+    touched = [r[0] for r in made.select("slice").distinct().collect()]  # a few books
+    rows = outline.section_chunks(made).drop("embedding").join(F.broadcast(made.select(F.col("id").alias("book_section_id"), "slice")), "book_section_id")
     if store.exists("chunks"):
-        store.replace_slice("chunks", F.col("kind") == "book", rows)
+        rows = rows.select(*store.read("chunks").columns)
+        store.replace_slices("chunks", rows, "slice", ["id"], gone=touched)
     else:
-        store.replace("chunks", rows)
+        store.replace("chunks", rows, ["id"], "slice")
     update_index(store, "section", store.read("book_sections"), SECTION_INDEX)
     store.set_meta(book_section_count=store.read("book_sections").count())
+    drop_cut(made)
 
 
 def fix_provisions(store: Store) -> None:
-    store.replace("decision_provisions", repaired(store.read("decision_provisions"), legalref.normalise_raw(F.col("raw"))))
+    store.replace("decision_provisions", repaired(store.read("decision_provisions"), legalref.normalise_raw(F.col("raw"))), CLUSTERED["decision_provisions"])
 
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -203,20 +272,54 @@ def embedded(chunks: DataFrame, embedder: Embedder, batch: int = 32) -> DataFram
     return chunks.withColumn("embedding", vectors(F.col("text")))
 
 
-def embed(store: Store, embedder: Embedder, model: str, stage: str | None = None) -> None:
-    """Fill missing vectors stage by stage; each stage is committed, so a rerun goes on with what is pending."""
+def _chunks_of(store: Store, kind: str) -> DataFrame:
+    slices = store.slices("chunks")
+    rows = store.read("chunks", [x for x in slices if x.split("-")[0] == kind] if slices else None)
+    return rows.filter(F.col("kind") == kind).withColumn("digest", F.xxhash64("text"))
+
+
+def chunk_vectors(store: Store, kinds: tuple[str, ...] = STAGES) -> DataFrame | None:
+    """id, digest, kind and embedding of chunks; None where there are none of these kinds."""
+    there = [k for k in kinds if k in store.slices("vectors")]
+    return store.read("vectors", there) if there else None
+
+
+def embedded_chunks(store: Store, kinds: tuple[str, ...] = STAGES) -> DataFrame | None:
+    """Chunks with their vectors; a vector counts for the text that it was made of."""
+    vectors = chunk_vectors(store, kinds)
+    return None if vectors is None else store.read("chunks").withColumn("digest", F.xxhash64("text")).join(vectors.select("id", "digest", "embedding"), ["id", "digest"]).drop("digest")
+
+
+def pending(store: Store, kind: str) -> DataFrame:
+    """id and digest of the chunks of a kind that have no vector."""
+    rows, vectors = _chunks_of(store, kind).select("id", "digest"), chunk_vectors(store, (kind,))
+    return rows if vectors is None else rows.join(vectors.select("id", "digest"), ["id", "digest"], "left_anti")
+
+
+def embed(store: Store, embedder: Embedder, model: str, stage: str | None = None, batch_rows: int = 100_000) -> None:
+    """Fill missing vectors, by batches of about batch_rows chunks in the order of ids; each is committed, so a rerun makes what is missing and nothing twice."""
     if stage is not None and stage not in STAGES:
         raise ValueError(f"unknown stage {stage}; one of {', '.join(STAGES)}")
     before = store.meta().get("embedding_model")
     if before not in (None, model):
         raise ValueError(f"the store holds vectors of {before}")
+    store.set_meta(embedding_model=model)
     for kind in STAGES if stage is None else (stage,):
-        held = store.read("chunks")
-        pending = held.filter((F.col("kind") == kind) & F.col("embedding").isNull())
-        if not pending.isEmpty():
-            done = held.filter(~((F.col("kind") == kind) & F.col("embedding").isNull()))
-            store.replace("chunks", done.unionByName(embedded(pending, embedder)).repartition("kind"))
-        store.set_meta(**{f"embedded_{kind}_at": _now(), "embedding_model": model})
+        missing = cut(pending(store, kind))
+        n = missing.count()
+        batches = -(-n // batch_rows)
+        bounds = missing.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+        at = F.col("id").cast("double")
+        for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+            here = F.lit(True) if low is None else at >= low
+            here = here if high is None else here & (at < high)
+            rows = _chunks_of(store, kind).filter(here).join(missing.filter(here), ["id", "digest"], "left_semi")
+            if n:
+                vectors = cut(embedded(rows.repartitionByRange("id"), embedder).select("id", "digest", "kind", "embedding"))  # a sort's sample would run the embedder again
+                store.append("vectors", vectors, ["id"], "kind")
+                drop_cut(vectors)
+        drop_cut(missing)
+        store.set_meta(**{f"embedded_{kind}_at": _now()})
     store.set_meta(embedded_at=_now())
 
 

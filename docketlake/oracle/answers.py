@@ -56,7 +56,8 @@ def _build(spark: SparkSession, sf_dir: str, path: str) -> None:
     made_tables = {"decisions": decisions, "decision_texts": own.unionAll(version), "decision_provisions": provisions.withColumn("raw", F.col("provision")), "decision_citations": citations}
     for name, rows in made_tables.items():
         store.replace(name, rows, jobs.CLUSTERED[name])
-    store.replace("chunks", chunks)
+    store.replace("chunks", chunks.drop("embedding"), ["id"])
+    store.replace("vectors", chunks.filter("embedding is not null").select("id", F.xxhash64("text").alias("digest"), "kind", "embedding"), ["id"], "kind")
     store.replace("book_sections", sections)
     jobs.rebuild_text_index(store)
     jobs.update_index(store, "section", sections, jobs.SECTION_INDEX)

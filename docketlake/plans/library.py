@@ -16,13 +16,14 @@ from ..functions import legalref
 from ..functions.chunker import chunks
 from ..functions.text import PARTS, SOURCES, assembled, first_values, passage_score
 from ..functions.vectors import dot, literal
-from ..jobs import DECISION_INDEX, SECTION_INDEX, NoModel, index_rows
+from ..jobs import DECISION_INDEX, SECTION_INDEX, NoModel, chunk_vectors, embedded_chunks, index_rows
 from ..operators import lookups
 from ..operators.filters import metadata_filters
 from ..operators.match import DECISION_WEIGHTS, Or, Phrase, bm25, capped_count, compile_query
 from ..operators.ranking import best_per_key, budget_page, clamp, fallback, fuse, fused_order, knn, pool_size, ranked, top
 from ..operators.snippet import snippet
 from ..functions.text import tokens_of
+from ..segments import exists, live
 from ..shared import cut, drop_cut
 from ..store import Store
 
@@ -62,7 +63,7 @@ class Library:
         if tree is None:
             matched = rows.limit(0).select("decision_id", "lang", F.col("id").alias("row_id"), F.lit(0.0).alias("score"))
         else:
-            scored = bm25(self.store.read("decision_postings"), self.store.read("decision_row_stats"), tree, DECISION_WEIGHTS)
+            scored = bm25(*live(self.store, "decision"), tree, DECISION_WEIGHTS)
             texts = self.store.read("decision_texts").select("id", "decision_id", "lang")
             matched = passing(scored.join(texts, F.col("row_id") == F.col("id")).drop("id").join(known, "decision_id")).select("decision_id", "lang", "row_id", "score")
         matched = cut(matched)
@@ -107,7 +108,7 @@ class Library:
             return None
 
     def _has_vectors(self, kinds: tuple[str, ...]) -> bool:
-        return self.embed_query is not None and not self.store.read("chunks").filter(F.col("kind").isin(*kinds) & F.col("embedding").isNotNull()).isEmpty()
+        return self.embed_query is not None and chunk_vectors(self.store, kinds) is not None
 
     def _decision_vectors(self, query: str, mode: str, pool: int) -> DataFrame | None:
         """The pool of nearest chunks; those of sections also count, and filters come after."""
@@ -116,7 +117,7 @@ class Library:
         vector = self._vector(query)
         if vector is None:
             return None
-        near = knn(self.store.read("chunks"), "id", "embedding", vector, pool)
+        near = knn(embedded_chunks(self.store), "id", "embedding", vector, pool)
         return near.filter("decision_id is not null").select("decision_id", "distance", F.col("id").alias("chunk_id"), "text")
 
     def search_legal_texts(self, query: str, *, source: str = "both", mode: str = "auto", limit: int = 10) -> dict:
@@ -131,13 +132,13 @@ class Library:
         if tree is None:
             lexical = ids.limit(0).select("id", F.lit(0.0).alias("score"))
         else:
-            scored = bm25(self.store.read("section_postings"), self.store.read("section_row_stats"), tree).withColumnRenamed("row_id", "id")
+            scored = bm25(*live(self.store, "section"), tree).withColumnRenamed("row_id", "id")
             lexical = top(scored.join(ids, "id", "left_semi"), pool_size(0, limit), F.col("score"), F.col("id"))
         first, used = ranked(lexical, "id", F.col("score"), F.col("id")), "lexical"
         second = first.limit(0)
         vector = self._vector(query) if mode != "lexical" and self._has_vectors(("book",)) else None
         if vector is not None:
-            near = knn(self.store.read("chunks"), "id", "embedding", vector, pool_size(0, limit)).filter("book_section_id is not null")
+            near = knn(embedded_chunks(self.store), "id", "embedding", vector, pool_size(0, limit)).filter("book_section_id is not null")
             near = best_per_key(near.select(F.col("book_section_id").alias("section"), "distance", F.col("id").alias("chunk")), "section", F.col("distance"), F.col("chunk")).withColumnRenamed("section", "id").join(ids, "id", "left_semi")
             second, used = ranked(near, "id", F.col("distance"), F.col("id")), "hybrid"
         page = fuse(first, second, "id").orderBy(*fused_order()).limit(limit)
@@ -172,9 +173,13 @@ class Library:
 
     def _part_chunks(self, decision_id: int, text, part: str) -> DataFrame:
         """seq, text and embedding: the stored chunks of reasons, else the part split now."""
-        stored = self.store.read("chunks").filter((F.col("decision_id") == decision_id) & (F.col("kind") == "reasons") & (F.col("lang") == text.lang)).select("seq", "text", "embedding")
+        own = (F.col("decision_id") == decision_id) & (F.col("kind") == "reasons") & (F.col("lang") == text.lang)
+        stored = self.store.read("chunks").filter(own)
         if part == "reasons" and not stored.isEmpty():
-            return stored
+            vectors = embedded_chunks(self.store, ("reasons",))
+            if vectors is None:
+                return stored.select("seq", "text", F.lit(None).cast("array<float>").alias("embedding"))
+            return stored.select("id", "seq", "text").join(vectors.filter(own).select("id", "embedding"), "id", "left").drop("id")
         row = self.store.read("decision_texts").filter(F.col("id") == text.id)
         columns = {c: F.col(c) for c in ("headnote", "catchwords", "facts", "reasons", "orders")}
         body = assembled(columns) if part == "full" else columns["orders" if part == "order" else part]
@@ -259,12 +264,12 @@ class Library:
             "provision": wanted, "decision_count": lookups.provision_count(bag, wanted).first()[0], "recent_decisions": _rows(recent),
             "top_decisions_by_provision_rows": _rows(best), "book_sections": [],
         }
-        if self.store.exists("section_postings"):
+        if exists(self.store, "section"):
             variants = self.store.spark.range(1).select(legalref.prose_variants(F.lit(wanted))).first()[0]
             phrases = [Phrase(t) for t in (tuple(tokens_of(v)) for v in variants) if t]
             if phrases:
                 tree = Or(tuple(phrases)) if len(phrases) > 1 else phrases[0]
-                scored = top(bm25(self.store.read("section_postings"), self.store.read("section_row_stats"), tree), 5, F.col("score"), F.col("row_id"))
+                scored = top(bm25(*live(self.store, "section"), tree), 5, F.col("score"), F.col("row_id"))
                 rows = scored.join(self.store.read("book_sections"), F.col("row_id") == F.col("id")).orderBy("score", "row_id").select("source", "section_id", "title", "breadcrumb")
                 out["book_sections"] = _rows(rows)
         return out

@@ -135,35 +135,46 @@ def first_per_key(docs: DataFrame) -> DataFrame:
     return keyed.withColumns({"is_original": is_original, "key_ord": F.min("ord").over(by_key), "is_first": F.row_number().over(by_key.orderBy("ord")) == 1, "first_text": F.row_number().over(by_lang.orderBy("ord")) == 1})
 
 
-def tables(docs: DataFrame) -> dict[str, DataFrame]:
-    """decisions, decision_texts, decision_provisions, decision_citations and chunks of scanned documents.
-
-    A key's first document gives its metadata, provisions and citations; later
-    ones add their language; originals override headword (even by an empty
-    one), keywords (if not empty) and has_headnote (only to 1).
-    """
-    rows = first_per_key(docs)
+def merged_fields(rows: DataFrame) -> DataFrame:
+    """What all documents of a key say together: originals override headword (even by an empty one), keywords (if not empty) and has_headnote (only to 1)."""
     original = F.col("is_original") == 1
-    merged = rows.groupBy("ecli").agg(
+    return rows.groupBy("ecli").agg(
         F.max_by("headword", F.when(original & F.col("headword").isNotNull(), F.col("ord"))).alias("new_headword"),
         F.max_by("keywords", F.when(original & (F.col("keywords") != ""), F.col("ord"))).alias("new_keywords"),
         F.max(F.when(original & (F.col("headnote") != ""), 1)).alias("new_headnote"),
-        F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "lang"))), lambda x: x["lang"])), ",").alias("available_languages"),
+        F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "lang"))), lambda x: x["lang"])), ",").alias("new_languages"),
     )
+
+
+def tables(docs: DataFrame, held: DataFrame | None = None, last_id: int = 0, last_text_id: int = 0) -> dict[str, DataFrame]:
+    """decisions, decision_texts, decision_provisions, decision_citations, chunks and keys of scanned documents.
+
+    A key's first document gives its metadata, provisions and citations; later
+    ones add their language and override fields, see merged_fields(). held:
+    (ecli, decision_id) of keys that are there already; these get no decision
+    again, but ``updates``, by which updated() changes theirs. New ids follow
+    the last ones given.
+    """
+    rows = first_per_key(docs)
+    original = F.col("is_original") == 1
+    merged = merged_fields(rows)
     year = F.coalesce(F.when(F.trim("year").rlike("^[+-]?[0-9]{1,9}$"), F.trim("year").cast("int")), F.lit(0))
-    first = rows.filter("is_first").join(merged, "ecli")
+    first_rows = rows.filter("is_first") if held is None else rows.filter("is_first").join(held.select("ecli"), "ecli", "left_anti")
+    first = first_rows.join(merged, "ecli")
     # ids follow the order of documents; only keys are sorted for that, not their texts
-    ids = numbered(rows.filter("is_first").select("ecli", "ord"), "ord", "id").drop("ord")
+    ids = numbered(first_rows.select("ecli", "ord"), "ord", "id").select("ecli", (F.col("id") + last_id).alias("id"))
     decisions = first.join(ids, "ecli").select(
         "id", casenum.format_case(F.col("code"), F.col("appeal_num"), year).alias("case_number"), "code", "appeal_num", year.alias("year"), "ecli", "board", iso_date(F.col("date")).alias("decision_date"),
         F.col("procedure_lang").alias("language"), "distribution", "title", "application_number", "ipc", F.coalesce("new_headword", "headword").alias("headword"), F.coalesce("new_keywords", "keywords").alias("keywords"),
-        "oj_reference", F.greatest(F.col("any_headnote").cast("int"), F.coalesce("new_headnote", F.lit(0))).alias("has_headnote"), "available_languages",
+        "oj_reference", F.greatest(F.col("any_headnote").cast("int"), F.coalesce("new_headnote", F.lit(0))).alias("has_headnote"), F.col("new_languages").alias("available_languages"),
     )
-    kept = rows.filter("first_text").join(ids.withColumnRenamed("id", "decision_id"), "ecli")
-    text_ids = numbered(kept.select("ecli", "lang", "ord"), "ord", "id").drop("ord")
+    new_owners = ids.withColumnRenamed("id", "decision_id")
+    owners = new_owners if held is None else new_owners.unionByName(held)
+    kept = rows.filter("first_text").join(owners, "ecli")
+    text_ids = numbered(kept.select("ecli", "lang", "ord"), "ord", "id").select("ecli", "lang", (F.col("id") + last_text_id).alias("id"))
     texts = kept.join(text_ids, ["ecli", "lang"])
     bodies = texts.select("id", "decision_id", "lang", "is_original", *BODIES)
-    owned = rows.filter("is_first").join(ids.withColumnRenamed("id", "decision_id"), "ecli")
+    owned = first_rows.join(new_owners, "ecli")
     raw = owned.select("decision_id", F.explode("legal_refs").alias("raw"))
     provisions = raw.select("decision_id", legalref.normalise_raw(F.col("raw")).alias("provision"), casenum.strip(F.col("raw")).alias("raw")).filter("provision <> ''")
     cite = owned.select("decision_id", F.explode("cited").alias("c")).filter("c.code is not null and c.num is not null and c.year rlike '^ *[+-]?[0-9]{1,9} *$'")
@@ -172,7 +183,18 @@ def tables(docs: DataFrame) -> dict[str, DataFrame]:
     parts = originals.select("decision_id", "lang", F.explode(F.array(F.struct(F.lit("essence").alias("kind"), F.col("essence").alias("body")), F.struct(F.lit("reasons").alias("kind"), F.col("reasons").alias("body")))).alias("p"))
     pieces = parts.select("p.kind", "decision_id", F.lit(None).cast("long").alias("book_section_id"), "lang", F.posexplode(chunks(F.col("p.body"))).alias("seq", "text"))
     chunk_rows = pieces.select(F.xxhash64("kind", "decision_id", "lang", "seq").alias("id"), "*", F.lit(None).cast("array<float>").alias("embedding"))
-    return {"decisions": decisions, "decision_texts": bodies, "decision_provisions": provisions, "decision_citations": citations, "chunks": chunk_rows}
+    made = {"decisions": decisions, "decision_texts": bodies, "decision_provisions": provisions, "decision_citations": citations, "chunks": chunk_rows, "keys": texts.select("ecli", "lang", "decision_id")}
+    return made if held is None else made | {"updates": held.join(merged, "ecli").withColumnRenamed("decision_id", "id").drop("ecli")}
+
+
+def updated(decisions: DataFrame, updates: DataFrame) -> DataFrame:
+    """decisions with what later documents of their keys say."""
+    both = decisions.join(updates, "id", "left")
+    change = {
+        "headword": F.coalesce("new_headword", "headword"), "keywords": F.coalesce("new_keywords", "keywords"), "has_headnote": F.greatest("has_headnote", "new_headnote"),
+        "available_languages": F.when(F.col("new_languages").isNull(), F.col("available_languages")).otherwise(F.array_join(F.array_union(F.split("available_languages", ","), F.split("new_languages", ",")), ",")),
+    }
+    return both.select(*[change[c].alias(c) if c in change else F.col(c) for c in decisions.columns])
 
 
 def newest_source(spark: SparkSession, folder: str, pattern: str = "EPDecisions_*.xml", parents: bool = True) -> str | None:

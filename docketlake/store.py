@@ -7,12 +7,18 @@ one leaves the table as it was. Records are created, never overwritten, so of
 two writers at once the second fails. The parts of the record before stay for
 readers that have already planned on them; what only older records name is
 deleted.
+
+A table may be kept in slices, by a column of short plain values: a part then
+holds one slice. Slices are read and exchanged on their own, and the files of
+the others stay as they are.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +27,10 @@ from pyspark.sql.types import StructType
 from .functions.once import let
 from .shared import file_system
 
-#: Parts of a table beyond which an append puts them together.
+#: Parts of a table, or of a slice, beyond which an append puts them together.
 MOST_PARTS = 64
+#: What the last folder of a slice's part is called.
+SLICE = "_slice="
 
 
 class Store:
@@ -55,18 +63,38 @@ class Store:
     def exists(self, table: str) -> bool:
         return self._current(table) is not None
 
-    def read(self, table: str) -> DataFrame:
+    def read(self, table: str, slices: Iterable | None = None) -> DataFrame:
+        """A table, or only some of its slices."""
         found = self._current(table)
         if found is None:
             raise LookupError(f"no table {table} in {self.path}")
-        record = found[1]
-        return self.spark.read.schema(StructType.fromJson(record["schema"])).parquet(*[f"{self.path}/{table}/{p}" for p in record["parts"]])
+        record, wanted = found[1], None if slices is None else {str(x) for x in slices}
+        schema = StructType.fromJson(record["schema"])
+        parts = [p for p in record["parts"] if wanted is None or _slice_of(p) in wanted]
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{table}/{p}" for p in parts])
+
+    def slices(self, table: str) -> set[str]:
+        """The slices that a table has rows in; no files are read."""
+        found = self._current(table)
+        return set() if found is None else {x for p in found[1]["parts"] if (x := _slice_of(p)) is not None}
 
-    def _write(self, table: str, rows: DataFrame, sort: list[str] | None) -> str:
+    def _write(self, table: str, rows: DataFrame, sort: list[str] | None, by: str | None = None) -> list[str]:
+        """Write rows; the parts made: one, or one a slice."""
         part = f"v-{uuid.uuid4().hex}"
-        out = rows if sort is None else rows.repartitionByRange(*[F.col(c) for c in sort]).sortWithinPartitions(*sort)
-        out.write.option("compression", "zstd").parquet(f"{self.path}/{table}/{part}")
-        return part
+        path = f"{self.path}/{table}/{part}"
+        if by is None:
+            out = rows if sort is None else rows.repartitionByRange(*[F.col(c) for c in sort]).sortWithinPartitions(*sort)
+            out.write.option("compression", "zstd").parquet(path)
+            return [part]
+        order = [by, *(sort or [])]
+        name = SLICE.rstrip("=")
+        out = rows.repartitionByRange(*order)  # by the sort columns too, so that a slice of any size is many files
+        out.sortWithinPartitions(*order).withColumn(name, F.col(by).cast("string")).write.partitionBy(name).option("compression", "zstd").parquet(path)
+        p, fs = file_system(self.spark, path)
+        found = [x.getPath().getName() for x in fs.listStatus(p)]
+        return [f"{part}/{x}" for x in sorted(found) if x.startswith(SLICE)]
 
     def _commit(self, table: str, last: int, parts: list[str], schema: StructType) -> None:
         p, fs = file_system(self.spark, f"{self.path}/{table}/_current-{last + 1}")
@@ -79,43 +107,58 @@ class Store:
             if n < last:
                 for old in (self._record(table, n) or {"parts": []})["parts"]:
                     if old not in kept:
-                        self._delete(f"{table}/{old}")
+                        self._delete(f"{table}/{old}")  # a folder whose slices have all gone stays, empty
                 self._delete(f"{table}/_current-{n}")
 
     def _delete(self, path: str) -> None:
         p, fs = file_system(self.spark, f"{self.path}/{path}")
         fs.delete(p, True)
 
-    def replace(self, table: str, rows: DataFrame, sort: list[str] | None = None) -> None:
-        """Write rows as the table's only part; sort: columns whose row-group bounds look-ups use."""
-        part = self._write(table, rows, sort)
-        self._commit(table, max(self._records(table), default=0), [part], rows.schema)
+    def replace(self, table: str, rows: DataFrame, sort: list[str] | None = None, by: str | None = None) -> None:
+        """Write rows as all of the table; sort: columns whose row-group bounds look-ups use; by: the column of slices."""
+        parts = self._write(table, rows, sort, by)
+        self._commit(table, max(self._records(table), default=0), parts, rows.schema)
 
-    def append(self, table: str, rows: DataFrame, sort: list[str] | None = None) -> bool:
-        """Add rows as a part of their own; whether there were any. Columns that one side lacks are null there."""
+    def append(self, table: str, rows: DataFrame, sort: list[str] | None = None, by: str | None = None) -> bool:
+        """Add rows as parts of their own; whether there were any. Columns that one side lacks are null there."""
         found = self._current(table)
         if found is None:
-            self.replace(table, rows, sort)
+            self.replace(table, rows, sort, by)
             return True
         number, record = found
         held = self.spark.createDataFrame([], StructType.fromJson(record["schema"]))
         rows = held.unionByName(rows, allowMissingColumns=True)
-        part = self._write(table, rows, sort)
-        if self.spark.read.schema(rows.schema).parquet(f"{self.path}/{table}/{part}").isEmpty():
-            self._delete(f"{table}/{part}")
+        made = self._write(table, rows, sort, by)
+        if by is None and self.spark.read.schema(rows.schema).parquet(f"{self.path}/{table}/{made[0]}").isEmpty():
+            self._delete(f"{table}/{made[0]}")
+            return False
+        if not made:
             return False
-        self._commit(table, number, [*record["parts"], part], rows.schema)
-        if len(record["parts"]) >= MOST_PARTS:
+        parts = [*record["parts"], *made]
+        self._commit(table, number, parts, rows.schema)
+        if by is None and len(parts) > MOST_PARTS:
             self.replace(table, self.read(table), sort)
+        crowded = [x for x, n in Counter(map(_slice_of, parts)).items() if x is not None and n > MOST_PARTS]
+        if crowded:
+            self.replace_slices(table, self.read(table, crowded), by, sort)
         return True
 
+    def replace_slices(self, table: str, rows: DataFrame, by: str, sort: list[str] | None = None, gone: Iterable = ()) -> None:
+        """Exchange the slices that rows lie in, and drop those in gone; the files of the others aren't touched."""
+        number, record = self._current(table)
+        made = self._write(table, rows, sort, by)
+        touched = {_slice_of(p) for p in made} | {str(x) for x in gone}
+        self._commit(table, number, [*[p for p in record["parts"] if _slice_of(p) not in touched], *made], StructType.fromJson(record["schema"]))
+
     def append_new(self, table: str, rows: DataFrame, keys: list[str]) -> bool:
         """Add the rows whose keys the table doesn't hold yet; what is there is read for its keys only."""
         return self.append(table, new_keys(rows, self.read(table), keys) if self.exists(table) else rows)
 
-    def replace_slice(self, table: str, slice_: Column, rows: DataFrame) -> None:
-        """Exchange the rows for which slice_ holds."""
-        self.replace(table, replaced_slice(self.read(table), slice_, rows))
+    def drop_slices(self, table: str, gone: Iterable) -> None:
+        """Drop slices; nothing is written but the record."""
+        number, record = self._current(table)
+        dropped = {str(x) for x in gone}
+        self._commit(table, number, [p for p in record["parts"] if _slice_of(p) not in dropped], StructType.fromJson(record["schema"]))
 
     def set_meta(self, **values: str) -> None:
         new = self.spark.createDataFrame([(k, str(v)) for k, v in values.items()], "key string, value string").coalesce(1)
@@ -132,6 +175,11 @@ class Store:
             return False
 
 
+def _slice_of(part: str) -> str | None:
+    """The slice that a part holds; None of a table without."""
+    return part.rpartition(SLICE)[2] if SLICE in part else None
+
+
 def upserted(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """held with the rows of new, which win by key."""
     both = held.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docketlake import jobs
+from docketlake import jobs, segments
 from docketlake.plans.library import Library
 from docketlake.sources import decision_xml, outline
 from docketlake.store import Store
@@ -106,8 +106,9 @@ def test_sections_are_loaded_again_or_left(spark, tmp_path):
     assert rows(store.read("book_sections").select("id", "section_id")) == ids
     jobs.index_sections(store, pages, nodes)
     assert sorted(x[1] for x in rows(store.read("book_sections").select("id", "section_id"))) == sorted(x[1] for x in ids)
-    held = {r.row_id for r in store.read("section_row_stats").collect()}
-    assert held == {r.row_id for r in store.read("section_postings").select("row_id").distinct().collect()} == {r.id for r in store.read("book_sections").collect()}
+    index, stats = segments.live(store, "section")
+    held = {r.row_id for r in stats.collect()}
+    assert held == {r.row_id for r in index.select("row_id").distinct().collect()} == {r.id for r in store.read("book_sections").collect()}
 
 
 def test_scan_splits_files_and_ignores_comments(spark, tmp_path):
@@ -146,9 +147,10 @@ def test_the_index_follows_added_and_changed_documents(spark, tmp_path):
     jobs.index(spark, str(tmp_path / "1.xml"), path, incremental=True)  # nothing new
     (tmp_path / "2.xml").write_text("<root>" + DOCUMENTS[1] + "</root>")
     jobs.index(spark, str(tmp_path / "2.xml"), path, incremental=True)  # the original changes the headword of a text that was there
-    kept = {t: rows(store.read(t)) for t in ("decision_postings", "decision_row_stats")}
+    index = lambda: [rows(t.drop("seg")) for t in segments.live(store, "decision")]
+    kept = index()
     jobs.rebuild_text_index(store)
-    assert kept == {t: rows(store.read(t)) for t in kept}
+    assert kept == index() and len(segments.segments(store, "decision")) == 1
     assert Library(store).search_decisions("HW-de", mode="lexical")["total"] == 1
 
 
@@ -240,7 +242,7 @@ def test_reruns_add_nothing_and_repair_keeps(spark, store):
     before = {t: store.read(t).count() for t in ("decisions", "decision_texts", "chunks", "decision_provisions", "decision_citations")}
     jobs.index(spark, store.meta()["decisions_xml"], store.path, incremental=True)
     assert before == {t: store.read(t).count() for t in before}
-    assert store.read("chunks").filter("embedding is null").count() == 0
+    assert all(jobs.pending(store, kind).isEmpty() for kind in jobs.STAGES)
     held = rows(store.read("decision_provisions"))
     jobs.fix_provisions(store)
     assert rows(store.read("decision_provisions")) == held
@@ -253,7 +255,7 @@ def test_reruns_add_nothing_and_repair_keeps(spark, store):
     with pytest.raises(ValueError):
         jobs.embed(store, jobs.hashing_embedder(), "another model")
     jobs.embed(store, jobs.hashing_embedder(), "hashing", "book")
-    assert store.read("chunks").filter("kind = 'book' and embedding is null").count() == 0
+    assert jobs.pending(store, "book").isEmpty()
 
 
 def test_stream_equals_batch(spark, tmp_path):
