@@ -111,7 +111,8 @@ def phrase_hits(index: DataFrame, phrases: list[Phrase]) -> DataFrame:
     starts = found.select("row_id", "col", F.col("v.phrase").alias("phrase"), (F.col("pos") - F.col("v.i")).alias("start"), F.col("v.i").alias("i"), F.col("v.n").alias("n"))
     if all(len(p.tokens) == 1 for p in phrases):
         return starts.select("row_id", "col", "phrase", "start")
-    whole = starts.groupBy("row_id", "col", "phrase", "start", "n").agg(F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i")))).alias("k"))
+    # a place holds one term, so each of a phrase's places votes once for a start
+    whole = starts.groupBy("row_id", "col", "phrase", "start", "n").agg(F.count(F.lit(1)).alias("k"))
     return whole.filter("k = n").select("row_id", "col", "phrase", "start")
 
 

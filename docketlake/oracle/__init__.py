@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, ingest, lookups, passages, structure, text, vectors  # noqa: E402
+from . import answers, changes, ingest, lookups, passages, structure, text, vectors  # noqa: E402
 
-FAMILIES = [text, vectors, passages, lookups, ingest, structure, answers]
+FAMILIES = [text, vectors, passages, lookups, ingest, structure, answers, changes]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ from ..sources import decision_xml, outline
 from .tables import made, table
 
 
-def _write_xml(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """Orders as decision documents in three languages, two of a key, in files whose names follow their order."""
+def xml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k and value: orders as decision documents in three languages, two of a key."""
     o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
     s = lambda c: F.col(c).cast("string")
     lang = F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit("fr")), (F.col("k") % 3 + 1).cast("int"))
@@ -23,7 +23,12 @@ def _write_xml(spark: SparkSession, sf_dir: str, path: str) -> None:
         F.lit('</keyword></ep-keywords><ep-cited-decisions><ep-cited-decision code="G"><ep-appeal-num>'), (F.col("k") % 7).cast("string"), F.lit("</ep-appeal-num><ep-year>2001</ep-year></ep-cited-decision></ep-cited-decisions>"),
         F.when(F.col("k") % 4 == 0, F.lit("<ep-headnote><p>note</p></ep-headnote>")).otherwise(F.lit("")), F.lit("<ep-reasons-for-decision><heading>no</heading><p>reason <b>dropped</b>"), s("k"), F.lit("</p><p> </p>\n<p>end</p></ep-reasons-for-decision></ep-appeal-decision>"),
     )
-    o.select("k", xml.alias("value")).repartitionByRange("k").sortWithinPartitions("k").select("value").write.text(path)
+    return o.select("k", xml.alias("value"))
+
+
+def _write_xml(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The documents in files whose names follow their order."""
+    xml_lines(spark, sf_dir).repartitionByRange("k").sortWithinPartitions("k").select("value").write.text(path)
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:

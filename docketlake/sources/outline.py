@@ -15,7 +15,7 @@ from ..functions.casenum import strip
 from ..functions.chunker import chunks
 from ..functions.text import clean_title
 from ..operators.ranking import numbered
-from ..shared import cut
+from ..shared import cut, drop_cut
 
 #: A running header and the bounds of lines and bodies (fixed values).
 HEADER, HEADER_LENGTH, SHORT_LINE, LEAST_BODY, TITLE_WORDS = "guidelines for examination in the epo", 120, 2, 40, 8
@@ -46,20 +46,34 @@ def heading_offset(text: Column, title: Column) -> Column:
     return F.when(F.size(parts) == 0, -1).otherwise(F.regexp_instr(text, pattern) - 1)
 
 
-def leaves(outline: DataFrame, levels: int = 16) -> DataFrame:
+def breadcrumbs(outline: DataFrame) -> DataFrame:
+    """source, node_id and the titles from a node's first ancestor to itself, at any depth.
+
+    Each round joins every node's path with that of the node which it ends
+    below, so paths double: a depth of d takes log2(d) rounds, each written
+    once. A parent that isn't there ends a path; parents in a circle are an error.
+    """
+    now = cut(outline.select("source", "node_id", F.array(clean_title(F.col("title"))).alias("breadcrumb"), F.col("parent_id").alias("up")))
+    most = outline.groupBy("source").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    reach = 1
+    while not now.filter("up is not null").isEmpty():
+        if reach > most:
+            raise ValueError("parents of the outline run in a circle")
+        above = now.select(F.col("source").alias("as"), F.col("node_id").alias("aid"), F.col("breadcrumb").alias("before"), F.col("up").alias("aup"))
+        joined = now.join(above, (F.col("source") == F.col("as")) & (F.col("up") == F.col("aid")), "left")
+        further = cut(joined.select("source", "node_id", F.when(F.col("before").isNull(), F.col("breadcrumb")).otherwise(F.concat("before", "breadcrumb")).alias("breadcrumb"), F.col("aup").alias("up")))
+        drop_cut(now)
+        now, reach = further, 2 * reach
+    return now.drop("up")
+
+
+def leaves(outline: DataFrame) -> DataFrame:
     """Leaf nodes on a page: source, ord (by page, then outline order), breadcrumb array, title, page."""
     nodes = outline.select("source", "node_id", "parent_id", "ord", "title", "page")
     parents = nodes.select(F.col("source").alias("ps"), F.col("parent_id").alias("pid")).filter("pid is not null").distinct()
     found = nodes.join(parents, (F.col("source") == F.col("ps")) & (F.col("node_id") == F.col("pid")), "left_anti").filter("page > 0")
-    rows = found.select("source", "ord", "title", "page", F.array(clean_title(F.col("title"))).alias("breadcrumb"), F.col("parent_id").alias("up"))
-    above = nodes.select(F.col("source").alias("as"), F.col("node_id").alias("aid"), clean_title(F.col("title")).alias("atitle"), F.col("parent_id").alias("aup"))
-    for _ in range(levels):
-        if rows.filter("up is not null").isEmpty():
-            break
-        rows = rows.join(above, (F.col("source") == F.col("as")) & (F.col("up") == F.col("aid")), "left")
-        rows = rows.select("source", "ord", "title", "page", F.when(F.col("atitle").isNotNull(), F.concat(F.array("atitle"), "breadcrumb")).otherwise(F.col("breadcrumb")).alias("breadcrumb"), F.col("aup").alias("up"))
     place = F.row_number().over(Window.partitionBy("source").orderBy("page", "ord"))
-    return rows.withColumn("place", place).drop("up")
+    return found.join(breadcrumbs(nodes), ["source", "node_id"]).select("source", "ord", "title", "page", "breadcrumb", place.alias("place"))
 
 
 def _number(title: Column) -> Column:
