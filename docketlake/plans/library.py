@@ -7,6 +7,7 @@ of bounded size, returned as dictionaries. Errors are data: {"error": ...}.
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from ..functions import legalref
 from ..functions.chunker import chunks
 from ..functions.text import PARTS, SOURCES, assembled, first_values, passage_score
 from ..functions.vectors import dot, literal
-from ..jobs import DECISION_INDEX, SECTION_INDEX, NoModel, chunk_vectors, embedded_chunks, index_rows
+from ..jobs import DECISION_INDEX, SECTION_INDEX, chunk_vectors, embedded_chunks, index_rows
 from ..operators import lookups
 from ..operators.filters import metadata_filters
 from ..operators.match import DECISION_WEIGHTS, Or, Phrase, bm25, capped_count, compile_query
@@ -27,6 +28,7 @@ from ..segments import exists, live
 from ..shared import cut, drop_cut
 from ..store import Store
 
+log = logging.getLogger(__name__)
 #: Limits of pages (fixed values).
 MOST_RESULTS, MOST_OFFSET, MOST_PASSAGES, PREVIEW, EXCERPT = 25, 1000, 10, (3, 6000), 240
 FILTERS = ("board", "type_code", "date_from", "date_to", "language", "ipc_prefix", "only_with_headnote")
@@ -70,16 +72,20 @@ class Library:
         total = capped_count(matched, "decision_id").first()
         lexical = top(best_per_key(matched, "decision_id", F.col("score"), F.col("row_id")), pool, F.col("score"), F.col("decision_id"))
         first = ranked(lexical, "decision_id", F.col("score"), F.col("decision_id"))
-        vectors, used, count = self._decision_vectors(query, mode, pool), "lexical", total.total
-        empty = first.limit(0)
-        if vectors is not None:
-            near = passing(vectors.join(known, "decision_id").join(decisions.select(F.col("id").alias("decision_id"), F.col("language").alias("lang")), "decision_id"))
-            near = top(best_per_key(near.select("decision_id", "lang", "distance", "chunk_id", "text"), "decision_id", F.col("distance"), F.col("chunk_id")), pool, F.col("distance"), F.col("decision_id"))
-            near = cut(near)  # at most a pool of rows
+        near, used, count = None, "lexical", total.total
+        try:
+            vectors = self._decision_vectors(query, mode, pool)
+            if vectors is not None:
+                own = passing(vectors.join(known, "decision_id").join(decisions.select(F.col("id").alias("decision_id"), F.col("language").alias("lang")), "decision_id"))
+                own = best_per_key(own.select("decision_id", "lang", "distance", "chunk_id", "text"), "decision_id", F.col("distance"), F.col("chunk_id"))
+                near = cut(top(own, pool, F.col("distance"), F.col("decision_id")))  # at most a pool of rows
+        except Exception as e:  # whatever fails there, words still answer
+            log.warning("search goes on by words: %s", e)
+        if near is not None:
             fused, used = fuse(first, ranked(near, "decision_id", F.col("distance"), F.col("decision_id")), "decision_id"), "hybrid"
             count = max(count, fused.count())
         else:
-            near, fused = None, fuse(first, empty, "decision_id")
+            fused = fuse(first, first.limit(0), "decision_id")
         page = fused.orderBy(*fused_order()).offset(offset).limit(limit).withColumnRenamed("score", "fused")
         page = cut(page.join(lexical.select("decision_id", "row_id", F.col("lang").alias("text_lang")), "decision_id", "left"))
         ids = page.select("decision_id", "row_id").collect()  # one page, so that only its rows are read from the tables clustered by id
@@ -101,10 +107,11 @@ class Library:
         return out
 
     def _vector(self, query: str) -> list[float] | None:
-        """The query's vector; None without a model that loads."""
+        """The query's vector; None without a model, or where it fails."""
         try:
             return None if self.embed_query is None else self.embed_query("query: " + query)
-        except NoModel:
+        except Exception as e:
+            log.warning("search goes on by words: %s", e)
             return None
 
     def _has_vectors(self, kinds: tuple[str, ...]) -> bool:

@@ -33,6 +33,9 @@ def shared_folder(spark: SparkSession) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="docketlake-")
         _folders[app] = f"{base.rstrip('/')}/docketlake-{app}"
+        p, fs = file_system(spark, _folders[app])
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)  # also where the program has stopped the session
         atexit.register(_end, spark, _folders[app])
     return _folders[app]
 

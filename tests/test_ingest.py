@@ -233,6 +233,8 @@ def test_library_without_a_model_that_loads(store):
     def broken(query):
         raise jobs.NoModel("gone")
 
+    for failing in (lambda q: 1 / 0, lambda q: ["not", "numbers"]):  # no answer, and one that the search can't use
+        assert Library(store, failing).search_decisions("T 664/16")["mode"] == "lexical"
     lib = Library(store, broken)
     assert lib.search_decisions("T 664/16")["mode"] == "lexical" and lib.search_legal_texts("paragraph speaks")["mode"] == "lexical"
     assert lib.search_passages("A", "eins")["mode"] == "lexical" and lib.search_passages("A", "eins", mode="vector")["mode"] == "vector_unavailable"
