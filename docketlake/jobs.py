@@ -21,7 +21,7 @@ STAGES = ("essence", "book", "reasons")
 #: Columns of the two full-text indexes (fixed values).
 DECISION_INDEX = ("case_number", "headword", "keywords", "catchwords", "headnote", "title", "facts", "reasons", "orders")
 SECTION_INDEX = ("section_id", "title", "breadcrumb", "body")
-INDEX_FORMAT = "3"
+INDEX_FORMAT = "4"
 #: Columns by which look-ups read the tables; their files are sorted by them.
 CLUSTERED = {"decisions": ["id"], "decision_texts": ["id"], "decision_provisions": ["provision"], "decision_citations": ["cited_case_number"], "chunks": ["id"], "keys": ["ecli"]}
 #: Decisions of a slice of decisions and of their texts, and slices of the keys.

@@ -8,7 +8,7 @@ weighted hits; the tree is then a plain Boolean expression over them.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -82,10 +82,11 @@ def phrases_of(tree) -> list[Phrase]:
     return list(dict.fromkeys(p for x in tree.items for p in phrases_of(x)))
 
 
-def _condition(tree, phrases: list[Phrase]) -> Column:
+def condition(tree, phrases: list[Phrase]) -> Column:
+    """Whether the hits f0, f1, ... satisfy the tree."""
     if isinstance(tree, Phrase):
         return F.col(f"f{phrases.index(tree)}") > 0
-    parts = [_condition(x, phrases) for x in tree.items]
+    parts = [condition(x, phrases) for x in tree.items]
     out = parts[0]
     for p in parts[1:]:
         out = out & p if isinstance(tree, And) else out | p
@@ -93,10 +94,11 @@ def _condition(tree, phrases: list[Phrase]) -> Column:
 
 
 def phrase_hits(index: DataFrame, phrases: list[Phrase]) -> DataFrame:
-    """row_id, col, phrase, start: every place where a phrase occurs.
+    """row_id, n_tokens, col, phrase, places: where phrases occur; a column of a row may have several rows, to be added up.
 
     A phrase's terms vote for the position where it would begin; it occurs
-    where all of them vote.
+    where all of them vote. Where all phrases are single terms their
+    frequencies tell, and no positions are read.
     """
     wanted, votes = F.lit(False), []
     for p, phrase in enumerate(phrases):
@@ -106,45 +108,60 @@ def phrase_hits(index: DataFrame, phrases: list[Phrase]) -> DataFrame:
             fits = fits & (F.col("col") == phrase.column) if phrase.column else fits
             wanted |= fits
             votes.append(F.when(fits, F.struct(F.lit(p).alias("phrase"), F.lit(i).alias("i"), F.lit(len(phrase.tokens)).alias("n"))))
-    found = index.filter(wanted).select("row_id", "col", "positions", F.explode(F.array_compact(F.array(*votes))).alias("v"))
-    found = found.select("row_id", "col", "v", F.explode("positions").alias("pos"))
-    starts = found.select("row_id", "col", F.col("v.phrase").alias("phrase"), (F.col("pos") - F.col("v.i")).alias("start"), F.col("v.i").alias("i"), F.col("v.n").alias("n"))
-    if all(len(p.tokens) == 1 for p in phrases):
-        return starts.select("row_id", "col", "phrase", "start")
+    single = all(len(p.tokens) == 1 for p in phrases)
+    found = index.filter(wanted & F.col("row_id").isNotNull()).select("row_id", "n_tokens", "col", "tf" if single else "positions", F.explode(F.array_compact(F.array(*votes))).alias("v"))
+    if single:
+        return found.select("row_id", "n_tokens", "col", F.col("v.phrase").alias("phrase"), F.col("tf").alias("places"))
+    found = found.select("row_id", "n_tokens", "col", "v", F.explode("positions").alias("pos"))
+    starts = found.select("row_id", "n_tokens", "col", F.col("v.phrase").alias("phrase"), (F.col("pos") - F.col("v.i")).alias("start"), F.col("v.n").alias("n"))
     # a place holds one term, so each of a phrase's places votes once for a start
-    whole = starts.groupBy("row_id", "col", "phrase", "start", "n").agg(F.count(F.lit(1)).alias("k"))
-    return whole.filter("k = n").select("row_id", "col", "phrase", "start")
+    whole = starts.groupBy("row_id", "col", "phrase", "start", "n").agg(F.max("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("k"))
+    return whole.filter("k = n").select("row_id", "n_tokens", "col", "phrase", F.lit(1).alias("places"))
 
 
 def matches(index: DataFrame, tree, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """row_id and the weighted hits f0, f1, ... of each phrase, for the rows that the tree matches."""
-    phrases = phrases_of(tree)
-    weight = F.lit(1.0)
-    if weights is not None:
-        table = F.create_map(*[F.lit(x) for c, w in weights.items() for x in (c, float(w))])
-        weight = F.coalesce(F.try_element_at(table, F.col("col")), F.lit(0.0))
+    """row_id, n_tokens and the weighted hits f0, f1, ... of each phrase, for the rows that have any."""
+    phrases, weight = phrases_of(tree), weight_of(weights)
     hits = phrase_hits(index, phrases)
-    sums = [F.coalesce(F.sum(F.when(F.col("phrase") == i, weight)), F.lit(0.0)).alias(f"f{i}") for i in range(len(phrases))]
-    return hits.groupBy("row_id").agg(*sums)
+    sums = [F.coalesce(F.sum(F.when(F.col("phrase") == i, weight * F.col("places"))), F.lit(0.0)).alias(f"f{i}") for i in range(len(phrases))]
+    return hits.groupBy("row_id").agg(F.max("n_tokens").alias("n_tokens"), *sums)
+
+
+def weight_of(weights: Mapping[str, float] | None) -> Column:
+    """The weight of the column that a posting is of; columns without one weigh nothing."""
+    if weights is None:
+        return F.lit(1.0)
+    table = F.create_map(*[F.lit(x) for c, w in weights.items() for x in (c, float(w))])
+    return F.coalesce(F.try_element_at(table, F.col("col")), F.lit(0.0))
 
 
 def matching_rows(index: DataFrame, tree) -> DataFrame:
-    return matches(index, tree).filter(_condition(tree, phrases_of(tree))).select("row_id")
+    return matches(index, tree).filter(condition(tree, phrases_of(tree))).select("row_id")
 
 
-def bm25(index: DataFrame, stats: DataFrame, tree, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """row_id and score (lower is better) of the rows that the tree matches; all phrases count."""
+def relevance(figures: Sequence[tuple[Column, Column, Column]], rows: Column, mean: Column) -> Column:
+    """The sum over phrases, given as (rows that have it, weighted hits, tokens of the row): grows with hits, falls with tokens."""
+    score = F.lit(0.0)
+    for n, f, n_tokens in figures:
+        idf = F.greatest(F.lit(LEAST_IDF), F.log((rows - n + 0.5) / (n + 0.5)))
+        score += idf * f * (K1 + 1) / (f + K1 * (1 - B + B * n_tokens / mean))
+    return score
+
+
+def bm25(index: DataFrame, shape: DataFrame, tree, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """row_id and score (lower is better) of the rows that the tree matches; all phrases count.
+
+    shape: rows and tokens of the whole index, one row. Postings are read once:
+    the counts ask for the same columns as the scores, so Spark reuses the
+    exchange by row.
+    """
     phrases = phrases_of(tree)
     hits = matches(index, tree, weights)
-    shape = stats.agg(F.count(F.lit(1)).cast("double").alias("rows"), F.avg("n_tokens").alias("mean"))
-    counts = hits.agg(*[F.count(F.when(F.col(f"f{i}") > 0, 1)).cast("double").alias(f"n{i}") for i in range(len(phrases))])
-    facts = F.broadcast(shape.join(F.broadcast(counts)))  # one row of figures
-    rows = hits.filter(_condition(tree, phrases)).join(stats, "row_id").join(facts)
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        n, f = F.col(f"n{i}"), F.col(f"f{i}")
-        idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("rows") - n + 0.5) / (n + 0.5)))
-        score += idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
+    counts = hits.agg(*[F.count(F.when((F.col(f"f{i}") > 0) & F.col("n_tokens").isNotNull(), 1)).cast("double").alias(f"n{i}") for i in range(len(phrases))])
+    whole = shape.select(F.col("rows").cast("double").alias("rows"), (F.col("tokens") / F.col("rows")).alias("mean"))
+    facts = F.broadcast(whole.join(F.broadcast(counts)))  # one row of figures
+    rows = hits.filter(condition(tree, phrases)).join(facts)
+    score = relevance([(F.col(f"n{i}"), F.col(f"f{i}"), F.col("n_tokens")) for i in range(len(phrases))], F.col("rows"), F.col("mean"))
     return rows.select("row_id", (-score).alias("score"))
 
 

@@ -1,8 +1,11 @@
-"""Inverted index: positional postings and row statistics.
-
-postings(row_id, col, term, tf, positions) and row_stats(row_id, n_tokens, digest).
-Written by ranges of term and row, so that a frequent term is in many files; a
-term or a prefix is read by row-group statistics.
+"""Inverted index: positional postings and what ranking needs of the whole.
+
+postings(row_id, n_tokens, col, term, tf, positions), where n_tokens are those of
+the whole row, so that a row is scored from its postings alone;
+shape(rows, tokens), one row; row_stats(row_id, n_tokens, digest), by which rows
+are told apart when they change; bounds, see bounded.py. Postings are written by
+ranges of term and row, so that a frequent term is in many files; a term, a
+prefix or a range of a term's rows is read by the files' own statistics.
 """
 
 from __future__ import annotations
@@ -16,14 +19,16 @@ from ..functions.text import tokens
 
 
 def exploded(rows: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
-    """row_id, col, pos, term: a row for each token of each column."""
-    long = rows.select(F.col(row_id).alias("row_id"), F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("text")) for c in columns])).alias("x"))
-    return long.select("row_id", F.col("x.col").alias("col"), F.posexplode(tokens(F.col("x.text"))).alias("pos", "term"))
+    """row_id, n_tokens (of the whole row), col, pos, term: a row for each token of each column."""
+    words = rows.select(F.col(row_id).alias("row_id"), F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("words")) for c in columns]).alias("all"))
+    total = F.aggregate("all", F.lit(0).cast("long"), lambda n, x: n + F.size(x["words"]))
+    long = words.select("row_id", total.alias("n_tokens"), F.explode("all").alias("x"))
+    return long.select("row_id", "n_tokens", F.col("x.col").alias("col"), F.posexplode("x.words").alias("pos", "term"))
 
 
 def postings(rows: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
     at = F.array_sort(F.collect_list("pos"))
-    return exploded(rows, row_id, columns).groupBy("row_id", "col", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), at.alias("positions"))
+    return exploded(rows, row_id, columns).groupBy("row_id", "col", "term").agg(F.max("n_tokens").alias("n_tokens"), F.count(F.lit(1)).cast("int").alias("tf"), at.alias("positions"))
 
 
 def digest(columns: Sequence[str]) -> Column:
@@ -37,12 +42,34 @@ def row_stats(rows: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame
     return rows.select(F.col(row_id).alias("row_id"), total.cast("long").alias("n_tokens"), digest(columns).alias("digest"))
 
 
-def write_index(rows: DataFrame, row_id: str, columns: Sequence[str], path: str) -> None:
-    """Write the index of rows: postings by ranges of terms, and row statistics."""
+def shape(stats: DataFrame) -> DataFrame:
+    """rows and tokens of all row statistics: what ranking needs of the whole, one row."""
+    return stats.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
+
+
+def write_index(rows: DataFrame, row_id: str, columns: Sequence[str], path: str, block: int | None = None) -> None:
+    """Write the index of rows: postings by ranges of terms, and their shape; block: also bounds of runs of as many ids."""
     index = postings(rows, row_id, columns)
     index.repartitionByRange("term", "row_id").sortWithinPartitions("term", "row_id").write.mode("overwrite").parquet(f"{path}/postings")
-    row_stats(rows, row_id, columns).write.mode("overwrite").parquet(f"{path}/row_stats")
+    shape(row_stats(rows, row_id, columns)).write.mode("overwrite").parquet(f"{path}/shape")
+    if block is not None:
+        held = bounds(rows.sparkSession.read.parquet(f"{path}/postings"), block)
+        held.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/bounds")
+
+
+def bounds(index: DataFrame, block: int) -> DataFrame:
+    """term, col, block, rows, most, dense: of a term's postings in a run of ``block`` ids, how many rows have it, its greatest frequency, and its greatest share of a row's tokens.
+
+    col is '' for all columns together, where rows counts each row once; by
+    these, how many rows hold a term is a sum over its runs.
+    """
+    run = F.floor(F.col("row_id") / block).cast("long").alias("block")
+    held = index.filter("row_id is not null")
+    own = held.groupBy("term", "col", run).agg(F.count(F.lit(1)).alias("rows"), F.max("tf").cast("long").alias("most"), F.max(F.col("tf") / F.col("n_tokens")).alias("dense"))
+    once = held.groupBy("term", "row_id").agg(F.sum("tf").alias("tf"), F.max("n_tokens").alias("n_tokens"))
+    whole = once.groupBy("term", F.lit("").alias("col"), run).agg(F.count(F.lit(1)).alias("rows"), F.max("tf").alias("most"), F.max(F.col("tf") / F.col("n_tokens")).alias("dense"))
+    return own.unionByName(whole)
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/row_stats")
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/shape")

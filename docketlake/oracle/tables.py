@@ -41,5 +41,11 @@ def made(spark: SparkSession, sf_dir: str, tables: Sequence[str], name: str, mak
 
 
 def text_index(spark: SparkSession, sf_dir: str, source: str, name: str, rows: Callable[[], DataFrame], row_id: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Postings and row statistics of rows derived from a table: like any text index, written once and then asked."""
+    """Postings and shape of rows derived from a table: like any text index, written once and then asked."""
     return read_index(spark, made(spark, sf_dir, [source], name, lambda path: write_index(rows(), row_id, columns, path)))
+
+
+def bounded_index(spark: SparkSession, sf_dir: str, source: str, name: str, rows: Callable[[], DataFrame], row_id: str, columns: Sequence[str], block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """text_index() with the bounds of runs of ``block`` ids, written by the same job."""
+    path = made(spark, sf_dir, [source], f"{name}-bounds-{block}", lambda path: write_index(rows(), row_id, columns, path, block))
+    return *read_index(spark, path), spark.read.parquet(f"{path}/bounds")

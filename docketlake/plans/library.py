@@ -24,7 +24,7 @@ from ..operators.match import DECISION_WEIGHTS, Or, Phrase, bm25, capped_count,
 from ..operators.ranking import best_per_key, budget_page, clamp, fallback, fuse, fused_order, knn, pool_size, ranked, top
 from ..operators.snippet import snippet
 from ..functions.text import tokens_of
-from ..segments import exists, live
+from ..segments import exists, searched
 from ..shared import cut, drop_cut
 from ..store import Store
 
@@ -65,7 +65,7 @@ class Library:
         if tree is None:
             matched = rows.limit(0).select("decision_id", "lang", F.col("id").alias("row_id"), F.lit(0.0).alias("score"))
         else:
-            scored = bm25(*live(self.store, "decision"), tree, DECISION_WEIGHTS)
+            scored = bm25(*searched(self.store, "decision"), tree, DECISION_WEIGHTS)
             texts = self.store.read("decision_texts").select("id", "decision_id", "lang")
             matched = passing(scored.join(texts, F.col("row_id") == F.col("id")).drop("id").join(known, "decision_id")).select("decision_id", "lang", "row_id", "score")
         matched = cut(matched)
@@ -139,7 +139,7 @@ class Library:
         if tree is None:
             lexical = ids.limit(0).select("id", F.lit(0.0).alias("score"))
         else:
-            scored = bm25(*live(self.store, "section"), tree).withColumnRenamed("row_id", "id")
+            scored = bm25(*searched(self.store, "section"), tree).withColumnRenamed("row_id", "id")
             lexical = top(scored.join(ids, "id", "left_semi"), pool_size(0, limit), F.col("score"), F.col("id"))
         first, used = ranked(lexical, "id", F.col("score"), F.col("id")), "lexical"
         second = first.limit(0)
@@ -276,7 +276,7 @@ class Library:
             phrases = [Phrase(t) for t in (tuple(tokens_of(v)) for v in variants) if t]
             if phrases:
                 tree = Or(tuple(phrases)) if len(phrases) > 1 else phrases[0]
-                scored = top(bm25(*live(self.store, "section"), tree), 5, F.col("score"), F.col("row_id"))
+                scored = top(bm25(*searched(self.store, "section"), tree), 5, F.col("score"), F.col("row_id"))
                 rows = scored.join(self.store.read("book_sections"), F.col("row_id") == F.col("id")).orderBy("score", "row_id").select("source", "section_id", "title", "breadcrumb")
                 out["book_sections"] = _rows(rows)
         return out

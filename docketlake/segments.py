@@ -4,7 +4,9 @@ A segment is a slice of name_postings and name_row_stats. A change adds a
 segment with the rows that are new or changed, and the ids that are gone from
 the segments before it as a slice of name_deletes; it counts once it is listed
 in name_segments, by one commit, so readers see all of a change or nothing.
-Segments of like sizes are merged, without the rows that are gone.
+Segments of like sizes are merged, without the rows that are gone. The list also holds by how many
+rows and tokens each change made the index larger or smaller, so that what
+ranking needs of the whole is their sum and no rows are read for it.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators.postings import postings, row_stats
+from .operators.postings import postings, row_stats, shape
 from .store import Store
 
 #: Segments of one size class that are merged; classes are powers of it.
@@ -31,12 +33,24 @@ def exists(store: Store, name: str) -> bool:
 
 
 def segments(store: Store, name: str) -> dict[int, int]:
-    """Rows written by each segment; a change without rows has none. A few rows, since segments are merged."""
-    return {r.seg: r.n for r in store.read(f"{name}_segments").collect()} if exists(store, name) else {}
+    """Rows written by each segment; a change without rows has none."""
+    return {seg: n for seg, (n, _, _) in _figures(store, name).items()}
 
 
-def _commit(store: Store, name: str, found: dict[int, int]) -> None:
-    store.replace(f"{name}_segments", store.spark.createDataFrame(sorted(found.items()), "seg long, n long").coalesce(1))
+def _figures(store: Store, name: str) -> dict[int, tuple[int, int, int]]:
+    """By segment: rows written, and the rows and tokens that the index gained by it. A few rows, since segments are merged."""
+    return {r.seg: (r.n, r.rows, r.tokens) for r in store.read(f"{name}_segments").collect()} if exists(store, name) else {}
+
+
+def searched(store: Store, name: str) -> tuple[DataFrame, DataFrame]:
+    """Postings of all segments without the rows that are gone, and their shape (rows, tokens): what bm25() asks for."""
+    whole = store.read(f"{name}_segments").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    return live(store, name)[0], whole
+
+
+def _commit(store: Store, name: str, found: dict[int, tuple[int, int, int]]) -> None:
+    listed = [(seg, *figures) for seg, figures in sorted(found.items())]
+    store.replace(f"{name}_segments", store.spark.createDataFrame(listed, "seg long, n long, rows long, tokens long").coalesce(1))
 
 
 def _drop(store: Store, table: str, gone: list) -> None:
@@ -45,33 +59,35 @@ def _drop(store: Store, table: str, gone: list) -> None:
         store.drop_slices(table, there)
 
 
-def _add(store: Store, name: str, seg: int, index: DataFrame, stats: DataFrame) -> int:
-    """Write a segment that isn't listed yet; its rows."""
+def _add(store: Store, name: str, seg: int, index: DataFrame, stats: DataFrame) -> tuple[int, int]:
+    """Write a segment that isn't listed yet; its rows and tokens."""
     for table in _names(name)[:3]:
         _drop(store, table, [seg])  # left by a change that was interrupted
     store.append(_names(name)[0], index.withColumn("seg", F.lit(seg).cast("long")), ["term", "row_id"], "seg")
     store.append(_names(name)[1], stats.withColumn("seg", F.lit(seg).cast("long")), ["row_id"], "seg")
-    return store.read(_names(name)[1], [seg]).count()
+    return tuple(shape(store.read(_names(name)[1], [seg])).first())
 
 
 def build(store: Store, name: str, rows: DataFrame, columns: Sequence[str]) -> None:
     """Index rows (id and columns) anew, as one segment."""
-    before = segments(store, name)
-    seg = max(before, default=0) + 1
-    n = _add(store, name, seg, postings(rows, "id", columns), row_stats(rows, "id", columns))
-    _commit(store, name, {seg: n})
+    seg = max((r.seg for r in store.read(f"{name}_segments").select("seg").collect()), default=0) + 1 if exists(store, name) else 1
+    n, tokens = _add(store, name, seg, postings(rows, "id", columns), row_stats(rows, "id", columns))
+    _commit(store, name, {seg: (n, n, tokens)})
     for table in _names(name)[:3]:
         _drop(store, table, [x for x in store.slices(table) if int(x) != seg])
 
 
 def change(store: Store, name: str, rows: DataFrame, columns: Sequence[str], gone: DataFrame | None = None) -> None:
     """Index rows that are new or changed; gone: row_id of those changed or removed."""
-    before = segments(store, name)
+    before = _figures(store, name)
     seg = max(before, default=0) + 1
-    n = _add(store, name, seg, postings(rows, "id", columns), row_stats(rows, "id", columns))
+    n, tokens = _add(store, name, seg, postings(rows, "id", columns), row_stats(rows, "id", columns))
+    less = (0, 0)
     if gone is not None:
         store.append(f"{name}_deletes", gone.select("row_id", F.lit(seg).cast("long").alias("seg")), ["row_id"], "seg")
-    _commit(store, name, before | {seg: n})
+        left = store.read(f"{name}_deletes", [seg]).select("row_id")
+        less = shape(live(store, name)[1].join(left, "row_id", "left_semi")).first()
+    _commit(store, name, before | {seg: (n, n - less[0], tokens - less[1])})
     merge(store, name)
 
 
@@ -104,8 +120,9 @@ def merge(store: Store, name: str) -> None:
             return
         seg = max(listed) + 1
         index, stats = live(store, name, full)
-        n = _add(store, name, seg, index, stats)
-        left = {s: k for s, k in listed.items() if s not in full} | {seg: n}
+        n, _ = _add(store, name, seg, index, stats)
+        gains = [figures for s, figures in _figures(store, name).items() if s in full]
+        left = {s: x for s, x in _figures(store, name).items() if s not in full} | {seg: (n, sum(x[1] for x in gains), sum(x[2] for x in gains))}
         _commit(store, name, left)
         for table in _names(name)[:2]:
             _drop(store, table, full)
