@@ -80,7 +80,9 @@ def index(spark: SparkSession, xml: str, store_path: str, incremental: bool = Fa
     """
     store = Store(spark, store_path)
     seen = Observation()
-    docs = cut(decision_xml.scan(spark, xml).observe(seen, *decision_xml.facts()))
+    read = decision_xml.scan(spark, xml)
+    docs = cut(read.observe(seen, *decision_xml.facts()))
+    drop_cut(read)
     if incremental and store.exists("keys"):
         merge_documents(store, docs)
     else:

@@ -76,6 +76,38 @@ SELECT ecli, 'provision' AS kind, 'Art. ' || (k % 150) || '(1) EPC' AS value FRO
 """
 
 
+def _write_marked(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Orders as documents with close tags where they close nothing, and with white space in those that do."""
+    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
+    key, kind = F.col("k").cast("string"), F.col("k") % 5
+    odd = (
+        F.when(kind == 0, "<!-- </ep-appeal-decision> <ep-appeal-decision> -->").when(kind == 1, "<![CDATA[</ep-appeal-decision> <!--]]>").when(kind == 2, "<?note <!-- </ep-appeal-decision> ?>")
+        .when(kind == 3, "<ep-appeal-decisions>dropped</ep-appeal-decisions>").otherwise("")
+    )
+    between = F.when(F.col("k") % 3 == 0, "<!-- <ep-appeal-decision></ep-appeal-decision> -->").otherwise("")
+    xml = F.concat(
+        between, F.lit('<ep-appeal-decision lang="en"><ep-appeal-bib-data><ep-ecli>E'), key, F.lit("</ep-ecli></ep-appeal-bib-data><ep-reasons-for-decision><p>"), F.col("o_orderpriority"), F.lit(" "), odd, key,
+        F.lit("</p></ep-reasons-for-decision></ep-appeal-decision"), F.when(kind == 4, " \t").otherwise(""), F.lit(">"),
+    )
+    o.select("k", xml.alias("value")).repartitionByRange("k").sortWithinPartitions("k").select("value").write.text(path)
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders read back in splits of a megabyte: ecli and reasons."""
+    path = made(spark, sf_dir, ["orders"], "orders-marked-xml", lambda path: _write_marked(spark, sf_dir, path))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        return decision_xml.scan(spark, f"{path}/part-*").select("ecli", "reasons")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+MARKED = """
+SELECT 'E' || o_orderkey AS ecli, o_orderpriority || ' ' || CASE o_orderkey % 5 WHEN 1 THEN '</ep-appeal-decision> <!--' ELSE '' END || o_orderkey AS reasons FROM orders
+"""
+
+
 #: Digits of Roman numerals by place (fixed values).
 ROMAN = (("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"), ("", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"), ("", "C", "CC", "CCC"))
 
@@ -130,5 +162,5 @@ SELECT row_number() OVER (ORDER BY source, place) AS id, source, CASE source WHE
   CASE source WHEN 'clb' THEN 'II. PATENTABILITY > A. Inventions > ' ELSE 'Part A Formalities > Chapter ' || r || ' Of things > ' END || title AS breadcrumb, n AS page_from, page_to, body_ AS body FROM k
 """
 
-QUERIES = {"ingest_decisions": decisions, "ingest_texts": texts, "ingest_references": references, "ingest_sections": sections}
-SQL = {"ingest_decisions": DECISIONS, "ingest_texts": TEXTS, "ingest_references": REFERENCES, "ingest_sections": SECTIONS}
+QUERIES = {"ingest_decisions": decisions, "ingest_texts": texts, "ingest_references": references, "ingest_sections": sections, "ingest_close_tags": marked}
+SQL = {"ingest_decisions": DECISIONS, "ingest_texts": TEXTS, "ingest_references": REFERENCES, "ingest_sections": SECTIONS, "ingest_close_tags": MARKED}

@@ -19,13 +19,12 @@ from ..functions.chunker import chunks
 from ..functions.text import essence, ipc_code, iso_date, journal_reference
 from ..operators.ranking import numbered
 from ..shared import file_system
+from .pieces import OPAQUE, documents
 
 ROW_TAG = "ep-appeal-decision"
 CLOSING = f"</{ROW_TAG}>"
-#: What a comment and a CDATA section begin with where they aren't closed.
-OPENED = ("<!--", "<![CDATA[")
-#: Comments and CDATA sections, whole or open, and a document's opening tag.
-OPENING = re.compile(rf"<!--(?:.*?-->)?|<!\[CDATA\[(?:.*?\]\]>)?|<{ROW_TAG}(?=[\s>])", re.DOTALL)
+#: Comments, CDATA sections and instructions, whole or open, and a document's opening tag.
+OPENING = re.compile("|".join([*(f"{re.escape(o)}(?:.*?{re.escape(e)})?" for o, e in OPAQUE.items()), rf"<{ROW_TAG}(?=[\s/>])"]), re.DOTALL)
 #: Section elements by the column of their body (fixed values).
 BODIES = {"headnote": "ep-headnote", "catchwords": "ep-catchword", "facts": "ep-summary-of-facts", "reasons": "ep-reasons-for-decision", "orders": "ep-appeal-order"}
 
@@ -93,9 +92,9 @@ def _element(piece: str) -> str | None:
     """The element of a piece of a file that ends before its close tag; None after the last one."""
     start = None
     for m in OPENING.finditer(piece):
-        if m[0] in OPENED:
-            raise ValueError("a document's close tag stands inside a comment or a CDATA section")
-        if start is None and not m[0].startswith("<!"):
+        if m[0] in OPAQUE:
+            raise ValueError("a comment, a CDATA section or an instruction is not closed")
+        if start is None and not m[0].startswith(("<!", "<?")):
             start = m.start()
     return None if start is None else piece[start:] + CLOSING
 
@@ -103,16 +102,15 @@ def _element(piece: str) -> str | None:
 def scan(spark: SparkSession, path: str, keep_inline: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """One row a document: ord (file, place in it) and its fields.
 
-    Files are read by Spark's line reader with the close tag as the line's end,
-    so a file of any size is dealt to as many tasks as it has splits, and a
-    document is the largest value. ord follows the order of the documents in
-    their files. Opening tags inside comments and CDATA sections aren't
-    documents; a close tag inside one is an error.
+    A file of any size is dealt to as many tasks as it has splits, and a
+    document is the largest value, see pieces.py. ord follows the order of the
+    documents in their files. Tags inside comments, CDATA sections and
+    instructions are none, wherever a file is split; one of these that is never
+    closed is an error. The files' texts lie in the shared folder until
+    drop_cut() of the result.
     """
-    pieces = spark.read.option("lineSep", CLOSING).option("encoding", encoding).text(path)
-    docs = pieces.filter(F.contains("value", F.lit("<" + ROW_TAG))).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value"
-    )
+    pieces = documents(spark, path, CLOSING[:-1], encoding)
+    docs = pieces.filter(F.contains("value", F.lit("<" + ROW_TAG)))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -120,7 +118,9 @@ def scan(spark: SparkSession, path: str, keep_inline: bool = False, encoding: st
             yield pd.DataFrame([{"path": p, "block": k, "place": n, **read_document(x, keep_inline)} for p, k, n, x in found if x is not None], columns=["path", "block", "place", *[c.split()[0] for c in _columns()]])
 
     rows = docs.mapInPandas(parse, "path string, block long, place long, " + DOCUMENT)
-    return rows.select(F.struct("path", "block", "place").alias("ord"), *[c.split()[0] for c in _columns()])
+    out = rows.select(F.struct("path", "block", "place").alias("ord"), *[c.split()[0] for c in _columns()])
+    out._docketlake_path = pieces._docketlake_path
+    return out
 
 
 def _columns() -> list[str]:

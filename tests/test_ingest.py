@@ -1,5 +1,7 @@
 """Ingest of small XML and outline fixtures, jobs, streaming and the library's answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,8 +125,37 @@ def test_scan_splits_files_and_ignores_comments(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [(r.ecli, r.reasons) for r in found] == [(f"E{i}", f"first\nline {i} <ep-appeal-decision a> &") for i in range(300)]
-    (tmp_path / "b.xml").write_text(texts[0].replace("first", "<!-- </ep-appeal-decision> -->"))
-    with pytest.raises(Exception, match="close tag"):
+
+
+def test_close_tags_are_read_as_a_parser_reads_them(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    r = random.Random(5)
+    close = "</ep-appeal-decision>"
+    odd = [f"<!-- {close} <ep-appeal-decision> -->", f"<![CDATA[{close} <!-- <? ]] >]]>", f"<?x {close} <![CDATA[ ?>", f"<q-ep>{'y' * 400}</q-ep>", "<ep-appeal-decisions/><ep-appeal-decisions></ep-appeal-decisions>", f"<!--{(close + chr(10) + 'z' * 70) * 12}-->", "", "-->", "?&gt; ]]"]
+    texts = []
+    for i in range(400):
+        inside = "".join(r.choice(odd) for _ in range(r.randrange(4)))
+        made = document("en", "en", f"E{i}", "T", str(i), "2019", reasons=f"<p>a{i} {inside} b</p>")
+        texts.append(r.choice(["", "\n", odd[0], odd[2], odd[5]]) + made[: -len(">")] + r.choice(["", " ", "\n\t"]) + ">")
+    parsed = {}
+    for n in range(3):
+        whole = "<?xml version='1.0'?><!-- " + close + " -->\n<root>" + "".join(texts[n::3]) + f"<!-- {close} --></root>" + odd[0]
+        (tmp_path / f"{n}.xml").write_text(whole, encoding="utf-8")
+        for d in ElementTree.fromstring(whole).iter("ep-appeal-decision"):
+            parsed[d.find(".//ep-ecli").text] = decision_xml.read_document(ElementTree.tostring(d, encoding="unicode"))["reasons"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("6000", "65536"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = decision_xml.scan(spark, str(tmp_path / "*.xml")).select("ord.path", "ecli", "reasons", "ord").orderBy("ord").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert len(found) == 400 and {x.ecli: x.reasons for x in found} == parsed
+        for n in range(3):
+            assert [x.ecli for x in found if x.path.endswith(f"/{n}.xml")] == [f"E{i}" for i in range(n, 400, 3)]
+    (tmp_path / "b.xml").write_text(texts[0] + "<!-- <ep-appeal-decision> " + close)
+    with pytest.raises(Exception, match="not closed"):
         decision_xml.scan(spark, str(tmp_path / "b.xml")).collect()
 
 
