@@ -13,7 +13,9 @@ paths, numbers, plain and invented words, references to settings).
 
 Defined results: null or empty text has no findings and stays as it is; texts
 are scanned whole; an assigned value is all up to a quote or white space, of any
-length; repeated rows have equal findings; findings never overlap.
+length, that of an address all up to its @; a private key is all up to its end
+mark, or without one all lines that can belong to a key, and no finding if there
+are none; repeated rows have equal findings; findings never overlap.
 """
 
 from __future__ import annotations
@@ -28,13 +30,18 @@ from ..functions.once import let
 from .common import name, packed
 
 #: The signs after a name that is assigned to, and the whole unbroken value, up to a quote or white space (fixed values).
-SIGNS = r"""["']?[ \t]{0,3}[:=]{1,2}[ \t]{0,3}["']?"""
+SIGNS = r"""["']?[ \t]*+(?:=>|:=|[:=]{1,2})[ \t]*+["']?"""
 VALUE = r"""[^\s\p{Z}\x85"'`]{8,}+"""
 #: What stands before an assigned value (fixed value); the name may have any prefix that ends in a sign or before a capital letter.
-NAMES = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)"
-ASSIGNED = NAMES + SIGNS
+NAMES = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:pass(?:word|wd|phrase)?|pwd|token|(?:api[_-]?)?secret(?:[_-]?(?:access[_-]?)?key)?|(?:api|access|encryption|private|signing|master|shared|account|client|session|auth)[_-]?key|auth|credentials?)"
+#: What stands before the value in a header, and in an address before its password (fixed values).
+HEADER = r"(?<![A-Za-z0-9])(?i:bearer)[ \t]++"
+ADDRESS = r"""(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@"']*+:(?=[^\s/@"']{8,}+(?:@|$))"""
+ASSIGNED = f"(?:{NAMES}{SIGNS}|{HEADER})"
 #: The part of a value that is judged beside the whole of it, so that what follows a secret does not hide it.
 CORE = "^[A-Za-z0-9+/_.~!@-]{8,}+={0,2}"
+#: Headers, lines and a shorter last line of a private key that has no end mark; ends of lines may be written out (fixed value).
+KEY_LINES = r"(?:\s*+[A-Z][A-Za-z-]*+:[^\r\n\\]*+)*+(?:(?:\s|\\[nrt])*+[A-Za-z0-9+/=]{16,}+)++(?:(?:\s|\\[nrt])++[A-Za-z0-9+/]*+={1,2})?"
 #: Key formats by kind (fixed values: published formats of access keys); no length has an upper bound.
 FORMATS = {
     "access_key_id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
@@ -42,8 +49,8 @@ FORMATS = {
     "payment_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}+\b",
     "chat_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}+",
     "web_token": r"\beyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
-    "assignment": ASSIGNED + VALUE,
+    "private_key": r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]*?PRIVATE KEY-----|" + KEY_LINES + ")",
+    "assignment": f"{ADDRESS}[^\\s/@\"']++|{ASSIGNED}{VALUE}",
     "long_string": r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{32,}+(?!(?<=" + NAMES + ")" + SIGNS + VALUE + ")",
 }
 PATTERN = "|".join(FORMATS.values())
@@ -68,7 +75,7 @@ def kind_of(match: Column) -> Column:
 
 def value_of(match: Column) -> Column:
     """The secret part of a match: what is assigned, else all of it."""
-    assigned = F.regexp_extract(match, "(?s)^" + ASSIGNED + "(.+)$", 1)
+    assigned = F.regexp_extract(match, f"(?s)^(?:{ADDRESS}|{ASSIGNED})(.+)$", 1)
     return F.when(assigned != "", assigned).otherwise(match)
 
 
