@@ -103,11 +103,13 @@ INLINE_CASES = "SELECT o_orderkey, CASE WHEN o_orderkey < 10000 THEN 'T ' || lpa
 def legal_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of several eras made from line items; the third kind isn't a code and stays."""
     l = spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")  # noqa: E741
-    n, p = F.lpad(F.col("l_suppkey").cast("string"), 3, "0"), F.col("l_linenumber").cast("string")
+    key, p = F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")
+    short = F.lpad(key, 3, "0")  # cuts longer keys, as SQL's does
+    n = F.when(F.length(key) > 3, key).otherwise(short)
     raw = (
         F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("EPC2000_Art_"), n, F.lit("("), p, F.lit(")_(2007)")))
         .when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("VOBK_2020_R_"), n, F.lit("a_Sent_3")))
-        .otherwise(F.concat(F.lit("EPC_Art_"), n, F.lit("_foo")))
+        .otherwise(F.concat(F.lit("EPC_Art_"), short, F.lit("_foo")))
     )
     return l.select("l_orderkey", "l_linenumber", legalref.normalise_raw(raw).alias("provision"))
 

@@ -135,3 +135,13 @@ def test_embedder_of_model_files(monkeypatch, tmp_path):
     a, b = onnx_embedder(str(model), str(tokenizer), most_tokens=4)(["ab?c", "a"])
     want = lambda ids: [np.mean(ids) / np.hypot(np.mean(ids), 1), 1 / np.hypot(np.mean(ids), 1)]
     assert np.allclose(a, want([0, 2, 3, 2])) and np.allclose(b, want([0, 2, 2]))
+
+
+def test_provisions_of_keys_longer_than_three_digits_stay_whole(spark, tmp_path):
+    from docketlake.oracle.passages import legal_refs
+
+    rows = [(1, n, key) for n in (1, 2, 3) for key in (0, 42, 1234)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = {r.provision for r in legal_refs(spark, str(tmp_path)).collect()}
+    # the third kind is cut to three digits, as lpad() of its SQL does
+    assert found == {"R. 0a RPBA", "R. 42a RPBA", "R. 1234a RPBA", "EPC_Art_000_foo", "EPC_Art_042_foo", "EPC_Art_123_foo", "Art. 0(3) EPC", "Art. 42(3) EPC", "Art. 1234(3) EPC"}
