@@ -159,7 +159,7 @@ class Library:
         found = lookups.resolve_decision(self.store.read("decisions"), key)
         texts = self.store.read("decision_texts").join(found.select(F.col("id").alias("decision_id")), "decision_id", "left_semi")
         decision = found.first()
-        return decision, None if decision is None else fallback(texts, "decision_id", lang or "").first()
+        return decision, None if decision is None else fallback(texts, "decision_id", lang or "", version_first=True).first()
 
     def get_decision(self, case_number: str, part: str = "summary", lang: str | None = None) -> dict:
         if part not in ("summary", "facts", "reasons", "order", "full"):

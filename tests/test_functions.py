@@ -145,3 +145,11 @@ def test_provisions_of_keys_longer_than_three_digits_stay_whole(spark, tmp_path)
     found = {r.provision for r in legal_refs(spark, str(tmp_path)).collect()}
     # the third kind is cut to three digits, as lpad() of its SQL does
     assert found == {"R. 0a RPBA", "R. 42a RPBA", "R. 1234a RPBA", "EPC_Art_000_foo", "EPC_Art_042_foo", "EPC_Art_123_foo", "Art. 0(3) EPC", "Art. 42(3) EPC", "Art. 1234(3) EPC"}
+
+
+def test_a_version_in_the_language_asked_for_goes_before_an_original_in_it(spark):
+    from docketlake.operators.ranking import fallback
+
+    rows = spark.createDataFrame([(1, "d", "fr", 1), (2, "d", "fr", 0), (3, "e", "fr", 1), (4, "f", "de", 0), (5, "f", "de", 1)], "id long, k string, lang string, is_original int")
+    got = lambda **x: {r.k: r.id for r in fallback(rows, "k", "fr", **x).collect()}
+    assert got(version_first=True) == {"d": 2, "e": 3, "f": 5} and got() == {"d": 1, "e": 3, "f": 5}
