@@ -142,7 +142,7 @@ def merge_documents(store: Store, docs: DataFrame) -> None:
     store.append("keys", rows, CLUSTERED["keys"], by)
     tops = {k: max(last[k], v) for k, v in _last_ids(store).items()}
     here = sorted({*blocks, *(str(b) for b in range(last["last_decision_id"] // BLOCK, tops["last_decision_id"] // BLOCK + 1))})
-    texts = index_rows(store, here).join(F.broadcast(held.select("decision_id", F.lit(True).alias("_held"))), "decision_id", "left")
+    texts = index_rows(store, here).join(held.select("decision_id", F.lit(True).alias("_held")), "decision_id", "left")  # held may have every decision, so it isn't sent to all
     added = F.col("id") > last["last_text_id"]
     segments.change(store, "decision", texts.filter(added | F.col("_held")).drop("_held"), DECISION_INDEX, texts.filter(~added & F.col("_held")).select(F.col("id").alias("row_id")) if blocks else None)
     store.set_meta(merging="", **tops)

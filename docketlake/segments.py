@@ -22,6 +22,8 @@ from .store import Store
 
 #: Segments of one size class that are merged; classes are powers of it.
 FACTOR = 4
+#: Ids that are gone beyond which they are merged with the postings by sorting, never sent whole to all.
+MANY_GONE = 200_000
 
 
 def _names(name: str) -> tuple[str, str, str, str]:
@@ -93,7 +95,9 @@ def change(store: Store, name: str, rows: DataFrame, columns: Sequence[str], gon
 
 def live(store: Store, name: str, only: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Postings and row statistics of all segments, or only of some, without the rows that are gone."""
-    listed = segments(store, name)
+    figures = _figures(store, name)
+    listed = {seg: n for seg, (n, _, _) in figures.items()}
+    many = sum(n - rows for n, rows, _ in figures.values()) > MANY_GONE
     wanted = [s for s in listed if only is None or s in only]
     deletes = f"{name}_deletes"
     later = [x for x in (store.slices(deletes) if store.exists(deletes) else ()) if min(wanted, default=0) < int(x) <= max(listed, default=0)]
@@ -103,6 +107,8 @@ def live(store: Store, name: str, only: Sequence[int] | None = None) -> tuple[Da
         if not later:
             return rows
         gone = store.read(deletes, later).select(F.col("row_id").alias("gone_id"), F.col("seg").alias("gone_by"))
+        if many:
+            gone = gone.hint("merge")
         return rows.join(gone, (F.col("row_id") == F.col("gone_id")) & (F.col("seg") < F.col("gone_by")), "left_anti")
 
     return without(f"{name}_postings"), without(f"{name}_row_stats")

@@ -202,3 +202,14 @@ def test_slices(spark, tmp_path):
     assert len(old & files(store, "t")) == len([f for f in old if "_slice=0" in f or "_slice=2" in f])
     assert not store.append("t", df.limit(0), ["id"], "k") and store.append("t", df.filter("id = 3"), ["id"], "k")
     assert store.read("t", [3]).count() == 1 and store.read("t").columns == ["id", "k"]
+
+
+def test_a_batch_that_adds_to_all_decisions_sends_none_of_their_ids_to_all_tasks(spark, tmp_path, monkeypatch):
+    jobs.index(spark, written(tmp_path / "0.xml", many(range(6))), str(tmp_path / "store"))
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.columns) or broadcast(df))
+    store = jobs.index(spark, written(tmp_path / "1.xml", many(range(6), "de", "de", "anders")), str(tmp_path / "store"), incremental=True)
+    assert not [c for c in sent if "decision_id" in c]
+    monkeypatch.setattr(segments, "MANY_GONE", 0)
+    plan = segments.live(store, "decision")[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
