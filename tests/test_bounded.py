@@ -95,3 +95,17 @@ def test_empty_index(spark, index):
     nothing = shape.limit(0).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     assert bounds(postings.limit(0), BLOCK).count() == 0
     assert bm25_first(postings.limit(0), nothing, held.limit(0), TREES["either"], 5, BLOCK).count() == 0
+
+
+def test_postings_are_put_together_without_a_shuffle(spark, monkeypatch):
+    from docketlake.operators import postings as made
+
+    monkeypatch.setattr(made, "TOKENS_AT_ONCE", 3)
+    rows = spark.createDataFrame([(1, "b a b", "b"), (2, None, ""), (None, "a", None), (3, "c c c c", "a c")], "id long, x string, y string")
+    index = made.postings(rows, "id", ("x", "y"))
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    got = {(r.row_id, r.col, r.term, r.n_tokens, r.tf, tuple(r.positions)) for r in index.collect()}
+    assert got == {
+        (1, "x", "a", 4, 1, (1,)), (1, "x", "b", 4, 2, (0, 2)), (1, "y", "b", 4, 1, (0,)), (None, "x", "a", 1, 1, (0,)),
+        (3, "x", "c", 6, 4, (0, 1, 2, 3)), (3, "y", "a", 6, 1, (0,)), (3, "y", "c", 6, 1, (1,)),
+    }
