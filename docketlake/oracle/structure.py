@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, drop_cut
 from ..sources import decision_xml, outline
 from .tables import made, table
 
@@ -34,7 +35,10 @@ def _write_xml(spark: SparkSession, sf_dir: str, path: str) -> None:
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders as decision documents, scanned from XML files."""
     path = made(spark, sf_dir, ["orders"], "orders-xml", lambda path: _write_xml(spark, sf_dir, path))
-    return decision_xml.scan(spark, f"{path}/part-*")
+    read = decision_xml.scan(spark, f"{path}/part-*")
+    docs = cut(read)  # parsed once; tables() reads documents several times
+    drop_cut(read)
+    return docs
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

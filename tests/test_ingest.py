@@ -307,3 +307,10 @@ def test_unreadable_store_is_not_indexed(spark, tmp_path):
     (tmp_path / "meta").mkdir()
     (tmp_path / "meta" / "_current-1").write_text('{"parts": ["v-gone"], "schema": {"type": "struct", "fields": []}}')
     assert not store.is_indexed()
+
+
+def test_the_registered_ingests_read_documents_that_were_parsed_once(spark):
+    from docketlake.oracle import structure
+
+    plan = structure._scanned(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "MapInArrow" not in plan
