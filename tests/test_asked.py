@@ -73,3 +73,16 @@ def test_neighbours_by_clusters(spark):
     assert nearest(clustered(df.limit(0), "id", "v"), queries, "id", "v", 5).collect() == []
     few = nearest(clustered(df.filter("id < 3"), "id", "v"), queries.filter("id = 20"), "id", "v", 5)
     assert few.count() == 3 and few.agg(F.max("rank")).first()[0] == 3
+
+
+def test_questions_that_repeat_are_looked_up_once_and_all_answered(spark):
+    from docketlake.operators.asked import FIRST_HELD, distinct_phrases, phrase_terms
+
+    words = [f"w{i}" for i in range(FIRST_HELD + 3)]
+    texts = [words + ["x"] + words, words[:-1] + ["y"], words, ["w1", "w1", "w2"]]
+    index = postings(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, body string"), "id", ("body",))
+    asked = [(1, words), (2, words), (3, words[:FIRST_HELD]), (4, ["w1"]), (5, ["w1", "w1"]), (6, words[::-1])]
+    terms = phrase_terms(spark.createDataFrame([(q, " ".join(t)) for q, t in asked], "q long, t string"), "q", "t")
+    assert distinct_phrases(terms)[1].select("same").distinct().count() == 5
+    want = {(q, r): n for q, t in asked for r, x in enumerate(texts) if (n := sum(x[i : i + len(t)] == t for i in range(len(x))))}
+    assert {(x.query, x.row_id): x.places for x in phrase_places(index, terms).collect()} == want
