@@ -46,10 +46,10 @@ def sliced(name: str, rows: DataFrame) -> tuple[DataFrame, str | None]:
     return (rows.withColumn("slice", by[name]().cast("string")), "slice") if name in by else (rows, None)
 
 
-def index_rows(store: Store, blocks: list | None = None) -> DataFrame:
-    """Text rows with the fields of their decision, of all decisions or those of some blocks."""
+def index_rows(store: Store, blocks: list | None = None, whole: bool = False) -> DataFrame:
+    """Text rows with the fields of their decision, of all decisions or those of some blocks; whole: joined by hashing, so that the texts of all aren't sorted."""
     d = store.read("decisions", blocks).select(F.col("id").alias("decision_id"), "case_number", "headword", "keywords", "title")
-    return store.read("decision_texts", blocks).join(d, "decision_id")
+    return store.read("decision_texts", blocks).join(d.hint("shuffle_hash") if whole else d, "decision_id")
 
 
 def update_index(store: Store, name: str, rows: DataFrame, columns: tuple[str, ...]) -> None:
@@ -67,8 +67,10 @@ def update_index(store: Store, name: str, rows: DataFrame, columns: tuple[str, .
 
 
 def rebuild_text_index(store: Store) -> None:
-    """Index all text rows anew."""
-    segments.build(store, "decision", index_rows(store), DECISION_INDEX)
+    """Index all text rows anew. They are joined once, for their postings and their figures."""
+    rows = cut(index_rows(store, whole=True).select("id", *DECISION_INDEX))
+    segments.build(store, "decision", rows, DECISION_INDEX)
+    drop_cut(rows)
     store.set_meta(index_format=INDEX_FORMAT)
 
 

@@ -3,9 +3,10 @@
 postings(row_id, n_tokens, col, term, tf, positions), where n_tokens are those of
 the whole row, so that a row is scored from its postings alone;
 shape(rows, tokens), one row; row_stats(row_id, n_tokens, digest), by which rows
-are told apart when they change; bounds, see bounded.py. Postings are written by
-ranges of term and row, so that a frequent term is in many files; a term, a
-prefix or a range of a term's rows is read by the files' own statistics.
+are told apart when they change; bounds, see bounded.py. Postings are written
+where their rows are read, in runs of up to TOKENS_AT_ONCE tokens, each sorted by
+term: nothing is shuffled or sorted beyond a run, whatever the size. A term or a
+prefix is read by the statistics of the files' small pages, a few in each run.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +23,30 @@ from ..functions.text import tokens
 
 #: Tokens of rows that are put together at once; a longer row is taken alone.
 TOKENS_AT_ONCE = 1_000_000
+#: How postings are written: pages of few rows, since a term is in a small part of each run.
+PAGES = {"parquet.page.row.count.limit": "5000"}
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of rows (row_id, col, n_tokens, words): a row's places of a term put together within the row."""
+    """Postings of rows (row_id, col, n_tokens, words): a row's places of a term put together within the row, in runs sorted by term."""
+    held, n = [], 0
     for b in batches:
         begins = b.column("words").offsets.to_numpy()
         at = 0
         while at < b.num_rows:
             end = max(at + 1, int(np.searchsorted(begins, begins[at] + TOKENS_AT_ONCE, "right")) - 1)
-            yield from _gathered_rows(b.slice(at, end - at))
-            at = end
+            size = int(begins[end] - begins[at])
+            if held and n + size > TOKENS_AT_ONCE:
+                yield from _gathered_rows(_together(held))
+                held, n = [], 0
+            held.append(b.slice(at, end - at))
+            at, n = end, n + size
+    if held:
+        yield from _gathered_rows(_together(held))
+
+
+def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 def _gathered_rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -43,7 +58,9 @@ def _gathered_rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
     pos = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    key = row * len(coded.dictionary) + codes
+    rank = np.empty(len(coded.dictionary), dtype=np.int64)
+    rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+    key = rank[codes] * len(sizes) + row  # by term, then in the order of rows
     order = np.argsort(key, kind="stable")  # places stay in their order
     heads = np.flatnonzero(np.diff(key[order], prepend=-1))
     first, ends = order[heads], np.append(heads, n).astype(np.int32)
@@ -79,9 +96,8 @@ def shape(stats: DataFrame) -> DataFrame:
 
 
 def write_index(rows: DataFrame, row_id: str, columns: Sequence[str], path: str, block: int | None = None) -> None:
-    """Write the index of rows: postings by ranges of terms, and their shape; block: also bounds of runs of as many ids."""
-    index = postings(rows, row_id, columns)
-    index.repartitionByRange("term", "row_id").sortWithinPartitions("term", "row_id").write.mode("overwrite").parquet(f"{path}/postings")
+    """Write the index of rows: postings in sorted runs, and their shape; block: also bounds of runs of as many ids."""
+    postings(rows, row_id, columns).write.mode("overwrite").options(**PAGES).parquet(f"{path}/postings")
     shape(row_stats(rows, row_id, columns)).write.mode("overwrite").parquet(f"{path}/shape")
     if block is not None:
         held = bounds(rows.sparkSession.read.parquet(f"{path}/postings"), block)

@@ -17,8 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators.postings import postings, row_stats, shape
-from .store import Store
+from .operators.postings import PAGES, postings, row_stats, shape
+from .store import Store, ranged
 
 #: Segments of one size class that are merged; classes are powers of it.
 FACTOR = 4
@@ -65,8 +65,8 @@ def _add(store: Store, name: str, seg: int, index: DataFrame, stats: DataFrame)
     """Write a segment that isn't listed yet; its rows and tokens."""
     for table in _names(name)[:3]:
         _drop(store, table, [seg])  # left by a change that was interrupted
-    store.append(_names(name)[0], index.withColumn("seg", F.lit(seg).cast("long")), ["term", "row_id"], "seg")
-    store.append(_names(name)[1], stats.withColumn("seg", F.lit(seg).cast("long")), ["row_id"], "seg")
+    for table, made, options in ((_names(name)[0], index, PAGES), (_names(name)[1], stats, None)):
+        store.append(table, made.withColumn("seg", F.lit(seg).cast("long")), only=seg, options=options)
     return tuple(shape(store.read(_names(name)[1], [seg])).first())
 
 
@@ -126,7 +126,7 @@ def merge(store: Store, name: str) -> None:
             return
         seg = max(listed) + 1
         index, stats = live(store, name, full)
-        n, _ = _add(store, name, seg, index, stats)
+        n, _ = _add(store, name, seg, ranged(index, "term", "row_id"), stats)
         gains = [figures for s, figures in _figures(store, name).items() if s in full]
         left = {s: x for s, x in _figures(store, name).items() if s not in full} | {seg: (n, sum(x[1] for x in gains), sum(x[2] for x in gains))}
         _commit(store, name, left)

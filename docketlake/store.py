@@ -31,6 +31,17 @@ from .shared import file_system
 MOST_PARTS = 64
 #: What the last folder of a slice's part is called.
 SLICE = "_slice="
+#: Bytes of input files a range of rows that are sorted, so that a range is sorted in memory whatever the table's size.
+RANGE_BYTES = 8 << 20
+
+
+def ranged(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows sorted in ranges: as many as the session's shuffle partitions, or more if the files that the rows are made of are large."""
+    spark = rows.sparkSession
+    n = sum(fs.getFileStatus(p).getLen() for p, fs in (file_system(spark, f) for f in rows.inputFiles())) // RANGE_BYTES
+    columns = [F.col(c) for c in order]
+    many = n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartitionByRange(n, *columns) if many else rows.repartitionByRange(*columns)).sortWithinPartitions(*order)
 
 
 class Store:
@@ -80,18 +91,25 @@ class Store:
         found = self._current(table)
         return set() if found is None else {x for p in found[1]["parts"] if (x := _slice_of(p)) is not None}
 
-    def _write(self, table: str, rows: DataFrame, sort: list[str] | None, by: str | None = None) -> list[str]:
-        """Write rows; the parts made: one, or one a slice."""
+    def _write(self, table: str, rows: DataFrame, sort: list[str] | None, by: str | None = None, only: object = None, options: dict | None = None) -> list[str]:
+        """Write rows; the parts made: one, or one a slice. only: the one slice that all rows lie in; they are written as they come."""
         part = f"v-{uuid.uuid4().hex}"
         path = f"{self.path}/{table}/{part}"
+        if only is not None:
+            part, path = f"{part}/{SLICE}{only}", f"{path}/{SLICE}{only}"
+            rows.write.options(**options or {}).option("compression", "zstd").parquet(path)
+            if self.spark.read.schema(rows.schema).parquet(path).isEmpty():
+                self._delete(f"{table}/{part}")
+                return []
+            return [part]
         if by is None:
-            out = rows if sort is None else rows.repartitionByRange(*[F.col(c) for c in sort]).sortWithinPartitions(*sort)
+            out = rows if sort is None else ranged(rows, *sort)
             out.write.option("compression", "zstd").parquet(path)
             return [part]
         order = [by, *(sort or [])]
         name = SLICE.rstrip("=")
-        out = rows.repartitionByRange(*order)  # by the sort columns too, so that a slice of any size is many files
-        out.sortWithinPartitions(*order).withColumn(name, F.col(by).cast("string")).write.partitionBy(name).option("compression", "zstd").parquet(path)
+        out = ranged(rows, *order)  # by the sort columns too, so that a slice of any size is many files
+        out.withColumn(name, F.col(by).cast("string")).write.partitionBy(name).option("compression", "zstd").parquet(path)
         p, fs = file_system(self.spark, path)
         found = [x.getPath().getName() for x in fs.listStatus(p)]
         return [f"{part}/{x}" for x in sorted(found) if x.startswith(SLICE)]
@@ -114,32 +132,32 @@ class Store:
         p, fs = file_system(self.spark, f"{self.path}/{path}")
         fs.delete(p, True)
 
-    def replace(self, table: str, rows: DataFrame, sort: list[str] | None = None, by: str | None = None) -> None:
-        """Write rows as all of the table; sort: columns whose row-group bounds look-ups use; by: the column of slices."""
-        parts = self._write(table, rows, sort, by)
+    def replace(self, table: str, rows: DataFrame, sort: list[str] | None = None, by: str | None = None, only: object = None, options: dict | None = None) -> None:
+        """Write rows as all of the table; sort: columns whose row-group bounds look-ups use; by: the column of slices; only: the one slice of all rows."""
+        parts = self._write(table, rows, sort, by, only, options)
         self._commit(table, max(self._records(table), default=0), parts, rows.schema)
 
-    def append(self, table: str, rows: DataFrame, sort: list[str] | None = None, by: str | None = None) -> bool:
+    def append(self, table: str, rows: DataFrame, sort: list[str] | None = None, by: str | None = None, only: object = None, options: dict | None = None) -> bool:
         """Add rows as parts of their own; whether there were any. Columns that one side lacks are null there."""
         found = self._current(table)
         if found is None:
-            self.replace(table, rows, sort, by)
+            self.replace(table, rows, sort, by, only, options)
             return True
         number, record = found
         held = self.spark.createDataFrame([], StructType.fromJson(record["schema"]))
         rows = held.unionByName(rows, allowMissingColumns=True)
-        made = self._write(table, rows, sort, by)
-        if by is None and self.spark.read.schema(rows.schema).parquet(f"{self.path}/{table}/{made[0]}").isEmpty():
+        made = self._write(table, rows, sort, by, only, options)
+        if by is None and only is None and self.spark.read.schema(rows.schema).parquet(f"{self.path}/{table}/{made[0]}").isEmpty():
             self._delete(f"{table}/{made[0]}")
             return False
         if not made:
             return False
         parts = [*record["parts"], *made]
         self._commit(table, number, parts, rows.schema)
-        if by is None and len(parts) > MOST_PARTS:
+        if by is None and only is None and len(parts) > MOST_PARTS:
             self.replace(table, self.read(table), sort)
         crowded = [x for x, n in Counter(map(_slice_of, parts)).items() if x is not None and n > MOST_PARTS]
-        if crowded:
+        if crowded and by is not None:
             self.replace_slices(table, self.read(table, crowded), by, sort)
         return True
 

@@ -109,3 +109,31 @@ def test_postings_are_put_together_without_a_shuffle(spark, monkeypatch):
         (1, "x", "a", 4, 1, (1,)), (1, "x", "b", 4, 2, (0, 2)), (1, "y", "b", 4, 1, (0,)), (None, "x", "a", 1, 1, (0,)),
         (3, "x", "c", 6, 4, (0, 1, 2, 3)), (3, "y", "a", 6, 1, (0,)), (3, "y", "c", 6, 1, (1,)),
     }
+
+
+def test_postings_are_written_in_sorted_runs_where_their_rows_are_read(spark, tmp_path):
+    """No range of terms is put together from all rows, so what a task sorts doesn't grow with the table."""
+    from docketlake import segments
+    from docketlake.store import Store
+
+    rows = spark.range(0, 4000, 1, 4).select("id", F.format_string("w%04d of the law", F.col("id") % 50).alias("x"))
+    write_index(rows, "id", ["x"], str(tmp_path / "plain"))
+    segments.build(Store(spark, str(tmp_path)), "t", rows, ["x"])
+    for path in (str(tmp_path / "plain/postings"), f"{tmp_path}/t_postings/*/_slice=1"):
+        written = spark.read.parquet(path).select("term", "row_id", F.input_file_name().alias("file"))
+        assert written.count() == 16_000
+        spans = sorted((r.low, r.high) for r in written.groupBy("file").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high")).collect())
+        assert spans == [(i, i + 999) for i in range(0, 4000, 1000)]
+        for f in {r.file for r in written.select("file").distinct().collect()}:
+            terms = [r.term for r in spark.read.parquet(f).coalesce(1).collect()]
+            assert terms == sorted(terms)
+
+
+def test_ranges_that_are_sorted_follow_the_size_of_their_files(spark, tmp_path, monkeypatch):
+    from docketlake import store
+
+    spark.range(0, 50_000, 1, 2).select((F.col("id") * 7919 % 50_000).alias("id")).write.parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(store, "RANGE_BYTES", 10_000)
+    out = store.ranged(spark.read.parquet(str(tmp_path / "in")), "id")
+    assert out.rdd.getNumPartitions() > 10
+    assert [r.id for r in out.collect()] == list(range(50_000))
