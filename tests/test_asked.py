@@ -86,3 +86,26 @@ def test_questions_that_repeat_are_looked_up_once_and_all_answered(spark):
     assert distinct_phrases(terms)[1].select("same").distinct().count() == 5
     want = {(q, r): n for q, t in asked for r, x in enumerate(texts) if (n := sum(x[i : i + len(t)] == t for i in range(len(x))))}
     assert {(x.query, x.row_id): x.places for x in phrase_places(index, terms).collect()} == want
+
+
+def test_a_task_keeps_k_of_each_query_and_never_all_pairs(spark, monkeypatch):
+    """Groups are of bounded sizes; what leaves each is at most k rows a query, also where all vectors are equal or nothing can be left out."""
+    from docketlake.operators import clustered as made
+
+    monkeypatch.setattr(made, "GROUP_MEMBERS", 100)
+    monkeypatch.setattr(made, "GROUP_QUERIES", 10)
+    monkeypatch.setattr(made, "LEAST_MEMBERS", 1000)
+    r = random.Random(5)
+    vectors = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(600)] + [(600 + i, [0.5] * 8) for i in range(400)]
+    df = spark.createDataFrame(vectors, "id long, v array<double>")
+    queries, k = df.filter("id % 25 = 0"), 5
+    found = clustered(df, "id", "v", 10)
+    asked = made._asked(found, queries, "id", "v")
+    assert made._read(found, asked.withColumn("kth", F.lit(None).cast("double")), 40, k).groupBy("query").count().agg(F.max("count")).first()[0] <= k * 11
+    held = dict(vectors)
+    got = {(x.query, x.rank): (x.id, round(x.distance, 9)) for x in nearest(found, queries, "id", "v", k).collect()}
+    for q in range(0, 1000, 25):
+        d = lambda i: sum((a - b) ** 2 for a, b in zip(held[q], held[i])) ** 0.5  # noqa: E731, B023
+        want = sorted(held, key=lambda i: (d(i), i))[:k]
+        assert [got[q, n] for n in range(1, k + 1)] == [(i, round(d(i), 9)) for i in want]
+    assert len(got) == 40 * k
