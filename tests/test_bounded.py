@@ -137,3 +137,16 @@ def test_ranges_that_are_sorted_follow_the_size_of_their_files(spark, tmp_path,
     out = store.ranged(spark.read.parquet(str(tmp_path / "in")), "id")
     assert out.rdd.getNumPartitions() > 10
     assert [r.id for r in out.collect()] == list(range(50_000))
+
+
+def test_small_batches_make_one_run(monkeypatch):
+    """Batches below TOKENS_AT_ONCE are put together, so that runs are long and a term is in few of their pages; longer ones are cut."""
+    import pyarrow as pa
+
+    from docketlake.operators import postings as made
+
+    batch = lambda i, words: pa.RecordBatch.from_arrays([pa.array([i]), pa.array(["x"]), pa.array([len(words)]), pa.array([words], pa.list_(pa.string()))], names=["row_id", "col", "n_tokens", "words"])
+    batches = [batch(1, ["c", "a"]), batch(2, []), batch(3, ["b", "a", "b"]), batch(4, ["a"] * 9)]
+    monkeypatch.setattr(made, "TOKENS_AT_ONCE", 8)
+    runs = [[(r["term"], r["row_id"], r["positions"]) for r in run.to_pylist()] for run in made._gathered(iter(batches))]
+    assert runs == [[("a", 1, [1]), ("a", 3, [1]), ("b", 3, [0, 2]), ("c", 1, [0])], [("a", 4, list(range(9)))]]
