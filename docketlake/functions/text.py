@@ -40,6 +40,11 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
+def tokens_in(text: Column) -> Column:
+    """How many tokens() a text has: removing diacritics neither parts nor joins runs of letters, so they are counted without it."""
+    return F.size(F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"), F.lit(0)), F.array().cast("array<string>")))
+
+
 def tokens_of(text: str) -> list[str]:
     """tokens() of a Python string, for queries."""
     import regex

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import tokens, tokens_in
 
 #: Tokens of rows that are put together at once; a longer row is taken alone.
 TOKENS_AT_ONCE = 1_000_000
@@ -70,13 +70,23 @@ def _gathered_rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(held, ["row_id", "col", "term", "n_tokens", "tf", "positions"])
 
 
+def _by_column(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (row_id and the words of each column) as what _gathered() takes: a batch of each column, whose words aren't copied."""
+    for b in batches:
+        lists = b.columns[1:]
+        total = pa.array(sum(x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists))
+        for c, words in zip(columns, lists, strict=True):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.repeat(c, b.num_rows), total, words], ["row_id", "col", "n_tokens", "words"])
+
+
 def postings(rows: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
-    """The postings of rows. A row's places of a term are put together in the row's own task, so nothing is shuffled and no groups are sorted for it."""
-    words = rows.select(F.col(row_id).alias("row_id"), F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("words")) for c in columns]).alias("all"))
-    total = F.aggregate("all", F.lit(0).cast("long"), lambda n, x: n + F.size(x["words"]))
-    each = words.select("row_id", total.alias("n_tokens"), F.explode("all").alias("x")).select("row_id", "n_tokens", "x.col", "x.words").filter(F.size("words") > 0)
-    kind = each.schema["row_id"].dataType.simpleString()
-    return each.mapInArrow(_gathered, f"row_id {kind}, col string, term string, n_tokens long, tf int, positions array<int>")
+    """The postings of rows. A row's places of a term are put together in the row's own task, so nothing is shuffled and no groups are sorted for it.
+
+    The words of all columns go to the task as they are: exploding them would copy every list of words twice more.
+    """
+    words = rows.select(F.col(row_id).alias("row_id"), *[tokens(F.col(c)).alias(f"w{i}") for i, c in enumerate(columns)])
+    kind, columns = words.schema["row_id"].dataType.simpleString(), list(columns)
+    return words.mapInArrow(lambda batches: _gathered(_by_column(batches, columns)), f"row_id {kind}, col string, term string, n_tokens long, tf int, positions array<int>")
 
 
 def digest(columns: Sequence[str]) -> Column:
@@ -86,7 +96,7 @@ def digest(columns: Sequence[str]) -> Column:
 
 def row_stats(rows: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
     """Tokens of each row over all columns, and its digest: no shuffle, tokens are counted in place."""
-    total = sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0))
+    total = sum((tokens_in(F.col(c)) for c in columns), F.lit(0))
     return rows.select(F.col(row_id).alias("row_id"), total.cast("long").alias("n_tokens"), digest(columns).alias("digest"))
 
 

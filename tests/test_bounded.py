@@ -150,3 +150,15 @@ def test_small_batches_make_one_run(monkeypatch):
     monkeypatch.setattr(made, "TOKENS_AT_ONCE", 8)
     runs = [[(r["term"], r["row_id"], r["positions"]) for r in run.to_pylist()] for run in made._gathered(iter(batches))]
     assert runs == [[("a", 1, [1]), ("a", 3, [1]), ("b", 3, [0, 2]), ("c", 1, [0])], [("a", 4, list(range(9)))]]
+
+
+def test_postings_take_each_columns_words_once(spark):
+    """No generator copies the lists of words; a row's n_tokens are those of all columns."""
+    from docketlake.operators.postings import postings
+
+    rows = spark.createDataFrame([(1, "b a b", "b", None), (2, None, "", " "), (None, "a", None, "c d")], "id long, x string, y string, z string")
+    index = postings(rows, "id", ("x", "y", "z"))
+    assert "Generate" not in index._jdf.queryExecution().executedPlan().toString()
+    want = {(1, "x", "a", 4, 1, (1,)), (1, "x", "b", 4, 2, (0, 2)), (1, "y", "b", 4, 1, (0,)), (None, "x", "a", 3, 1, (0,)), (None, "z", "c", 3, 1, (0,)), (None, "z", "d", 3, 1, (1,))}
+    assert {(r.row_id, r.col, r.term, r.n_tokens, r.tf, tuple(r.positions)) for r in index.collect()} == want
+    assert postings(rows.limit(0), "id", ("x", "y")).count() == 0

@@ -153,3 +153,13 @@ def test_a_version_in_the_language_asked_for_goes_before_an_original_in_it(spark
     rows = spark.createDataFrame([(1, "d", "fr", 1), (2, "d", "fr", 0), (3, "e", "fr", 1), (4, "f", "de", 0), (5, "f", "de", 1)], "id long, k string, lang string, is_original int")
     got = lambda **x: {r.k: r.id for r in fallback(rows, "k", "fr", **x).collect()}
     assert got(version_first=True) == {"d": 2, "e": 3, "f": 5} and got() == {"d": 1, "e": 3, "f": 5}
+
+
+def test_tokens_are_counted_as_they_are_cut(spark):
+    """All characters, alone, inside words and after marks."""
+    from docketlake.functions.text import tokens, tokens_in
+
+    character = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    all_ = spark.range(0, 0x110000, 1, 4).filter("id < 55296 or id > 57343").select(F.explode(F.array(character, F.concat(F.lit("a"), character, F.lit("b́ ́")), F.concat(F.lit("́"), character, character))).alias("t"))
+    assert all_.filter(~F.size(tokens(F.col("t"))).eqNullSafe(tokens_in(F.col("t")))).count() == 0
+    assert [r[0] for r in spark.createDataFrame([(None,), ("",), ("áb c",)], "t string").select(tokens_in(F.col("t"))).collect()] == [0, 0, 2]
