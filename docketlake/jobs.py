@@ -66,11 +66,14 @@ def update_index(store: Store, name: str, rows: DataFrame, columns: tuple[str, .
     drop_cut(fresh, gone)
 
 
-def rebuild_text_index(store: Store) -> None:
-    """Index all text rows anew. They are joined once, for their postings and their figures."""
-    rows = cut(index_rows(store, whole=True).select("id", *DECISION_INDEX))
-    segments.build(store, "decision", rows, DECISION_INDEX)
-    drop_cut(rows)
+def rebuild_text_index(store: Store, rows: DataFrame | None = None) -> None:
+    """Index all text rows anew; rows: those of index_rows() from files that the caller has, else they are joined once, for their postings and their figures."""
+    if rows is not None:
+        segments.build(store, "decision", rows, DECISION_INDEX)
+    else:
+        joined = cut(index_rows(store, whole=True).select("id", *DECISION_INDEX))
+        segments.build(store, "decision", joined, DECISION_INDEX)
+        drop_cut(joined)
     store.set_meta(index_format=INDEX_FORMAT)
 
 

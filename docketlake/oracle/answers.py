@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import jobs
 from ..functions.casenum import format_case
 from ..plans.library import Library
+from ..shared import cut, drop_cut
 from ..store import Store
 from .tables import made, table
 
@@ -28,18 +29,21 @@ def _case(n) -> F.Column:
 
 def _build(spark: SparkSession, sf_dir: str, path: str) -> None:
     store, t = Store(spark, path), lambda name: table(spark, sf_dir, name)
-    d = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left").withColumn("id", F.col("doc_id"))
+    joined = cut(t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left"))  # texts are moved for the labels once, and no more for the index
+    d = joined.withColumn("id", F.col("doc_id"))
     none = F.lit(None).cast("string")
     day = F.concat(F.lit("20"), F.lpad((F.col("id") % 20).cast("string"), 2, "0"), F.lit("-03-1"), (F.col("id") % 7).cast("string"))
+    heads = {"case_number": _case(F.col("id")), "headword": F.concat(F.lit("head"), (F.col("id") % 50).cast("string")), "keywords": F.concat_ws("\n", "lang", "source", F.lit("third"), F.lit("fourth")), "title": F.substring_index("text", "\n", 1)}
     decisions = d.select(
-        "id", _case(F.col("id")).alias("case_number"), F.lit("T").alias("code"), F.col("id").cast("string").alias("appeal_num"), F.lit(2016).alias("year"), F.concat(F.lit("ECLI:"), F.col("id").cast("string")).alias("ecli"), F.col("source").alias("board"),
-        day.alias("decision_date"), F.col("lang").alias("language"), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("id") % 3 + 1).cast("int")).alias("distribution"), F.substring_index("text", "\n", 1).alias("title"),
-        none.alias("application_number"), F.concat(F.lit("A61K"), (F.col("id") % 5).cast("string"), F.lit("/00 H04L1/02")).alias("ipc"), F.concat(F.lit("head"), (F.col("id") % 50).cast("string")).alias("headword"),
-        F.concat_ws("\n", "lang", "source", F.lit("third"), F.lit("fourth")).alias("keywords"), none.alias("oj_reference"), F.when(F.col("quality") == 1, 1).otherwise(0).alias("has_headnote"), F.col("lang").alias("available_languages"),
+        "id", heads["case_number"].alias("case_number"), F.lit("T").alias("code"), F.col("id").cast("string").alias("appeal_num"), F.lit(2016).alias("year"), F.concat(F.lit("ECLI:"), F.col("id").cast("string")).alias("ecli"), F.col("source").alias("board"),
+        day.alias("decision_date"), F.col("lang").alias("language"), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("id") % 3 + 1).cast("int")).alias("distribution"), heads["title"].alias("title"),
+        none.alias("application_number"), F.concat(F.lit("A61K"), (F.col("id") % 5).cast("string"), F.lit("/00 H04L1/02")).alias("ipc"), heads["headword"].alias("headword"),
+        heads["keywords"].alias("keywords"), none.alias("oj_reference"), F.when(F.col("quality") == 1, 1).otherwise(0).alias("has_headnote"), F.col("lang").alias("available_languages"),
     )
     note = F.when(F.col("quality") == 1, F.concat(F.lit("note on "), "source")).otherwise("")
-    own = d.select("id", F.col("id").alias("decision_id"), "lang", F.lit(1).alias("is_original"), note.alias("headnote"), F.lit("").alias("catchwords"), F.lit("").alias("facts"), F.col("text").alias("reasons"), F.concat(F.lit("order of "), "source").alias("orders"))
-    version = d.filter("id % 5 = 0").select((F.col("id") + VERSIONS).alias("id"), F.col("id").alias("decision_id"), F.lit("fr").alias("lang"), F.lit(0).alias("is_original"), *[F.lit("").alias(c) for c in ("headnote", "catchwords", "facts")], F.concat(F.lit("version licensed under "), F.col("id").cast("string")).alias("reasons"), F.lit("").alias("orders"))
+    own = d.select("id", F.col("id").alias("decision_id"), "lang", F.lit(1).alias("is_original"), note.alias("headnote"), F.lit("").alias("catchwords"), F.lit("").alias("facts"), F.col("text").alias("reasons"), F.concat(F.lit("order of "), "source").alias("orders"), *[c.alias(n) for n, c in heads.items()])
+    version = d.filter("id % 5 = 0").select((F.col("id") + VERSIONS).alias("id"), F.col("id").alias("decision_id"), F.lit("fr").alias("lang"), F.lit(0).alias("is_original"), *[F.lit("").alias(c) for c in ("headnote", "catchwords", "facts")], F.concat(F.lit("version licensed under "), F.col("id").cast("string")).alias("reasons"), F.lit("").alias("orders"), *[c.alias(n) for n, c in heads.items()])
+    texts = own.unionAll(version)
     provisions = d.select(F.col("id").alias("decision_id"), F.explode(F.array(F.concat(F.lit("Art. "), (F.col("id") % 37).cast("string"), F.lit(" EPC")), F.concat(F.lit("R. "), (F.col("id") % 11).cast("string"), F.lit(" EPC")), F.concat(F.lit("R. "), (F.col("id") % 3).cast("string"), F.lit(" EPC")))).alias("provision"))
     citations = d.select(F.col("id").alias("citing_id"), F.explode(F.array(_case(F.col("id") % 40), _case(F.col("id") * 3 + 1))).alias("cited_case_number"))
     vectors = t("embeddings").select(F.col("vec_id").alias("decision_id"), "embedding")
@@ -53,14 +57,15 @@ def _build(spark: SparkSession, sf_dir: str, path: str) -> None:
         F.col("n").alias("id"), F.when(F.col("n") % 2 == 0, "clb").otherwise("gl").alias("source"), F.concat(F.lit("A-"), F.floor(F.col("n") / 4).cast("string")).alias("section_id"), F.col("url").alias("title"), F.concat(F.lit("Part > "), "url").alias("breadcrumb"),
         F.col("n").cast("int").alias("page_from"), (F.col("n") + 1).cast("int").alias("page_to"), (F.col("n") % 4).cast("int").alias("part"), F.concat(F.col("html"), F.lit(" see Rule "), (F.col("n") % 11).cast("string"), F.lit(" and Art. 5")).alias("body"),
     )
-    made_tables = {"decisions": decisions, "decision_texts": own.unionAll(version), "decision_provisions": provisions.withColumn("raw", F.col("provision")), "decision_citations": citations}
+    made_tables = {"decisions": decisions, "decision_texts": texts.drop(*heads), "decision_provisions": provisions.withColumn("raw", F.col("provision")), "decision_citations": citations}
     for name, rows in made_tables.items():
         store.replace(name, rows, jobs.CLUSTERED[name])
     store.replace("chunks", chunks.drop("embedding"), ["id"])
     store.replace("vectors", chunks.filter("embedding is not null").select("id", F.xxhash64("text").alias("digest"), "kind", "embedding"), ["id"], "kind")
     store.replace("book_sections", sections)
-    jobs.rebuild_text_index(store)
+    jobs.rebuild_text_index(store, texts.select("id", *jobs.DECISION_INDEX))
     jobs.update_index(store, "section", sections, jobs.SECTION_INDEX)
+    drop_cut(joined)
     store.set_meta(indexed_at="now")
 
 

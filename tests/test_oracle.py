@@ -53,3 +53,21 @@ def test_made_once_and_again_for_other_files(spark, tmp_path):
 
 def test_flagship(spark):
     assert entry.entry(spark).columns == ["doc_id", "source", "score"]
+
+
+def test_store_of_answers_is_indexed_without_moving_its_texts_again(spark, tmp_path, monkeypatch):
+    """The index is made of rows at hand, not of the store's texts joined anew, and is the one that a rebuild makes."""
+    from docketlake import jobs, segments
+    from docketlake.operators.postings import postings, row_stats
+    from docketlake.oracle import answers
+    from docketlake.store import Store
+
+    with monkeypatch.context() as m:
+        m.setattr(jobs, "index_rows", lambda *a, **b: pytest.fail("texts are joined again"))
+        answers._build(spark, FOLDER, str(tmp_path))
+    store = Store(spark, str(tmp_path))
+    index, stats = segments.live(store, "decision")
+    rows = jobs.index_rows(store)
+    for made, want in ((index.drop("seg"), postings(rows, "id", jobs.DECISION_INDEX)), (stats.drop("seg"), row_stats(rows, "id", jobs.DECISION_INDEX))):
+        want = want.select(*made.columns)
+        assert made.count() == want.count() > 0 and made.exceptAll(want).isEmpty()
