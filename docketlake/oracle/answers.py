@@ -7,13 +7,14 @@ id, embeddings the passages' vectors, pages the sections of two books.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import jobs
 from ..functions.casenum import format_case
 from ..plans.library import Library
-from ..shared import cut, drop_cut
 from ..store import Store
 from .tables import made, table
 
@@ -21,54 +22,105 @@ from .tables import made, table
 VERSIONS = 1_000_000_000_000
 #: The vector that every question of a query by vector has.
 QUERY_ID = 7
+#: The driver's tables by name.
+Tables = Callable[[str], DataFrame]
 
 
 def _case(n) -> F.Column:
     return format_case(F.lit("T"), n.cast("string"), F.lit(2016))
 
 
-def _build(spark: SparkSession, sf_dir: str, path: str) -> None:
-    store, t = Store(spark, path), lambda name: table(spark, sf_dir, name)
-    joined = cut(t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left"))  # texts are moved for the labels once, and no more for the index
-    d = joined.withColumn("id", F.col("doc_id"))
-    none = F.lit(None).cast("string")
+def _documents(t: Tables) -> DataFrame:
+    """Documents with the quality of their label. Titles are cut before the join, so that what needs no texts moves none."""
+    d = t("documents").select(F.col("doc_id").alias("id"), "lang", "source", "text", F.substring_index("text", "\n", 1).alias("title"))
+    return d.join(t("labels").select(F.col("doc_id").alias("id"), "quality"), "id", "left")
+
+
+def _heads(title: Column) -> dict[str, Column]:
+    """The fields of a decision that its texts are found by."""
+    id = F.col("decision_id")
+    return {"case_number": _case(id), "headword": F.concat(F.lit("head"), (id % 50).cast("string")), "keywords": F.concat_ws("\n", "lang", "source", F.lit("third"), F.lit("fourth")), "title": title}
+
+
+def _and_versions(own: DataFrame) -> DataFrame:
+    """Rows of texts and those of the French versions of every fifth; further columns are the decision's."""
+    id, empty = F.col("decision_id"), F.lit("")
+    fields = {
+        "id": id + VERSIONS, "lang": F.lit("fr"), "is_original": F.lit(0), "headnote": empty, "catchwords": empty, "facts": empty,
+        "reasons": F.concat(F.lit("version licensed under "), id.cast("string")), "orders": empty,
+    }
+    return own.unionAll(own.filter("decision_id % 5 = 0").select(*[fields[c].alias(c) if c in fields else F.col(c) for c in own.columns]))
+
+
+def _decisions(store: Store, t: Tables) -> None:
+    d = _documents(t).withColumn("decision_id", F.col("id"))
+    none, heads = F.lit(None).cast("string"), _heads(F.col("title"))
     day = F.concat(F.lit("20"), F.lpad((F.col("id") % 20).cast("string"), 2, "0"), F.lit("-03-1"), (F.col("id") % 7).cast("string"))
-    heads = {"case_number": _case(F.col("id")), "headword": F.concat(F.lit("head"), (F.col("id") % 50).cast("string")), "keywords": F.concat_ws("\n", "lang", "source", F.lit("third"), F.lit("fourth")), "title": F.substring_index("text", "\n", 1)}
     decisions = d.select(
         "id", heads["case_number"].alias("case_number"), F.lit("T").alias("code"), F.col("id").cast("string").alias("appeal_num"), F.lit(2016).alias("year"), F.concat(F.lit("ECLI:"), F.col("id").cast("string")).alias("ecli"), F.col("source").alias("board"),
-        day.alias("decision_date"), F.col("lang").alias("language"), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("id") % 3 + 1).cast("int")).alias("distribution"), heads["title"].alias("title"),
+        day.alias("decision_date"), F.col("lang").alias("language"), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("id") % 3 + 1).cast("int")).alias("distribution"), "title",
         none.alias("application_number"), F.concat(F.lit("A61K"), (F.col("id") % 5).cast("string"), F.lit("/00 H04L1/02")).alias("ipc"), heads["headword"].alias("headword"),
         heads["keywords"].alias("keywords"), none.alias("oj_reference"), F.when(F.col("quality") == 1, 1).otherwise(0).alias("has_headnote"), F.col("lang").alias("available_languages"),
     )
+    store.replace("decisions", decisions, jobs.CLUSTERED["decisions"])
+
+
+def _texts(store: Store, t: Tables) -> None:
+    """Texts are written where their documents are read, each file sorted by id: the texts themselves aren't shuffled for it."""
     note = F.when(F.col("quality") == 1, F.concat(F.lit("note on "), "source")).otherwise("")
-    own = d.select("id", F.col("id").alias("decision_id"), "lang", F.lit(1).alias("is_original"), note.alias("headnote"), F.lit("").alias("catchwords"), F.lit("").alias("facts"), F.col("text").alias("reasons"), F.concat(F.lit("order of "), "source").alias("orders"), *[c.alias(n) for n, c in heads.items()])
-    version = d.filter("id % 5 = 0").select((F.col("id") + VERSIONS).alias("id"), F.col("id").alias("decision_id"), F.lit("fr").alias("lang"), F.lit(0).alias("is_original"), *[F.lit("").alias(c) for c in ("headnote", "catchwords", "facts")], F.concat(F.lit("version licensed under "), F.col("id").cast("string")).alias("reasons"), F.lit("").alias("orders"), *[c.alias(n) for n, c in heads.items()])
-    texts = own.unionAll(version)
+    own = _documents(t).select("id", F.col("id").alias("decision_id"), "lang", F.lit(1).alias("is_original"), note.alias("headnote"), F.lit("").alias("catchwords"), F.lit("").alias("facts"), F.col("text").alias("reasons"), F.concat(F.lit("order of "), "source").alias("orders"), "source")
+    store.replace("decision_texts", _and_versions(own).sortWithinPartitions("id"))
+
+
+def _references(store: Store, t: Tables) -> None:
+    d = _documents(t)
     provisions = d.select(F.col("id").alias("decision_id"), F.explode(F.array(F.concat(F.lit("Art. "), (F.col("id") % 37).cast("string"), F.lit(" EPC")), F.concat(F.lit("R. "), (F.col("id") % 11).cast("string"), F.lit(" EPC")), F.concat(F.lit("R. "), (F.col("id") % 3).cast("string"), F.lit(" EPC")))).alias("provision"))
     citations = d.select(F.col("id").alias("citing_id"), F.explode(F.array(_case(F.col("id") % 40), _case(F.col("id") * 3 + 1))).alias("cited_case_number"))
+    for name, rows in {"decision_provisions": provisions.withColumn("raw", F.col("provision")), "decision_citations": citations}.items():
+        store.replace(name, rows, jobs.CLUSTERED[name])
+
+
+def _passages(store: Store, t: Tables) -> None:
     vectors = t("embeddings").select(F.col("vec_id").alias("decision_id"), "embedding")
-    passages = t("conversations").select(F.col("conv_id").alias("decision_id"), F.col("turn").cast("int").alias("seq"), "text").join(d.select(F.col("id").alias("decision_id"), "lang"), "decision_id").join(vectors, "decision_id", "left")
+    passages = t("conversations").select(F.col("conv_id").alias("decision_id"), F.col("turn").cast("int").alias("seq"), "text").join(_documents(t).select(F.col("id").alias("decision_id"), "lang"), "decision_id").join(vectors, "decision_id", "left")
     chunks = passages.select(
         (F.col("decision_id") * 1000 + F.col("seq")).alias("id"), F.lit("reasons").alias("kind"), "decision_id", F.lit(None).cast("long").alias("book_section_id"), "lang", "seq", "text",
         F.when(F.col("seq") == 0, F.col("embedding")).alias("embedding"),
     )
+    store.replace("chunks", chunks.drop("embedding"), ["id"])
+    store.replace("vectors", chunks.filter("embedding is not null").select("id", F.xxhash64("text").alias("digest"), "kind", "embedding"), ["id"], "kind")
+
+
+def _sections(store: Store, t: Tables) -> None:
     p = t("pages").withColumn("n", F.col("page_id") + 1)
     sections = p.select(
         F.col("n").alias("id"), F.when(F.col("n") % 2 == 0, "clb").otherwise("gl").alias("source"), F.concat(F.lit("A-"), F.floor(F.col("n") / 4).cast("string")).alias("section_id"), F.col("url").alias("title"), F.concat(F.lit("Part > "), "url").alias("breadcrumb"),
         F.col("n").cast("int").alias("page_from"), (F.col("n") + 1).cast("int").alias("page_to"), (F.col("n") % 4).cast("int").alias("part"), F.concat(F.col("html"), F.lit(" see Rule "), (F.col("n") % 11).cast("string"), F.lit(" and Art. 5")).alias("body"),
     )
-    made_tables = {"decisions": decisions, "decision_texts": texts.drop(*heads), "decision_provisions": provisions.withColumn("raw", F.col("provision")), "decision_citations": citations}
-    for name, rows in made_tables.items():
-        store.replace(name, rows, jobs.CLUSTERED[name])
-    store.replace("chunks", chunks.drop("embedding"), ["id"])
-    store.replace("vectors", chunks.filter("embedding is not null").select("id", F.xxhash64("text").alias("digest"), "kind", "embedding"), ["id"], "kind")
     store.replace("book_sections", sections)
-    jobs.rebuild_text_index(store, texts.select("id", *jobs.DECISION_INDEX))
-    jobs.update_index(store, "section", sections, jobs.SECTION_INDEX)
-    drop_cut(joined)
+
+
+def _index_decisions(store: Store, t: Tables) -> None:
+    """Index the store's texts as they lie: they hold what their decision's fields are made of, so nothing is joined."""
+    own = store.read("decision_texts").filter("is_original = 1")
+    own = own.select(*own.columns, *[c.alias(n) for n, c in _heads(F.substring_index("reasons", "\n", 1)).items()])
+    jobs.rebuild_text_index(store, _and_versions(own).select("id", *jobs.DECISION_INDEX))
     store.set_meta(indexed_at="now")
 
 
+def _index_sections(store: Store, t: Tables) -> None:
+    jobs.update_index(store, "section", store.read("book_sections"), jobs.SECTION_INDEX)
+
+
+#: What a store is made of; an index after what it is of.
+PARTS = {"decisions": _decisions, "texts": _texts, "references": _references, "passages": _passages, "sections": _sections, "decision index": _index_decisions, "section index": _index_sections}
+
+
+def _build(spark: SparkSession, sf_dir: str, path: str) -> None:
+    for make in PARTS.values():
+        make(Store(spark, path), lambda name: table(spark, sf_dir, name))
+
+
 def library(spark: SparkSession, sf_dir: str) -> Library:
     path = made(spark, sf_dir, ["documents", "labels", "embeddings", "conversations", "pages"], "library", lambda path: _build(spark, sf_dir, path))
     v = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == QUERY_ID).select("embedding").first()[0]

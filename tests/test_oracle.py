@@ -71,3 +71,22 @@ def test_store_of_answers_is_indexed_without_moving_its_texts_again(spark, tmp_p
     for made, want in ((index.drop("seg"), postings(rows, "id", jobs.DECISION_INDEX)), (stats.drop("seg"), row_stats(rows, "id", jobs.DECISION_INDEX))):
         want = want.select(*made.columns)
         assert made.count() == want.count() > 0 and made.exceptAll(want).isEmpty()
+
+
+def test_texts_of_answers_are_written_where_their_documents_are_read(spark, tmp_path, monkeypatch):
+    """Texts aren't shuffled to be sorted by id, nor staged for the index: each of their files is sorted, which look-ups by id read a few pages of."""
+    from docketlake import jobs, shared, store
+    from docketlake.oracle import answers
+
+    ranged, cut, moved = store.ranged, shared.cut, []
+    with monkeypatch.context() as m:
+        m.setattr(store, "ranged", lambda rows, *order: (moved.append(rows.columns), ranged(rows, *order))[1])
+        for module in (answers, jobs):
+            m.setattr(module, "cut", lambda rows: (moved.append(rows.columns), cut(rows))[1], raising=False)
+        answers._build(spark, FOLDER, str(tmp_path))
+    assert moved and not [c for c in moved if {"reasons", "text", "html", "body"} & set(c) and "seq" not in c]
+    texts = store.Store(spark, str(tmp_path)).read("decision_texts")
+    assert texts.count() == texts.select("id").distinct().count() > 200
+    for f in texts.inputFiles():
+        ids = [r.id for r in spark.read.parquet(f).select("id").coalesce(1).collect()]
+        assert ids == sorted(ids)
