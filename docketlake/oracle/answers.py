@@ -7,7 +7,7 @@ id, embeddings the passages' vectors, pages the sections of two books.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,13 +116,17 @@ def _index_sections(store: Store, t: Tables) -> None:
 PARTS = {"decisions": _decisions, "texts": _texts, "references": _references, "passages": _passages, "sections": _sections, "decision index": _index_decisions, "section index": _index_sections}
 
 
-def _build(spark: SparkSession, sf_dir: str, path: str) -> None:
-    for make in PARTS.values():
-        make(Store(spark, path), lambda name: table(spark, sf_dir, name))
+def _build(spark: SparkSession, sf_dir: str, path: str, parts: Sequence[str] = tuple(PARTS)) -> None:
+    for part in parts:
+        PARTS[part](Store(spark, path), lambda name: table(spark, sf_dir, name))
 
 
-def library(spark: SparkSession, sf_dir: str) -> Library:
-    path = made(spark, sf_dir, ["documents", "labels", "embeddings", "conversations", "pages"], "library", lambda path: _build(spark, sf_dir, path))
+def library(spark: SparkSession, sf_dir: str, *parts: str) -> Library:
+    """The library over the store of an application and table state; parts are made, each once, when a question first reads them."""
+    tables = ["documents", "labels", "embeddings", "conversations", "pages"]
+    path = made(spark, sf_dir, tables, "library", lambda path: None)
+    for part in (p for p in PARTS if p in parts):
+        made(spark, sf_dir, tables, f"library {part}", lambda _, part=part: _build(spark, sf_dir, path, [part]))
     v = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == QUERY_ID).select("embedding").first()[0]
     return Library(Store(spark, path), lambda q: list(v))
 
@@ -163,7 +167,7 @@ def _found(spark: SparkSession, answer: dict) -> DataFrame:
 
 def search_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 by words, with filters: of the text's language, the provision, the dates, the classes."""
-    return _found(spark, library(spark, sf_dir).search_decisions("licensed under", mode="lexical", limit=25, date_from="2003", date_to="2017-03-12", language="fr", provision="Rule 0", ipc_prefix="a61k_/", type_code="t"))
+    return _found(spark, library(spark, sf_dir, "decisions", "texts", "references", "decision index").search_decisions("licensed under", mode="lexical", limit=25, date_from="2003", date_to="2017-03-12", language="fr", provision="Rule 0", ipc_prefix="a61k_/", type_code="t"))
 
 
 _SHOWN = "case_number, ecli, date, board, {0} AS language, headword, array_to_string(string_split(keywords, chr(10))[1:3], '|') AS keywords"
@@ -176,7 +180,7 @@ SEARCH_LEXICAL = _SCORED + (
 
 def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 by words and by vector, fused; the second page, of documents with a headnote."""
-    return _found(spark, library(spark, sf_dir).search_decisions("licensed under", limit=10, offset=5, only_with_headnote=True))
+    return _found(spark, library(spark, sf_dir, "decisions", "texts", "references", "passages", "decision index").search_decisions("licensed under", limit=10, offset=5, only_with_headnote=True))
 
 
 SEARCH_HYBRID = _SCORED + (
@@ -193,7 +197,7 @@ SEARCH_HYBRID = _SCORED + (
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E6 by words, in one book."""
-    found = library(spark, sf_dir).search_legal_texts('"rule 7"', source="guidelines", mode="lexical", limit=25)
+    found = library(spark, sf_dir, "sections", "section index").search_legal_texts('"rule 7"', source="guidelines", mode="lexical", limit=25)
     return _frame(spark, [(i, r["source"], r["section_id"], r["title"], r["pages"]["from"], r["pages"]["to"]) for i, r in enumerate(found["results"])], "place int, source string, section_id string, title string, page_from int, page_to int")
 
 
@@ -220,7 +224,7 @@ ASKED = ("T 42/16", "t 0043 / 2016", "ECLI:45", "T 0050/16", "G 9/99")
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2: summaries of decisions named in several ways, in French where there is a version; one isn't there."""
-    lib, rows = library(spark, sf_dir), []
+    lib, rows = library(spark, sf_dir, "decisions", "texts"), []
     for key in ASKED:
         a = lib.get_decision(key, "summary", "fr")
         rows.append((key, "error" in a, a.get("case_number"), a.get("lang"), a.get("headword"), "|".join(a.get("keywords", [])), "|".join(a.get("ipc", [])), a.get("headnote"), a.get("order"), a.get("decision_date")))
@@ -236,7 +240,7 @@ SELECT asked, d.id IS NULL AS error, case_number, CASE WHEN d.id % 5 = 0 THEN 'f
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E3: pages of passages within a budget of characters."""
-    lib, rows = library(spark, sf_dir), []
+    lib, rows = library(spark, sf_dir, "decisions", "texts", "passages"), []
     for n, offset in ((3, 0), (3, 2), (8, 1), (1, 50)):
         a = lib.get_passages(f"T {n}/16", "reason", offset=offset, limit=4, max_chars=1200)
         rows += [(n, offset, a["total_chunks"], a["next_offset"], c["seq"], c["chars"], c["text"]) for c in a["chunks"]] or [(n, offset, a["total_chunks"], a["next_offset"], None, None, None)]
@@ -255,7 +259,7 @@ SELECT t.n::INT AS n, t.o::INT AS "offset", t.total, CASE WHEN last < t.total TH
 
 def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E4 by words; the words' passages of three decisions."""
-    lib, rows = library(spark, sf_dir), []
+    lib, rows = library(spark, sf_dir, "decisions", "texts", "passages"), []
     for n in (3, 5, 8):
         a = lib.search_passages(f"T {n}/16", "The thing of", mode="lexical", limit=5)
         rows += [(n, a["mode"], i, r["seq"], float(r["score"]), r["chars"]) for i, r in enumerate(a["results"])]
@@ -272,7 +276,7 @@ PASSAGE_SEARCH = (
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E5 both ways; of what a decision cites, a part isn't there."""
-    lib, rows = library(spark, sf_dir), []
+    lib, rows = library(spark, sf_dir, "decisions", "references"), []
     for n, direction in ((7, "cites"), (190, "cites"), (3, "cited_by")):
         for r in lib.citations(f"T {n}/16", direction)["results"]:
             rows.append((n, direction, r["case_number"], r.get("in_corpus"), r["ecli"], r["date"], r["board"]))
@@ -289,7 +293,7 @@ UNION ALL SELECT 3, 'cited_by', case_number, NULL, ecli, date, board FROM b
 
 def section(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E7: sections with their parts and neighbours, named exactly, in another case and by a prefix; one isn't there."""
-    lib, rows = library(spark, sf_dir), []
+    lib, rows = library(spark, sf_dir, "sections"), []
     for source, wanted in (("clb", "A-10"), ("guidelines", "a-11"), ("gl", "A-5%")):
         a = lib.get_section(source, wanted)
         near = lambda side: "|".join(x["title"] for x in a.get(side, []))  # noqa: B023, E731
@@ -308,7 +312,7 @@ SELECT asked, lo IS NULL AS error, CASE WHEN lo IS NOT NULL THEN id END AS secti
 
 def provision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E8: decisions, the latest, those with most rows, and sections of a provision typed in prose."""
-    a = library(spark, sf_dir).lookup_provision("Rule 1")
+    a = library(spark, sf_dir, "decisions", "references", "sections", "section index").lookup_provision("Rule 1")
     rows = [("count", str(a["decision_count"]), 0)]
     rows += [("recent", r["case_number"], 0) for r in a["recent_decisions"]]
     rows += [("top", r["case_number"], r["provision_row_count"]) for r in a["top_decisions_by_provision_rows"]]

@@ -90,3 +90,20 @@ def test_texts_of_answers_are_written_where_their_documents_are_read(spark, tmp_
     for f in texts.inputFiles():
         ids = [r.id for r in spark.read.parquet(f).select("id").coalesce(1).collect()]
         assert ids == sorted(ids)
+
+
+def test_parts_of_the_store_are_made_when_a_question_reads_them(spark, monkeypatch):
+    """Passages of a decision need no text index; a search makes it later, of the texts that are there."""
+    from docketlake import segments
+    from docketlake.oracle import answers, tables
+
+    monkeypatch.setattr(tables, "_made", {})
+    with monkeypatch.context() as m:
+        m.setattr(segments, "build", lambda *a: pytest.fail("a text index is made"))
+        first = answers.passage_search(spark, FOLDER).collect()
+        m.setattr(answers, "_build", lambda *a: pytest.fail("a part is made twice"))
+        assert answers.passage_search(spark, FOLDER).collect() == first != []
+    made, build = [], answers._build
+    monkeypatch.setattr(answers, "_build", lambda spark, sf_dir, path, parts: (made.extend(parts), build(spark, sf_dir, path, parts)))
+    assert answers.search_lexical(spark, FOLDER).count() > 0
+    assert made == ["references", "decision index"]
