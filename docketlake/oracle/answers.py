@@ -62,7 +62,7 @@ def _decisions(store: Store, t: Tables) -> None:
         none.alias("application_number"), F.concat(F.lit("A61K"), (F.col("id") % 5).cast("string"), F.lit("/00 H04L1/02")).alias("ipc"), heads["headword"].alias("headword"),
         heads["keywords"].alias("keywords"), none.alias("oj_reference"), F.when(F.col("quality") == 1, 1).otherwise(0).alias("has_headnote"), F.col("lang").alias("available_languages"),
     )
-    store.replace("decisions", decisions, jobs.CLUSTERED["decisions"])
+    store.replace("decisions", decisions.sortWithinPartitions("id"))
 
 
 def _texts(store: Store, t: Tables) -> None:
@@ -81,14 +81,15 @@ def _references(store: Store, t: Tables) -> None:
 
 
 def _passages(store: Store, t: Tables) -> None:
-    vectors = t("embeddings").select(F.col("vec_id").alias("decision_id"), "embedding")
-    passages = t("conversations").select(F.col("conv_id").alias("decision_id"), F.col("turn").cast("int").alias("seq"), "text").join(_documents(t).select(F.col("id").alias("decision_id"), "lang"), "decision_id").join(vectors, "decision_id", "left")
-    chunks = passages.select(
-        (F.col("decision_id") * 1000 + F.col("seq")).alias("id"), F.lit("reasons").alias("kind"), "decision_id", F.lit(None).cast("long").alias("book_section_id"), "lang", "seq", "text",
-        F.when(F.col("seq") == 0, F.col("embedding")).alias("embedding"),
-    )
-    store.replace("chunks", chunks.drop("embedding"), ["id"])
-    store.replace("vectors", chunks.filter("embedding is not null").select("id", F.xxhash64("text").alias("digest"), "kind", "embedding"), ["id"], "kind")
+    """Chunks are written where they are joined, as texts are; vectors are joined to digests, so no text moves for them."""
+    turns = t("conversations").select(F.col("conv_id").alias("decision_id"), F.col("turn").cast("int").alias("seq"), "text")
+    of = _documents(t).select(F.col("id").alias("decision_id"), "lang")
+    id, kind = (F.col("decision_id") * 1000 + F.col("seq")).alias("id"), F.lit("reasons").alias("kind")
+    chunks = turns.join(of, "decision_id").select(id, kind, "decision_id", F.lit(None).cast("long").alias("book_section_id"), "lang", "seq", "text")
+    store.replace("chunks", chunks.sortWithinPartitions("id"))
+    first = turns.filter("seq = 0").select("decision_id", "seq", F.xxhash64("text").alias("digest")).join(of.select("decision_id"), "decision_id")
+    vectors = first.join(t("embeddings").filter("embedding is not null").select(F.col("vec_id").alias("decision_id"), "embedding"), "decision_id")
+    store.replace("vectors", vectors.select(id, "digest", kind, "embedding"), ["id"], "kind")
 
 
 def _sections(store: Store, t: Tables) -> None:
