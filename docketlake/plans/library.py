@@ -20,7 +20,7 @@ from ..functions.vectors import dot, literal
 from ..jobs import DECISION_INDEX, SECTION_INDEX, chunk_vectors, embedded_chunks, index_rows
 from ..operators import lookups
 from ..operators.filters import metadata_filters
-from ..operators.match import DECISION_WEIGHTS, Or, Phrase, bm25, capped_count, compile_query
+from ..operators.match import DECISION_WEIGHTS, Or, Phrase, bm25, compile_query
 from ..operators.ranking import best_per_key, budget_page, clamp, fallback, fuse, fused_order, knn, pool_size, ranked, top
 from ..operators.snippet import snippet
 from ..functions.text import tokens_of
@@ -45,7 +45,7 @@ class Library:
     # search
 
     def search_decisions(self, query: str, *, mode: str = "auto", limit: int = 10, offset: int = 0, provision: str | None = None, **filters) -> dict:
-        """Decisions by text, and by vectors too where there are any and mode isn't 'lexical'."""
+        """Decisions by text, and by vectors too where there are any and mode isn't 'lexical'. All that match are counted."""
         unknown = set(filters) - set(FILTERS)
         if unknown:
             raise TypeError(f"unknown filters {sorted(unknown)}")
@@ -55,8 +55,8 @@ class Library:
             return {"error": "the query is blank"}
         if not 0 <= offset < MOST_OFFSET:
             return {"error": f"offset must be from 0 to {MOST_OFFSET - 1}"}
-        limit, pool = clamp(limit, 1, MOST_RESULTS), pool_size(offset, clamp(limit, 1, MOST_RESULTS))
-        tree = compile_query(query)
+        limit = clamp(limit, 1, MOST_RESULTS)
+        pool, tree = pool_size(offset, limit), compile_query(query)
         decisions, rows = self.store.read("decisions"), index_rows(self.store)
         provisions = self.store.read("decision_provisions")
         wanted = None if provision is None else self.normalised(provision)
@@ -69,10 +69,7 @@ class Library:
             texts = self.store.read("decision_texts").select("id", "decision_id", "lang")
             matched = passing(scored.join(texts, F.col("row_id") == F.col("id")).drop("id").join(known, "decision_id")).select("decision_id", "lang", "row_id", "score")
         matched = cut(matched)
-        total = capped_count(matched, "decision_id").first()
-        lexical = top(best_per_key(matched, "decision_id", F.col("score"), F.col("row_id")), pool, F.col("score"), F.col("decision_id"))
-        first = ranked(lexical, "decision_id", F.col("score"), F.col("decision_id"))
-        near, used, count = None, "lexical", total.total
+        near, used, count = None, "lexical", matched.select("decision_id").distinct().count()
         try:
             vectors = self._decision_vectors(query, mode, pool)
             if vectors is not None:
@@ -81,6 +78,9 @@ class Library:
                 near = cut(top(own, pool, F.col("distance"), F.col("decision_id")))  # at most a pool of rows
         except Exception as e:  # whatever fails there, words still answer
             log.warning("search goes on by words: %s", e)
+        # lists that are fused are cut to their pools; words alone are ranked as far as the page goes
+        lexical = top(best_per_key(matched, "decision_id", F.col("score"), F.col("row_id")), offset + limit if near is None else pool, F.col("score"), F.col("decision_id"))
+        first = ranked(lexical, "decision_id", F.col("score"), F.col("decision_id"))
         if near is not None:
             fused, used = fuse(first, ranked(near, "decision_id", F.col("distance"), F.col("decision_id")), "decision_id"), "hybrid"
             count = max(count, fused.count())
@@ -102,7 +102,7 @@ class Library:
             "fused", "first_rank", "second_rank", "case_number", "ecli", "date", "board", F.coalesce("text_lang", "language").alias("language"), "headword", first_values(F.col("keywords"), "\n").alias("keywords"),
             F.when(F.col("row_id").isNotNull(), shown).otherwise(F.col("excerpt")).alias("snippet"),
         ).orderBy(F.desc("fused"), F.col("first_rank").asc_nulls_last(), F.col("second_rank").asc_nulls_last()).drop("fused", "first_rank", "second_rank")
-        out = {"mode": used, "total": count, "total_is_capped": total.total_is_capped, "offset": offset, "limit": limit, "results": _rows(results)}
+        out = {"mode": used, "total": count, "total_is_capped": False, "offset": offset, "limit": limit, "results": _rows(results)}
         drop_cut(matched, page, *([near] if near is not None else []))
         return out
 
