@@ -60,7 +60,7 @@ FROM f WHERE n = 1
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = decision_xml.tables(_scanned(spark, sf_dir))
-    return made["decision_texts"].join(made["decisions"].select(F.col("id").alias("decision_id"), "ecli"), "decision_id").select("ecli", "lang", "is_original", "headnote", "reasons", "orders")
+    return made["decision_texts"].join(made["keys"].hint("merge"), ["decision_id", "lang"]).select("ecli", "lang", "is_original", "headnote", "reasons", "orders")
 
 
 TEXTS = _D + """
@@ -72,7 +72,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY ecli, lang ORDER BY k) AS m FROM
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = decision_xml.tables(_scanned(spark, sf_dir))
     both = made["decision_provisions"].select("decision_id", F.lit("provision").alias("kind"), F.col("provision").alias("value")).unionAll(made["decision_citations"].select(F.col("citing_id").alias("decision_id"), F.lit("citation").alias("kind"), F.col("cited_case_number").alias("value")))
-    return both.join(made["decisions"].select(F.col("id").alias("decision_id"), "ecli"), "decision_id").select("ecli", "kind", "value")
+    keys = made["keys"].select("decision_id", "ecli").dropDuplicates(["decision_id"])
+    return both.join(keys.hint("merge"), "decision_id").select("ecli", "kind", "value")
 
 
 REFERENCES = _D + """

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,22 +90,23 @@ def documents(spark: SparkSession, path: str, close: str, encoding: str = "UTF-8
 
     def described(batches):
         for b in batches:
-            left = ["".join(str(left_in(v, s)) for s in range(len(STATES))) for v in b["value"]]
-            yield b.assign(left=left, tag=[REST_OF_TAG.match(v) is not None for v in b["value"]])
+            values = b.column("value").to_pylist()
+            left = ["".join([str(left_in(v, s)) for s in range(len(STATES))]) for v in values]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(left, pa.string()), pa.array([REST_OF_TAG.match(v) is not None for v in values])], [*b.schema.names, "left", "tag"])
 
-    pieces = cut(placed.mapInPandas(described, "path string, block long, place long, value string, left string, tag boolean"))
+    pieces = cut(placed.mapInArrow(described, "path string, block long, place long, value string, left string, tag boolean"))
     small = pieces.drop("value")
     by_split = small.groupBy("path", "block").applyInPandas(_split_map, "path string, block long, ends array<int>, heads array<long>")
     entered = by_split.groupBy("path").applyInPandas(_entries, "path string, block long, state int, head long")
-    members = cut(small.join(entered, ["path", "block"]).groupBy("path", "block").applyInPandas(_members, "place long, head long"))
+    members = cut(small.hint("merge").join(entered, ["path", "block"]).groupBy("path", "block").applyInPandas(_members, "place long, head long"))
     columns = ["path", "block", "place", "value"]
     if members.isEmpty():
         drop_cut(members)
         out = pieces.select(*columns)
     else:
         linked = members.unionAll(members.select(F.col("head").alias("place"), "head").distinct())
-        whole = pieces.join(linked, "place").groupBy("path", "head").agg(F.array_sort(F.collect_list(F.struct("block", "place", "value"))).alias("p"))
+        whole = pieces.join(linked.hint("merge"), "place").groupBy("path", "head").agg(F.array_sort(F.collect_list(F.struct("block", "place", "value"))).alias("p"))
         whole = whole.select("path", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["place"].alias("place"), F.array_join(F.col("p.value"), close).alias("value"))
-        out = pieces.join(linked, "place", "left_anti").select(*columns).unionByName(whole)
+        out = pieces.join(linked.hint("merge"), "place", "left_anti").select(*columns).unionByName(whole)
     out._docketlake_path = pieces._docketlake_path
     return out
