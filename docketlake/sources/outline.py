@@ -60,8 +60,10 @@ def breadcrumbs(outline: DataFrame) -> DataFrame:
         if reach > most:
             raise ValueError("parents of the outline run in a circle")
         above = now.select(F.col("source").alias("as"), F.col("node_id").alias("aid"), F.col("breadcrumb").alias("before"), F.col("up").alias("aup"))
-        joined = now.join(above, (F.col("source") == F.col("as")) & (F.col("up") == F.col("aid")), "left")
-        further = cut(joined.select("source", "node_id", F.when(F.col("before").isNull(), F.col("breadcrumb")).otherwise(F.concat("before", "breadcrumb")).alias("breadcrumb"), F.col("aup").alias("up")))
+        # paths compress to a small part of their size in files, so neither side may be taken for small and sent to all tasks
+        joined = now.filter("up is not null").join(above.hint("merge"), (F.col("source") == F.col("as")) & (F.col("up") == F.col("aid")), "left")
+        longer = joined.select("source", "node_id", F.when(F.col("before").isNull(), F.col("breadcrumb")).otherwise(F.concat("before", "breadcrumb")).alias("breadcrumb"), F.col("aup").alias("up"))
+        further = cut(now.filter("up is null").unionByName(longer))  # whole paths stay as they are: without a key to join by, all of them would be one task's
         drop_cut(now)
         now, reach = further, 2 * reach
     return now.drop("up")
