@@ -59,10 +59,10 @@ def update_index(store: Store, name: str, rows: DataFrame, columns: tuple[str, .
         return
     held = segments.live(store, name)[1].select("row_id", "digest")
     now = rows.select(F.col("id").alias("row_id"), digest(columns).alias("digest"))
-    fresh = cut(now.join(held, ["row_id", "digest"], "left_anti").select("row_id"))
-    gone = cut(held.join(now, ["row_id", "digest"], "left_anti").select("row_id"))
+    fresh = cut(now.join(held.hint("merge"), ["row_id", "digest"], "left_anti").select("row_id"))
+    gone = cut(held.join(now.hint("merge"), ["row_id", "digest"], "left_anti").select("row_id"))
     if not (fresh.isEmpty() and gone.isEmpty()):
-        segments.change(store, name, rows.join(fresh.select(F.col("row_id").alias("id")), "id", "left_semi"), columns, None if gone.isEmpty() else gone)
+        segments.change(store, name, rows.join(fresh.select(F.col("row_id").alias("id")).hint("merge"), "id", "left_semi"), columns, None if gone.isEmpty() else gone)
     drop_cut(fresh, gone)
 
 
@@ -122,7 +122,8 @@ def merge_documents(store: Store, docs: DataFrame) -> None:
     Texts, references, chunks and new decisions are appended; decisions that
     documents add to are written again with their block. The keys come last of
     the tables: documents without one there haven't been added, and a run that
-    finds another one interrupted drops what it left, see recover().
+    finds another one interrupted drops what it left, see recover(). Keys may be
+    millions in files of a few megabytes, so no join sends them to all tasks.
     """
     if store.meta().get("merging"):
         recover(store)
@@ -130,10 +131,10 @@ def merge_documents(store: Store, docs: DataFrame) -> None:
     keyed, by = sliced("keys", docs.filter("ecli is not null"))
     touched = [r[0] for r in keyed.select(by).distinct().collect()]  # at most KEY_SLICES
     keys = store.read("keys", touched)
-    new = cut(keyed.drop(by).join(keys.select("ecli", "lang"), ["ecli", "lang"], "left_anti"))
+    new = cut(keyed.drop(by).join(keys.select("ecli", "lang").hint("merge"), ["ecli", "lang"], "left_anti"))
     if new.isEmpty():
         return
-    held = cut(keys.join(new.select("ecli").distinct(), "ecli", "left_semi").select("ecli", "decision_id").distinct())
+    held = cut(keys.join(new.select("ecli").distinct().hint("merge"), "ecli", "left_semi").select("ecli", "decision_id").distinct())
     made = decision_xml.tables(new, held, last["last_decision_id"], last["last_text_id"])
     updates = cut(made.pop("updates"))
     store.set_meta(merging="1")
@@ -147,7 +148,7 @@ def merge_documents(store: Store, docs: DataFrame) -> None:
     store.append("keys", rows, CLUSTERED["keys"], by)
     tops = {k: max(last[k], v) for k, v in _last_ids(store).items()}
     here = sorted({*blocks, *(str(b) for b in range(last["last_decision_id"] // BLOCK, tops["last_decision_id"] // BLOCK + 1))})
-    texts = index_rows(store, here).join(held.select("decision_id", F.lit(True).alias("_held")), "decision_id", "left")  # held may have every decision, so it isn't sent to all
+    texts = index_rows(store, here, whole=True).join(held.select("decision_id", F.lit(True).alias("_held")).hint("merge"), "decision_id", "left")  # held may have every decision, so it isn't sent to all
     added = F.col("id") > last["last_text_id"]
     segments.change(store, "decision", texts.filter(added | F.col("_held")).drop("_held"), DECISION_INDEX, texts.filter(~added & F.col("_held")).select(F.col("id").alias("row_id")) if blocks else None)
     store.set_meta(merging="", **tops)
@@ -162,9 +163,9 @@ def recover(store: Store) -> None:
     for name in ("decision_texts", "chunks", *owner):
         rows = store.read(name)
         if name in owner:
-            kept = rows.join(ids.withColumnRenamed("decision_id", owner[name]), owner[name], "left_semi")
+            kept = rows.join(ids.withColumnRenamed("decision_id", owner[name]).hint("merge"), owner[name], "left_semi")
         else:
-            kept = rows.join(keys, ["decision_id", "lang"], "left_semi")
+            kept = rows.join(keys.hint("merge"), ["decision_id", "lang"], "left_semi")
             if name == "chunks":
                 kept = kept.unionByName(rows.filter("kind = 'book'"))
         store.replace(name, kept.select(*rows.columns), CLUSTERED[name], "slice" if "slice" in rows.columns else None)

@@ -88,7 +88,7 @@ def change(store: Store, name: str, rows: DataFrame, columns: Sequence[str], gon
     if gone is not None:
         store.append(f"{name}_deletes", gone.select("row_id", F.lit(seg).cast("long").alias("seg")), ["row_id"], "seg")
         left = store.read(f"{name}_deletes", [seg]).select("row_id")
-        less = shape(live(store, name)[1].join(left, "row_id", "left_semi")).first()
+        less = shape(live(store, name)[1].join(left.hint("merge"), "row_id", "left_semi")).first()
     _commit(store, name, before | {seg: (n, n - less[0], tokens - less[1])})
     merge(store, name)
 
